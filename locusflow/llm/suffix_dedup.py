@@ -6,7 +6,7 @@ first cut so that equal strings meet:
 1. Every window of ``length`` bytes is named by the smallest hash of the ``gram``-byte
    strings inside it.  Equal windows have equal names, and neighbouring windows mostly
    share one, so a document becomes a few *runs* (name, first window, windows).
-2. Runs whose name occurs once hold no repeat.  Runs whose name always stands for the
+2. Runs whose name occurs once hold no repeat, unless the name's string occurs twice in them.  Runs whose name always stands for the
    same bytes repeat as a whole.  Only the rest is compared, each distinct run once.
 3. The distinct runs of a name are laid end to end and sorted by a two-stage suffix
    sort (``suffix_order``); windows with an adjacent common prefix of ``length`` or more
@@ -43,8 +43,9 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, hasher: PrefixHash):
-    """Runs of windows with one name: row, first byte in the row, windows, name, content hash."""
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64))
+    """Runs of windows with one name: row, first byte in the row, windows, name, content hash,
+    and whether the naming string occurs more than once, so that the run may repeat itself."""
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64, bool))
     if len(data) < length:
         return empty
     prefix = hasher.prefix(data)
@@ -64,7 +65,15 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, hashe
     counted = np.concatenate([[0], np.cumsum(valid)])
     windows = np.diff(np.append(counted[first], counted[-1]))
     content = hasher.ranges(prefix, first, first + windows + length - 1)
-    return row[first], (first - offsets[row[first]]).astype(np.int32), windows.astype(np.int32), name[first].view(np.int64), content.view(np.int64)
+    width = length - gram + 1
+    edge = np.zeros(width - 1, np.uint64)
+    highest = ~window_minimum(~np.concatenate([edge, name, edge]), width)
+    naming = np.flatnonzero(grams == highest)
+    naming = naming[naming + gram <= offsets[1:][np.searchsorted(offsets, naming, "right") - 1]]
+    owner = mixed(grams[naming] + np.searchsorted(offsets, naming, "right").astype(np.uint64))
+    values, times = np.unique(owner, return_counts=True)
+    inner = np.isin(mixed(name[first] + (row[first] + 1).astype(np.uint64)), values[times > 1])
+    return row[first], (first - offsets[row[first]]).astype(np.int32), windows.astype(np.int32), name[first].view(np.int64), content.view(np.int64), inner
 
 
 def suffix_order(text: np.ndarray, until: np.ndarray) -> np.ndarray:
@@ -175,7 +184,7 @@ def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def find_runs(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, start, windows, name, content) for every run of windows of every document."""
+    """(k1, k2, start, windows, name, content, inner) for every run of windows of every document."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +192,9 @@ def find_runs(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
             k1, k2 = (batch.column(k).to_numpy() for k in ("k1", "k2"))
             for a, z in row_blocks(offsets, 2 * BLOCK):
                 row, *run = runs_of(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], length, gram, HASHER)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[a:z][row], k2[a:z][row], *run)], names=["k1", "k2", "start", "windows", "name", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[a:z][row], k2[a:z][row], *run)], names=["k1", "k2", "start", "windows", "name", "content", "inner"])
 
-    return keyed.select("k1", "k2", "text").mapInArrow(task, "k1 long, k2 long, start int, windows int, name long, content long")
+    return keyed.select("k1", "k2", "text").mapInArrow(task, "k1 long, k2 long, start int, windows int, name long, content long, inner boolean")
 
 
 def compare_runs(runs: DataFrame, length: int) -> DataFrame:
@@ -247,8 +256,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     keyed = rows.withColumns({"k1": F.xxhash64("text", "row"), "k2": F.xxhash64(F.lit(1), "row", "text")})
     found = stored(find_runs(keyed, length))
 
-    names = found.groupBy("name").agg(F.count("*").alias("total"), F.min("content").alias("low"), F.max("content").alias("high")).where("total > 1")
-    repeated = stored(found.join(names.select("name", (F.col("low") == F.col("high")).alias("same")), "name"))
+    names = found.groupBy("name").agg(F.count("*").alias("total"), F.min("content").alias("low"), F.max("content").alias("high"), F.max("inner").alias("inner"))
+    names = names.where("total > 1 or inner").select("name", F.expr("total > 1 and low = high").alias("same"))
+    repeated = stored(found.drop("inner").join(names, "name"))
     distinct = repeated.where("not same").groupBy("name", "content").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "windows")).alias("at"))
     per_name = distinct.groupBy("name").agg(F.count("*").alias("runs"), F.min("n").alias("least"))
     # Where each distinct run of a name occurs several times, all of them repeat and nothing is left to compare.
