@@ -23,3 +23,70 @@ def remove_repeats(texts: list[str | None], length: int = 400) -> list[tuple]:
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         out.append((len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def simhash(text: str | None, words: int = 4) -> int:
+    import re
+
+    import xxhash
+
+    raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    found = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    if not found:
+        return 0
+    shingles = [b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash_classes(ids: list, prints: list[int], distance: int = 4) -> list:
+    """Smallest id reachable from each row."""
+    least: dict[int, object] = {}
+    for i, p in zip(ids, prints, strict=True):
+        known = [x for x in (least.get(p), i) if x is not None]
+        least[p] = min(known) if known else None
+    nodes, seen, out = list(least), set(), {}
+    for n in nodes:
+        if n in seen:
+            continue
+        stack, group = [n], []
+        seen.add(n)
+        while stack:
+            x = stack.pop()
+            group.append(x)
+            for y in nodes:
+                if y not in seen and (x ^ y).bit_count() <= distance:
+                    seen.add(y)
+                    stack.append(y)
+        known = [least[x] for x in group if least[x] is not None]
+        for x in group:
+            out[x] = min(known) if known else None
+    return [out[p] for p in prints]
+
+
+def check_packing(rows, ids_of: dict, size: int = 2048) -> int:
+    """Asserts that packed pieces are whole, right and gapless; returns the number of sequences."""
+    import zlib
+
+    import numpy as np
+
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    assert by_doc.keys() == ids_of.keys()
+    for doc, pieces in by_doc.items():
+        ids, at = np.array([*ids_of[doc], 0], "<u4"), 0
+        pieces.sort(key=lambda r: r.piece)
+        for k, r in enumerate(pieces):
+            assert (r.piece, r.start) == (k, at) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            assert len(pieces) == 1 or k == 0 or r.length == size
+            at += r.length
+        assert at == len(ids)
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= size
+    return len(by_sequence)
