@@ -10,8 +10,10 @@ first cut so that equal strings meet:
    same bytes repeat as a whole.  Only the rest is compared, each distinct run once.
 3. The distinct runs of a name are laid end to end and sorted by a two-stage suffix
    sort (``suffix_order``); windows with an adjacent common prefix of ``length`` or more
-   are repeats.  A name with more runs than fit one block is split over many; windows
-   that stay alone in their block are then counted by hash over all blocks of the name.
+   are repeats.  A name with more runs than fit one block is split over many.  Each block
+   then hands on one window of each kind it has, in groups of up to ``CORE`` neighbours
+   named by the bytes they have in common.  Where such a group meets an equal one of
+   another block its windows are counted by hash over all blocks of the name.
 4. The repeated windows go back to the documents, where their union is removed.
 """
 
@@ -30,6 +32,7 @@ from .common import PrefixHash, mixed, row_blocks, stored, string_buffers
 BLOCK = 1 << 20
 HASHER = PrefixHash(7)
 GRAM = 48
+CORE = 32
 
 
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -149,8 +152,9 @@ def adjacent_common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int)
     return same
 
 
-def repeated_windows(pieces: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
-    """For pieces end to end with one separator each: which positions start a repeated window.
+def repeated_windows(pieces: list[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pieces end to end with one separator each: which positions start a repeated window,
+    and which start the first of each kind of window.
 
     A piece that occurs several times in the corpus repeats in all its windows.
     """
@@ -169,13 +173,15 @@ def repeated_windows(pieces: list[bytes], counts: np.ndarray, length: int) -> np
     ends = np.repeat(starts + sizes + 1, sizes + 1)
     order = suffix_order(text, np.minimum(np.arange(len(text)) + length, ends))
     order = order[valid[order]]
-    flagged = np.zeros(len(text), bool)
+    flagged, first = np.zeros(len(text), bool), np.zeros(len(text), bool)
+    first[order[:1]] = True
     if len(order) > 1:
         same = adjacent_common(text, order[:-1], order[1:], length)
         flagged[order[:-1][same]] = True
         flagged[order[1:][same]] = True
+        first[order[1:][~same]] = True
     many = np.repeat(counts > 1, sizes + 1)
-    return (flagged | many) & valid
+    return (flagged | many) & valid, first
 
 
 def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -183,6 +189,27 @@ def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+def window_cores(piece: bytes, name: int, chosen: np.ndarray, length: int) -> list[dict]:
+    """The ``chosen`` windows of a run, grouped by the bytes that up to ``CORE`` neighbours share.
+
+    Groups are laid out from the naming string of a window, which equal windows have at the
+    same place; so equal windows of different runs are in groups of equal bytes.
+    """
+    data = np.frombuffer(piece, np.uint8)
+    prefix = HASHER.prefix(data)
+    grams = mixed((prefix[GRAM:] - prefix[:-GRAM]) * HASHER.back[: len(data) - GRAM + 1]).view(np.int64)
+    naming = np.flatnonzero(grams == name)
+    anchor = naming[np.searchsorted(naming, chosen)]
+    group = (anchor - chosen) // CORE
+    start = anchor - group * CORE  # of the last window of a group; its first one starts CORE - 1 earlier
+    core = mixed(HASHER.ranges(prefix, start, start + length - CORE + 1) + group.astype(np.uint64)).view(np.int64)
+    hashes = HASHER.ranges(prefix, chosen, chosen + length).view(np.int64)
+    out: dict[int, list[dict]] = {}
+    for c, w, h in zip(core.tolist(), chosen.tolist(), hashes.tolist(), strict=True):
+        out.setdefault(c, []).append({"window": w, "hash": h})
+    return [{"core": c, "windows": x} for c, x in out.items()]
+
+
 def find_runs(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
     """(k1, k2, start, windows, name, content, inner) for every run of windows of every document."""
 
@@ -200,26 +227,23 @@ def find_runs(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
 def compare_runs(runs: DataFrame, length: int) -> DataFrame:
     """Repeated windows of distinct runs (name, salt, content, n, bytes), as spans of window numbers.
 
-    ``salt`` is null where all runs of a name fit one block.  Else ``hashes`` names every
-    window, for the comparison over the blocks of the name.
+    ``salt`` is null where all runs of a name fit one block.  Else ``cores`` has what is to
+    be compared over the blocks of the name.
     """
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
         pieces = [r[4] for r in rows]
-        flags = repeated_windows(pieces, np.array([r[3] for r in rows]), length)
-        spans, hashes, at = [], [], 0
+        flags, first = repeated_windows(pieces, np.array([r[3] for r in rows]), length)
+        spans, cores, at = [], [], 0
         for row, piece in zip(rows, pieces, strict=True):
             windows = len(piece) - length + 1
             spans.append([{"from": a, "to": b} for a, b in spans_of(flags[at : at + windows])])
-            if row[1] is None:
-                hashes.append(None)
-            else:
-                prefix, where = HASHER.prefix(np.frombuffer(piece, np.uint8)), np.arange(windows)
-                hashes.append(HASHER.ranges(prefix, where, where + length).view(np.int64))
+            cores.append(None if row[1] is None else window_cores(piece, row[0], np.flatnonzero(first[at : at + windows]), length))
             at += len(piece) + 1
         names, contents = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())
         kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-        return pa.RecordBatch.from_arrays([names, contents, pa.array(spans, kind), pa.array(hashes, pa.list_(pa.int64()))], names=["name", "content", "spans", "hashes"])
+        core = pa.list_(pa.struct([("core", pa.int64()), ("windows", pa.list_(pa.struct([("window", pa.int32()), ("hash", pa.int64())])))]))
+        return pa.RecordBatch.from_arrays([names, contents, pa.array(spans, kind), pa.array(cores, core)], names=["name", "content", "spans", "cores"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group, size = [], [], 0  # whole groups of a name and salt; the group being read; bytes of both
@@ -238,7 +262,7 @@ def compare_runs(runs: DataFrame, length: int) -> DataFrame:
             yield block(held + group)
 
     ordered = runs.repartition("name", "salt").sortWithinPartitions("name", "salt", "content")
-    return ordered.select("name", "salt", "content", "n", "bytes").mapInArrow(task, "name long, content long, spans array<struct<from: int, to: int>>, hashes array<long>")
+    return ordered.select("name", "salt", "content", "n", "bytes").mapInArrow(task, "name long, content long, spans array<struct<from: int, to: int>>, cores array<struct<core: long, windows: array<struct<window: int, hash: long>>>>")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), length: int = 400) -> DataFrame:
@@ -269,7 +293,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     pieces = keyed.join(one, ["k1", "k2"]).select("name", "salt", "content", "n", cut.alias("bytes")).dropDuplicates(["name", "content"])
     compared = stored(compare_runs(pieces, length))
 
-    hashed = compared.where("hashes is not null").select("name", "content", F.posexplode("hashes").alias("window", "hash"))
+    cores = compared.where("cores is not null").select("name", "content", F.inline("cores"))
+    met = cores.groupBy("name", "core").agg(F.count("*").alias("n")).where("n > 1").select("name", "core")
+    hashed = cores.join(met, ["name", "core"]).select("name", "content", F.inline("windows"))
     common = hashed.groupBy("name", "hash").agg(F.count("*").alias("n")).where("n > 1").select("name", "hash")
     over_blocks = hashed.join(common, ["name", "hash"]).select("name", "content", F.col("window").alias("from"), (F.col("window") + 1).alias("to"))
     spans = compared.select("name", "content", F.inline("spans")).unionByName(over_blocks)
