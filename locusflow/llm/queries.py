@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import language_id, simhash, toxicity
+from .common import id_remainder, table
 from .packing import pack
 from .suffix_dedup import remove_repeats
 
@@ -27,6 +27,26 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fitted_language_model(documents: DataFrame, modulus: int = 4, held_out: int = 2) -> language_id.LanguageModel | None:
+    return language_id.fit(documents.where(id_remainder(F.col("doc_id"), modulus) != held_out))
+
+
+def fitted_toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel | None:
+    """Learns from rows outside the held-out fifth alone, the language model of its thresholds too."""
+    taught = id_remainder(F.col("doc_id"), 5) != 0
+    marks = labels.where(taught).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = documents.where(taught)
+    return toxicity.fit(rows.select("doc_id", "text").join(marks, "doc_id"), language_id.fit(rows))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from documents outside the held-out quarter."""
+    documents = table(spark, sf_dir, "documents")
+    out = language_id.predict(documents, fitted_language_model(documents))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
     return pack(table(spark, sf_dir, "documents"))
@@ -38,8 +58,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels outside the held-out fifth."""
+    documents = table(spark, sf_dir, "documents")
+    out = toxicity.score(documents, fitted_toxicity_model(documents, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op7_suffix_dedup, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op7_suffix_dedup, op9_simhash_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
