@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
 from .graph import components
 
 #: Fingerprints of a posting list that meet in one task.
@@ -187,7 +188,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     a text.  A row with a null id gets the component of its fingerprint, whose name is
     null only if no row of it has an id.
     """
-    prints = with_fingerprints(docs, text, (doc_id,), words)
+    prints = checkpointed(with_fingerprints(docs, text, (doc_id,), words))  # used several times
     distinct = prints.groupBy("bits").agg(F.min(doc_id).alias("least"))
     linked = components(fingerprint_links(distinct, distance))
     named = distinct.join(linked, distinct["bits"] == linked["node"], "left").select("bits", "least", F.coalesce("component", "bits").alias("group"))
