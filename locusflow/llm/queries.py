@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, simhash, toxicity
+from . import chat, language_id, nn_descent, simhash, toxicity
 from .common import id_remainder, table
 from .html_extraction import extract
 from .packing import pack
@@ -69,6 +69,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all embeddings at a cosine of 0.9 or more."""
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: links at four or fewer differing bits."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -97,13 +102,31 @@ FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 """
 
 
+OP8_SQL = """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(other) AS component_id, min(other) = vec_id AS kept
+FROM reach GROUP BY vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_language_id, op2_exact_topk, op3_chat_formatting, op4_best_fit_packing, op6_html_extraction,
-        op7_suffix_dedup, op9_simhash_near_dedup, op10_toxicity,
+        op7_suffix_dedup, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_toxicity,
     )
     return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL, "op3_chat_formatting": chat.ORACLE_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op3_chat_formatting": chat.ORACLE_SQL, "op8_embedding_near_dedup": OP8_SQL}
