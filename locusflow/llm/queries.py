@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, nn_descent, simhash, toxicity
+from . import chat, language_id, nn_descent, pieces, simhash, toxicity
 from .common import id_remainder, table
 from .html_extraction import extract
 from .packing import pack
@@ -15,6 +15,19 @@ from .suffix_dedup import remove_repeats
 from .topk import top_k
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded with merge-dropout and decoded again: counts, a digest of the ids, and whether the text came back."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents"))
+    back = pieces.decode(encoded, keep=("doc_id", "text", "ids"))
+    spelled = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.crc32(spelled.cast("binary")).alias("ids_crc32"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"),
+    )
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract(table(spark, sf_dir, "pages"))
@@ -122,7 +135,7 @@ FROM reach GROUP BY vec_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
-        op1_language_id, op2_exact_topk, op3_chat_formatting, op4_best_fit_packing, op6_html_extraction,
+        op1_language_id, op2_exact_topk, op3_chat_formatting, op4_best_fit_packing, op5_sentencepiece, op6_html_extraction,
         op7_suffix_dedup, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_toxicity,
     )
     return {f.__name__: f for f in operators}

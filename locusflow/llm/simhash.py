@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -180,17 +180,32 @@ def fingerprint_links(prints: DataFrame, distance: int = 4) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(task, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, bits, component_id) for every row of ``docs``.
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), words: int = 4, distance: int = 4) -> DataFrame:
+    """(doc_id, ``keep``, bits, component_id) for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links, the row's own included.
     Texts without words have fingerprint zero and link like others; a null text is such
     a text.  A row with a null id gets the component of its fingerprint, whose name is
     null only if no row of it has an id.
     """
-    prints = checkpointed(with_fingerprints(docs, text, (doc_id,), words))  # used several times
+    prints = checkpointed(with_fingerprints(docs, text, (doc_id, *keep), words))  # used several times
     distinct = prints.groupBy("bits").agg(F.min(doc_id).alias("least"))
     linked = components(fingerprint_links(distinct, distance))
     named = distinct.join(linked, distinct["bits"] == linked["node"], "left").select("bits", "least", F.coalesce("component", "bits").alias("group"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    return prints.join(named.select("bits", "group").join(least, "group").select("bits", "component_id"), "bits").select(doc_id, "bits", "component_id")
+    return prints.join(named.select("bits", "group").join(least, "group").select("bits", "group", "component_id"), "bits")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **parameters) -> DataFrame:
+    """One row of ``docs`` of each class: the one with the smallest id (rows without an id come last).
+
+    Texts move once: the choice is made on ids and hashes, and equal rows meet at the join.
+    """
+    columns = docs.columns
+    keyed = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    keyed = keyed.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64(F.lit(1), "text", "id")})
+    classes = near_duplicates(keyed.select("id", "text", "k1", "k2"), doc_id="id", keep=("k1", "k2"), **parameters)
+    chosen = classes.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("first"))
+    joined = keyed.join(chosen.select("first.k1", "first.k2").distinct(), ["k1", "k2"])
+    first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
+    return joined.withColumn("place", first).where("place = 1").select(*(F.col("row")[c].alias(c) for c in columns))
