@@ -217,7 +217,7 @@ def find_runs(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
             k1, k2 = (batch.column(k).to_numpy() for k in ("k1", "k2"))
-            for a, z in row_blocks(offsets, 2 * BLOCK):
+            for a, z in row_blocks(offsets, BLOCK // 2):
                 row, *run = runs_of(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], length, gram, HASHER)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[a:z][row], k2[a:z][row], *run)], names=["k1", "k2", "start", "windows", "name", "content", "inner"])
 
