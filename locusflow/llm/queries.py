@@ -56,7 +56,7 @@ def fitted_toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.T
     taught = id_remainder(F.col("doc_id"), 5) != 0
     marks = labels.where(taught).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = documents.where(taught)
-    return toxicity.fit(rows.select("doc_id", "text").join(marks, "doc_id"), language_id.fit(rows))
+    return toxicity.fit(rows, marks, language_id.fit(rows))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
