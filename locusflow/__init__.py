@@ -1,0 +1 @@
+"""Genomic-interval analytics on Spark DataFrames."""
