@@ -1,6 +1,6 @@
 """Registered queries, their derived input tables, and the SQL that checks them."""
 
-from . import projections, relational  # noqa: F401
+from . import learning, projections, relational, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
