@@ -605,7 +605,7 @@ def capped_training_set(spark, sf):
 def labelled_calls(spark, sf):
     """Evaluated records with 0 or 1, where the record is found again; conflicting ones are skipped."""
     rows = T.evaluated(spark, sf).where("record_id % 29 <> 0").withColumn("alts", F.array("alt"))
-    known = T.truth(spark, sf).select(F.col("site").alias("truth_id"), "chrom", "pos", "ref", F.array("alt").alias("alts"))
+    known = T.truth(spark, sf).groupBy("chrom", "pos", "ref", F.array("alt").alias("alts")).agg(F.min("site").alias("truth_id"))
     tp = evaluation.exact_matches(rows.where("call = 'TP'"), known).select("record_id", "sample", F.lit(1).alias("label"))
     return tp.unionByName(rows.where("call = 'FP'").select("record_id", "sample", F.lit(0).alias("label")))
 

@@ -138,7 +138,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct call keys with TP or FP by the truth, in two samples."""
     keys = calls(spark, sf_dir).groupBy("site", "chrom", "pos", "ref", "alt").agg(F.avg("qual").alias("qual"), F.count("*").alias("n"))
-    marked = keys.join(truth(spark, sf_dir).select("chrom", "pos", "ref", "alt", F.lit(1).alias("hit")), ["chrom", "pos", "ref", "alt"], "left")
+    marked = keys.join(truth(spark, sf_dir).select("chrom", "pos", "ref", "alt", F.lit(1).alias("hit")).distinct(), ["chrom", "pos", "ref", "alt"], "left")
     return marked.selectExpr("site AS record_id", "concat('s', site % 2) AS sample", "chrom", "pos", "ref", "alt", "qual", "n", "CASE WHEN hit = 1 THEN 'TP' ELSE 'FP' END AS call")
 
 
@@ -168,8 +168,8 @@ SQL: dict[str, str] = {
     "strata": "SELECT c_custkey AS stratum_id, 'chr' || (c_custkey % 4 + 1) AS chrom, c_custkey * 40 AS start, c_custkey * 40 + 25 AS \"end\", c_mktsegment AS stratum FROM customer",
     "hap_tokens": "SELECT window_no, hap, i, CAST((window_no * 37 + i * 11) % 256 AS INTEGER) AS token, -abs(CAST(embedding[i + 1] AS DOUBLE)) AS logp FROM (SELECT vec_id AS window_no, vec_id % 2 AS hap, embedding, unnest(range(0, 37)) AS i FROM embeddings)",
     "base_sequences": "SELECT doc_id, substr(s, 1, least(length(s) // 4 * 4, 148)) AS seq FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM documents)",
-    "evaluated": """SELECT k.site AS record_id, 's' || (k.site % 2) AS sample, k.chrom, k.pos, k.ref, k.alt, k.qual, k.n, CASE WHEN t.site IS NULL THEN 'FP' ELSE 'TP' END AS call
-        FROM (SELECT site, chrom, pos, ref, alt, avg(qual) AS qual, count(*) AS n FROM calls GROUP BY ALL) k LEFT JOIN truth t USING (chrom, pos, ref, alt)""",
+    "evaluated": """SELECT k.site AS record_id, 's' || (k.site % 2) AS sample, k.chrom, k.pos, k.ref, k.alt, k.qual, k.n, CASE WHEN t.hit IS NULL THEN 'FP' ELSE 'TP' END AS call
+        FROM (SELECT site, chrom, pos, ref, alt, avg(qual) AS qual, count(*) AS n FROM calls GROUP BY ALL) k LEFT JOIN (SELECT DISTINCT chrom, pos, ref, alt, 1 AS hit FROM truth) t USING (chrom, pos, ref, alt)""",
 }
 
 
