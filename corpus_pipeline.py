@@ -43,9 +43,10 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that is cut to nothing stays, with an empty text.
     """
-    cut = remove_repeats(docs, keep=COLUMNS)
-    whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\N{REPLACEMENT CHARACTER}"), F.lit(""))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(whole)
+    cut = remove_repeats(docs, keep=("doc_id", "lang", "source"))  # texts come back as the kept bytes
+    kept = F.col("kept").cast("string")
+    whole = F.replace(F.make_valid_utf8(kept), F.lit("\N{REPLACEMENT CHARACTER}"), F.lit(""))
+    text = F.when(F.size("spans") == 0, kept).otherwise(whole)
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
