@@ -170,8 +170,7 @@ def evidence_records(spark, sf):
     return T.variants(spark, sf).where("pos >= 1").select(F.col("variant_id").alias("record_id"), "chrom", F.col("pos").alias("start"), "ref", F.element_at("alts", 1).alias("alt"))
 
 
-@query("""WITH v AS (SELECT variant_id AS record_id, chrom, pos AS start, ref AS r0, alts[1] AS a0 FROM variants WHERE pos >= 1),
-t AS (SELECT *, CASE WHEN r0[1] <> a0[1] THEN 0 WHEN length(r0) > 1 AND length(a0) > 1 AND r0[2] = a0[2] THEN 2 ELSE 1 END AS off FROM v),
+EVIDENCE = """t AS (SELECT *, CASE WHEN r0[1] <> a0[1] THEN 0 WHEN length(r0) > 1 AND length(a0) > 1 AND r0[2] = a0[2] THEN 2 ELSE 1 END AS off FROM v),
 u AS (SELECT record_id, chrom, start, start + off AS site, substr(r0, off + 1) AS ref, substr(a0, off + 1) AS alt FROM t WHERE NOT (length(r0) <= off AND length(a0) <= off)),
 j AS (SELECT u.*, r.read_id, r.start AS rs, r.cigar, r.bases, r.is_reverse, r.mapq,
   CASE r.cigar WHEN '40M2D60M' THEN least(site - r.start, 40) + greatest(least(site - r.start - 42, 60), 0) WHEN '50M3I47M' THEN least(site - r.start, 97) WHEN '10S90M' THEN least(site - r.start, 90) ELSE least(site - r.start, 100) END AS o
@@ -184,9 +183,12 @@ s AS (SELECT *, CASE
    WHEN substr(bases, CAST(o + 1 AS INT), least(length(ref), length(alt))) = ref THEN 'ref' WHEN substr(bases, CAST(o + 1 AS INT), least(length(ref), length(alt))) = alt THEN 'alt' ELSE 'other' END AS sup
   FROM j WHERE NOT (length(ref) = 1 AND length(alt) = 1 AND o >= 100)),
 c AS (SELECT record_id, count(*) AS reads, count(*) FILTER (sup = 'ref' AND NOT is_reverse) AS pos_ref, count(*) FILTER (sup = 'alt' AND NOT is_reverse) AS pos_alt, count(*) FILTER (sup = 'ref' AND is_reverse) AS neg_ref,
-  count(*) FILTER (sup = 'alt' AND is_reverse) AS neg_alt, count(*) FILTER (sup = 'ref' AND mapq > 10) AS highmq_ref, count(*) FILTER (sup = 'alt' AND mapq > 10) AS highmq_alt FROM s GROUP BY record_id)
-SELECT record_id, coalesce(reads, 0) AS reads, coalesce(pos_ref, 0) AS pos_ref, coalesce(pos_alt, 0) AS pos_alt, coalesce(neg_ref, 0) AS neg_ref, coalesce(neg_alt, 0) AS neg_alt, coalesce(highmq_ref, 0) AS highmq_ref,
-  coalesce(highmq_alt, 0) AS highmq_alt, CASE WHEN reads > 0 THEN (pos_alt + neg_alt) / reads ELSE -1.0 END AS vaf FROM v LEFT JOIN c USING (record_id)""")
+  count(*) FILTER (sup = 'alt' AND is_reverse) AS neg_alt, count(*) FILTER (sup = 'ref' AND mapq > 10) AS highmq_ref, count(*) FILTER (sup = 'alt' AND mapq > 10) AS highmq_alt FROM s GROUP BY record_id)"""
+EVIDENCE_ROWS = """SELECT record_id, coalesce(reads, 0) AS reads, coalesce(pos_ref, 0) AS pos_ref, coalesce(pos_alt, 0) AS pos_alt, coalesce(neg_ref, 0) AS neg_ref, coalesce(neg_alt, 0) AS neg_alt, coalesce(highmq_ref, 0) AS highmq_ref,
+  coalesce(highmq_alt, 0) AS highmq_alt, CASE WHEN reads > 0 THEN (pos_alt + neg_alt) / reads ELSE -1.0 END AS vaf FROM v LEFT JOIN c USING (record_id)"""
+
+
+@query(f"WITH v AS (SELECT variant_id AS record_id, chrom, pos AS start, ref AS r0, alts[1] AS a0 FROM variants WHERE pos >= 1),\n{EVIDENCE}\n{EVIDENCE_ROWS}")
 def read_evidence(spark, sf):
     return P.read_evidence(evidence_records(spark, sf), T.reads(spark, sf))
 
@@ -623,11 +625,14 @@ def scored_features(spark, sf):
     )
 
 
-@query("""SELECT e.record_id, length(e.ref) AS ref_len, length(e.alt) AS alt_len, c.min_qual, c.max_qual, c.var_count, c.cis_count, e.n AS call_count, c.min_win_offset, c.max_win_offset, coalesce(p.depth, 0) AS dp, c.het FROM evaluated e
+@query(f"""WITH v AS (SELECT record_id, chrom, pos AS start, ref AS r0, alt AS a0 FROM evaluated),
+{EVIDENCE}, ev AS ({EVIDENCE_ROWS})
+SELECT e.record_id, e.qual, length(e.ref) AS ref_len, length(e.alt) AS alt_len, c.min_qual, c.max_qual, c.var_count, c.cis_count, e.n AS step_count, e.n AS call_count, c.min_win_offset, c.max_win_offset, coalesce(p.depth, 0) AS dp, c.het,
+  ev.vaf, ev.reads AS vafreads, ev.pos_alt + ev.neg_alt AS altreads FROM evaluated e
 JOIN (SELECT site, min(qual) AS min_qual, max(qual) AS max_qual, max(var_count) AS var_count, min(var_count) AS cis_count, min(window_offset) AS min_win_offset, max(window_offset) AS max_win_offset, CAST(count(DISTINCT hap) < 2 AS INTEGER) AS het FROM calls GROUP BY site) c ON c.site = e.record_id
-LEFT JOIN pileup p ON p.chrom = e.chrom AND p.pos = e.pos""")
+JOIN ev ON ev.record_id = e.record_id LEFT JOIN pileup p ON p.chrom = e.chrom AND p.pos = e.pos""")
 def call_features(spark, sf):
-    return scored_features(spark, sf).select("record_id", "ref_len", "alt_len", "min_qual", "max_qual", "var_count", "cis_count", "call_count", "min_win_offset", "max_win_offset", "dp", "het")
+    return scored_features(spark, sf).drop("sample", "call")
 
 
 @query(f"""WITH w AS ({WINDOW_READS}), k AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY read_start, read_id) AS place FROM w),
