@@ -14,6 +14,7 @@ over ``LONG_WORD`` symbols have a heap.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed
+from .common import mixed, row_blocks, string_buffers
 
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 17
 LONG_WORD = 96
 MARK = "▁"
 NONE = np.int64(1) << np.int64(62)
+GONE = -2
 SLOTS = 1 << 21
 
 
@@ -82,11 +84,11 @@ class Pieces:
             where = np.flatnonzero(free)[first]
             self.keys[places], self.values[places] = left[where], merged[where]
             chosen[where] = True
-            left, merged, slot = left[~chosen], merged[~chosen], (slot[~chosen] + 1) % SLOTS
+            left, merged, slot = left[~chosen], merged[~chosen], (slot[~chosen] + 1) & (SLOTS - 1)
 
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
-        return ((key * 0x9E3779B97F4A7C1) >> 20) % SLOTS
+        return ((key * 0x9E3779B97F4A7C1) >> 20) & (SLOTS - 1)
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each two pieces make, or -1."""
@@ -98,7 +100,7 @@ class Pieces:
         open_ = np.flatnonzero((found != key) & (found >= 0) & (key >= 0))
         at = slot[open_]
         while len(open_):
-            at = (at + 1) % SLOTS
+            at = (at + 1) & (SLOTS - 1)
             found = self.keys[at]
             hit = found == key[open_]
             out[open_[hit]] = self.values[at[hit]]
@@ -115,62 +117,65 @@ def skipped(word_seed: np.ndarray, start: np.ndarray, middle: np.ndarray, end: n
 
 
 def merge_words(pieces: Pieces, symbols: np.ndarray, place: np.ndarray, starts: np.ndarray, seeds: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Merged symbols of many words and where each one starts; ``starts`` bounds the words (n + 1)."""
+    """Merged symbols of many words and the word of each one; ``starts`` bounds the words (n + 1).
+
+    Symbols stay in their slots and are linked to their neighbours; a merge leaves the
+    right slot ``GONE``.  A slot's agenda key is the rank of its merge, then the slot.
+    """
     sizes = np.diff(starts)
-    word = np.repeat(np.arange(len(sizes)), sizes)
+    total, word = len(symbols), np.repeat(np.arange(len(sizes)), sizes)
     word_end = place[starts[1:] - 1] + 1
-    done_symbols, done_places = [], []
-
-    def candidates(at: np.ndarray) -> np.ndarray:
-        """Agenda keys (rank, place in the block) of the pairs that start at ``at``."""
-        out = np.full(len(at), NONE)
-        right = at + 1
-        pair = np.flatnonzero((right < len(word)) & (word[np.minimum(right, len(word) - 1)] == word[at]))
-        a, b = at[pair], right[pair]
-        new = pieces.merged(symbols[a], symbols[b])
+    out = np.full(total, GONE, np.int32)
+    origin, owner, starts = np.arange(total), word, starts[:-1]
+    after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
+    after[np.append(starts[1:], total) - 1] = -1
+    before[starts] = -1
+    key, made = np.full(total, NONE), np.zeros(total, np.int32)
+
+    def offer(at: np.ndarray) -> None:
+        right = after[at]
+        new = pieces.merged(symbols[at], symbols[right])
         some = np.flatnonzero(new >= 0)
-        pair, a, b, new = pair[some], a[some], b[some], new[some]
-        if limit and len(pair):
-            after = np.minimum(b + 1, len(word) - 1)
-            inside = (b + 1 < len(word)) & (word[after] == word[a])
-            end = np.where(inside, place[after], word_end[word[a]])
-            keep = ~skipped(seeds[word[a]], place[a], place[b], end, limit)
-            pair, a, new = pair[keep], a[keep], new[keep]
-        out[pair] = pieces.rank[new] << 32 | new
-        return out
-
-    key = candidates(np.arange(len(symbols)))
-    while len(symbols):
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        best = np.minimum.reduceat(key, first)
+        at, right, new = at[some], right[some], new[some]
+        if limit and len(at):
+            third, w = after[right], word[at]
+            end = np.where(third >= 0, place[third], word_end[w])
+            keep = np.flatnonzero(~skipped(seeds[w], place[at], place[right], end, limit))
+            at, new = at[keep], new[keep]
+        key[at] = pieces.rank[new] << 32 | at
+        made[at] = new
+
+    offer(np.flatnonzero(after >= 0))
+    while len(starts):
+        best = np.minimum.reduceat(key, starts)
         active = best < NONE
-        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
-        if not active.all():
-            finished = ~active[number]
-            done_symbols.append(symbols[finished])
-            done_places.append((word[finished], place[finished]))
-            rest = ~finished
-            symbols, place, word, key, number = symbols[rest], place[rest], word[rest], key[rest], number[rest]
-            if not len(symbols):
+        if 2 * np.count_nonzero(active) < len(active):  # finished words leave
+            lengths = np.diff(np.append(starts, len(key)))
+            rest = np.repeat(active, lengths)
+            out[origin[~rest]] = symbols[~rest]
+            moved = np.cumsum(rest) - 1
+            after, before = (np.where(x >= 0, moved[x], -1)[rest] for x in (after, before))
+            key = key[rest]
+            key = np.where(key < NONE, key >> 32 << 32 | np.arange(len(key)), NONE)
+            symbols, place, word, origin, made = (x[rest] for x in (symbols, place, word, origin, made))
+            starts = np.cumsum(lengths[active]) - lengths[active]
+            if not len(starts):
                 break
-        hits = np.flatnonzero(key == best[number])
-        leftmost = np.concatenate([[True], number[hits[1:]] != number[hits[:-1]]])
-        hits = hits[leftmost]
-        symbols[hits] = key[hits] & 0xFFFFFFFF
-        keep = np.ones(len(symbols), bool)
-        keep[hits + 1] = False
-        moved = np.cumsum(keep) - 1
-        symbols, place, word, key = symbols[keep], place[keep], word[keep], key[keep]
-        at = moved[hits]
-        before = at[(at > 0) & (word[np.maximum(at - 1, 0)] == word[at])] - 1
-        changed = np.concatenate([at, before])
-        key[changed] = candidates(changed)
-    if not done_symbols:
-        return symbols, place
-    words = np.concatenate([w for w, _ in done_places])
-    places = np.concatenate([p for _, p in done_places])
-    order = np.lexsort((places, words))
-    return np.concatenate(done_symbols)[order], words[order]
+            best, active = np.minimum.reduceat(key, starts), np.ones(len(starts), bool)
+        left = best[active] & 0xFFFFFFFF
+        right = after[left]
+        third = after[right]
+        symbols[left], symbols[right] = made[left], GONE
+        key[left] = key[right] = NONE
+        after[left] = third
+        more = third >= 0
+        before[third[more]] = left[more]
+        prior = before[left]
+        prior = prior[prior >= 0]
+        key[prior] = NONE
+        offer(np.concatenate([left[more], prior]))
+    kept = out != GONE
+    return out[kept], owner[kept]
 
 
 def merge_long_word(pieces: Pieces, symbols: list[int], place: list[int], end: int, seed: np.ndarray, limit: np.uint64) -> list[int]:
@@ -253,6 +258,21 @@ def decode_ids(pieces: Pieces, ids: np.ndarray) -> str:
     return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
+def blocks_of(batch: pa.RecordBatch, pieces: Pieces, seed: int, dropout: float) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
+    """Parts of a batch (_text, _key) of about ``BLOCK_CHARS``, with their texts and ids."""
+    _, offsets = string_buffers(batch.column("_text"))
+    for a, z in row_blocks(offsets, BLOCK_CHARS):
+        part = batch.slice(a, z - a)
+        texts = part.column("_text").to_pylist()
+        yield part, texts, encode_texts(pieces, texts, part.column("_key").to_numpy().copy(), seed, dropout)
+
+
+def keyed(docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) -> tuple[DataFrame, list, str]:
+    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), F.xxhash64(key).alias("_key"))
+    kept = [f for f in rows.schema if f.name not in ("_text", "_key")]
+    return rows, [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+
+
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id", "text"), seed: int = 1, dropout: float = 0.1, model: str | None = None) -> DataFrame:
     """``keep`` and ids (array of int): each text's pieces, with merges skipped at rate ``dropout``.
 
@@ -260,27 +280,39 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple
     A null or empty text has no ids.  With ``dropout`` 0 the segmentation is the model's own.
     """
     path = model or public_model()
-    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), F.xxhash64(key).alias("_key"))
-    kept = [f for f in rows.schema if f.name not in ("_text", "_key")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids array<int>"])
+    rows, names, schema = keyed(docs, text, key, keep)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
         for batch in batches:
-            texts, keys, at = batch.column("_text").to_pylist(), batch.column("_key").to_numpy(), 0
-            while at < len(texts):
-                last, size = at, 0
-                while last < len(texts) and (last == at or size + len(texts[last]) <= BLOCK_CHARS):
-                    size += len(texts[last])
-                    last += 1
-                ids = encode_texts(pieces, texts[at:last], keys[at:last].copy(), seed, dropout)
+            for part, _, ids in blocks_of(batch, pieces, seed, dropout):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-                part = batch.slice(at, last - at)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), lists], names=[*(f.name for f in kept), "ids"])
-                at = last
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists], names=[*names, "ids"])
 
-    return rows.mapInArrow(task, schema)
+    return rows.mapInArrow(task, f"{schema}, ids array<int>")
+
+
+def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), seed: int = 1, dropout: float = 0.1, model: str | None = None) -> DataFrame:
+    """``keep``, n_pieces, ids_crc32 (unsigned, of little-endian 32-bit ids) and lossless: ``encode`` and ``decode`` in one pass.
+
+    Ids stay in the task that made them, so that neither they nor the texts come back.
+    """
+    path = model or public_model()
+    rows, names, schema = keyed(docs, text, key, keep)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(path)
+        for batch in batches:
+            for part, texts, ids in blocks_of(batch, pieces, seed, dropout):
+                new = [
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()),
+                    pa.array([decode_ids(pieces, x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *new], names=[*names, "n_pieces", "ids_crc32", "lossless"])
+
+    return rows.mapInArrow(task, f"{schema}, n_pieces long, ids_crc32 long, lossless boolean")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:

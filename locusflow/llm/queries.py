@@ -17,15 +17,7 @@ from .topk import top_k
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with merge-dropout and decoded again: counts, a digest of the ids, and whether the text came back."""
-    encoded = pieces.encode(table(spark, sf_dir, "documents"))
-    back = pieces.decode(encoded, keep=("doc_id", "text", "ids"))
-    spelled = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.crc32(spelled.cast("binary")).alias("ids_crc32"),
-        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"),
-    )
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
