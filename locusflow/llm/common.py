@@ -44,6 +44,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_small_batches(df: DataFrame, rows: int = 2000, size: str = "8m") -> DataFrame:
+    """``df``, after the session is told to hand Python workers few rows and bytes at once.
+
+    Texts vary in length by orders of magnitude, and a worker holds a batch several times.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
+def kept_and_text(docs: DataFrame, keep: tuple, text: str) -> tuple[DataFrame, list[str], str]:
+    """``keep`` and the text (once, if it is among them) of ``docs``, the names kept, and their schema."""
+    rows = in_small_batches(docs).select(*keep, *(() if text in keep else (F.col(text).cast("string").alias(text),)))
+    kept = [f for f in rows.schema if f.name != text or text in keep]
+    return rows, [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+
+
+def texts_of(column: pa.Array) -> list[str]:
+    """Texts of a column (null: empty)."""
+    return [t or "" for t in column.to_pylist()]
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null for a null id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

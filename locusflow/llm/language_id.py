@@ -14,9 +14,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches, kept_and_text, texts_of
+
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
 BLOCK_CHARS = 1 << 20
@@ -171,7 +173,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     the model also knows what short texts look like.
     Rows with a null text or language teach nothing.  Without labelled rows there is no model.
     """
-    known = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    known = in_small_batches(labelled).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return None
@@ -195,15 +197,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     return LanguageModel.fit(features, [r["lang"] for r in rows])
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, lang_pred and score (0 to 1) for every row.
 
     A null text or one without a letter is ``und`` with score 0, and so is every text if
     there is no model.
     """
-    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    kept = [f for f in rows.schema if f.name != "_text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
+    rows, names, schema = kept_and_text(docs, keep, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each language
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +211,10 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", ke
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 1024):
                 part = batch.slice(at, 1024)
-                x, letters = ngram_features(part.column("_text").to_pylist())
+                x, letters = ngram_features(texts_of(part.column(text)))
                 languages, scores = model.predict(x) if model and len(x) else ([UNKNOWN] * len(x), np.zeros(len(x)))
                 languages = [code if ok else UNKNOWN for code, ok in zip(languages, letters, strict=True)]
-                columns = [*(part.column(f.name) for f in kept), pa.array(languages, pa.string()), pa.array(np.where(letters, scores, 0.0).astype(np.float64))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), "lang_pred", "score"])
+                columns = [*(part.column(n) for n in names), pa.array(languages, pa.string()), pa.array(np.where(letters, scores, 0.0).astype(np.float64))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score"])
 
-    return rows.mapInArrow(task, schema)
+    return rows.mapInArrow(task, f"{schema}, lang_pred string, score double")

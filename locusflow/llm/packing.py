@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_and_text, texts_of
+
 #: Pieces that one packing task takes; a task holds no more than its open bins of them at once.
 PIECES_PER_TASK = 500_000
 END_OF_TEXT = "<|endoftext|>"
@@ -49,16 +51,14 @@ def tokenized_pieces(docs: DataFrame, text: str, keep: tuple[str, ...], size: in
 
     The first piece of a long document takes what is left over.
     """
-    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    kept = [f for f in rows.schema if f.name != "_text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "piece int", "start long", "length long", "ids_crc32 long"])
+    rows, names, schema = kept_and_text(docs, keep, text)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(vocabulary)
         for batch in batches:
             index, piece, start, length, crc = [], [], [], [], []
-            for row, value in enumerate(batch.column("_text")):
-                ids = np.append(token_ids(encoding, value.as_py()), np.uint32(0)).astype("<u4")
+            for row, value in enumerate(texts_of(batch.column(text))):
+                ids = np.append(token_ids(encoding, value), np.uint32(0)).astype("<u4")
                 first = len(ids) % size or min(len(ids), size)
                 bounds = [0, *range(first, len(ids) + 1, size)]
                 for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
@@ -67,11 +67,11 @@ def tokenized_pieces(docs: DataFrame, text: str, keep: tuple[str, ...], size: in
                     start.append(a)
                     length.append(b - a)
                     crc.append(zlib.crc32(ids[a:b]))
-            columns = [batch.column(f.name).take(pa.array(index, pa.int64())) for f in kept]
+            columns = [batch.column(n).take(pa.array(index, pa.int64())) for n in names]
             new = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays([*columns, *new], names=[*(f.name for f in kept), "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*columns, *new], names=[*names, "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(task, schema)
+    return rows.mapInArrow(task, f"{schema}, piece int, start long, length long, ids_crc32 long")
 
 
 class OpenBins:

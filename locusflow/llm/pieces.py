@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, row_blocks, string_buffers
+from .common import in_small_batches, mixed, row_blocks, string_buffers
 
 BLOCK_CHARS = 1 << 17
 LONG_WORD = 96
@@ -268,7 +268,7 @@ def blocks_of(batch: pa.RecordBatch, pieces: Pieces, seed: int, dropout: float)
 
 
 def keyed(docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) -> tuple[DataFrame, list, str]:
-    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), F.xxhash64(key).alias("_key"))
+    rows = in_small_batches(docs).select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), F.xxhash64(key).alias("_key"))
     kept = [f for f in rows.schema if f.name not in ("_text", "_key")]
     return rows, [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 

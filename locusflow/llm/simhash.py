@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, kept_and_text
 from .graph import components
 
 #: Fingerprints of a posting list that meet in one task.
@@ -73,16 +73,14 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 def with_fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = 4) -> DataFrame:
     """``keep`` and ``bits``, the fingerprint as a signed long (null text: zero)."""
-    rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    kept = [f for f in rows.schema if f.name != "_text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "bits long"])
+    rows, names, schema = kept_and_text(docs, keep, text)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([fingerprint(t.as_py(), words) for t in batch.column("_text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(bits)], names=[*(f.name for f in kept), "bits"])
+            bits = np.array([fingerprint(t.as_py(), words) for t in batch.column(text)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(bits)], names=[*names, "bits"])
 
-    return rows.mapInArrow(task, schema)
+    return rows.mapInArrow(task, f"{schema}, bits long")
 
 
 def spanning_links(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int, int]]:

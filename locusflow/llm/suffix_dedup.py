@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, mixed, row_blocks, stored, string_buffers
+from .common import PrefixHash, in_small_batches, mixed, row_blocks, stored, string_buffers
 
 BLOCK = 1 << 20
 HASHER = PrefixHash(7)
@@ -276,7 +276,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*keep).alias("row"), whole.alias("text"))
+    rows = in_small_batches(docs).select(F.struct(*keep).alias("row"), whole.alias("text"))
     keyed = rows.withColumns({"k1": F.xxhash64("text", "row"), "k2": F.xxhash64(F.lit(1), "row", "text")})
     found = stored(find_runs(keyed, length))
 
