@@ -21,7 +21,7 @@ from .common import in_small_batches, kept_and_text, texts_of
 
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 UNKNOWN = "und"
 
 #: Families of ISO 639-1 codes.  A code that is not listed is a family by itself.
@@ -126,7 +126,7 @@ class LanguageModel:
         for code in sorted(set(languages)):
             grouped.setdefault(family_of.get(code, code), []).append(code)
         families = list(grouped.values())
-        x = features.astype(np.float32)
+        x = features
         family = np.array([next(i for i, f in enumerate(families) if code in f) for code in languages])
         weights, bias = fit_softmax(x, family, len(families))
         machines = []
@@ -166,7 +166,7 @@ class LanguageModel:
         return languages.tolist(), scores
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, excerpts: int = 2) -> LanguageModel | None:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 200, excerpts: int = 2) -> LanguageModel | None:
     """Fits on about ``per_language`` rows of each language, chosen by hash; never over twice that in all.
 
     Each row teaches with its whole text and with ``excerpts`` passages of five words, so that
@@ -193,8 +193,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
 
     sample = known.where(drawn).limit(2 * per_language * len(sizes)).mapInArrow(task, "lang string, features binary")
     rows = sorted(sample.collect())
-    features = np.array([np.frombuffer(r["features"], np.float16) for r in rows], np.float32)
-    return LanguageModel.fit(features, [r["lang"] for r in rows])
+    languages, features = [r["lang"] for r in rows], np.empty((len(rows), DIMENSIONS), np.float32)
+    for k in range(len(rows)):
+        features[k] = np.frombuffer(rows[k]["features"], np.float16)
+        rows[k] = None
+    return LanguageModel.fit(features, languages)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -209,8 +212,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", ke
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, max(batch.num_rows, 1), 512):
+                part = batch.slice(at, 512)
                 x, letters = ngram_features(texts_of(part.column(text)))
                 languages, scores = model.predict(x) if model and len(x) else ([UNKNOWN] * len(x), np.zeros(len(x)))
                 languages = [code if ok else UNKNOWN for code, ok in zip(languages, letters, strict=True)]

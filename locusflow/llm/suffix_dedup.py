@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import PrefixHash, in_small_batches, mixed, row_blocks, stored, string_buffers
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 HASHER = PrefixHash(7)
 GRAM = 48
 CORE = 32
