@@ -5,8 +5,10 @@ each vector's neighbours (and those that list it) with each other: a neighbour o
 neighbour is likely a neighbour.  Lists whose entries all reach the threshold are
 saturated and grow.  Rounds end when few links are new and the recall over an audited
 sample of vectors is high enough.  Entries that reach the threshold are links, whose
-components are the classes.  Lists stay short: all members of a class are then compared
-in blocks, which counts the links of large classes exactly without listing their pairs.
+components are the classes.  Lists stay short, so a list that is all links may lack some:
+classes are also compared with each other over their members with such lists, and those
+that link are one class.  All members of a class are then compared in blocks, which counts
+the links of large classes exactly without listing their pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, in_small_batches
 from .graph import components
 
 LIST = 8
@@ -26,6 +28,7 @@ LONGEST_LIST = 4 * LIST
 CELL = 64
 TABLES = 6
 PART = 1024
+PIECE = 256
 AUDITED = 256
 
 
@@ -132,14 +135,84 @@ def descend(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return best_lists(known.unionByName(found.withColumn("new", F.lit(True))), threshold)
 
 
-def class_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, n): other vectors of its component that each one links with, copies counted."""
+def dealt(members: DataFrame) -> DataFrame:
+    """Members of each component in parts of about ``PART``, once for each pair (i, j) of parts with their own."""
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     parts = F.ceil(F.col("size") / PART).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    placed = members.join(sizes, "component").withColumn("parts", parts).withColumn("own", own)
+    placed = members.join(sizes, "component").withColumn("parts", parts).withColumn("own", own).drop("size")
     blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, "own").alias("i"), F.greatest(i, "own").alias("j")))
-    dealt = placed.select("component", "id", "v", "copies", "own", F.inline(blocks))
+    key = ["component", "i", "j"]
+    return placed.select("*", F.inline(blocks)).drop("parts").repartition(*key).sortWithinPartitions(*key, "id")
+
+
+def pieces_of(members: DataFrame) -> DataFrame:
+    """Members of each component in pieces of about ``PIECE``: ids and vectors, with the cone (centre, radius) that holds them."""
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PIECE))
+    placed = members.join(sizes, "component").select("component", part.alias("part"), "id", "v")
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, ["component", "part"]):
+            ids, x = group.column("id").to_numpy(), matrix_of(group.column("v"))
+            centre = x.sum(axis=0)
+            length = np.sqrt((centre**2).sum())
+            # Vectors that cancel out have no direction: any cone holds them.
+            centre, radius = (centre / length, float(np.arccos(np.clip(x @ (centre / length), -1, 1)).max())) if length > 1e-9 else (x[0], np.pi)
+            middle = x[np.argmax(x @ centre)]
+            values = [[group.column("component")[0].as_py()], [int(ids.min())], [centre.tobytes()], [radius], [middle.tobytes()], [ids.tolist()], [x.tobytes()]]
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["class", "id", "centre", "radius", "middle", "ids", "x"])
+
+    key = ["component", "part"]
+    return placed.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(gathered, "class long, id long, centre binary, radius double, middle binary, ids array<long>, x binary")
+
+
+def bridges(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, near): classes that link with each other, by their names, for (component, id, v).
+
+    Two pieces can only link where their cones are near enough.  Classes of which two middle
+    vectors link are joined first; pieces of classes that are still apart are compared whole.
+    """
+    pieces = checkpointed(pieces_of(members))
+    cones = pieces.select(F.lit(0).alias("component"), "id", "class", "centre", "radius", "middle")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, ["component", "i", "j"]):
+            own, ids, names, radius = (group.column(c).to_numpy() for c in ("own", "id", "class", "radius"))
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            centre, middle = matrix_of(group.column("centre")), matrix_of(group.column("middle"))
+            apart = np.arccos(np.clip(centre[left] @ centre[right].T, -1, 1))
+            reach = np.arccos(np.clip(threshold, -1, 1)) + radius[left][:, None] + radius[right][None, :] + 1e-6
+            can = (apart <= reach) & (names[left][:, None] != names[right][None, :])
+            if i == j:
+                can = np.triu(can)
+            a, b = np.nonzero(can)
+            a, b, linked = left[a], right[b], (middle[left] @ middle[right].T)[a, b] >= threshold
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], names[a], names[b], linked)], names=["a", "b", "node", "near", "linked"])
+
+    pairs = checkpointed(dealt(cones).mapInArrow(near, "a long, b long, node long, near long, linked boolean"))
+    joined = pairs.where("linked").select("node", "near").distinct()
+    names = checkpointed(components(joined, "node", "near"))
+    root = [names.select(F.col("node").alias(end), F.col("component").alias(f"{end}_root")) for end in ("node", "near")]
+    apart = pairs.where("not linked").join(root[0], "node", "left").join(root[1], "near", "left").where("coalesce(node_root, node) != coalesce(near_root, near)")
+    sides = [pieces.select(F.col("id").alias(end), F.col("x").alias(f"x{end}"), F.size("ids").alias(f"n{end}")) for end in "ab"]
+    whole = in_small_batches(apart.select("a", "b", "node", "near").join(sides[0], "a").join(sides[1], "b"))
+
+    def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for xa, xb, na, nb in zip(*(batch.column(c) for c in ("xa", "xb", "na", "nb")), strict=True):
+                a, b = (np.frombuffer(x.as_py(), np.float64).reshape(n.as_py(), -1) for x, n in ((xa, na), (xb, nb)))
+                keep.append(bool(((a @ b.T) >= threshold).any()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("near")], names=["node", "near"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.unionByName(whole.mapInArrow(linking, "node long, near long").distinct())
+
+
+def class_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(id, n): other vectors of its component that each one links with, copies counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, ["component", "i", "j"]):
@@ -156,8 +229,7 @@ def class_links(members: DataFrame, threshold: float) -> DataFrame:
     def counts(ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["id", "n"])
 
-    key = ["component", "i", "j"]
-    counted = dealt.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(count, "id long, n long")
+    counted = dealt(members.select("component", "id", "v", "copies")).mapInArrow(count, "id long, n long")
     return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
@@ -213,13 +285,10 @@ def near_duplicates(vectors: DataFrame, vector: str = "embedding", vec_id: str =
     found = [search(all_nodes.where(F.col("dims") == dims), n, threshold, recall, rounds) for dims, n in counts.items() if n > 1]
     nodes = all_nodes.select("id", "copies")
     if found:
-        links = found[0]
+        classes = found[0]
         for more in found[1:]:
-            links = links.unionByName(more)
-        classes = checkpointed(components(links, "node", "near"))
-        members = all_nodes.join(classes, F.col("id") == F.col("node")).select("component", "id", "v", "copies")
-        counted = class_links(members, threshold)
-        nodes = nodes.join(classes, nodes["id"] == classes["node"], "left").join(counted, "id", "left").select("id", "copies", "component", "n")
+            classes = classes.unionByName(more)
+        nodes = nodes.join(classes, "id", "left")
     else:
         nodes = nodes.withColumns({"component": F.lit(None).cast("long"), "n": F.lit(0).cast("long")})
     named = distinct.select("x", "id").join(nodes, "id").select("x", "copies", F.coalesce("component", "id").alias("component"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -228,13 +297,27 @@ def near_duplicates(vectors: DataFrame, vector: str = "embedding", vec_id: str =
     return out.select(F.col("vec").alias("vec_id"), F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec")).alias("kept"))
 
 
+def classes_of(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(id, component, n) of every vector with a link: its class, and how many vectors of it link with it, copies counted."""
+    links = lists.where(F.col("cos") >= threshold).select("node", "near")
+    classes = checkpointed(components(links, "node", "near"))
+    # A link that neither list has is one between two full lists.
+    full = lists.groupBy("node").agg(F.min("cos").alias("worst")).where(F.col("worst") >= threshold).select("node")
+    saturated = classes.join(full, "node").join(nodes, F.col("node") == F.col("id")).select("component", "id", "v")
+    merged = checkpointed(components(bridges(saturated, threshold), "node", "near")).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    classes = classes.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    members = checkpointed(nodes.join(classes, F.col("id") == F.col("node")).select("component", "id", "v", "copies"))
+    return checkpointed(members.select("id", "component").join(class_links(members, threshold), "id", "left"))
+
+
 def search(nodes: DataFrame, count: int, threshold: float, recall: float, rounds: int) -> DataFrame:
-    """(node, near) with a cosine of ``threshold`` or more among vectors of one length."""
-    nodes = nodes.select("id", "v")
-    lists = checkpointed(first_lists(nodes, count))
+    """(id, component, n) of the vectors of one length that link with another."""
+    nodes = nodes.select("id", "v", "copies")
+    vectors = nodes.select("id", "v")
+    lists = checkpointed(first_lists(vectors, count))
     for _ in range(rounds):
-        lists = checkpointed(descend(lists, nodes, threshold))
+        lists = checkpointed(descend(lists, vectors, threshold))
         state = lists.where(F.col("cos") >= threshold).agg(F.count("*").alias("links"), F.count_if("new").alias("new")).first()
-        if state["new"] <= 0.01 * state["links"] and audit_recall(lists, nodes, count, threshold) >= recall:
+        if state["new"] <= 0.01 * state["links"] and audit_recall(lists, vectors, count, threshold) >= recall:
             break
-    return lists.where(F.col("cos") >= threshold).select("node", "near")
+    return classes_of(lists, nodes, threshold)

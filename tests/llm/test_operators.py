@@ -315,6 +315,28 @@ def test_nn_descent_against_brute_force(spark):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def exact_links(x, threshold=0.9):
+    unit = x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+    linked = unit @ unit.T >= threshold
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+@pytest.mark.parametrize(("between", "noise"), [(0.94, 0.012), (0.875, 0.035)])
+def test_links_between_full_lists(spark, between, noise):
+    """Two tight groups: every list fills up inside its group, so the links between them are in no list."""
+    rng = np.random.default_rng(5)
+    centre = np.zeros((2, 32))
+    centre[0, 0], centre[1, :2] = 1, (between, np.sqrt(1 - between**2))
+    x = np.repeat(centre, 80, axis=0) + rng.normal(scale=noise, size=(160, 32))
+    x = np.concatenate([x, rng.normal(size=(40, 32))])
+    linked = exact_links(x)
+    assert linked[:80, 80:160].any()
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    out = sorted(map(tuple, nn_descent.near_duplicates(df).select("vec_id", "n_links", "component_id").collect()))
+    assert out == [(i, int(linked[i].sum()), 0 if i < 160 else i) for i in range(200)]
+
+
 # --- conversations -----------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string, slice string"
