@@ -337,6 +337,38 @@ def test_links_between_full_lists(spark, between, noise):
     assert out == [(i, int(linked[i].sum()), 0 if i < 160 else i) for i in range(200)]
 
 
+def test_a_missed_audit_is_not_returned(spark, monkeypatch):
+    """Lists that find nothing: the audit sees it, also in groups larger than a list, and blocks give the exact answer."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.repeat(rng.normal(size=(3, 16)), 40, axis=0) + rng.normal(scale=0.05, size=(120, 16)), rng.normal(size=(30, 16))])
+    linked = exact_links(x)
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(nn_descent, "descend", lambda lists, nodes, threshold: lists.where((F.col("node") % 40 < 9) & (F.col("near") % 40 < 9)))
+    monkeypatch.setattr(nn_descent, "PART", 32)
+    out = {r["vec_id"]: r for r in nn_descent.near_duplicates(df).collect()}
+    assert [out[i]["n_links"] for i in range(150)] == linked.sum(axis=1).tolist()
+    assert [out[i]["component_id"] for i in range(120)] == [i // 40 * 40 for i in range(120)]
+
+
+def test_audit_counts_all_links(spark):
+    x = np.eye(1, 16) + np.random.default_rng(7).normal(scale=0.01, size=(60, 16))
+    nodes = spark.createDataFrame([(i, 1, r.tobytes()) for i, r in enumerate(x)], "id long, copies long, v binary")
+    answer = spark.createDataFrame([(i, 0, 8) for i in range(60)], "id long, component long, n long")
+    assert nn_descent.audit_recall(answer, nodes, 60, 0.9) == pytest.approx(8 / 59)
+
+
+def test_forest_connects_what_the_links_connect():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        linked = rng.random((12, 9)) < 0.12
+        a, b = nn_descent.forest(linked)
+        assert linked[a, b].all()
+        kept = np.zeros_like(linked)
+        kept[a, b] = True
+        reach = [np.linalg.matrix_power(np.block([[np.eye(12), m], [m.T, np.eye(9)]]).astype(float), 21) > 0 for m in (linked, kept)]
+        assert (reach[0] == reach[1]).all() and len(a) <= 20
+
+
 # --- conversations -----------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string, slice string"
