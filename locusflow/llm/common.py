@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,26 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Blocks of memory from this size on are given back as soon as they are freed.  Without a fixed
-#: bound the C library raises it, and Python workers keep what their largest arrays took.
-GIVE_BACK = 1 << 20
-_libc = ctypes.CDLL(None)
-if hasattr(_libc, "mallopt"):
-    _libc.mallopt(-3, GIVE_BACK)  # M_MMAP_THRESHOLD
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (a
-    local session, as in tests) a temporary folder takes its place.
+    Where that is unset, a local session gets a temporary folder; a cluster has none to offer.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="locusflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -53,21 +45,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def in_small_batches(df: DataFrame, rows: int = 2000, size: str = "8m") -> DataFrame:
-    """``df``, after the session is told to hand Python workers few rows and bytes at once.
+#: Bytes of texts that a task works on at once; a longer text is a part of its own.
+PART_BYTES = 2 << 20
 
-    Texts vary in length by orders of magnitude, and a worker holds a batch several times.
-    """
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-    return df
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of about ``PART_BYTES`` in ``column`` (string or binary), for work that holds a text several times."""
+    for batch in batches:
+        _, offsets = string_buffers(batch.column(column))
+        for a, z in row_blocks(offsets, PART_BYTES):
+            yield batch.slice(a, z - a)
 
 
 def kept_and_text(docs: DataFrame, keep: tuple, text: str) -> tuple[DataFrame, list[str], str]:
     """``keep`` and the text (once, if it is among them) of ``docs``, the names kept, and their schema."""
-    rows = in_small_batches(docs).select(*keep, *(() if text in keep else (F.col(text).cast("string").alias(text),)))
+    rows = docs.select(*keep, *(() if text in keep else (F.col(text).cast("string").alias(text),)))
     kept = [f for f in rows.schema if f.name != text or text in keep]
     return rows, [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, kept_and_text, texts_of
+from .common import kept_and_text, sliced, texts_of
 
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
@@ -173,7 +173,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     the model also knows what short texts look like.
     Rows with a null text or language teach nothing.  Without labelled rows there is no model.
     """
-    known = in_small_batches(labelled).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    known = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return None
@@ -181,7 +181,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     drawn = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts, codes = [], []
             for whole, code in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 words = whole.split()
@@ -211,7 +211,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", ke
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches, text):
             for at in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(at, 512)
                 x, letters = ngram_features(texts_of(part.column(text)))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_small_batches
+from .common import checkpointed
 from .graph import components
 
 LIST = 8
@@ -202,7 +202,7 @@ def bridges(members: DataFrame, threshold: float) -> DataFrame:
     root = [names.select(F.col("node").alias(end), F.col("component").alias(f"{end}_root")) for end in ("node", "near")]
     apart = pairs.where("not linked").join(root[0], "node", "left").join(root[1], "near", "left").where("coalesce(node_root, node) != coalesce(near_root, near)")
     sides = [pieces.select(F.col("id").alias(end), F.col("x").alias(f"x{end}"), F.size("ids").alias(f"n{end}")) for end in "ab"]
-    whole = in_small_batches(apart.select("a", "b", "node", "near").join(sides[0], "a").join(sides[1], "b"))
+    whole = apart.select("a", "b", "node", "near").join(sides[0], "a").join(sides[1], "b")
 
     def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_and_text, texts_of
+from .common import kept_and_text, sliced, texts_of
 
 #: Pieces that one packing task takes; a task holds no more than its open bins of them at once.
 PIECES_PER_TASK = 500_000
@@ -55,7 +55,7 @@ def tokenized_pieces(docs: DataFrame, text: str, keep: tuple[str, ...], size: in
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches, text):
             index, piece, start, length, crc = [], [], [], [], []
             for row, value in enumerate(texts_of(batch.column(text))):
                 ids = np.append(token_ids(encoding, value), np.uint32(0)).astype("<u4")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, mixed, row_blocks, string_buffers
+from .common import mixed, row_blocks, sliced, string_buffers
 
 BLOCK_CHARS = 1 << 17
 LONG_WORD = 96
@@ -268,7 +268,7 @@ def blocks_of(batch: pa.RecordBatch, pieces: Pieces, seed: int, dropout: float)
 
 
 def keyed(docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) -> tuple[DataFrame, list, str]:
-    rows = in_small_batches(docs).select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), F.xxhash64(key).alias("_key"))
+    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), F.xxhash64(key).alias("_key"))
     kept = [f for f in rows.schema if f.name not in ("_text", "_key")]
     return rows, [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
@@ -284,7 +284,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
-        for batch in batches:
+        for batch in sliced(batches, "_text"):
             for part, _, ids in blocks_of(batch, pieces, seed, dropout):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
@@ -303,7 +303,7 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: t
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
-        for batch in batches:
+        for batch in sliced(batches, "_text"):
             for part, texts, ids in blocks_of(batch, pieces, seed, dropout):
                 new = [
                     pa.array([len(x) for x in ids], pa.int64()),

@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, nn_descent, pieces, simhash, toxicity
+from . import chat, language_id, nn_descent, pieces, simhash, suffix_dedup, toxicity
 from .common import id_remainder, table
 from .html_extraction import extract
 from .packing import pack
-from .suffix_dedup import remove_repeats
 from .topk import top_k
 
 
@@ -26,8 +25,8 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents after removal of every repeated string of 400 bytes, as counts and a digest."""
-    out = remove_repeats(table(spark, sf_dir, "documents"))
+    """Documents after removal of every repeated string of 400 bytes, as counts, a digest and what is left of the text."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     kept = F.octet_length("kept").cast("long")
     return out.select(
@@ -36,6 +35,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        suffix_dedup.whole_characters(F.col("kept"), F.col("spans")).alias("kept_text"),
     )
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, kept_and_text
+from .common import checkpointed, kept_and_text, sliced
 from .graph import components
 
 #: Fingerprints of a posting list that meet in one task.
@@ -76,7 +76,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     rows, names, schema = kept_and_text(docs, keep, text)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text):
             bits = np.array([fingerprint(t.as_py(), words) for t in batch.column(text)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(bits)], names=[*names, "bits"])
 
