@@ -62,11 +62,51 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(len(r["kept"]) for r in out) == [0, 0, 5, 5]
 
 
+@pytest.mark.parametrize("letters", [512, 1024])
+def test_words_that_collide_in_polynomial_hashes(spark, letters):
+    """Thue-Morse words and their twins have equal hashes modulo 2**64 for any odd base."""
+    texts = ["".join(pair[i.bit_count() & 1] for i in range(letters)) for pair in ("EJ", "JE")]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(len(t), len(t) - len(r["kept"]), len(r["spans"])) for t, r in zip(texts, out, strict=True)] == [e[:3] for e in brute.remove_repeats(texts)]
+
+
+def test_long_texts_are_read_in_parts(spark, monkeypatch):
+    """Documents over many parts, runs over many pieces, and repeats across the cuts."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 12)
+    monkeypatch.setattr(suffix_dedup, "LONGEST_RUN", 100)
+    rng = random.Random(9)
+    shared = words(rng, 150)
+    texts = [words(rng, 900) + shared + words(rng, 300), shared + words(rng, 2000), "ab" * 4000, "x" * 3000 + shared, words(rng, 30) * 12]
+    out = suffix_dedup.remove_repeats(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [(len(r["kept"]), len(r["spans"])) for r in out] == [(n - gone, spans) for n, gone, spans, _ in brute.remove_repeats(texts)]
+
+
+def test_whole_characters(spark):
+    row = spark.createDataFrame([(bytearray(b"\xa9ab\xc3"), [(0, 5)]), (bytearray("é\ufffd".encode()), [])], "kept binary, spans array<struct<start: int, end: int>>")
+    assert [r[0] for r in row.select(suffix_dedup.whole_characters(F.col("kept"), F.col("spans"))).collect()] == ["ab", "é\ufffd"]
+
+
+def test_repeated_windows_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(300):
+        pieces = [bytes(rng.choices(rng.choice([b"ab", b"abc", b"a", b"abcdefgh"]), k=rng.randrange(8, 40))) for _ in range(rng.randrange(1, 6))]
+        pieces += rng.choices(pieces, k=rng.randrange(3))
+        flagged, first = suffix_dedup.repeated_windows(pieces, 8)
+        windows = [[p[i : i + 8] for i in range(len(p) - 7)] for p in pieces]
+        every = [w for x in windows for w in x]
+        at = 0
+        for piece, own in zip(pieces, windows, strict=True):
+            assert [bool(f) for f in flagged[at : at + len(own)]] == [every.count(w) > 1 for w in own]
+            assert not flagged[at + len(own) : at + len(piece) + 1].any()
+            at += len(piece) + 1
+        assert first.sum() == len(set(every))
+
+
 def test_suffix_order_is_a_suffix_array():
     rng = random.Random(2)
-    for _ in range(200):
-        text = np.frombuffer(bytes(rng.choices(b"abc", k=rng.randrange(1, 60))), np.uint8)
-        order = suffix_dedup.suffix_order(text, np.full(len(text), len(text)))
+    for _ in range(300):
+        text = np.frombuffer(bytes(rng.choices(rng.choice([b"a", b"ab", b"abc", b"abcdefgh"]), k=rng.randrange(1, 120))), np.uint8)
+        order = suffix_dedup.suffix_order(text, np.full(len(text), len(text) + 1))
         assert order.tolist() == sorted(range(len(text)), key=lambda i: bytes(text[i:]))
 
 
@@ -213,6 +253,96 @@ def test_extract(spark):
     assert html_extraction.extract(rows.limit(0)).count() == 0
 
 
+def prose(rng, n):
+    return " ".join(rng.choice("stone river walks under light morning of the and carried over".split()) for _ in range(n)).capitalize() + "."
+
+
+NAVIGATION = "<nav><ul><li><a href=/>Home</a><li><a href=/x>About us all</a></ul></nav>"
+SIDEBAR = """<div class="sidebar"><div class="widget"><h3>Popular posts</h3><ul><li><a href=a>A long and linked title of something</a></li></ul></div>
+<p>About the author of this site who writes a lot about many things.</p></div>"""
+COOKIES = '<div id="cookie-notice"><p>We use cookies, all of them, for your own good and ours too, so that you can enjoy them.</p><button>OK</button></div>'
+NEWS = "<form action=x><label>Subscribe to our newsletter and get all the news that you need every week.</label><input><button>Go</button></form>"
+HEADER, FOOTER = "<header><h1>Site name</h1><p>Just another site with a tag line</p></header>", "<footer><p>&copy; 2020 Some site. All rights reserved.</p></footer>"
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    """Fitted on the pages of the smallest tables, all of one layout."""
+    return html_extraction.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+
+
+@pytest.mark.parametrize("opening", [
+    '<div class="content overflow-hidden">', '<div class="post has-comments">', '<div class="content with-sidebar">', '<article aria-hidden="false">', '<div id="main-content" class="sidebar-right">',
+    "<div>", '<form id="all"><div>', '<section class="page-header-fixed">', "<td>", '<div class="related-header wrapper">',
+])
+def test_names_of_wrappers_condemn_no_page(weights, opening):
+    rng = random.Random(1)
+    texts = [prose(rng, 60), prose(rng, 60)]
+    page = f"<html><body>{opening}" + "".join(f"<p>{x}</p>" for x in texts)
+    assert html_extraction.main_text(page) == html_extraction.main_text(page, weights) == " ".join(texts)
+
+
+@pytest.mark.parametrize("opening", ['<div class="post">', "<article>", '<div id="main" role="main">', '<div class="c1">', "<table><tr><td>"])
+@pytest.mark.parametrize("inside", [False, True])
+def test_layouts(weights, opening, inside):
+    """Menus, notices, sidebars, adverts, forms, comments and footers around the article or in it."""
+    rng = random.Random(2)
+    texts = [prose(rng, 60), prose(rng, 50)]
+    comments = f'<div id="comments"><h3>2 comments</h3><div class="comment"><p>I think this is wrong in so many ways, said the reader.</p></div><div class="comment"><p>Agreed. {prose(rng, 40)}</p></div></div>'
+    article = f"{opening}<h1>The title</h1><p>{texts[0]}</p><p>Short one.</p><ul><li>First item of a list in it</li><li>Second item</li></ul><blockquote>{texts[1]}</blockquote>"
+    closing = opening.split()[0].replace("<", "</").rstrip(">") + ">"
+    aside = '<aside><h4>Related</h4><p><a href=q>Another article to read next</a></p></aside><div class="ad">Buy now, it is cheap today.</div>'
+    if inside:
+        page = f"<html><body>{NAVIGATION}{article}{aside}{comments}{NEWS}{closing}{FOOTER}"
+    else:
+        page = f"<html><body>{HEADER}{NAVIGATION}{COOKIES}<div class=layout>{article}{closing}{SIDEBAR}</div>{comments}{NEWS}{FOOTER}"
+    expected = f"The title {texts[0]} Short one. First item of a list in it Second item {texts[1]}"
+    assert html_extraction.main_text(page) == html_extraction.main_text(page, weights) == expected
+
+
+def test_cut_against_all_labellings(weights):
+    """On small pages without marks, the extracted text is that of the cheapest of all labellings."""
+    from itertools import product
+
+    rng = random.Random(3)
+    for _ in range(60):
+        parts = [rng.choice(["<p>{}</p>", "<div>{}</div>", "<li>{}</li>", '<div class="ad">{}</div>', "<div><p>{}</p></div>", "<p><a href=x>{}</a></p>", "<h2>{}</h2>"]).format(prose(rng, rng.choice([1, 2, 3, 8, 30]))) for _ in range(rng.randrange(1, 9))]
+        page = html_extraction.read_page("".join(parts))
+        scores, edges = html_extraction.content_scores(page, weights), html_extraction.smoothness_edges(page.blocks)
+        assert len(page.blocks) == len(parts)
+
+        def cost(marks, scores=scores, edges=edges):
+            return sum(-s if x else s for s, x in zip(scores, marks, strict=True)) + 2 * sum(c for a, b, c in edges if marks[a] != marks[b])
+
+        cheapest = min(cost(x) for x in product([False, True], repeat=len(scores)))
+        chosen = html_extraction.labels(page, weights)
+        assert cost(chosen) == cheapest
+        assert html_extraction.main_text("".join(parts), weights) == " ".join(b.text for b, x in zip(page.blocks, chosen, strict=True) if x)
+
+
+def test_the_cut_mends_what_the_classifier_gets_wrong(spark):
+    """With the prior weights, and marks of main parts left unread, the cut sets short blocks of articles right."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    before = after = 0
+    for r in rows:
+        page = html_extraction.read_page(r["html"].replace("article>", "section>"))
+        truth = [b.part == "main" for b in html_extraction.read_page(r["html"]).blocks]
+        scores = html_extraction.content_scores(page, html_extraction.PRIOR)
+        before += sum((s > 0) != t for s, t in zip(scores, truth, strict=True))
+        after += sum(x != t for x, t in zip(html_extraction.labels(page, html_extraction.PRIOR), truth, strict=True))
+    assert after < before / 2
+
+
+@pytest.mark.parametrize("part", ["<x ", '<a " > ', "<a '>", "<div>", "<div>x", "<a>x", "</script ", "<!--", "<!x", "<", "<li/>", "<p><b>", "<form><div class=ad>x", "</p>", "&", "b=c "])
+@pytest.mark.parametrize("before", ["", "<script>", "<ul><b>", "<a ", "<p>"])
+def test_hostile_pages_take_linear_time(part, before):
+    import time
+
+    began = time.process_time()
+    html_extraction.main_text(before + part * 40_000)
+    assert time.process_time() - began < 6
+
+
 def test_minimum_cut_is_minimal():
     from itertools import product
 

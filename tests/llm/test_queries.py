@@ -10,6 +10,8 @@ from locusflow.llm.common import table
 from tests.llm import brute
 from tests.oracle import SMALL, assert_same
 
+MIDDLE = "/root/testdata/sf0.01"
+
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, name):
@@ -31,10 +33,13 @@ def test_toxicity_scores(spark, docs):
     assert len(out) == len(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out)
 
 
-def test_suffix_dedup(spark, docs):
-    out = {r["doc_id"]: r for r in queries.op7_suffix_dedup(spark, SMALL).collect()}
-    for (doc_id, _), expected in zip(docs.items(), brute.remove_repeats(list(docs.values())), strict=True):
+@pytest.mark.parametrize("sf", [SMALL, MIDDLE])
+def test_suffix_dedup(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    out = {r["doc_id"]: r for r in queries.op7_suffix_dedup(spark, sf).collect()}
+    for (doc_id, text), expected in zip(texts.items(), brute.remove_repeats(list(texts.values())), strict=True):
         assert tuple(out[doc_id][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == expected
+        assert expected[2] or out[doc_id]["kept_text"] == (text or "")
 
 
 def test_simhash(spark, docs):
