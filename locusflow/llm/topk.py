@@ -7,8 +7,9 @@ high one is answered by coordinate pruning (the coordinates of a unit vector nea
 lie near the query's), a low one by length pruning (too short vectors cannot reach t).  What is
 left is verified by its products.
 
-Buckets and blocks of queries are packed into one row each.  Each block of the stated query
-set meets each bucket once, and a meeting yields at most k rows for each query.
+Buckets and blocks of queries are packed into one row each.  Buckets stay where they are and
+each block of the stated query set goes to all of them; a meeting yields at most k rows for
+each query.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 BUCKET = 4096
 QUERIES = 1024
+BUCKETS_PER_TASK = 64
 FOCUS = 3
 #: Local cosine threshold from which coordinates prune better than lengths.
 COORDINATE = 0.3
@@ -31,26 +33,32 @@ EXACT = 2**52
 
 
 def quantized(vectors: DataFrame, vector: str, vec_id: str, scale: int) -> DataFrame:
-    """(id, v, dims, norm2) with v = floor(scale * x) as longs; vectors with a null or non-finite component are left out."""
+    """(id, v, copies, dims, norm2, key) of each distinct row, with v = floor(scale * x) as longs.
+
+    Rows without an id, and vectors with a null or non-finite component, are left out.
+    ``key`` is a hash of id and v, so that rows that share an id are dealt apart.
+    """
     def finite(c):
         return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", finite))
-    whole = rows.select("id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
-    return whole.select("id", "v", F.size("v").alias("dims"), F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")).alias("norm2"))
+    whole = rows.select("id", F.transform("x", lambda c: F.floor(c * scale)).alias("v")).groupBy("id", "v").agg(F.count("*").alias("copies"))
+    length = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    return whole.select("id", "v", "copies", F.size("v").alias("dims"), length.alias("norm2"), F.xxhash64("id", "v").alias("key"))
 
 
-def pack(rows: DataFrame, key: str, longest_first: bool) -> DataFrame:
-    """One row for each number of dimensions and ``key``: ids and matrix as bytes, in order of length (or of id)."""
+def pack(rows: DataFrame, group: str) -> DataFrame:
+    """One row for each number of dimensions and ``group``: ids, keys, copies and matrix as bytes, the longest vector first."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["norm2", "id"] if longest_first else ["id"], ascending=[False, True] if longest_first else True, kind="stable")
+        frame = frame.sort_values(["norm2", "id", "key"], ascending=[False, True, True], kind="stable")
         matrix = np.array(frame["v"].tolist(), np.int64).reshape(len(frame), -1)
         first = frame.iloc[0]
-        return pd.DataFrame({"dims": [int(first["dims"])], "key": [int(first[key])], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()]})
+        packed = {c: [frame[n].to_numpy(np.int64).tobytes()] for c, n in (("ids", "id"), ("keys", "key"), ("copies", "copies"))}
+        return pd.DataFrame({"dims": [int(first["dims"])], group: [int(first[group])], **packed, "matrix": [matrix.tobytes()]})
 
-    return rows.groupBy("dims", key).applyInPandas(one, "dims int, key long, ids binary, matrix binary")
+    return rows.groupBy("dims", group).applyInPandas(one, f"dims int, {group} long, ids binary, keys binary, copies binary, matrix binary")
 
 
 def unpacked(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -115,83 +123,83 @@ def top_k(vectors: DataFrame, is_query, vector: str = "embedding", vec_id: str =
 
     ``is_query`` is a condition on ``vectors``' id column.  Fewer rows come back where fewer
     vectors have the query's number of dimensions.  Ties go to the smaller id.  A query's own
-    row is left out by its id, so rows that repeat an id are neither found nor counted for it.
-    Vectors that are null or hold null or non-finite components take no part.
+    row is left out by its id, so rows that repeat an id are not found for it.  Rows of equal
+    id and vector are one query, but candidates each for itself; rows that share an id and
+    differ are queries of their own, each with its k rows under that id.  Vectors that are
+    null or hold null or non-finite components take no part.
     """
+    spark = vectors.sparkSession
     rows = quantized(vectors, vector, vec_id, scale)
     queries = rows.where(is_query(F.col("id")))
-    sizes = rows.groupBy("dims").agg(F.count("*").alias("n"), F.percentile_approx("norm2", [i / 64 for i in range(1, 64)], 10000).alias("cuts"))
     counts = {r["dims"]: r["n"] for r in queries.groupBy("dims").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
-    # Buckets: quantiles of length, and more buckets of one quantile where that holds many rows.
+    # Buckets: up to 64 quantiles of length, and more buckets of one quantile where that holds many rows.
+    sizes = rows.groupBy("dims").agg(F.count("*").alias("n"), F.percentile_approx("norm2", [i / 64 for i in range(1, 64)], 10000).alias("cuts"))
     quantile = F.size(F.filter("cuts", lambda c: c < F.col("norm2")))
-    with_quantile = rows.join(F.broadcast(sizes), "dims").withColumn("quantile", quantile)
-    held = with_quantile.groupBy("dims", "quantile").agg(F.count("*").alias("held"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("held") / BUCKET)).cast("int")
-    dealt = with_quantile.join(held, ["dims", "quantile"]).withColumn("part", F.pmod(F.xxhash64("id"), parts))
-    merged = F.when(F.col("n") <= 64 * BUCKET, F.floor(F.col("quantile") * F.ceil(F.col("n") / BUCKET) / 64)).otherwise(F.col("quantile"))
-    buckets = pack(dealt.withColumn("bucket", F.xxhash64(merged, "part")), "bucket", True)
-
-    blocks = {dims: -(-n // QUERIES) for dims, n in counts.items()}
-    per_dims = F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair))
-    block = F.pmod(F.xxhash64(F.lit(3), "id"), per_dims[F.col("dims")])
-    packed_queries = pack(queries.withColumn("block", block), "block", False)
+    merged = F.when(F.col("n") <= 64 * BUCKET, F.floor(quantile * F.ceil(F.col("n") / BUCKET) / 64)).otherwise(quantile)
+    placed = rows.join(F.broadcast(sizes), "dims").withColumn("quantile", merged.cast("int"))
+    held = placed.groupBy("dims", "quantile").agg(F.count("*").alias("held"), F.max("n").alias("n")).collect()  # 64 rows for each number of dimensions
+    total, first_of = {}, []
+    for r in sorted(held):
+        parts = -(-r["held"] // BUCKET)
+        first_of.append((r["dims"], r["quantile"], total.get(r["dims"], 0), parts))
+        total[r["dims"]] = total.get(r["dims"], 0) + parts
+    offsets = spark.createDataFrame(first_of, "dims int, quantile int, first long, parts long")
+    dealt = placed.join(F.broadcast(offsets), ["dims", "quantile"]).withColumn("bucket", F.col("first") + F.pmod("key", F.col("parts")))
+    buckets = pack(dealt, "bucket")
+
+    def of_dims(numbers: dict[int, int]):
+        return F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair))[F.col("dims")]
+
+    block = F.pmod(F.xxhash64(F.lit(3), "key"), of_dims({dims: -(-n // QUERIES) for dims, n in counts.items()}))
+    packed = pack(queries.withColumn("block", block), "block")
+    q = packed.select("dims", "block", F.col("ids").alias("query_ids"), F.col("keys").alias("query_keys"), F.col("matrix").alias("query_matrix"))
 
     # Starting thresholds come from a bounded sample; they only prune, so that any sample gives exact results.
     share = F.when(F.col("n") > BUCKET, BUCKET / F.col("n")).otherwise(1.0)
-    sample = rows.join(F.broadcast(sizes.select("dims", "n")), "dims").where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 20)) < share * (1 << 20))
-    sample = pack(sample.withColumn("sample", F.lit(0)), "sample", True)
+    sample = placed.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 20)) < share * (1 << 20)).withColumn("bucket", F.lit(0).cast("long"))
+
+    def meet(packed_rows: DataFrame, blocks: DataFrame, number: dict[int, int]) -> DataFrame:
+        """The best of each bucket for each query.  The query blocks, which are the small side, go to every bucket."""
 
-    def meet(pairs: DataFrame) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cached: tuple[bytes, Bucket] | None = None
+            cached: tuple[tuple, Bucket, np.ndarray] | None = None
             for batch in batches:
-                for row in batch.to_pylist():
-                    if cached is None or cached[0] != row["ids"] or len(cached[1].ids) * 8 != len(row["ids"]):
-                        cached = row["ids"], Bucket(*unpacked(row["ids"], row["matrix"]))
-                    bucket = cached[1]
-                    numbers, matrix = unpacked(row["query_ids"], row["query_matrix"])
+                for at in range(batch.num_rows):  # a row holds a whole bucket
+                    row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                    if cached is None or cached[0] != (row["dims"], row["bucket"]):
+                        cached = (row["dims"], row["bucket"]), Bucket(*unpacked(row["ids"], row["matrix"])), np.frombuffer(row["copies"], np.int64)
+                    _, bucket, copies = cached
+                    keys, matrix = unpacked(row["query_keys"], row["query_matrix"])
+                    numbers = np.frombuffer(row["query_ids"], np.int64)
                     known = dict(zip(row["known"] or [], row["threshold"] or [], strict=True))
-                    out: list[list[int]] = [[], [], []]
-                    for number, query in zip(numbers.tolist(), matrix, strict=True):
-                        places = bucket.candidates(query, known.get(number))
-                        places = places[bucket.ids[places] != number]
+                    out: list[list[int]] = [[], [], [], [], []]
+                    for key, own, query in zip(keys.tolist(), numbers.tolist(), matrix, strict=True):
+                        places = bucket.candidates(query, known.get(key))
+                        places = places[bucket.ids[places] != own]
                         if not len(places):
                             continue
-                        if len(places) == len(bucket.ids):
-                            scores = products(query[None], bucket.matrix)[0]
-                        else:
-                            scores = products(query[None], bucket.matrix[places])[0]
+                        scores = products(query[None], bucket.matrix if len(places) == len(bucket.ids) else bucket.matrix[places])[0]
                         chosen = best(scores, bucket.ids[places], k)
-                        out[0] += [number] * len(chosen)
-                        out[1] += bucket.ids[places[chosen]].tolist()
-                        out[2] += scores[chosen].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
-
-        return pairs.select("ids", "matrix", "query_ids", "query_matrix", "known", "threshold").mapInArrow(task, "query_id long, vec_id long, score long")
+                        for column, values in zip(out, ([key] * len(chosen), [own] * len(chosen), bucket.ids[places[chosen]].tolist(), scores[chosen].tolist(), copies[places[chosen]].tolist()), strict=True):
+                            column += values
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["key", "query_id", "vec_id", "score", "copies"])
+
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(number.values()) // BUCKETS_PER_TASK))
+        asked = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), of_dims(number).cast("long") - 1)).alias("bucket"))
+        pairs = packed_rows.repartition(tasks, "dims", "bucket").join(asked.repartition(tasks, "dims", "bucket"), ["dims", "bucket"])
+        columns = ["dims", "bucket", "ids", "copies", "matrix", "query_ids", "query_keys", "query_matrix", "known", "threshold"]
+        found = pairs.sortWithinPartitions("dims", "bucket").select(*columns).mapInArrow(task, "key long, query_id long, vec_id long, score long, copies long")
+        one_by_one = found.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))))
+        order = Window.partitionBy("key", "query_id").orderBy(F.desc("score"), "vec_id")
+        return one_by_one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("key", "query_id", "rank", "vec_id", "score")
 
-    q = packed_queries.select("dims", F.col("key").alias("block"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
     none = {"known": F.lit(None).cast("array<long>"), "threshold": F.lit(None).cast("array<long>")}
-
-    def paired(packed: DataFrame) -> DataFrame:
-        """Each bucket once with each block of queries of its number of dimensions."""
-        every_block = F.explode(F.sequence(F.lit(0).cast("long"), per_dims[F.col("dims")].cast("long") - 1))
-        left = packed.where(per_dims[F.col("dims")].isNotNull()).select("dims", "ids", "matrix", every_block.alias("block"))
-        return left.join(q, ["dims", "block"])
-
-    first = meet(paired(sample).withColumns(none))
-    ranked = ranks(first, k)
-    thresholds = ranked.groupBy("query_id").agg(F.min("score").alias("threshold"), F.count("*").alias("found")).where(F.col("found") == k)
-    by_block = queries.select(F.col("id").alias("query_id"), "dims", block.alias("block")).distinct().join(thresholds, "query_id")
-    by_block = by_block.groupBy("dims", "block").agg(F.collect_list(F.struct("query_id", "threshold")).alias("t"))
-    by_block = by_block.select("dims", "block", F.transform("t", lambda t: t["query_id"]).alias("known"), F.transform("t", lambda t: t["threshold"]).alias("threshold"))
-    found = meet(paired(buckets).join(by_block, ["dims", "block"], "left").sortWithinPartitions("ids"))
-    return ranks(found, k)
-
-
-def ranks(found: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query, each task first keeping its own best."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = meet(pack(sample, "bucket"), q.withColumns(none), dict.fromkeys(total, 1))
+    thresholds = ranked.groupBy("key").agg(F.min("score").alias("threshold"), F.count("*").alias("found")).where(F.col("found") == k)
+    lists = F.array_sort(F.collect_list(F.struct("key", "threshold")))
+    by_block = queries.select("key", "dims", block.alias("block")).join(thresholds, "key").groupBy("dims", "block").agg(lists.alias("t"))
+    by_block = by_block.select("dims", "block", F.col("t.key").alias("known"), F.col("t.threshold").alias("threshold"))
+    return meet(buckets, q.join(by_block, ["dims", "block"], "left"), total).select("query_id", "rank", "vec_id", "score")

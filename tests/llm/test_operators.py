@@ -417,6 +417,33 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(df.limit(0), lambda c: c % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    """Equal rows are one query and many candidates; rows that share an id and differ are asked each for itself."""
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.4, 0.0]), (3, [0.4, 0.0]), (3, [0.4, 0.0]), (4, [0.1, 0.9]), (5, [0.0, 0.1]), (100, [0.0, 1.0]), (100, [0.0, 0.5])]
+    df = spark.createDataFrame([(i, x, 0) for i, x in rows], VECTORS)
+    out = sorted(map(tuple, topk.top_k(df, lambda c: c % 50 == 0).collect()))
+    v = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in rows]
+    expected = []
+    for i, q in {(i, tuple(x)): (i, x) for i, x in v if i % 50 == 0}.values():
+        scored = sorted((-int(q @ x), j) for j, x in v if j != i)[:5]
+        expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+    assert out == sorted(expected)
+
+
+def test_many_buckets_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET", 50)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 6)) * rng.choice([1, 5], (600, 1))
+    df = spark.createDataFrame([(i, [float(c) for c in r], 0) for i, r in enumerate(x)], VECTORS)
+    v = np.floor(256 * x.astype(np.float32).astype(float)).astype(np.int64)
+    expected = []
+    for i in range(0, 600, 20):
+        scored = sorted((-int(v[i] @ v[j]), j) for j in range(600) if j != i)[:5]
+        expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+    assert sorted(map(tuple, topk.top_k(df, lambda c: c % 20 == 0).collect())) == sorted(expected)
+
+
 def test_pruning_keeps_all_that_reach_the_threshold():
     rng = np.random.default_rng(2)
     matrix = rng.integers(-200, 200, (500, 16)) * rng.integers(1, 4, (500, 1))
