@@ -46,43 +46,62 @@ def letter_table() -> np.ndarray:
 
 
 def ngram_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Unit-length feature rows (float32), and which texts have a letter."""
+    """Unit-length feature rows (float32), and which texts have a letter.
+
+    The counts of a very long text are those of its parts of ``BLOCK_CHARS``; n-grams over
+    their few borders do not count.
+    """
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     letters = np.zeros(len(texts), bool)
     table, first = letter_table(), 0
     while first < len(texts):
         last, size = first, 0
+        if len(texts[first]) > BLOCK_CHARS:
+            counts = np.zeros(DIMENSIONS)
+            for at in range(0, len(texts[first]), BLOCK_CHARS):
+                part, some = ngram_counts([texts[first][at : at + BLOCK_CHARS]], table)
+                counts += part[0]
+                letters[first] |= some[0]
+            out[first] = np.sqrt(counts) / max(np.sqrt(counts.sum()), 1e-12)
+            first += 1
+            continue
         while last < len(texts) and (last == first or size + len(texts[last]) <= BLOCK_CHARS):
             size += len(texts[last])
             last += 1
-        lowered = [t.lower() for t in texts[first:last]]
-        codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.arange(last - first), [len(t) for t in lowered])
-        is_letter = table[codes]
-        letters[first:last] = np.bincount(owner, is_letter, minlength=last - first) > 0
-        codes = np.where(is_letter, codes, 32).astype(np.uint32)
-        keep = np.ones(len(codes), bool)
-        keep[1:] = is_letter[1:] | is_letter[:-1] | (owner[1:] != owner[:-1])
-        codes, owner = codes[keep], owner[keep]
-        counts = np.zeros((last - first) * DIMENSIONS)
-        for n in ORDERS:
-            if len(codes) < n:
-                continue
-            gram = np.full(len(codes) - n + 1, n, np.uint32)
-            for i in range(n):
-                gram = (gram ^ codes[i : len(codes) - n + 1 + i]) * np.uint32(0x9E3779B1)
-                gram ^= gram >> np.uint32(15)
-            at = owner[: len(gram)]
-            inside = at == owner[n - 1 :]
-            index = at[inside] * DIMENSIONS + (gram[inside] % DIMENSIONS)
-            counts += np.bincount(index, minlength=len(counts))
-        rows = np.sqrt(counts.reshape(last - first, DIMENSIONS))
+        counts, letters[first:last] = ngram_counts(texts[first:last], table)
+        rows = np.sqrt(counts)
         norm = np.sqrt((rows**2).sum(axis=1, keepdims=True))
         out[first:last] = rows / np.maximum(norm, 1e-12)
         first = last
     return out, letters
 
 
+def ngram_counts(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each hashed n-gram occurs in each text, and which texts have a letter."""
+    lowered = [t.lower() for t in texts]
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in lowered])
+    is_letter = table[codes]
+    letters = np.bincount(owner, is_letter, minlength=len(texts)) > 0
+    codes = np.where(is_letter, codes, 32).astype(np.uint32)
+    keep = np.ones(len(codes), bool)
+    keep[1:] = is_letter[1:] | is_letter[:-1] | (owner[1:] != owner[:-1])
+    codes, owner = codes[keep], owner[keep]
+    counts = np.zeros(len(texts) * DIMENSIONS)
+    for n in ORDERS:
+        if len(codes) < n:
+            continue
+        gram = np.full(len(codes) - n + 1, n, np.uint32)
+        for i in range(n):
+            gram = (gram ^ codes[i : len(codes) - n + 1 + i]) * np.uint32(0x9E3779B1)
+            gram ^= gram >> np.uint32(15)
+        at = owner[: len(gram)]
+        inside = at == owner[n - 1 :]
+        index = at[inside] * DIMENSIONS + (gram[inside] % DIMENSIONS)
+        counts += np.bincount(index, minlength=len(counts))
+    return counts.reshape(len(texts), DIMENSIONS), letters
+
+
 def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 300, rate: float = 20.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     w, b = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)
     balance = (len(y) / classes / np.maximum(np.bincount(y, minlength=classes), 1))[y][:, None]
@@ -166,19 +185,20 @@ class LanguageModel:
         return languages.tolist(), scores
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 200, excerpts: int = 2) -> LanguageModel | None:
-    """Fits on about ``per_language`` rows of each language, chosen by hash; never over twice that in all.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 200, excerpts: int = 2, longest: int = 1 << 20) -> LanguageModel | None:
+    """Fits on about ``per_language`` different texts of each language, chosen by hash; never over twice that in all.
 
-    Each row teaches with its whole text and with ``excerpts`` passages of five words, so that
+    A text counts once, however many copies it has.  A text of over ``longest`` characters teaches nothing.  Each row teaches with its whole text and with ``excerpts`` passages of five words, so that
     the model also knows what short texts look like.
     Rows with a null text or language teach nothing.  Without labelled rows there is no model.
     """
     known = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = known.where(F.length("text") <= longest).withColumn("h", F.xxhash64("text", F.lit(11)))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one row for each language
     if not sizes:
         return None
-    share = F.create_map(*(x for code, n in sizes.items() for x in (F.lit(code), F.lit(min(1.0, per_language / n)))))
-    drawn = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
+    share = F.create_map(*(x for code, n in sizes.items() for x in (F.lit(code), F.lit(min(1.0, 1.1 * per_language / max(n, 1))))))
+    drawn = F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -191,7 +211,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
             x, _ = ngram_features(texts)
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.string()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "features"])
 
-    sample = known.where(drawn).limit(2 * per_language * len(sizes)).mapInArrow(task, "lang string, features binary")
+    once = known.where(drawn).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
+    sample = once.limit(2 * per_language * len(sizes)).mapInArrow(task, "lang string, features binary")
     rows = sorted(sample.collect())
     languages, features = [r["lang"] for r in rows], np.empty((len(rows), DIMENSIONS), np.float32)
     for k in range(len(rows)):
