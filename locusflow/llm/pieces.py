@@ -26,6 +26,7 @@ from .common import mixed, row_blocks, sliced, string_buffers
 
 BLOCK_CHARS = 1 << 17
 LONG_WORD = 96
+LONG_TEXT = 1 << 18
 MARK = "▁"
 NONE = np.int64(1) << np.int64(62)
 GONE = -2
@@ -211,14 +212,32 @@ def merge_long_word(pieces: Pieces, symbols: list[int], place: list[int], end: i
 
 
 def encode_texts(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int, dropout: float) -> list[np.ndarray]:
-    """Piece ids (int32) of each text; ``keys`` (int64) tell documents apart."""
+    """Piece ids (int32) of each text; ``keys`` (int64) tell documents apart.
+
+    A very long text is encoded in parts that begin where words do.
+    """
+    if len(texts) != 1 or len(texts[0]) < LONG_TEXT:
+        return encode_marked(pieces, [" " + t if t else "" for t in texts], np.zeros(len(texts), np.int64), keys, seed, dropout)
+    marked, at, out = " " + texts[0], 0, []
+    while at < len(marked):
+        end = marked.find(" ", at + LONG_TEXT)
+        while 0 < end and marked[end - 1] == " ":  # a word starts with the first of several spaces
+            end -= 1
+        end = end if end > at else len(marked)
+        out += encode_marked(pieces, [marked[at:end]], np.array([at]), keys, seed, dropout)
+        at = end
+    return [np.concatenate(out)]
+
+
+def encode_marked(pieces: Pieces, texts: list[str], base: np.ndarray, keys: np.ndarray, seed: int, dropout: float) -> list[np.ndarray]:
+    """The same for texts with the space before their first word; ``base`` is their place in the whole."""
     limit = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
-    sizes = np.array([len(t) + 1 if t else 0 for t in texts])
-    codes = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     symbols = pieces.symbol[codes]
     doc_start = np.concatenate([[0], np.cumsum(sizes)])
     doc = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(codes)) - doc_start[doc]
+    place = np.arange(len(codes)) - (doc_start[:-1] - base)[doc]
     unknown, mark = symbols < 0, symbols == pieces.mark
     opens = np.zeros(len(codes) + 1, bool)
     opens[doc_start] = True
@@ -259,18 +278,20 @@ def decode_ids(pieces: Pieces, ids: np.ndarray) -> str:
 
 
 def blocks_of(batch: pa.RecordBatch, pieces: Pieces, seed: int, dropout: float) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
-    """Parts of a batch (_text, _key) of about ``BLOCK_CHARS``, with their texts and ids."""
-    _, offsets = string_buffers(batch.column("_text"))
+    """Parts of a batch (whose last columns are text and key) of about ``BLOCK_CHARS``, with their texts and ids."""
+    text, key = batch.schema.names[-2:]
+    _, offsets = string_buffers(batch.column(text))
     for a, z in row_blocks(offsets, BLOCK_CHARS):
         part = batch.slice(a, z - a)
-        texts = part.column("_text").to_pylist()
-        yield part, texts, encode_texts(pieces, texts, part.column("_key").to_numpy().copy(), seed, dropout)
+        texts = part.column(text).to_pylist()
+        yield part, texts, encode_texts(pieces, texts, part.column(key).to_numpy().copy(), seed, dropout)
 
 
-def keyed(docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) -> tuple[DataFrame, list, str]:
-    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), F.xxhash64(key).alias("_key"))
-    kept = [f for f in rows.schema if f.name not in ("_text", "_key")]
-    return rows, [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+def keyed(docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) -> tuple[DataFrame, list, str, str]:
+    own, number = ("_" * (1 + max([0, *map(len, keep)])) + name for name in ("text", "key"))  # longer than any name kept
+    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(own), F.xxhash64(key).alias(number))
+    kept = rows.schema[: len(rows.columns) - 2]
+    return rows, [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), rows.columns[-2]
 
 
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id", "text"), seed: int = 1, dropout: float = 0.1, model: str | None = None) -> DataFrame:
@@ -280,11 +301,11 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple
     A null or empty text has no ids.  With ``dropout`` 0 the segmentation is the model's own.
     """
     path = model or public_model()
-    rows, names, schema = keyed(docs, text, key, keep)
+    rows, names, schema, own = keyed(docs, text, key, keep)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, own):
             for part, _, ids in blocks_of(batch, pieces, seed, dropout):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
@@ -299,11 +320,11 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: t
     Ids stay in the task that made them, so that neither they nor the texts come back.
     """
     path = model or public_model()
-    rows, names, schema = keyed(docs, text, key, keep)
+    rows, names, schema, own = keyed(docs, text, key, keep)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, own):
             for part, texts, ids in blocks_of(batch, pieces, seed, dropout):
                 new = [
                     pa.array([len(x) for x in ids], pa.int64()),
