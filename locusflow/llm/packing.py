@@ -1,6 +1,6 @@
 """Packing of tokenized documents into fixed-length sequences by bounded-space best fit.
 
-Documents are tokenized where they are read; only small rows about pieces move on.
+Documents are tokenized once, where they are read; only small rows about pieces move on.
 Pieces are dealt by hash over as many tasks as their number asks for, and each task
 packs its stream online with a fixed number of open sequences.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_and_text, sliced, texts_of
+from .common import kept_and_text, sliced, stored, texts_of
 
 #: Pieces that one packing task takes; a task holds no more than its open bins of them at once.
 PIECES_PER_TASK = 500_000
@@ -121,9 +121,8 @@ def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     offset.  A null text is empty, and an empty one is the single id 0.  Repeated rows are
     packed each for itself.  ``keep`` columns must not bear the names of the new columns.
     """
-    count = docs.count()
-    tasks = max(1, -(-count // PIECES_PER_TASK))
-    pieces = tokenized_pieces(docs, text, keep, size, vocabulary or public_vocabulary())
+    pieces = stored(tokenized_pieces(docs, text, keep, size, vocabulary or public_vocabulary()))
+    tasks = max(1, -(-pieces.count() // PIECES_PER_TASK))
     kept = pieces.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long", "offset long"])
 
