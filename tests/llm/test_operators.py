@@ -391,6 +391,44 @@ def test_heap_and_rounds_agree(texts, monkeypatch):
     assert all(a.tolist() == b.tolist() for a, b in zip(rounds, heap, strict=True))
 
 
+def test_very_long_texts_in_parts(texts, monkeypatch):
+    """Languages, toxicity filters and pieces of a text are the same, or nearly, in parts."""
+    model = pieces.Pieces(pieces.public_model())
+    rng = random.Random(11)
+    long = "  ".join([*(t for t in texts if t), words(rng, 500), "x" * 3000, "é▁😀 " * 200]) * 2
+    whole = pieces.encode_texts(model, [long], np.array([5]), 1, 0.2)[0]
+    monkeypatch.setattr(pieces, "LONG_TEXT", 700)
+    assert pieces.encode_texts(model, [long], np.array([5]), 1, 0.2)[0].tolist() == whole.tolist()
+    features, letters = language_id.ngram_features([long, "", "12"])
+    monkeypatch.setattr(language_id, "BLOCK_CHARS", 5000)
+    again, some = language_id.ngram_features([long, "", "12"])
+    assert letters.tolist() == some.tolist() == [True, False, False] and np.abs(features - again).max() < 0.01
+    net = toxicity.train([np.array([[1] * 6, [0] * 6, [0] * 6, [0] * 6], np.int32)] * 4, np.array([0, 1, 0, 1]), epochs=1)
+    net.embedding += rng.random()
+    net.embedding[:] = np.random.default_rng(1).normal(size=net.embedding.shape)
+    net.embedding[0] = 0
+    raw = np.frombuffer(long.encode(), np.uint8)
+    table = net.table()
+    once = net.pooled(*toxicity.word_ids(raw, np.array([0, len(raw)])), table)
+    for size in (50, 777, 20_000):
+        assert np.allclose(net.pooled_in_parts(raw, table, size), once, atol=1e-5)
+
+
+def test_pieces_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 2), (2, None, None, None)], "doc_id long, text string, _text string, _key int")
+    out = pieces.encode(docs, keep=("doc_id", "_text", "_key")).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["_text"], r["_key"], len(r["ids"]) > 0) for r in out] == [(1, "x", 2, True), (2, None, None, False)]
+
+
+def test_language_with_many_copies_of_one_text(spark):
+    """Copies count once, so that a language of few texts is learnt and predicted."""
+    rng = random.Random(7)
+    rows = [(words(rng, 40), "en") for _ in range(300)] + [("der schöne Baum über dem großen Fluß", "de")] * 3000 + [("die Straße zum Müller", "de"), (None, "de"), ("x", None)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), per_language=20)
+    asked = spark.createDataFrame([(1, "der große Baum"), (2, words(rng, 30))], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language_id.predict(asked, model).orderBy("doc_id").collect()] == ["de", "en"]
+
+
 # --- vectors ---------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int"
