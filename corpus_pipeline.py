@@ -13,13 +13,16 @@ from locusflow.llm import language_id, simhash, toxicity
 from locusflow.llm.common import stored, table
 from locusflow.llm.packing import pack
 from locusflow.llm.queries import fitted_language_model, fitted_toxicity_model
-from locusflow.llm.suffix_dedup import remove_repeats
+from locusflow.llm.suffix_dedup import remove_repeats, whole_characters
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: A text whose best language has a lower score than this is in none of them.
 LEAST_LANGUAGE_SCORE = 0.3
 
+#: Bytes from which a string is a repeated passage: hardly any passage of over fifty words is shorter.
+PASSAGE = 240
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those that resemble none of the learnt languages."""
@@ -39,14 +42,12 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated strings of 400 bytes; a character that a cut goes through is dropped.
+    """Cuts repeated strings of ``PASSAGE`` bytes; a character that a cut goes through is dropped.
 
     A document that is cut to nothing stays, with an empty text.
     """
-    cut = remove_repeats(docs, keep=("doc_id", "lang", "source"))  # texts come back as the kept bytes
-    kept = F.col("kept").cast("string")
-    whole = F.replace(F.make_valid_utf8(kept), F.lit("\N{REPLACEMENT CHARACTER}"), F.lit(""))
-    text = F.when(F.size("spans") == 0, kept).otherwise(whole)
+    cut = remove_repeats(docs, keep=("doc_id", "lang", "source"), length=PASSAGE)  # texts come back as the kept bytes
+    text = whole_characters(F.col("kept"), F.col("spans"))
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
