@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The columns of a feature file of calls, in the file's order.
 FEATURES = (
     "qual", "ref_len", "alt_len", "min_qual", "max_qual", "var_count", "cis_count", "step_count", "call_count",
     "min_win_offset", "max_win_offset", "dp", "het", "vaf", "vafreads", "altreads",

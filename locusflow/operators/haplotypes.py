@@ -12,15 +12,30 @@ from pyspark.sql import functions as F
 from ..functions import alleles
 
 
-def genotype_combos(members: DataFrame, most: int = 6) -> DataFrame:
+#: Variants of a region that lie farther apart than this are not phased together.
+LONGEST_SPAN = 100
+
+
+def spans(members: DataFrame) -> DataFrame:
+    """(region_id, span): from a region's first variant to the end of its last."""
+    return members.groupBy("region_id").agg((F.max(F.col("start") + F.length("ref")) - F.min("start")).alias("span"))
+
+
+def too_wide(members: DataFrame, longest: int = LONGEST_SPAN) -> DataFrame:
+    """(region_id, span, reason) of the regions that ``genotype_combos`` leaves out."""
+    return spans(members).where(F.col("span") > longest).withColumn("reason", F.lit(f"span over {longest}"))
+
+
+def genotype_combos(members: DataFrame, longest: int = LONGEST_SPAN) -> DataFrame:
     """(region_id, combo, h0, h1): unordered pairs of allele lists, one for each way to phase the variants.
 
-    A null allele counts as 0.  Regions of more than ``most`` variants are left out: their
-    combinations double with each variant.
+    A null allele counts as 0.  Combinations double with each variant, so regions that span
+    over ``longest`` are not phased; ``too_wide`` lists them.
     """
     pair = F.transform("gt", lambda g: F.coalesce(g, F.lit(0)))
-    lists = members.groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("place", pair.alias("g")))).alias("m")).where(F.size("m") <= most)
-    ways = F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("m")).cast("int") - 1))
+    near = members.join(spans(members).where(F.col("span") <= longest).select("region_id"), "region_id")
+    lists = near.groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("place", pair.alias("g")))).alias("m"))
+    ways = F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), F.size("m")).cast("long") - 1))
     rows = lists.select("region_id", "m", ways.alias("way"))
 
     def alleles_of(side: int):

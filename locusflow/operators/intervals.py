@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 BIN = 1024
 
 
+def bare_name(chrom: Column) -> Column:
+    """A chromosome's name without a leading ``chr``: files name the same one either way."""
+    return F.regexp_replace(chrom, "^chr", "")
+
+
 def binned(df: DataFrame, width: int) -> DataFrame:
     last = F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / width)
     return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), last)))
@@ -23,17 +28,36 @@ def interval_join(left: DataFrame, right: DataFrame, width: int = BIN, condition
 
     ``right``'s three columns come back as r_chrom, r_start and r_end; its other names must
     differ from ``left``'s.  ``condition`` narrows the pairs.  Points are [p, p + 1).
+    Chromosomes meet with or without a leading ``chr``.
     """
     other = right.withColumnsRenamed({c: f"r_{c}" for c in ("chrom", "start", "end")})
-    a = binned(left, width)
-    b = binned(right, width).withColumnsRenamed({c: f"r_{c}" for c in ("chrom", "start", "end", "bin")})
-    meet = (a["chrom"] == b["r_chrom"]) & (a["bin"] == b["r_bin"]) & (a["start"] < b["r_end"]) & (b["r_start"] < a["end"])
+    a = binned(left, width).withColumn("_name", bare_name(F.col("chrom")))
+    b = binned(right, width).withColumnsRenamed({c: f"r_{c}" for c in ("chrom", "start", "end", "bin")}).withColumn("r_name", bare_name(F.col("r_chrom")))
+    meet = (a["_name"] == b["r_name"]) & (a["bin"] == b["r_bin"]) & (a["start"] < b["r_end"]) & (b["r_start"] < a["end"])
     pairs = a.join(b, meet).where(F.col("bin") == F.floor(F.greatest("start", "r_start") / width))
     if condition is not None:
         pairs = pairs.where(condition)
     return pairs.select(*left.columns, *other.columns)
 
 
+def with_former(df: DataFrame, group: str, position: str, order: list[str], columns: dict[str, str], width: int = 1 << 16) -> DataFrame:
+    """Rows with the values of the row before in ``order`` (which begins with ``position``) within ``group``; null for the first.
+
+    ``columns`` names them: {column: name}.  Rows are put in order within bins of
+    ``width`` positions; a bin's first row gets what the last row of the bin before hands
+    on, so that no task sees a whole group.
+    """
+    rows = df.withColumn("_bin", F.floor(F.col(position) / width))
+    inside = Window.partitionBy(group, "_bin").orderBy(*order)
+    values = F.struct(*(F.col(c).alias(name) for c, name in columns.items()))
+    rows = rows.withColumn("_own", F.lag(values).over(inside))
+    ends = df.withColumn("_bin", F.floor(F.col(position) / width)).groupBy(group, "_bin").agg(F.max_by(values, F.struct(*order)).alias("_last"))
+    over_bins = Window.partitionBy(group).orderBy("_bin")  # one row for each bin
+    before = ends.select(F.col(group).alias("_g"), F.col("_bin").alias("_b"), F.lag("_last").over(over_bins).alias("_last"))
+    joined = rows.join(before, rows[group].eqNullSafe(before["_g"]) & (rows["_bin"] == before["_b"]))
+    return joined.select(*df.columns, *(F.coalesce(F.col("_own"), F.col("_last"))[name].alias(name) for name in columns.values()))
+
+
 def with_count(left: DataFrame, key: list[str], pairs: DataFrame, name: str, value: Column | None = None) -> DataFrame:
     """``left`` with the number (or the sum of ``value``) of its ``pairs``, 0 where it has none."""
     counted = pairs.groupBy(*key).agg((F.count("*") if value is None else F.sum(value)).alias(name))

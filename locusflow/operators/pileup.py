@@ -21,27 +21,50 @@ def reference_span(reads: DataFrame) -> DataFrame:
     return walked(reads).withColumn("end", F.col("start") + taken)
 
 
-def aligned_bases(reads: DataFrame) -> DataFrame:
-    """(read_id, chrom, pos, q, base, qual, indel_next): one row for each aligned base."""
-    parts = walked(reads).select("read_id", "chrom", "start", "bases", "quals", "walk", F.explode("walk").alias("x")).where(F.col("x.op").isin("M", "=", "X"))
+def matched_parts(reads: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, chrom, pos, q and letters of each stretch of aligned bases, and whether an indel follows it."""
+    parts = walked(reads).select(*columns, "chrom", "start", "bases", "walk", F.explode("walk").alias("x")).where(F.col("x.op").isin("M", "=", "X"))
     following = F.try_element_at("walk", F.col("x.n") + 2)["op"]
-    rows = parts.select("*", following.alias("following"), F.explode(F.sequence(F.lit(0), F.col("x.len") - 1)).alias("i"))
-    q = F.col("x.q") + F.col("i")
-    return rows.select(
-        "read_id", "chrom", (F.col("start") + F.col("x.t") + F.col("i")).alias("pos"), q.alias("q"),
-        F.substring("bases", q + 1, F.lit(1)).alias("base"), F.element_at("quals", q + 1).alias("qual"),
-        ((F.col("i") == F.col("x.len") - 1) & F.coalesce(F.col("following").isin("I", "D"), F.lit(False))).alias("indel_next"),
+    return parts.select(
+        *columns, "chrom", (F.col("start") + F.col("x.t")).alias("pos"), F.col("x.q").alias("q"),
+        F.substring("bases", F.col("x.q") + 1, F.col("x.len")).alias("letters"), F.coalesce(following.isin("I", "D"), F.lit(False)).alias("indel_next"),
     )
 
 
-def pileup(reads: DataFrame, ref_bases: DataFrame) -> DataFrame:
-    """(chrom, pos, depth, mismatches, indels) for every covered position; letter case does not count."""
-    rows = aligned_bases(reads)
-    counted = rows.groupBy("chrom", "pos", F.upper("base").alias("base")).agg(F.count("*").alias("n"), F.count_if("indel_next").alias("indels"))
-    joined = counted.join(ref_bases.select("chrom", "pos", F.upper("base").alias("ref")), ["chrom", "pos"])
-    return joined.groupBy("chrom", "pos").agg(
-        F.sum("n").alias("depth"), F.sum(F.when(F.col("base") != F.col("ref"), F.col("n")).otherwise(0)).alias("mismatches"), F.sum("indels").alias("indels")
+def aligned_bases(reads: DataFrame) -> DataFrame:
+    """(read_id, chrom, pos, q, base, qual, indel_next): one row for each aligned base.
+
+    Only a base's own values go through the explosion, not the read that it is part of.
+    """
+    parts = matched_parts(reads, "read_id", "quals")
+    both = F.arrays_zip(F.split("letters", "").alias("base"), F.slice("quals", F.col("q") + 1, F.length("letters")).alias("qual"))
+    rows = parts.select("read_id", "chrom", "pos", "q", "indel_next", (F.length("letters") - 1).alias("last"), F.posexplode(both).alias("i", "b"))
+    return rows.where(F.col("i") <= F.col("last")).select(
+        "read_id", "chrom", (F.col("pos") + F.col("i")).alias("pos"), (F.col("q") + F.col("i")).alias("q"), "b.base", "b.qual", (F.col("indel_next") & (F.col("i") == F.col("last"))).alias("indel_next")
+    )
+
+
+def pileup(reads: DataFrame, ref_chunks: DataFrame, size: int = 256) -> DataFrame:
+    """(chrom, pos, depth, mismatches, indels) for every covered position; letter case does not count.
+
+    ``ref_chunks`` has (chrom, chunk, seq), pieces of ``size`` bases.  Reads are cut at the
+    chunks' borders and meet the reference there, so that bases are compared and counted
+    where they are: no row of a single base is shuffled.
+    """
+    parts = matched_parts(reads).withColumn("end", F.col("pos") + F.length("letters"))
+    numbered = parts.select("*", F.explode(F.sequence(F.floor(F.col("pos") / size), F.floor((F.col("end") - 1) / size))).alias("chunk"))
+    low, high = F.greatest("pos", F.col("chunk") * size), F.least("end", (F.col("chunk") + 1) * size)
+    pieces = numbered.select(
+        "chrom", "chunk", low.alias("low"), F.upper(F.substring("letters", (low - F.col("pos") + 1).cast("int"), (high - low).cast("int"))).alias("letters"), (F.col("indel_next") & (high == F.col("end"))).alias("indel_next")
     )
+    met = pieces.join(ref_chunks.select("chrom", "chunk", "seq"), ["chrom", "chunk"])
+    n = F.length("letters")
+    under = F.upper(F.substring("seq", (F.col("low") - F.col("chunk") * size + 1).cast("int"), n))
+    both = F.arrays_zip(F.split("letters", "").alias("base"), F.split(under, "").alias("ref"))
+    each = met.select("chrom", "chunk", "low", "indel_next", (n - 1).alias("last"), F.posexplode(both).alias("i", "b")).where("i <= last and b.ref is not null and b.ref <> ''")
+    rows = each.select("chrom", "chunk", (F.col("low") + F.col("i")).alias("pos"), (F.col("b.base") != F.col("b.ref")).alias("differs"), (F.col("indel_next") & (F.col("i") == F.col("last"))).alias("indel"))
+    counted = rows.groupBy("chrom", "chunk", "pos").agg(F.count("*").alias("depth"), F.count_if("differs").alias("mismatches"), F.count_if("indel").alias("indels"))
+    return counted.drop("chunk")
 
 
 def suspect_spots(piled: DataFrame) -> DataFrame:
@@ -49,18 +72,18 @@ def suspect_spots(piled: DataFrame) -> DataFrame:
     return piled.where("indels > 1 or mismatches > 2")
 
 
-def complex_variants(variants: DataFrame, reads: DataFrame, piled: DataFrame, around: int = 20) -> DataFrame:
-    """Variants with an allele over 4 bases among many indel starts or many clipped reads."""
+def complex_variants(variants: DataFrame, reads: DataFrame, piled: DataFrame, around: int = 20, starts: int = 4, clipped: float = 0.2) -> DataFrame:
+    """Variants with an allele over 4 bases among more than ``starts`` indel starts or a share of over ``clipped`` clipped reads."""
     longest = F.greatest(F.length("ref"), F.array_max(F.transform("alts", F.length)))
     large = variants.where(longest > 4).select("variant_id", "chrom", "pos")
     near = large.withColumns({"start": F.col("pos") - around, "end": F.col("pos") + around})
-    starts = piled.where("indels > 1").select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+    indels = piled.where("indels > 1").select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
     spans = reference_span(reads).select("chrom", "start", "end", (sequences.clipped_bases(F.col("ops")) > 10).alias("clipped"))
-    out = with_count(large, ["variant_id"], interval_join(near, starts), "indel_starts")
+    out = with_count(large, ["variant_id"], interval_join(near, indels), "indel_starts")
     hits = interval_join(near, spans)
     out = with_count(out, ["variant_id"], hits, "reads")
     out = with_count(out, ["variant_id"], hits, "clipped", F.col("clipped").cast("int"))
-    return out.where((F.col("indel_starts") > 4) | (F.try_divide(F.col("clipped"), F.col("reads")) > 0.2))
+    return out.where((F.col("indel_starts") > starts) | (F.try_divide(F.col("clipped"), F.col("reads")) > clipped))
 
 
 def read_evidence(records: DataFrame, reads: DataFrame) -> DataFrame:
@@ -116,9 +139,10 @@ def window_reads(windows: DataFrame, reads: DataFrame, margin: int = 150, least:
     """Reads of each (window_id, chrom, window_start, window_end), of windows with at least ``least``.
 
     A read belongs if its clip-adjusted start is at most ``margin`` before the window and
-    its bases reach the window's start.
+    its bases reach the window's start.  A column ``size`` spares reading the bases.
     """
-    placed = walked(reads).select("read_id", "chrom", sequences.clip_start(F.col("start"), F.col("ops")).alias("start"), F.length("bases").alias("size"))
+    size = F.col("size") if "size" in reads.columns else F.length("bases")
+    placed = walked(reads).select("read_id", "chrom", sequences.clip_start(F.col("start"), F.col("ops")).alias("start"), size.alias("size"))
     placed = placed.withColumn("end", F.col("start") + 1)
     asked = windows.select("window_id", "chrom", (F.col("window_start") - margin).alias("start"), F.col("window_end").alias("end"), "window_start")
     pairs = interval_join(asked, placed).where("r_start + size >= window_start")

@@ -20,15 +20,28 @@ def first_n(df: DataFrame, group: list[str], count: int, order: list) -> DataFra
     return df.withColumn("_place", place).where(F.col("_place") <= count).drop("_place")
 
 
+#: Parts of a group that are ranked before the group.
+PARTS = 32
+
+
+def in_parts(df: DataFrame, group: list[str], order: list, limit: Column) -> DataFrame:
+    """The first ``limit`` rows of each group with their ``_place``: first those of each part of it, then of all."""
+    part = F.pmod(F.xxhash64(*order), F.lit(PARTS))
+    own = df.withColumn("_part", part).withColumn("_place", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return own.where(F.col("_place") <= limit).withColumn("_place", place).where(F.col("_place") <= limit).drop("_part")
+
+
 def resample_classes(df: DataFrame, quotas: DataFrame, label: str, order: list) -> DataFrame:
     """As many rows of each class as its quota: a sample of a larger class, repeats of a smaller one.
 
     ``quotas`` has (label, quota); a class without one, or with 0, is dropped.  ``copy``
-    numbers the repeats of a row.
+    numbers the repeats of a row.  Of a large class each of ``PARTS`` parts first keeps its
+    first ``quota`` rows, so that no task ranks a whole class.
     """
-    window = Window.partitionBy(label)
-    numbered = df.withColumn("_place", F.row_number().over(window.orderBy(*order))).withColumn("_n", F.count("*").over(window))
-    joined = numbered.join(F.broadcast(quotas), label).where("quota > 0")
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
+    known = quotas.where("quota > 0").join(sizes, label)  # one row for each class
+    joined = in_parts(df.join(F.broadcast(known), label), [label], order, F.col("quota"))
     # Row r of n is taken for slots r, r + n, r + 2n, ... of the quota.
     copies = F.floor((F.col("quota") - F.col("_place")) / F.col("_n"))
     taken = joined.where(F.col("_place") <= F.col("quota"))
@@ -62,8 +75,7 @@ def middle_slice(df: DataFrame, group: list[str], order: list[str], most: int) -
 def capped(df: DataFrame, group: list[str], caps: dict[str, int], kind: str, order: list) -> DataFrame:
     """At most ``caps[kind]`` rows of each kind within each group; other kinds are dropped."""
     limit = F.create_map(*(F.lit(x) for pair in caps.items() for x in pair))[F.col(kind)]
-    place = F.row_number().over(Window.partitionBy(*group, kind).orderBy(*order))
-    return df.where(F.col(kind).isin(*caps)).withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
+    return in_parts(df.where(F.col(kind).isin(*caps)), [*group, kind], order, limit).drop("_place")
 
 
 def holdout(df: DataFrame, fraction: float, order: list) -> DataFrame:

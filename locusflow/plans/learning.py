@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classifier
+from ..sources.text import shared_path
 from .registry import query
 from .relational import scored_features
 
-#: Smaller than the operator's defaults, as the derived tables have few calls.
-TREES, DEPTH = 20, 8
 
 
 def labelled(spark, sf):
-    return scored_features(spark, sf).withColumn("label", (F.col("call") == "TP").cast("int")).persist()
+    """All calls with their features, written once: training goes over them many times."""
+    path = shared_path(spark)
+    rows = scored_features(spark, sf).withColumn("label", (F.col("call") == "TP").cast("int"))
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query()
 def train_classifier(spark, sf):
     """Feature importances of a forest trained on nine tenths of the calls."""
     rows = labelled(spark, sf)
-    model = classifier.train(rows.where("record_id % 10 <> 0"), TREES, DEPTH)
+    model = classifier.train(rows.where("record_id % 10 <> 0"))
     weights = model.stages[-1].featureImportances.toArray().tolist()
     return spark.createDataFrame(list(zip(classifier.FEATURES, weights, strict=True)), "feature string, importance double")
 
@@ -29,5 +32,5 @@ def train_classifier(spark, sf):
 def score_calls(spark, sf):
     """Held-out calls with their new quality."""
     rows = labelled(spark, sf)
-    model = classifier.train(rows.where("record_id % 10 <> 0"), TREES, DEPTH)
+    model = classifier.train(rows.where("record_id % 10 <> 0"))
     return classifier.score(model, rows.where("record_id % 10 = 0")).select("record_id", "label", "qual", "raw_qual")

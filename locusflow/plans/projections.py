@@ -13,6 +13,38 @@ from .registry import query
 SEED = 7
 
 
+@query("SELECT CAST(read_id AS VARCHAR) AS read_id, chrom, start, cigar, mapq, is_reverse, bases, list_sum(quals) AS qual_sum, len(quals) AS n_quals FROM reads")
+def alignment_source(spark, sf):
+    """Reads written as alignment text and read back."""
+    path = text.shared_path(spark)
+    text.write_alignments(T.reads(spark, sf), path)
+    total = F.aggregate("quals", F.lit(0).cast("long"), lambda s, q: s + q)
+    return text.read_alignments(spark, path).select("read_id", "chrom", "start", "cigar", "mapq", "is_reverse", "bases", total.alias("qual_sum"), F.size("quals").cast("long").alias("n_quals"))
+
+
+@query("SELECT region_id, chrom, label FROM regions")
+def concat_metadata(spark, sf):
+    """Files of two samples as one."""
+    rows, schema = T.regions(spark, sf).select("region_id", "chrom", "label"), "region_id long, chrom string, label string"
+    paths = [text.shared_path(spark) for _ in range(3)]
+    for k in (0, 1):
+        rows.where(F.col("region_id") % 2 == k).write.option("header", True).csv(paths[k])
+    text.concatenated(spark, paths[:2], schema, paths[2])
+    return spark.read.option("header", True).schema(schema).csv(paths[2])
+
+
+@query("""SELECT n, line FROM (SELECT row_number() OVER (ORDER BY a, b, ref, alt) - 1 AS n, line FROM (SELECT 0 AS a, chrom_value AS b, '' AS ref, '' AS alt, '##contig=<ID=' || chrom || ',length=' || length || '>' AS line FROM (SELECT chrom, CAST(substr(chrom, 4) AS INTEGER) AS chrom_value, max(pos) + 1 AS length FROM ref_bases GROUP BY chrom)
+  UNION ALL SELECT CAST(substr(chrom, 4) AS INTEGER) AS a, pos, ref, alts[1], chrom || chr(9) || (pos + 1) || chr(9) || '.' || chr(9) || ref || chr(9) || alts[1] || chr(9) || '12.3400' || chr(9) || 'PASS' || chr(9) || 'CALL_COUNT=3' || chr(9) || 'GT:DP:PS' || chr(9) || '0/1:30:.' FROM variants))""")
+def vcf_sink(spark, sf):
+    """The contig lines of the header and all records of a written file, numbered as they stand in it."""
+    rows = T.variants(spark, sf).selectExpr("chrom", "pos + 1 AS pos", "ref", "alts[0] AS alt", "12.34D AS qual", "'PASS' AS filter", "30L AS depth", "3L AS call_count", "'0/1' AS gt", "cast(null AS long) AS phase_set")
+    path = text.shared_path(spark)
+    text.write_records(rows, path, T.ref_bases(spark, sf).groupBy("chrom").agg((F.max("pos") + 1).alias("length")))
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    kept = lines.where("not startswith(line, '#') or startswith(line, '##contig')")
+    return sampling.rebatched(kept, 1, ["file", "at"]).select(F.col("batch").alias("n"), "line")
+
+
 @query("SELECT chrom, start, \"end\", label FROM regions")
 def bed_source(spark, sf):
     path = text.shared_path(spark)
@@ -25,10 +57,10 @@ def label_class_index(spark, sf):
     return text.label_classes(T.regions(spark, sf))
 
 
-@query()
+@query("""SELECT chrom, pos + 1 AS pos, CASE WHEN ref = '' THEN 'N' ELSE ref END AS ref, [CASE WHEN alt = '' THEN 'N' ELSE alt END] AS alts, record_id % 1000 / 1000.0 AS qual, 'PASS' AS filter, n AS call_count FROM evaluated""")
 def vcf_source(spark, sf):
     """Records written as text and read back, with parsed alts and info."""
-    records = T.evaluated(spark, sf).selectExpr("chrom", "pos + 1 AS pos", "if(ref = '', 'N', ref) AS ref", "if(alt = '', 'N', alt) AS alt", "qual", "'PASS' AS filter", "10L AS depth", "n AS call_count", "'0/1' AS gt", "cast(null AS long) AS phase_set")
+    records = T.evaluated(spark, sf).selectExpr("chrom", "pos + 1 AS pos", "if(ref = '', 'N', ref) AS ref", "if(alt = '', 'N', alt) AS alt", "record_id % 1000 / 1000.0D AS qual", "'PASS' AS filter", "10L AS depth", "n AS call_count", "'0/1' AS gt", "cast(null AS long) AS phase_set")
     path = text.shared_path(spark)
     text.write_records(records, path)
     rows = text.read_records(spark, path)
@@ -100,7 +132,7 @@ def chrom_groups(spark, sf):
 KMER = "list_transform(range(0, length(seq) // 4), lambda i: CAST(list_sum(list_transform(range(0, 4), lambda j: (strpos('ACGT', substr(seq, i * 4 + j + 1, 1)) - 1) * CAST(pow(4, 3 - j) AS BIGINT))) AS INTEGER))"
 
 
-@query(f"SELECT doc_id, list_concat([259], {KMER}) AS tokens FROM base_sequences")
+@query(f"SELECT doc_id, list_concat([259], {KMER}) AS tokens FROM (SELECT doc_id, substr(seq, 1, 148) AS seq FROM base_sequences)")
 def kmer_targets(spark, sf):
     tokens = F.concat(F.array(F.lit(sequences.START_TOKEN)), sequences.kmer_indices(F.substring("seq", 1, 148)))
     path = text.shared_path(spark)
@@ -162,7 +194,8 @@ def phred(spark, sf):
     return T.calls(spark, sf).select("event_id", quality.phred(F.col("qual")).alias("phred"))
 
 
-@query()
+@query("""WITH n AS (SELECT region_id, ("end" - start) * (region_id * 977 + 1) AS n FROM regions)
+SELECT region_id, CASE WHEN n < 10000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN printf('%.1f Kb', round_even(n / 1000.0, 1)) WHEN n < 1000000000 THEN printf('%.1f MB', round_even(n / 1000000.0, 1)) ELSE printf('%.1f GB', round_even(n / 1000000000.0, 1)) END AS size FROM n""")
 def format_bp(spark, sf):
     return T.regions(spark, sf).select("region_id", quality.format_bp((F.col("end") - F.col("start")) * (F.col("region_id") * 977 + 1)).alias("size"))
 
@@ -188,10 +221,11 @@ FEATURES = """CAST(base = 'A' AS INTEGER) AS f0, CAST(base = 'C' AS INTEGER) AS
   CAST(op IN ('M', 'D', 'S') AS INTEGER) AS f5, CAST(op IN ('M', 'I', 'S') AS INTEGER) AS f6, CAST(is_reverse AS INTEGER) AS f7, CAST(op = 'S' AS INTEGER) AS f8, CAST(round_even(mapq / 10.0, 0) AS INTEGER) AS f9"""
 
 
-@query(f"SELECT read_id, i AS q, {FEATURES} FROM (SELECT *, 'M' AS op FROM read_bases WHERE i < 3)")
+@query(f"SELECT read_id, i AS q, {FEATURES} FROM (SELECT *, 'M' AS op FROM read_bases)")
 def encode_bases(spark, sf):
-    rows = T.reads(spark, sf).select("read_id", "mapq", "is_reverse", "quals", "bases", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
-    calls = sequences.call_features(F.substring("bases", F.col("i") + 1, F.lit(1)), F.element_at("quals", F.col("i") + 1), F.lit("M"), F.col("is_reverse"), F.col("mapq"))
+    both = F.arrays_zip(F.split("bases", "").alias("base"), F.col("quals").alias("qual"))
+    rows = T.reads(spark, sf).select("read_id", "mapq", "is_reverse", F.posexplode(both).alias("i", "x"))
+    calls = sequences.call_features(F.col("x.base"), F.col("x.qual"), F.lit("M"), F.col("is_reverse"), F.col("mapq"))
     return rows.select("read_id", F.col("i").cast("long").alias("q"), *calls)
 
 
@@ -308,12 +342,12 @@ def vector_mean(spark, sf):
     return means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v")).select("label", F.transform("v", lambda y: y["m"]).alias("mean"))
 
 
-@query("SELECT window_no, string_agg((list_transform([k // 64, k // 16 % 4, k // 4 % 4, k % 4], lambda c: substr('ACGT', c + 1, 1))).list_aggr('string_agg', ''), '' ORDER BY i) AS seq, flatten(list_transform(list(logp ORDER BY i), lambda x: [exp(x), exp(x), exp(x), exp(x)])) AS probs FROM (SELECT *, CAST(token AS BIGINT) AS k FROM hap_tokens WHERE i < least(36, 100 // 4 + 1)) GROUP BY window_no")
+@query("SELECT window_no, string_agg((list_transform([k // 64, k // 16 % 4, k // 4 % 4, k % 4], lambda c: substr('ACGT', c + 1, 1))).list_aggr('string_agg', ''), '' ORDER BY i) AS seq, flatten(list_transform(list(logp ORDER BY i), lambda x: [round(exp(x), 8), round(exp(x), 8), round(exp(x), 8), round(exp(x), 8)])) AS probs FROM (SELECT *, CAST(token AS BIGINT) AS k FROM hap_tokens WHERE i < least(36, 100 // 4 + 1)) GROUP BY window_no")
 def tokens_to_bases(spark, sf):
-    """Tokens as bases with a probability each; as many tokens as reach a distance of 100."""
+    """Tokens as bases with a probability each, to eight digits; as many tokens as reach a distance of 100."""
     wanted = min(36, 100 // sequences.K + 1)
     lists = T.hap_tokens(spark, sf).where(F.col("i") < wanted).groupBy("window_no").agg(F.array_sort(F.collect_list(F.struct("i", "token", "logp"))).alias("x"))
-    return lists.select("window_no", sequences.kmer_string(F.transform("x", lambda y: y["token"])).alias("seq"), sequences.expanded(F.transform("x", lambda y: F.exp(y["logp"]))).alias("probs"))
+    return lists.select("window_no", sequences.kmer_string(F.transform("x", lambda y: y["token"])).alias("seq"), sequences.expanded(F.transform("x", lambda y: F.round(F.exp(y["logp"]), 8))).alias("probs"))
 
 
 @query()

@@ -14,7 +14,7 @@ from .registry import query
 
 
 def piled(spark, sf):
-    return P.pileup(T.reads(spark, sf), T.ref_bases(spark, sf))
+    return P.pileup(T.reads(spark, sf), T.ref_chunks(spark, sf))
 
 
 def regional_variants(spark, sf):
@@ -32,11 +32,10 @@ def tested_regions(spark, sf):
 @query("""WITH r AS (SELECT variant_id, chrom, pos + 1 AS pos, ref, alts[1] AS alt FROM variants), o AS (SELECT *, pos + length(ref) - length(alt) AS stop, lag(variant_id) OVER w AS before, lag(pos) OVER w AS p, lag(pos + length(ref) - length(alt)) OVER w AS s FROM r WINDOW w AS (PARTITION BY chrom ORDER BY pos, variant_id))
 SELECT variant_id, before, NOT (s < pos OR stop < p) AS overlapping FROM o WHERE before IS NOT NULL""")
 def record_overlap(spark, sf):
-    order = Window.partitionBy("chrom", F.floor(F.col("start") / 10**9)).orderBy("start", "variant_id")
     rows = T.variants(spark, sf).selectExpr("variant_id", "chrom", "pos + 1 AS start", "ref", "alts[0] AS alt")
     rows = rows.withColumn("stop", alleles.record_end(F.col("start"), F.col("ref"), F.col("alt")))
-    test = alleles.overlaps(F.lag("start").over(order), F.lag("stop").over(order), F.col("start"), F.col("stop"))
-    return rows.select("variant_id", F.lag("variant_id").over(order).alias("before"), test.alias("overlapping")).where("before is not null")
+    rows = intervals.with_former(rows, "chrom", "start", ["start", "variant_id"], {"variant_id": "before", "start": "p", "stop": "s"}).where("before is not null")
+    return rows.select("variant_id", "before", alleles.overlaps(F.col("p"), F.col("s"), F.col("start"), F.col("stop")).alias("overlapping"))
 
 
 @query('SELECT region_id, variant_id FROM regions r JOIN variants v ON r.chrom = v.chrom AND v.pos < r."end" AND r.start < v.pos + length(v.ref)')
@@ -44,6 +43,13 @@ def variants_in_region(spark, sf):
     return intervals.interval_join(T.regions(spark, sf).select("region_id", "chrom", "start", "end"), regional_variants(spark, sf)).select("region_id", "variant_id")
 
 
+@query('SELECT region_id, variant_id FROM regions r JOIN variants v ON r.chrom = v.chrom AND v.pos < r."end" AND r.start < v.pos + length(v.ref)')
+def variants_by_bare_name(spark, sf):
+    """The same where one side's chromosomes have no leading chr."""
+    bare = T.regions(spark, sf).select("region_id", intervals.bare_name(F.col("chrom")).alias("chrom"), "start", "end")
+    return intervals.interval_join(bare, regional_variants(spark, sf)).select("region_id", "variant_id")
+
+
 @query('SELECT region_id, (SELECT count(*) FROM strata s WHERE s.chrom = r.chrom AND s.start < r."end" AND r.start < s."end" AND s."end" - s.start >= 20) AS hits FROM regions r')
 def region_annotation(spark, sf):
     sets = T.strata(spark, sf).where(F.col("end") - F.col("start") >= 20).select("chrom", "start", "end")
@@ -64,15 +70,14 @@ def reads_spanning(spark, sf):
     return pairs.select("variant_id", "read_id")
 
 
-WINDOWS = "SELECT region_id, chrom, n AS window_no, start - 105 + 25 * n AS window_start, region_id * 1000 + n AS window_id FROM (SELECT *, unnest(range(0, (\"end\" - 30 - (start - 105)) // 25 + 1)) AS n FROM regions WHERE \"end\" - start <= 200)"
+WINDOWS = "SELECT region_id, chrom, n AS window_no, start - 105 + 25 * n AS window_start, region_id * 1048576 + n AS window_id FROM (SELECT *, unnest(range(0, (\"end\" - 30 - (start - 105)) // 25 + 1)) AS n FROM regions)"
 WINDOW_READS = f"""SELECT window_id, read_id, clip AS read_start FROM (SELECT w.window_id, r.read_id, r.clip, count(*) OVER (PARTITION BY w.window_id) AS n FROM ({WINDOWS}) w
-  JOIN (SELECT *, CASE WHEN cigar LIKE '10S%' THEN start - 10 ELSE start END AS clip FROM read_rows) r ON r.chrom = w.chrom AND r.clip >= w.window_start - 150 AND r.clip < w.window_start + 150 AND r.clip + 100 >= w.window_start) WHERE n >= 5"""
+  JOIN (SELECT *, CASE WHEN cigar LIKE '10S%' THEN start - 10 ELSE start END AS clip FROM read_rows) r ON r.chrom = w.chrom AND r.clip >= w.window_start - 100 AND r.clip < w.window_start + 150) WHERE n >= 5"""
 
 
 def windows(spark, sf):
-    small = tested_regions(spark, sf).where(F.col("end") - F.col("start") <= 200)
-    rows = intervals.sliding_windows(small)
-    return rows.withColumn("window_id", F.col("region_id") * 1000 + F.col("window_no"))
+    rows = intervals.sliding_windows(tested_regions(spark, sf))
+    return rows.withColumn("window_id", F.shiftleft("region_id", 20) + F.col("window_no"))
 
 
 @query(WINDOWS)
@@ -99,19 +104,31 @@ def exact_match(spark, sf):
     return evaluation.exact_matches(rows, known).select("site", "truth_id")
 
 
-#: Records that are padded on the left; trimming has to find the difference again.
-PAD_LEFT = "SELECT site AS record_id, chrom, pos - 2 AS pos, 'CA' || ref || 'G' AS ref, ['CA' || alt || 'G'] AS alts FROM truth WHERE ref <> '' AND alt <> '' AND length(ref) = length(alt)"
+#: Calls as records with up to two reference bases before and one after; trimming has to find the difference again.
+PADDED_CALLS = f"""SELECT site AS record_id, chrom, pos - w AS pos, CASE WHEN w > 0 THEN {T.BASE.format(p='(pos - 2)', c='c')} || {T.BASE.format(p='(pos - 1)', c='c')} ELSE '' END || ref || {T.BASE.format(p='(pos + length(ref))', c='c')} AS ref,
+  CASE WHEN w > 0 THEN {T.BASE.format(p='(pos - 2)', c='c')} || {T.BASE.format(p='(pos - 1)', c='c')} ELSE '' END || alt || {T.BASE.format(p='(pos + length(ref))', c='c')} AS alt
+  FROM (SELECT DISTINCT site, chrom, pos, ref, alt, site % 4 + 1 AS c, CASE WHEN pos >= 2 THEN 2 ELSE 0 END AS w FROM calls)"""
+#: Suffix, then prefix cut off, leaving a base of each.
+TRIM = """SELECT record_id, chrom, pos + prefix AS pos, substr(r, prefix + 1) AS ref, substr(a, prefix + 1) AS alt FROM (SELECT *, (SELECT coalesce(max(k), 0) FROM range(1, least(length(r), length(a))) x(k) WHERE left(r, k) = left(a, k)) AS prefix
+  FROM (SELECT *, left(ref, length(ref) - suffix) AS r, left(alt, length(alt) - suffix) AS a FROM (SELECT *, (SELECT coalesce(max(k), 0) FROM range(1, least(length(ref), length(alt))) x(k) WHERE right(ref, k) = right(alt, k)) AS suffix FROM {rows})))"""
 
 
-@query(f"""WITH a AS ({PAD_LEFT}), b AS (SELECT record_id, pos + 2 AS pos, chrom, substr(ref, 3, length(ref) - 3) AS ref, substr(alts[1], 3, length(alts[1]) - 3) AS alt FROM a)
-SELECT b.record_id, v.site AS truth_id FROM b JOIN truth v ON b.chrom = v.chrom AND b.pos = v.pos AND b.ref = v.ref AND b.alt = v.alt WHERE b.ref <> b.alt AND left(b.ref, 1) <> left(b.alt, 1) AND right(b.ref, 1) <> right(b.alt, 1)""")
+@query(f"""WITH c AS ({PADDED_CALLS}), k AS (SELECT variant_id AS record_id, chrom, pos, ref, unnest(alts) AS alt FROM variants), a AS ({TRIM.format(rows='c')}), b AS ({TRIM.format(rows='k')})
+SELECT a.record_id, b.record_id AS truth_id, a.pos, a.ref, a.alt FROM a JOIN b USING (chrom, pos, ref, alt)""")
 def normalized_match(spark, sf):
-    """Padded records against the truth, after trimming of both."""
-    known = T.truth(spark, sf).where("ref <> '' and alt <> '' and length(ref) = length(alt)")
-    padded = known.select(F.col("site").alias("record_id"), "chrom", (F.col("pos") - 2).alias("pos"), F.concat(F.lit("CA"), "ref", F.lit("G")).alias("ref"), F.array(F.concat(F.lit("CA"), "alt", F.lit("G"))).alias("alts"))
-    plain = known.select(F.col("site").alias("record_id"), "chrom", "pos", "ref", F.array("alt").alias("alts"))
-    right = evaluation.normalized(plain).withColumnRenamed("record_id", "truth_id")
-    return evaluation.normalized(padded).join(right, evaluation.VARIANT).select("record_id", "truth_id")
+    """Calls, as records with surrounding reference bases, against every alternative of the variants, after trimming of both."""
+    c = F.col("site") % 4 + 1
+
+    def base(at):
+        return T.letter(T.base_code(c, at))
+
+    rows = T.calls(spark, sf).select("site", "chrom", "pos", "ref", "alt").distinct()
+    before = F.when(F.col("pos") >= 2, F.concat(base(F.col("pos") - 2), base(F.col("pos") - 1))).otherwise("")
+    after = base(F.col("pos") + F.length("ref"))
+    padded = rows.select(F.col("site").alias("record_id"), "chrom", (F.col("pos") - F.length(before)).alias("pos"), F.concat(before, "ref", after).alias("ref"), F.array(F.concat(before, "alt", after)).alias("alts"))
+    known = T.variants(spark, sf).select(F.col("variant_id").alias("record_id"), "chrom", "pos", "ref", "alts")
+    right = evaluation.normalized(known).withColumnRenamed("record_id", "truth_id")
+    return evaluation.normalized(padded).join(right, evaluation.VARIANT).select("record_id", "truth_id", "pos", "ref", "alt")
 
 
 @query("SELECT c.site AS record_id, coalesce(CASE WHEN v.site % 4 <> 0 THEN v.site % 100 / 100.0 END, 0.0) AS af FROM (SELECT DISTINCT site, chrom, pos, ref, alt FROM calls) c LEFT JOIN truth v ON c.chrom = v.chrom AND c.pos = v.pos AND c.ref = v.ref AND c.alt = v.alt")
@@ -158,12 +175,13 @@ def suspect_spots(spark, sf):
 
 
 @query("""WITH v AS (SELECT site AS variant_id, chrom, pos + 1 AS pos, ref || repeat('A', CAST(site % 7 AS INTEGER)) AS ref, [alt] AS alts FROM truth WHERE pos > 30),
-x AS (SELECT variant_id, (SELECT count(*) FROM pileup p WHERE p.chrom = v.chrom AND p.indels > 1 AND p.pos >= v.pos - 20 AND p.pos < v.pos + 20) AS indel_starts,
-  (SELECT count(*) FROM reads r WHERE r.chrom = v.chrom AND r.start < v.pos + 20 AND v.pos - 20 < r."end") AS reads, 0 AS clipped FROM v WHERE greatest(length(ref), length(alts[1])) > 4)
-SELECT variant_id, indel_starts, reads FROM x WHERE indel_starts > 4""")
+x AS (SELECT variant_id, (SELECT count(*) FROM pileup p WHERE p.chrom = v.chrom AND p.indels > 1 AND p.pos >= v.pos - 300 AND p.pos < v.pos + 300) AS indel_starts,
+  (SELECT count(*) FROM reads r WHERE r.chrom = v.chrom AND r.start < v.pos + 300 AND v.pos - 300 < r."end") AS reads, 0 AS clipped FROM v WHERE greatest(length(ref), length(alts[1])) > 4)
+SELECT variant_id, indel_starts, reads FROM x WHERE indel_starts > 1""")
 def complex_variants(spark, sf):
     rows = T.truth(spark, sf).where("pos > 30").selectExpr("site AS variant_id", "chrom", "pos + 1 AS pos", "concat(ref, repeat('A', cast(site % 7 as int))) AS ref", "array(alt) AS alts")
-    return P.complex_variants(rows, T.reads(spark, sf), piled(spark, sf)).select("variant_id", "indel_starts", "reads")
+    # The derived reads have few indels; a wider neighbourhood and a lower limit find some.
+    return P.complex_variants(rows, T.reads(spark, sf), piled(spark, sf), around=300, starts=1).select("variant_id", "indel_starts", "reads")
 
 
 def evidence_records(spark, sf):
@@ -394,10 +412,10 @@ def holdout_split(spark, sf):
 
 
 ALIGNED = """SELECT read_id, i, CASE WHEN cigar = '50M3I47M' AND i >= 53 THEN i - 3 WHEN cigar = '40M2D60M' AND i >= 40 THEN i + 2 WHEN cigar = '10S90M' THEN i - 10 ELSE i END AS t, base, 1 - 1.0 / (qual + 1) AS p, cigar, start, c, free
-  FROM read_bases WHERE read_id % 5 = 0 OR cigar <> '100M'"""
+  FROM read_bases"""
 
 
-@query("""WITH x AS (SELECT read_id, i, base, 1 - 1.0 / (qual + 1) AS pr, start, c, substr('ACGT', 1 + (((start+i)*(start+i)*31 + (start+i)*17 + c*5) % 97) % 4, 1) AS r FROM read_bases WHERE cigar = '100M' AND read_id % 5 = 0),
+@query("""WITH x AS (SELECT read_id, i, base, 1 - 1.0 / (qual + 1) AS pr, start, c, substr('ACGT', 1 + (((start+i)*(start+i)*31 + (start+i)*17 + c*5) % 97) % 4, 1) AS r FROM read_bases WHERE cigar = '100M'),
 m AS (SELECT *, i - row_number() OVER (PARTITION BY read_id ORDER BY i) AS run FROM x WHERE base <> r)
 SELECT read_id, start + min(i) AS pos, string_agg(r, '' ORDER BY i) AS ref, string_agg(base, '' ORDER BY i) AS alt, exp(avg(ln(pr))) AS qual, min(i) AS window_offset FROM m GROUP BY read_id, start, run""")
 def mismatch_runs(spark, sf):
@@ -421,17 +439,16 @@ def cigar_variants(spark, sf):
 # --- haplotypes ---------------------------------------------------------------------------
 
 
-def variant_regions(spark, sf):
-    """Stretches of 60 positions with one to four variants, and the variants in them by place."""
-    rows = T.variants(spark, sf).withColumn("part", F.floor(F.col("pos") / 60))
+def variant_regions(spark, sf, width: int = 60):
+    """Stretches of ``width`` positions with variants, and the variants in them by place."""
+    rows = T.variants(spark, sf).withColumn("part", F.floor(F.col("pos") / width))
     rows = rows.withColumn("region_id", F.col("part") * 4 + F.substring("chrom", 4, 1).cast("int") - 1)
     order = Window.partitionBy("region_id")
-    rows = rows.withColumns({"place": F.row_number().over(order.orderBy("pos", "variant_id")), "n": F.count("*").over(order)})
-    return rows.where("n <= 4").select("region_id", "chrom", "part", "place", F.col("pos").alias("start"), "ref", "alts", "gt", "variant_id")
+    return rows.withColumn("place", F.row_number().over(order.orderBy("pos", "variant_id"))).select("region_id", "chrom", "part", "place", F.col("pos").alias("start"), "ref", "alts", "gt", "variant_id")
 
 
-MEMBERS = """members AS (SELECT * FROM (SELECT pos // 60 * 4 + CAST(substr(chrom, 4) AS BIGINT) - 1 AS region_id, chrom, pos // 60 AS part, pos AS start, ref, alts, gt, variant_id,
-  row_number() OVER (PARTITION BY pos // 60, chrom ORDER BY pos, variant_id) AS place, count(*) OVER (PARTITION BY pos // 60, chrom) AS n FROM variants) WHERE n <= 4)"""
+MEMBERS = """members AS (SELECT pos // 60 * 4 + CAST(substr(chrom, 4) AS BIGINT) - 1 AS region_id, chrom, pos // 60 AS part, pos AS start, ref, alts, gt, variant_id,
+  row_number() OVER (PARTITION BY pos // 60, chrom ORDER BY pos, variant_id) AS place FROM variants)"""
 COMBOS = f"""{MEMBERS}, lists AS (SELECT region_id, list(list_transform(gt, lambda g: coalesce(g, 0)) ORDER BY place) AS m FROM members GROUP BY region_id),
 ways AS (SELECT *, unnest(range(0, CAST(pow(2, len(m)) AS BIGINT))) AS way FROM lists),
 sides AS (SELECT region_id, list_transform(range(1, len(m) + 1), lambda i: m[i][CASE WHEN way // CAST(pow(2, i - 1) AS BIGINT) % 2 = 0 THEN 1 ELSE 2 END]) AS a, list_transform(range(1, len(m) + 1), lambda i: m[i][CASE WHEN way // CAST(pow(2, i - 1) AS BIGINT) % 2 = 0 THEN 2 ELSE 1 END]) AS b FROM ways),
@@ -444,6 +461,12 @@ def genotype_combos(spark, sf):
     return haplotypes.genotype_combos(variant_regions(spark, sf))
 
 
+@query("""SELECT region_id, span, 'span over 100' AS reason FROM (SELECT pos // 240 * 4 + CAST(substr(chrom, 4) AS BIGINT) - 1 AS region_id, max(pos + length(ref)) - min(pos) AS span FROM variants GROUP BY 1) WHERE span > 100""")
+def unphased_regions(spark, sf):
+    """Stretches of 240 positions whose variants lie too far apart to be phased together, with the reason."""
+    return haplotypes.too_wide(variant_regions(spark, sf, 240)).select("region_id", "span", "reason")
+
+
 COMPATIBLE = f"""{COMBOS}, used AS (SELECT region_id, combo, hap, unnest(h) AS allele, unnest(range(1, 1 + len(h))) AS place FROM (SELECT region_id, combo, 0 AS hap, h0 AS h FROM combos UNION ALL SELECT region_id, combo, 1, h1 FROM combos)),
 al AS (SELECT u.*, m.start, m.ref, m.alts[u.allele] AS alt FROM used u JOIN members m USING (region_id, place) WHERE u.allele > 0),
 sf AS (SELECT *, (SELECT coalesce(max(k), 0) FROM range(1, 1 + least(length(ref), length(alt))) x(k) WHERE right(ref, k) = right(alt, k)) AS s FROM al),
@@ -478,38 +501,20 @@ spliced AS (SELECT region_id, combo, hap, seq FROM walk WHERE place = len(allele
 """
 
 
-def chosen_haplotypes(members):
-    """Both haplotypes as given: allele 1 everywhere if no variant is heterozygous, else each side's alleles (half calls: 0)."""
-    het = F.size(F.array_distinct(F.transform("gt", lambda g: F.coalesce(g, F.lit(-1))))) > 1
-    rows = members.groupBy("region_id").agg(F.count_if(het).alias("hets"), F.array_sort(F.collect_list(F.struct("place", F.transform("gt", lambda g: F.coalesce(g, F.lit(0))).alias("g")))).alias("m"))
-
-    def side(h: int):
-        return F.struct(F.lit(h).alias("hap"), F.transform("m", lambda x: x["g"][h]).alias("alleles"))
-
-    return rows.where("hets <= 1").select("region_id", F.lit(0).alias("combo"), F.inline(F.array(side(0), side(1))))
-
-
-@query(f"""WITH RECURSIVE {MEMBERS}, {SPLICED.format(chosen='''SELECT region_id, 0 AS combo, h AS hap, list(coalesce(gt[h + 1], 0) ORDER BY place) AS alleles FROM members, (SELECT unnest([0, 1]) AS h) GROUP BY region_id, h
-  HAVING count(*) FILTER (gt[1] IS DISTINCT FROM gt[2]) <= 1''')} SELECT region_id, hap, seq FROM spliced""")
-def splice_haplotypes(spark, sf):
-    members = variant_regions(spark, sf)
-    return haplotypes.spliced(members, stretch_sequences(spark, sf), chosen_haplotypes(members)).select("region_id", "hap", "seq")
-
-
 def supported(spark, sf):
     members = variant_regions(spark, sf)
     good = haplotypes.compatible(haplotypes.genotype_combos(members), members)
     listed = good.select("region_id", "combo", F.posexplode(F.array("h0", "h1")).alias("hap", "alleles"))
     sequences = haplotypes.spliced(members, stretch_sequences(spark, sf), listed).select("region_id", "combo", "hap", "seq")
     area = members.groupBy("region_id", "chrom").agg(F.min("start").alias("start"), F.max(F.col("start") + F.length("ref")).alias("end"))
-    spans = P.reference_span(T.reads(spark, sf)).where("read_id % 4 = 0").select("read_id", "chrom", "start", "end", "bases")
+    spans = P.reference_span(T.reads(spark, sf)).select("read_id", "chrom", "start", "end", "bases")
     reads = intervals.interval_join(area, spans, condition=(F.col("r_start") <= F.col("start")) & (F.col("r_end") >= F.col("end"))).select("region_id", "read_id", "bases")
     return haplotypes.haplotype_support(sequences, reads)
 
 
 SUPPORT = f"""WITH RECURSIVE {COMPATIBLE}, {SPLICED.format(chosen='SELECT region_id, combo, 0 AS hap, h0 AS alleles FROM good UNION ALL SELECT region_id, combo, 1, h1 FROM good')},
 area AS (SELECT region_id, chrom, min(start) AS s, max(start + length(ref)) AS e FROM members GROUP BY ALL),
-pairs AS (SELECT p.region_id, p.combo, p.hap, r.read_id, levenshtein(r.bases, p.seq) AS d FROM spliced p JOIN area a USING (region_id) JOIN reads r ON r.chrom = a.chrom AND r.start <= a.s AND r."end" >= a.e AND r.read_id % 4 = 0),
+pairs AS (SELECT p.region_id, p.combo, p.hap, r.read_id, levenshtein(r.bases, p.seq) AS d FROM spliced p JOIN area a USING (region_id) JOIN reads r ON r.chrom = a.chrom AND r.start <= a.s AND r."end" >= a.e),
 near AS (SELECT *, min(d) OVER (PARTITION BY region_id, read_id) AS best FROM pairs), shares AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY region_id, read_id) AS share FROM near WHERE d = best),
 sums AS (SELECT region_id, combo, hap, sum(share) AS support FROM shares GROUP BY ALL), full_s AS (SELECT p.region_id, p.combo, p.hap, coalesce(s.support, 0.0) AS support FROM spliced p LEFT JOIN sums s USING (region_id, combo, hap)),
 scored AS (SELECT *, support / nullif(sum(support) OVER (PARTITION BY region_id), 0) AS score FROM full_s)
@@ -521,11 +526,42 @@ def haplotype_support(spark, sf):
     return supported(spark, sf).select("region_id", "combo", "hap", "support", "score")
 
 
-@query(SUPPORT + ", g AS (SELECT region_id, combo, sum(score) AS score FROM scored WHERE score IS NOT NULL GROUP BY ALL) SELECT region_id, combo, score FROM g QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY round(score, 9) DESC, combo) = 1")
+BEST = SUPPORT + """, g AS (SELECT region_id, combo, sum(score) AS score FROM scored WHERE score IS NOT NULL GROUP BY ALL),
+best AS (SELECT region_id, combo, score FROM g QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY round(score, 9) DESC, combo) = 1)
+"""
+
+
+@query(BEST + "SELECT region_id, combo, score FROM best")
 def best_genotype(spark, sf):
     return haplotypes.best_genotypes(supported(spark, sf)).select("region_id", "combo", "score")
 
 
+def chosen_haplotypes(members, good, best):
+    """Both haplotypes of each stretch: as given if at most one variant is heterozygous (allele 1 everywhere if none is;
+    half calls: 0), else those of the best-supported genotype, or of the first possible one where no read tells."""
+    het = F.size(F.array_distinct(F.transform("gt", lambda g: F.coalesce(g, F.lit(-1))))) > 1
+    rows = members.groupBy("region_id").agg(F.count_if(het).alias("hets"), F.array_sort(F.collect_list(F.struct("place", F.transform("gt", lambda g: F.coalesce(g, F.lit(0))).alias("g")))).alias("m"))
+
+    def side(h: int):
+        return F.struct(F.lit(h).alias("hap"), F.transform("m", lambda x: x["g"][h]).alias("alleles"))
+
+    given = rows.where("hets <= 1").select("region_id", F.lit(0).alias("combo"), F.inline(F.array(side(0), side(1))))
+    several = good.join(rows.where("hets > 1").select("region_id"), "region_id").join(best.select("region_id", F.col("combo").alias("best")), "region_id", "left")
+    first = several.groupBy("region_id").agg(F.min_by(F.struct("combo", "h0", "h1"), F.struct((F.col("combo") != F.coalesce("best", F.lit(-1))).alias("other"), "combo")).alias("x"))
+    return given.unionByName(first.select("region_id", "x.combo", F.posexplode(F.array("x.h0", "x.h1")).alias("hap", "alleles")))
+
+
+@query(BEST.replace("SELECT region_id, combo, 0 AS hap, h0 AS alleles FROM good", """SELECT region_id, 0 AS combo, h AS hap, list(coalesce(gt[h + 1], 0) ORDER BY place) AS alleles FROM members, (SELECT unnest([0, 1]) AS h) GROUP BY region_id, h
+  HAVING count(*) FILTER (gt[1] IS DISTINCT FROM gt[2]) <= 1 UNION ALL SELECT region_id, combo, 0 AS hap, h0 AS alleles FROM good""").replace("full_s AS (SELECT p.region_id", "full_s AS (SELECT p.region_id").replace("FROM spliced p JOIN area a USING (region_id)", "FROM (SELECT * FROM spliced WHERE combo > 0) p JOIN area a USING (region_id)").replace("FROM spliced p LEFT JOIN sums", "FROM (SELECT * FROM spliced WHERE combo > 0) p LEFT JOIN sums") + """, several AS (SELECT region_id FROM members GROUP BY region_id HAVING count(*) FILTER (gt[1] IS DISTINCT FROM gt[2]) > 1),
+picked AS (SELECT region_id, coalesce(b.combo, min(c.combo)) AS combo FROM several JOIN good c USING (region_id) LEFT JOIN best b USING (region_id) GROUP BY region_id, b.combo)
+SELECT region_id, hap, seq FROM spliced WHERE combo = 0 UNION ALL SELECT region_id, hap, seq FROM spliced JOIN picked USING (region_id, combo)""")
+def splice_haplotypes(spark, sf):
+    members = variant_regions(spark, sf)
+    good = haplotypes.compatible(haplotypes.genotype_combos(members), members)
+    chosen = chosen_haplotypes(members, good, haplotypes.best_genotypes(supported(spark, sf)))
+    return haplotypes.spliced(members, stretch_sequences(spark, sf), chosen).select("region_id", "hap", "seq")
+
+
 # --- labels and metrics -------------------------------------------------------------------
 
 
@@ -603,10 +639,10 @@ def capped_training_set(spark, sf):
     return kept.select("record_id", "sample", F.lit(1).alias("label")).unionByName(rows.where("call = 'FP'").select("record_id", "sample", F.lit(0).alias("label")))
 
 
-@query("""SELECT e.record_id, e.sample, CASE WHEN e.call = 'TP' THEN 1 ELSE 0 END AS label FROM evaluated e WHERE e.record_id % 29 <> 0 AND (e.call = 'FP' OR EXISTS (SELECT 1 FROM truth t WHERE t.chrom = e.chrom AND t.pos = e.pos AND t.ref = e.ref AND t.alt = e.alt))""")
+@query("""SELECT e.record_id, e.sample, CASE WHEN e.call = 'TP' THEN 1 ELSE 0 END AS label FROM evaluated e WHERE (e.call = 'FP' OR EXISTS (SELECT 1 FROM truth t WHERE t.chrom = e.chrom AND t.pos = e.pos AND t.ref = e.ref AND t.alt = e.alt))""")
 def labelled_calls(spark, sf):
-    """Evaluated records with 0 or 1, where the record is found again; conflicting ones are skipped."""
-    rows = T.evaluated(spark, sf).where("record_id % 29 <> 0").withColumn("alts", F.array("alt"))
+    """Evaluated records with 0 or 1, where the record is found again."""
+    rows = T.evaluated(spark, sf).withColumn("alts", F.array("alt"))
     known = T.truth(spark, sf).groupBy("chrom", "pos", "ref", F.array("alt").alias("alts")).agg(F.min("site").alias("truth_id"))
     tp = evaluation.exact_matches(rows.where("call = 'TP'"), known).select("record_id", "sample", F.lit(1).alias("label"))
     return tp.unionByName(rows.where("call = 'FP'").select("record_id", "sample", F.lit(0).alias("label")))

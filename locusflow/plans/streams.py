@@ -11,11 +11,17 @@ from . import tables as T
 from .registry import query
 
 
-def as_stream(df, order: list[str]):
-    """``df`` written as files in ``order`` and read back as a stream."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession)
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+#: Files that a table is streamed from, one in each micro-batch.
+FILES = 4
+
+
+def as_stream(df, order: list[str], files: int = FILES):
+    """``df`` read as a stream of micro-batches, each a file of the rows that follow in ``order``."""
+    spark, whole, path = df.sparkSession, shared_path(df.sparkSession), shared_path(df.sparkSession)
+    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(whole)
+    for name in sorted(spark.read.parquet(whole).inputFiles()):  # files arrive one after the other
+        spark.read.schema(df.schema).parquet(name).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def with_sentinel(df, **values):
@@ -44,14 +50,20 @@ def stream_totals(spark, sf):
 walk AS (SELECT chrom, k, pos, pos AS lo FROM spots WHERE k = 1 UNION ALL SELECT s.chrom, s.k, s.pos, CASE WHEN s.pos - w.lo < 100 THEN w.lo ELSE s.pos END FROM walk w JOIN spots s ON s.chrom = w.chrom AND s.k = w.k + 1)
 SELECT chrom, lo - 8 AS start, max(pos) + 8 AS "end" FROM walk GROUP BY chrom, lo""")
 def stream_anchored_clusters(spark, sf):
-    spots = suspect_spots(pileup(T.reads(spark, sf), T.ref_bases(spark, sf))).select("chrom", "pos")
+    spots = suspect_spots(pileup(T.reads(spark, sf), T.ref_chunks(spark, sf))).select("chrom", "pos")
     out = sites.run_available(sites.stream_clusters(as_stream(with_sentinel(spots), ["chrom", "pos"])))
     return out.where(F.col("chrom") != sites.SENTINEL)
 
 
-@query("SELECT variant_id, chrom, pos, false AS late FROM variants")
+@query("""WITH v AS (SELECT variant_id, chrom, pos, CAST(variant_id % 4 AS INTEGER) AS arrival FROM variants), t AS (SELECT arrival, max({'chrom': chrom, 'pos': pos, 'variant_id': variant_id}) AS top FROM v GROUP BY arrival)
+SELECT variant_id, chrom, pos, arrival AS batch, coalesce({'chrom': chrom, 'pos': pos, 'variant_id': variant_id} < (SELECT max(top) FROM t WHERE t.arrival < v.arrival), false) AS late FROM v""")
 def stream_reorder(spark, sf):
+    """Variants that arrive in four files, each spread over all positions: every batch in order, late rows marked."""
     path = shared_path(spark)
-    rows = T.variants(spark, sf).select("chrom", "pos", "variant_id")
-    sites.reordered(as_stream(rows, ["variant_id"]), path, ["chrom", "pos", "variant_id"])
-    return spark.read.parquet(path).select("variant_id", "chrom", "pos", "late")
+    rows = T.variants(spark, sf).select("chrom", "pos", "variant_id", (F.col("variant_id") % 4).cast("int").alias("arrival"))
+    folder = shared_path(spark)
+    for k in range(FILES):
+        rows.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    sites.reordered(stream, path, ["chrom", "pos", "variant_id"])
+    return sites.reordered_rows(spark, path, "chrom string, pos long, variant_id long").select("variant_id", "chrom", "pos", "batch", "late")

@@ -40,8 +40,9 @@ PLANTED = (0, 60, 95, 105, 300, 360, 420)
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One read of 100 bases for each order."""
-    rows = source(spark, sf_dir, "orders").select(
+    """One read of 100 bases for each order, made on all cores; ``size`` is known without the bases."""
+    orders = source(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    rows = orders.select(
         F.col("o_orderkey").alias("read_id"), (F.col("o_custkey") % 4 + 1).alias("c"), F.col("o_orderkey").alias("start"), F.expr(CIGARS).alias("cigar"),
         (F.col("o_custkey") % 61).cast("int").alias("mapq"), (F.col("o_orderkey") % 2 == 1).alias("is_reverse"),
     )
@@ -57,7 +58,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = F.sequence(F.lit(0), F.lit(99))
     rows = rows.withColumn("bases", F.array_join(F.transform(places, base), ""))
     rows = rows.withColumn("quals", F.transform(places, lambda i: (10 + (F.col("read_id") + i) % 31).cast("int")))
-    return rows.select("read_id", F.concat(F.lit("chr"), "c").alias("chrom"), "start", "cigar", "mapq", "is_reverse", "bases", "quals")
+    return rows.select("read_id", F.concat(F.lit("chr"), "c").alias("chrom"), "start", "cigar", "mapq", "is_reverse", "bases", "quals", F.lit(100).alias("size"))
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,12 +124,12 @@ def hap_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def base_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s"))
-    return rows.select("doc_id", F.expr("substr(s, 1, least(length(s) div 4 * 4, 148))").alias("seq"))
+    return rows.select("doc_id", F.expr("substr(s, 1, length(s) div 4 * 4)").alias("seq"))
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pair of sequences for each read: the reference under it and its own bases, with CIGAR and base probabilities."""
-    rows = reads(spark, sf_dir).where("read_id % 5 = 0 OR cigar <> '100M'")
+    rows = reads(spark, sf_dir)
     c, clip = F.substring("chrom", 4, 1).cast("bigint"), F.when(F.col("cigar") == "10S90M", 10).otherwise(0)
     ref = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(104)), lambda i: letter(base_code(c, F.col("start") + i))), "")
     probs = F.transform("quals", lambda q: 1 - 1.0 / (q + 1))
@@ -142,12 +143,12 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.selectExpr("site AS record_id", "concat('s', site % 2) AS sample", "chrom", "pos", "ref", "alt", "qual", "n", "CASE WHEN hit = 1 THEN 'TP' ELSE 'FP' END AS call")
 
 
-_BASE = "substr('ACGT', 1 + (({p}*{p}*31 + {p}*17 + {c}*5) % 97) % 4, 1)"
+BASE = "substr('ACGT', 1 + (({p}*{p}*31 + {p}*17 + {c}*5) % 97) % 4, 1)"
 _SITE = {n: e.replace(" AS INT)", " AS BIGINT)") for n, e in SITE.items()}
 
 #: The same tables as common table expressions; a table may use those above it.
 SQL: dict[str, str] = {
-    "ref_bases": f"SELECT 'chr' || c AS chrom, pos, {_BASE.format(p='pos', c='c')} AS base FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) FROM orders) + 161)) AS pos) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS c)",
+    "ref_bases": f"SELECT 'chr' || c AS chrom, pos, {BASE.format(p='pos', c='c')} AS base FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) FROM orders) + 161)) AS pos) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS c)",
     "read_rows": f"SELECT o_orderkey AS read_id, o_custkey % 4 + 1 AS c, 'chr' || (o_custkey % 4 + 1) AS chrom, o_orderkey AS start, {CIGARS} AS cigar, CAST(o_custkey % 61 AS INTEGER) AS mapq, o_orderkey % 2 = 1 AS is_reverse FROM orders",
     "read_bases": f"""SELECT *, CASE WHEN free THEN substr('ACGT', 1 + (read_id + i) % 4, 1) ELSE substr('ACGT', 1 + (((p*p*31 + p*17 + c*5) % 97) % 4
         + CASE WHEN (p % 509 IN {PLANTED} AND read_id % 2 = 0) OR (read_id*13 + p*7) % 200 = 0 THEN 1 ELSE 0 END) % 4, 1) END AS base, CAST(10 + (read_id + i) % 31 AS INTEGER) AS qual
@@ -164,10 +165,10 @@ SQL: dict[str, str] = {
     "truth": "SELECT site, chrom, pos + CASE WHEN site % 13 = 0 THEN 1 ELSE 0 END AS pos, ref, alt FROM sites WHERE r = 0 AND site % 17 <> 3",
     "variants": f"""SELECT site AS variant_id, chrom, p AS pos, pad || ref AS ref, CASE WHEN site % 23 = 0 THEN [pad || alt, pad || alt || 'T'] ELSE [pad || alt] END AS alts,
         CASE WHEN site % 19 = 0 THEN [NULL, 1] WHEN site % 3 = 0 THEN [1, 1] WHEN site % 3 = 1 THEN [0, 1] ELSE [1, 0] END AS gt
-        FROM (SELECT *, CASE WHEN blank THEN {_BASE.format(p='p', c='(site % 4 + 1)')} ELSE '' END AS pad FROM (SELECT *, ref = '' OR alt = '' AS blank, CASE WHEN ref = '' OR alt = '' THEN pos - 1 ELSE pos END AS p FROM truth))""",
+        FROM (SELECT *, CASE WHEN blank THEN {BASE.format(p='p', c='(site % 4 + 1)')} ELSE '' END AS pad FROM (SELECT *, ref = '' OR alt = '' AS blank, CASE WHEN ref = '' OR alt = '' THEN pos - 1 ELSE pos END AS p FROM truth))""",
     "strata": "SELECT c_custkey AS stratum_id, 'chr' || (c_custkey % 4 + 1) AS chrom, c_custkey * 40 AS start, c_custkey * 40 + 25 AS \"end\", c_mktsegment AS stratum FROM customer",
     "hap_tokens": "SELECT window_no, hap, i, CAST((window_no * 37 + i * 11) % 256 AS INTEGER) AS token, -abs(CAST(embedding[i + 1] AS DOUBLE)) AS logp FROM (SELECT vec_id AS window_no, vec_id % 2 AS hap, embedding, unnest(range(0, 37)) AS i FROM embeddings)",
-    "base_sequences": "SELECT doc_id, substr(s, 1, least(length(s) // 4 * 4, 148)) AS seq FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM documents)",
+    "base_sequences": "SELECT doc_id, substr(s, 1, length(s) // 4 * 4) AS seq FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM documents)",
     "evaluated": """SELECT k.site AS record_id, 's' || (k.site % 2) AS sample, k.chrom, k.pos, k.ref, k.alt, k.qual, k.n, CASE WHEN t.hit IS NULL THEN 'FP' ELSE 'TP' END AS call
         FROM (SELECT site, chrom, pos, ref, alt, avg(qual) AS qual, count(*) AS n FROM calls GROUP BY ALL) k LEFT JOIN (SELECT DISTINCT chrom, pos, ref, alt, 1 AS hit FROM truth) t USING (chrom, pos, ref, alt)""",
 }

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -34,8 +34,9 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(stream.sparkSession)).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", state: str | None = None) -> None:
+    """Runs ``each`` on all batches that are there; a ``state`` folder lets a later run go on from here."""
+    stream.writeStream.outputMode(mode).option("checkpointLocation", state or shared_path(stream.sparkSession)).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
 
 
 def suspect_sites(reads: DataFrame, ref_bases: DataFrame, longest_span: int = 1000) -> DataFrame:
@@ -80,15 +81,30 @@ def stream_clusters(spots: DataFrame, maxdist: int = 100, pad: int = 8) -> DataF
     return rows.groupBy("chrom", "chrom_no").applyInPandasWithState(close, "chrom string, start long, end long", "lo long, hi long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def reordered(stream: DataFrame, path: str, order: list[str]) -> None:
-    """Appends each batch to ``path`` in ``order``, with its number; rows before the last batch's end are marked late."""
-    last: list = [None]
+def reordered(stream: DataFrame, path: str, order: list[str], state: str | None = None) -> None:
+    """Writes each batch in ``order`` to ``path``/batch=<number>; rows that come before an earlier batch's last one are ``late``.
+
+    The highest row so far is written beside each batch.  A batch that is run again, after
+    a failure or a restart from ``state``, reads the mark of the one before and replaces
+    its own files, so that nothing is lost or doubled.
+    """
+    spark = stream.sparkSession
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.select(*order).schema)
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("batch", F.lit(number)).withColumn("late", F.lit(False) if last[0] is None else F.struct(*order) < F.struct(*map(F.lit, last[0])))
-        rows.orderBy(*order).write.mode("append").parquet(path)
-        top = batch.agg(F.max(F.struct(*order)).alias("top")).first()["top"]
-        if top is not None:
-            last[0] = tuple(top) if last[0] is None else max(tuple(top), last[0])
+        top = F.max(F.struct(*order))
+        if number:
+            mark = spark.read.schema(f"top struct<{kinds.replace('` ', '`: ')}>").parquet(f"{path}/marks/batch={number - 1}")
+            rows = batch.join(F.broadcast(mark)).withColumn("late", F.coalesce(F.struct(*order) < F.col("top"), F.lit(False))).drop("top")
+            high = batch.agg(top.alias("top")).unionByName(mark).agg(F.max("top").alias("top"))
+        else:
+            rows, high = batch.withColumn("late", F.lit(False)), batch.agg(top.alias("top"))
+        rows.orderBy(*order).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        high.write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+
+    run_batches(stream, each, state=state)
+
 
-    run_batches(stream, each)
+def reordered_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``reordered`` has written so far, with ``late`` and ``batch``."""
+    return spark.read.schema(f"{schema}, late boolean, batch int").parquet(f"{path}/rows")

@@ -10,15 +10,16 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SMALL = "/root/testdata/sf0.001"
 
 
-def plain(value):
+def plain(value, inside=False):
+    """Single numbers to nine digits; those inside of lists and structures as they are."""
     if hasattr(value, "asDict"):
         value = value.asDict()
     if isinstance(value, (float, decimal.Decimal)):
-        return float(f"{float(value):.9g}") or 0.0
+        return float(value) if inside else float(f"{float(value):.9g}") or 0.0
     if isinstance(value, (list, tuple)):
-        return tuple(plain(v) for v in value)
+        return tuple(plain(v, True) for v in value)
     if isinstance(value, dict):
-        return tuple((k, plain(v)) for k, v in value.items())
+        return tuple((k, plain(v, True)) for k, v in value.items())
     return value
 
 

@@ -165,9 +165,10 @@ def test_pileup_with_indel_and_null_cigar(spark):
     reads = spark.createDataFrame(
         [(1, "chr1", 0, "2M1D2M", 60, False, "ACGT", [30] * 4), (2, "chr1", 1, None, 60, True, "cc", [30] * 2), (3, "chr1", 0, "1S1M", 0, False, "TA", [30] * 2)], READS
     )
-    ref = spark.createDataFrame([("chr1", i, b) for i, b in enumerate("ACTGT")], "chrom string, pos long, base string")
-    found = {r["pos"]: (r["depth"], r["mismatches"], r["indels"]) for r in pileup.pileup(reads, ref).collect()}
-    assert found == {0: (2, 0, 0), 1: (2, 0, 1), 2: (1, 1, 0), 3: (1, 0, 0), 4: (1, 0, 0)}
+    for size in (256, 2):  # in one chunk, and over several
+        ref = spark.createDataFrame([("chr1", k, "ACTGT"[k * size : (k + 1) * size]) for k in range(-(-5 // size))], "chrom string, chunk long, seq string")
+        found = {r["pos"]: (r["depth"], r["mismatches"], r["indels"]) for r in pileup.pileup(reads, ref, size).collect()}
+        assert found == {0: (2, 0, 0), 1: (2, 0, 1), 2: (1, 1, 0), 3: (1, 0, 0), 4: (1, 0, 0)}
     assert pileup.pileup(reads.limit(0), ref).count() == 0
 
 
@@ -233,3 +234,109 @@ def test_classifier_saves_and_loads(spark, tmp_path):
     model.write().overwrite().save(str(tmp_path / "model"))
     again = PipelineModel.load(str(tmp_path / "model"))
     assert [r["qual"] for r in classifier.score(again, rows).collect()] == [r["qual"] for r in classifier.score(model, rows).collect()]
+
+
+def test_joins_meet_with_and_without_chr(spark):
+    a = spark.createDataFrame([(1, "1", 0, 10), (2, "chrX", 0, 10)], "a long, chrom string, start long, end long")
+    b = spark.createDataFrame([(1, "chr1", 5, 6), (2, "X", 9, 12)], "b long, chrom string, start long, end long")
+    assert sorted((r["a"], r["b"], r["chrom"], r["r_chrom"]) for r in intervals.interval_join(a, b).collect()) == [(1, 1, "1", "chr1"), (2, 2, "chrX", "X")]
+
+
+def test_with_former_over_bins(spark):
+    rows = [("chr1", p, i) for i, p in enumerate([3, 3, 9, 25, 26, 90])] + [("chr2", 4, 9), (None, 1, 10), (None, 50, 11)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, id long")
+    found = {r["id"]: (r["before"], r["p"]) for r in intervals.with_former(df, "chrom", "pos", ["pos", "id"], {"id": "before", "pos": "p"}, width=10).collect()}
+    assert found == {0: (None, None), 1: (0, 3), 2: (1, 3), 3: (2, 9), 4: (3, 25), 5: (4, 26), 9: (None, None), 10: (None, None), 11: (10, 1)}
+
+
+def test_large_groups_are_ranked_in_parts(spark):
+    df = spark.range(5000).withColumn("label", F.when(F.col("id") % 100 == 0, "b").otherwise("a"))
+    kept = sampling.in_parts(df, ["label"], ["id"], F.lit(70)).collect()
+    assert sorted((r["label"], r["_place"], r["id"]) for r in kept) == [("a", k + 1, i) for k, i in enumerate([i for i in range(100) if i % 100][:70])] + [("b", k + 1, 100 * k) for k in range(50)]
+
+
+def test_regions_that_span_too_far(spark):
+    wide = members(spark, [(3, "A", ["T"], [0, 1]), (104, "AC", ["A"], [0, 1])])
+    assert haplotypes.genotype_combos(wide).count() == 0
+    assert [tuple(r) for r in haplotypes.too_wide(wide).collect()] == [(1, 103, "span over 100")]
+    eight = members(spark, [(3 + k, "A", ["T"], [0, 1]) for k in range(8)])
+    assert haplotypes.genotype_combos(eight).count() == 2**7 and haplotypes.too_wide(eight).count() == 0
+
+
+def test_several_heterozygous_variants_take_the_best_genotype(spark):
+    from locusflow.plans.relational import chosen_haplotypes
+
+    two = members(spark, [(3, "A", ["T"], [0, 1]), (5, "C", ["A"], [0, 1])])
+    good = haplotypes.genotype_combos(two)
+    best = good.where("h0 = array(0, 1)").select("region_id", "combo")
+    assert sorted(tuple(r["alleles"]) for r in chosen_haplotypes(two, good, best).collect()) == [(0, 1), (1, 0)]
+    assert sorted(tuple(r["alleles"]) for r in chosen_haplotypes(two, good, best.limit(0)).collect()) == [(0, 0), (1, 1)]  # no read: the first
+
+
+def test_alignment_text(spark, tmp_path):
+    from locusflow.sources import text
+
+    lines = ["@HD\tVN:1.6", "@SQ\tSN:chr1\tLN:99", "r1\t16\tchr1\t5\t60\t2M1I\t*\t0\t0\tACG\tI\"!\tNM:i:1", "r2\t4\t*\t0\t0\t*\t*\t0\t0\tA\tI", "r3\t0\tchr1\t7\t0\t*\t*\t0\t0\tAC\t*", ""]
+    (tmp_path / "a.sam").write_text("\n".join(lines))
+    rows = {r["read_id"]: r for r in text.read_alignments(spark, str(tmp_path / "a.sam")).collect()}
+    assert rows.keys() == {"r1", "r3"}
+    assert (rows["r1"]["start"], rows["r1"]["is_reverse"], rows["r1"]["quals"], rows["r1"]["cigar"]) == (4, True, [40, 1, 0], "2M1I")
+    assert (rows["r3"]["cigar"], rows["r3"]["quals"], rows["r3"]["size"]) == (None, [], 2)
+
+
+def test_record_files_begin_with_a_header(spark, tmp_path):
+    from locusflow.sources import text
+
+    rows = spark.createDataFrame([("chr2", 5, "A", "T", 0.5, "PASS", 9, 3, "0/1", None)], "chrom string, pos long, ref string, alt string, qual double, filter string, depth long, call_count long, gt string, phase_set long")
+    contigs = spark.createDataFrame([("chr2", 99)], "chrom string, length long")
+    text.write_records(rows.repartition(3), str(tmp_path / "v"), contigs, "s1")
+    lines = [x for f in sorted((tmp_path / "v").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[0] == "##fileformat=VCFv4.2" and lines[-2].endswith("FORMAT\ts1") and "##contig=<ID=chr2,length=99>" in lines
+    assert lines[-1] == "chr2\t5\t.\tA\tT\t0.5000\tPASS\tCALL_COUNT=3\tGT:DP:PS\t0/1:9:."
+    assert text.read_records(spark, str(tmp_path / "v")).count() == 1
+
+
+def test_reordering_over_batches_restarts_and_retries(spark, tmp_path):
+    from locusflow.streaming import sites
+
+    source, path, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), "pos long, id long").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema("pos long, id long").option("maxFilesPerTrigger", 1).parquet(source)
+        sites.reordered(stream, path, ["pos", "id"], state)
+        return sorted((r["batch"], r["pos"], r["id"], r["late"]) for r in sites.reordered_rows(spark, path, "pos long, id long").collect())
+
+    arrive((5, 1), (3, 2))
+    arrive((9, 3), (4, 4))
+    first = [(0, 3, 2, False), (0, 5, 1, False), (1, 4, 4, True), (1, 9, 3, False)]
+    assert run() == first
+    arrive((8, 5), (10, 6))  # after a restart from the state
+    assert run() == [*first, (2, 8, 5, True), (2, 10, 6, False)]
+    (tmp_path / "state" / "commits" / "2").unlink()  # as if the last batch had failed before its end
+    (tmp_path / "state" / "commits" / ".2.crc").unlink(missing_ok=True)
+    assert run() == [*first, (2, 8, 5, True), (2, 10, 6, False)]
+
+
+def test_late_reads_do_not_count_for_sites_that_were_handed_on(spark, tmp_path):
+    """Several micro-batches: state is kept between them, the watermark drops what comes too late."""
+    from locusflow.streaming import sites
+
+    schema, source = "read_id long, chrom string, start long, cigar string, bases string, quals array<int>", str(tmp_path / "in")
+    ref = spark.createDataFrame([("chr1", p, "A") for p in range(100)], "chrom string, pos long, base string")
+
+    def arrive(*rows):
+        spark.createDataFrame([(i, c, s, f"{len(b)}M", b, [30] * len(b)) for i, c, s, b in rows], schema).coalesce(1).write.mode("append").parquet(source)
+
+    arrive((1, "chr1", 10, "AC"), (2, "chr1", 10, "AC"))
+    arrive((3, "chr1", 11, "CA"))  # the third mismatch at 11 comes in a later batch
+    arrive((4, "chr1", 50, "CC"), (5, "chr1", 50, "CA"))
+    arrive((6, "chr1", 90, "A"))
+    arrive((6, "chr1", 91, "A"))  # rows are late by the watermark of the batch before
+    arrive((7, "chr1", 50, "C"))  # too late for 50, where two mismatches are not enough
+    arrive((8, "chr99", 0, "A"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    found = sites.run_available(sites.suspect_sites(stream, ref, longest_span=5)).collect()
+    assert [tuple(r) for r in found] == [("chr1", 11)]

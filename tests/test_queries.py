@@ -13,6 +13,15 @@ def test_matches_sql(spark, name):
     assert_same(spark, plans.queries()[name], plans.oracle_sql()[name])
 
 
+#: Queries over arrays of numbers or long texts, where small tables are not enough.
+LARGER = ("tokens_to_bases", "kmer_encode", "crop_pad", "normalized_match", "splice_haplotypes", "stream_reorder", "complex_variants", "resample_classes")
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_matches_sql_on_larger_tables(spark, name):
+    assert_same(spark, plans.queries()[name], plans.oracle_sql()[name], "/root/testdata/sf0.01")
+
+
 @pytest.mark.parametrize("name", sorted(plans.queries().keys() - plans.oracle_sql().keys()))
 def test_runs(spark, name):
     assert plans.queries()[name](spark, SMALL).count() > 0
