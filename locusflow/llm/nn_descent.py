@@ -6,8 +6,8 @@ neighbour is likely a neighbour.  Lists whose entries all reach the threshold ar
 saturated and grow.  Rounds end when few links are new.  Entries that reach the threshold are links, whose
 components are the classes.  Lists stay short, so a list that is all links may lack some:
 classes are also compared with each other over their members with such lists, and those
-that link are one class.  All members of a class are then compared in blocks, which counts
-the links of large classes exactly without listing their pairs.
+that link are one class.  The links of a class are then counted without listing its pairs:
+vectors near its centre all link with each other, the others are compared in blocks.
 
 The answer is audited: the links counted for a sample of vectors against those that brute
 force finds.  If the target is missed, more tables and rounds follow, and if that was not
@@ -215,11 +215,61 @@ def bridges(members: DataFrame, threshold: float) -> DataFrame:
     return joined.unionByName(whole.mapInArrow(linking, "node long, near long").distinct())
 
 
+def centres_of(members: DataFrame) -> DataFrame:
+    """(component, centre): the direction of the sum of each component's vectors; each task first adds up its own."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                name, x = batch.column("component").to_numpy(), matrix_of(batch.column("v"))
+                by = np.argsort(name, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(name[by]) != 0))
+                sums = np.add.reduceat(x[by], first, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(name[by][first]), pa.array([r.tobytes() for r in sums], pa.binary())], names=["component", "centre"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, ["component"]):
+            total = np.frombuffer(b"".join(x.as_py() for x in group.column("centre")), np.float64).reshape(group.num_rows, -1).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([group.column("component").slice(0, 1).combine_chunks(), pa.array([total.tobytes()], pa.binary())], names=["component", "centre"])
+
+    kind = "component long, centre binary"
+    return members.select("component", "v").mapInArrow(summed, kind).repartition("component").sortWithinPartitions("component", "centre").mapInArrow(added, kind)
+
+
+def with_core(members: DataFrame, threshold: float) -> DataFrame:
+    """``members`` with ``core``: so near to the centre of its component that it links with all others that are."""
+    half = np.cos((np.arccos(np.clip(threshold, -1, 1)) - 1e-6) / 2)
+    joined = members.join(checkpointed(centres_of(members)), "component")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, centre = matrix_of(batch.column("v")), np.frombuffer(b"".join(c.as_py() for c in batch.column("centre")), np.float64).reshape(batch.num_rows, -1)
+            length = np.maximum(np.sqrt((centre**2).sum(axis=1)), 1e-300)
+            core = (x * centre).sum(axis=1) >= half * length
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "id", "v", "copies")), pa.array(core)], names=["component", "id", "v", "copies", "core"])
+
+    return joined.select("component", "id", "v", "copies", "centre").mapInArrow(mark, "component long, id long, v binary, copies long, core boolean")
+
+
 def class_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, n): other vectors of its component that each one links with, copies counted."""
+    """(id, n): other vectors of its component that each one links with, copies counted.
+
+    Vectors of a component's core all link with each other, which needs no comparison; the
+    others are compared with all of their component in blocks.
+    """
+    marked = checkpointed(with_core(members, threshold))
+    sizes = marked.groupBy("component").agg(F.count_if("core").alias("inner"), F.count_if(~F.col("core")).alias("outer"), F.sum(F.when(F.col("core"), F.col("copies"))).alias("held"))
+    inner, outer = (F.ceil(F.col(c) / PART).cast("int") for c in ("inner", "outer"))
+    placed = marked.join(checkpointed(sizes), "component").withColumns({"p": inner, "q": outer})
+    own = F.when(F.col("core"), F.pmod(F.xxhash64("id"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("id"), F.col("q"))).cast("int")
+    # Core parts come first; one of them meets the parts of the others only.
+    others = F.when(F.col("q") > 0, F.sequence(F.when(F.col("core"), F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1)).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(others, lambda i: F.struct(F.least(i, "own").alias("i"), F.greatest(i, "own").alias("j")))
+    key = ["component", "i", "j"]
+    pairs = placed.withColumn("own", own).select("component", "id", "v", "copies", "own", F.inline(blocks)).repartition(*key).sortWithinPartitions(*key, "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_of(batches, ["component", "i", "j"]):
+        for group in groups_of(batches, key):
             own, ids, copies = (group.column(c).to_numpy() for c in ("own", "id", "copies"))
             x, i, j = matrix_of(group.column("v")), group.column("i")[0].as_py(), group.column("j")[0].as_py()
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -233,8 +283,9 @@ def class_links(members: DataFrame, threshold: float) -> DataFrame:
     def counts(ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["id", "n"])
 
-    counted = dealt(members.select("component", "id", "v", "copies")).mapInArrow(count, "id long, n long")
-    return counted.groupBy("id").agg(F.sum("n").alias("n"))
+    compared = pairs.mapInArrow(count, "id long, n long")
+    known = placed.where("core").select("id", (F.col("held") - F.col("copies")).alias("n"))
+    return compared.unionByName(known).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def audit_recall(answer: DataFrame, nodes: DataFrame, count: int, threshold: float) -> float:
