@@ -532,6 +532,26 @@ def test_links_between_full_lists(spark, between, noise):
     assert out == [(i, int(linked[i].sum()), 0 if i < 160 else i) for i in range(200)]
 
 
+@pytest.mark.parametrize("noise", [0.0005, 0.03, 0.045])
+def test_links_of_classes_with_and_without_core(spark, monkeypatch, noise):
+    """All, some or none of a class near enough to its centre; parts of few vectors; copies."""
+    monkeypatch.setattr(nn_descent, "PART", 16)
+    rng = np.random.default_rng(9)
+    x = np.repeat(np.eye(32)[:2] + 0.02, [70, 40], axis=0) + rng.normal(scale=noise, size=(110, 32))
+    nodes = spark.createDataFrame([(int(k >= 70), k, r.tobytes(), 1 + k % 3) for k, r in enumerate(x)], "component long, id long, v binary, copies long")
+    copies = 1 + np.arange(110) % 3
+    linked = exact_links(x)
+    linked[:70, 70:] = linked[70:, :70] = False
+    found = dict(map(tuple, nn_descent.class_links(nodes, 0.9).collect()))
+    assert [found[k] for k in range(110)] == (linked @ copies).tolist()
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (None, None), (3, [0.0, 1.0])]
+    out = sorted(map(str, map(tuple, nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())))
+    assert out == sorted(map(str, [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 0, None, None), (None, 0, None, None), (3, 0, 3, True)]))
+
+
 def test_a_missed_audit_is_not_returned(spark, monkeypatch):
     """Lists that find nothing: the audit sees it, also in groups larger than a list, and blocks give the exact answer."""
     rng = np.random.default_rng(6)
