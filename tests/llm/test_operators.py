@@ -381,6 +381,16 @@ def test_pieces_round_trip_and_match_the_library(spark, texts):
     assert pieces.encode(docs.limit(0)).count() == 0
 
 
+def test_pieces_against_a_plain_agenda(texts):
+    model = pieces.Pieces(pieces.public_model())
+    some = [t for t in texts if t and len(t) < 1200 and t.isascii() and t.isprintable()][:12] + ["  two  spaces ", "a"]
+    keys = np.arange(100, 100 + len(some), dtype=np.int64)
+    for dropout in (0.0, 0.1, 0.5):
+        found = pieces.encode_texts(model, some, keys, 3, dropout)
+        for text, key, ids in zip(some, keys.tolist(), found, strict=True):
+            assert ids.tolist() == brute.merge_dropout(text, key, 3, dropout, model)
+
+
 def test_heap_and_rounds_agree(texts, monkeypatch):
     model = pieces.Pieces(pieces.public_model())
     some = [t for t in texts if t][:12]
