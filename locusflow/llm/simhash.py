@@ -2,8 +2,8 @@
 
 A 64-bit fingerprint has eight bytes, each at its position.  Two fingerprints that differ
 in at most d bits differ in at most d bytes, so they share at least 8 - d positional bytes:
-the guaranteed minimum of matches.  The eight positions fall into ``groups`` such that any
-8 - d of them include two of one group; an index on those pairs of positional bytes
+the guaranteed minimum of matches.  Sets of two or three positions are chosen such that any
+8 - d positions include one of them; an index on those sets of positional bytes
 therefore brings together all that can link.  Within a posting list the shared positional
 bytes of each two fingerprints are tallied, those below the minimum are dropped, and the
 rest are verified by their differing bits.
@@ -29,18 +29,26 @@ from .graph import components
 
 #: Fingerprints of a posting list that meet in one task.
 PART = 2048
+#: Distinct fingerprints from which keys have three bytes: lists of two bytes would grow too long.
+MANY = 1 << 20
 #: Posting lists up to this size are compared many at a time.
 SHORT = 32
 SEED = 42
 
 
-def position_pairs(distance: int) -> list[tuple[int, int]]:
-    """Pairs of byte positions such that any 8 - ``distance`` positions hold one of them."""
-    parts = 8 - distance - 1  # that many groups, so that one more position than groups repeats one
-    if parts < 1:
-        raise ValueError("distance must be at most 6")
+def position_sets(distance: int, size: int = 2) -> list[tuple[int, ...]]:
+    """Sets of ``size`` (2 or 3) byte positions such that any 8 - ``distance`` positions hold one of them."""
+    kept = 8 - distance
+    if kept < size or size not in (2, 3):
+        raise ValueError(f"{kept} equal bytes do not make keys of {size}")
+    parts = (kept - 1) // (size - 1)  # that many groups, so that some group has ``size`` of the positions
     groups = [list(range(8))[g::parts] for g in range(parts)]
-    return [p for g in groups for p in combinations(g, 2)]
+    if size == 3 and kept == 4:
+        # Three groups in a circle: three of a group, or two of one and one of the next.
+        groups = [list(range(8))[g::3] for g in range(3)]
+        turning = [(*pair, one) for g in range(3) for pair in combinations(groups[g], 2) for one in groups[(g + 1) % 3]]
+        return [c for g in groups for c in combinations(g, 3)] + turning
+    return [c for g in groups for c in combinations(g, size)]
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -129,14 +137,24 @@ def short_list_links(bits: np.ndarray, group: np.ndarray, longest: int, distance
     return np.concatenate(a), np.concatenate(b)
 
 
-def fingerprint_links(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints ``bits`` at ``distance`` or fewer differing bits."""
-    pairs, key = position_pairs(distance), ["list", "value", "i", "j"]
+def fingerprint_links(prints: DataFrame, distance: int = 4, key_bytes: int = 2) -> DataFrame:
+    """Links (a, b) that connect the distinct fingerprints ``bits`` at ``distance`` or fewer differing bits.
+
+    Keys of three bytes make more but far shorter posting lists than keys of two; the links
+    connect the same fingerprints.
+    """
+    sets, key = position_sets(distance, key_bytes), ["list", "value", "i", "j"]
 
     def byte(p: int):
         return F.shiftrightunsigned("bits", 8 * (7 - p)).bitwiseAND(F.lit(255))
 
-    keys = F.array(*(F.struct(F.lit(n).alias("list"), (byte(p) * 256 + byte(q)).cast("int").alias("value")) for n, (p, q) in enumerate(pairs)))
+    def value(positions: tuple[int, ...]):
+        out = byte(positions[0])
+        for p in positions[1:]:
+            out = out * 256 + byte(p)
+        return out.cast("int").alias("value")
+
+    keys = F.array(*(F.struct(F.lit(n).alias("list"), value(positions)) for n, positions in enumerate(sets)))
     index = prints.select("bits", F.inline(keys))
     sizes = index.groupBy("list", "value").agg(F.count("*").alias("size")).where("size > 1")
     parts = F.ceil(F.col("size") / PART).cast("int")
@@ -188,9 +206,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     prints = checkpointed(with_fingerprints(docs, text, (doc_id, *keep), words))  # used several times
     distinct = prints.groupBy("bits").agg(F.min(doc_id).alias("least"))
-    linked = components(fingerprint_links(distinct, distance))
-    named = distinct.join(linked, distinct["bits"] == linked["node"], "left").select("bits", "least", F.coalesce("component", "bits").alias("group"))
-    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    distinct = checkpointed(distinct)
+    long_lists = distance < 6 and distinct.count() > MANY
+    linked = components(fingerprint_links(distinct, distance, 3 if long_lists else 2))
+    # Tables that are kept meet in plain exchanges, so that a large class is split.
+    named = checkpointed(distinct.join(linked, distinct["bits"] == linked["node"], "left").select("bits", "least", F.coalesce("component", "bits").alias("group")))
+    least = checkpointed(named.groupBy("group").agg(F.min("least").alias("component_id")))
     return prints.join(named.select("bits", "group").join(least, "group").select("bits", "group", "component_id"), "bits")
 
 
