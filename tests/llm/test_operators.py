@@ -113,7 +113,9 @@ def test_suffix_order_is_a_suffix_array():
 # --- SimHash -------------------------------------------------------------------------------
 
 
-def test_simhash_against_brute_force(spark, texts):
+@pytest.mark.parametrize("many", [1 << 20, 0])
+def test_simhash_against_brute_force(spark, texts, monkeypatch, many):
+    monkeypatch.setattr(simhash, "MANY", many)  # keys of two bytes, and of three
     rng = random.Random(5)
     near = [t.replace("a", "b", 1) for t in texts[:10]]
     base = words(rng, 400).split()
@@ -158,13 +160,17 @@ def test_one_of_each(spark):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
-def test_positions_hold_a_pair():
+@pytest.mark.parametrize(("size", "most"), [(2, 7), (3, 6)])
+def test_positions_hold_a_set(size, most):
     from itertools import combinations
 
-    for distance in range(7):
-        pairs = simhash.position_pairs(distance)
+    for distance in range(most - size + 2):
+        sets = simhash.position_sets(distance, size)
         for kept in combinations(range(8), 8 - distance):
-            assert any(a in kept and b in kept for a, b in pairs)
+            assert any(set(s) <= set(kept) for s in sets)
+    assert len(simhash.position_sets(4, 2)) == 7 and len(simhash.position_sets(4, 3)) == 20
+    with pytest.raises(ValueError, match="equal bytes"):
+        simhash.position_sets(7, size)
 
 
 # --- packing -------------------------------------------------------------------------------
