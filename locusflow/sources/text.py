@@ -15,8 +15,12 @@ ALIGNMENT = ("name", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mat
 RECORD = "chrom string, pos long, id string, ref string, alt string, qual double, filter string, info string"
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (a temporary one in a local session; a cluster must name it)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's own folder inside of ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    It is removed when the driver ends.  Where the setting is missing, a local session gets
+    a temporary folder; a cluster must name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local["):
@@ -24,7 +28,17 @@ def shared_path(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="locusflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder}/{uuid.uuid4().hex}"
+    own = f"{folder}/locusflow-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return own
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def read_bed(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

@@ -340,3 +340,23 @@ def test_late_reads_do_not_count_for_sites_that_were_handed_on(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     found = sites.run_available(sites.suspect_sites(stream, ref, longest_span=5)).collect()
     assert [tuple(r) for r in found] == [("chr1", 11)]
+
+
+def test_shared_folder_is_the_sessions_own(spark):
+    from pathlib import Path
+
+    from locusflow.sources import text
+
+    folder = text.shared_folder(spark)
+    assert folder.startswith(spark.conf.get("spark.checkpoint.dir")) and Path(folder).is_dir() and text.shared_folder(spark) == folder
+    assert text.shared_path(spark) != text.shared_path(spark)
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from locusflow.sources import text
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        text.shared_folder(session)
