@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, lexical, nn_descent, pieces, simhash, sketches, suffix_dedup, toxicity
+from . import chat, language_id, lexical, nn_descent, pieces, prefix_trie, simhash, sketches, suffix_dedup, toxicity
 from .common import id_remainder, table
 from .html_extraction import extract
 from .packing import pack
@@ -103,6 +103,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 OP2_SQL = """
 WITH valid AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -139,9 +144,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_language_id, op2_exact_topk, op3_chat_formatting, op4_best_fit_packing, op5_sentencepiece, op6_html_extraction,
         op7_suffix_dedup, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_toxicity, op11_document_fingerprints, op12_ranked_search,
+        op13_conversation_trie,
     )
     return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL, "op3_chat_formatting": chat.ORACLE_SQL, "op8_embedding_near_dedup": OP8_SQL, "op11_document_fingerprints": sketches.ORACLE_SQL, "op12_ranked_search": lexical.ORACLE_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op3_chat_formatting": chat.ORACLE_SQL, "op8_embedding_near_dedup": OP8_SQL, "op11_document_fingerprints": sketches.ORACLE_SQL, "op12_ranked_search": lexical.ORACLE_SQL, "op13_conversation_trie": prefix_trie.ORACLE_SQL}
