@@ -6,65 +6,112 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alleles
 
 
-#: Variants of a region that lie farther apart than this are not phased together.
+#: Heterozygous variants of a region that lie farther apart than this are not phased together.
 LONGEST_SPAN = 100
+#: Ways to phase a region that are followed; a region with more is not phased.
+MOST_WAYS = 4096
 
 
-def spans(members: DataFrame) -> DataFrame:
-    """(region_id, span): from a region's first variant to the end of its last."""
-    return members.groupBy("region_id").agg((F.max(F.col("start") + F.length("ref")) - F.min("start")).alias("span"))
+def heterozygous(gt: Column) -> Column:
+    """Whether the two alleles differ; a half call does."""
+    return F.size(F.array_distinct(F.transform(gt, lambda g: F.coalesce(g, F.lit(-1))))) > 1
 
 
-def too_wide(members: DataFrame, longest: int = LONGEST_SPAN) -> DataFrame:
-    """(region_id, span, reason) of the regions that ``genotype_combos`` leaves out."""
-    return spans(members).where(F.col("span") > longest).withColumn("reason", F.lit(f"span over {longest}"))
+def used_bases(start: Column, ref: Column, alt: Column) -> Column:
+    """struct(s, e) of the reference bases that an allele takes the place of; s = e is an insertion point."""
+    suffix = alleles.common_suffix(ref, alt)
+    r = alleles.without_suffix(ref, suffix)
+    t = alleles.prefix_trimmed(r, alleles.without_suffix(alt, suffix))
+    return F.struct((start + t["offset"]).alias("s"), (start + t["offset"] + F.length(t["ref"])).alias("e"))
 
 
-def genotype_combos(members: DataFrame, longest: int = LONGEST_SPAN) -> DataFrame:
-    """(region_id, combo, h0, h1): unordered pairs of allele lists, one for each way to phase the variants.
+def clash(x: Column, y: Column) -> Column:
+    """Two alleles of a haplotype on the same bases, or at the same insertion point."""
+    points = (x["s"] == x["e"]) & (y["s"] == y["e"]) & (x["s"] == y["s"])
+    return points | ((x["s"] < x["e"]) & (y["s"] < y["e"]) & (x["s"] < y["e"]) & (y["s"] < x["e"]))
 
-    A null allele counts as 0.  Combinations double with each variant, so regions that span
-    over ``longest`` are not phased; ``too_wide`` lists them.
+
+def phased(members: DataFrame, tested: bool = True, longest: int = LONGEST_SPAN, most: int = MOST_WAYS) -> DataFrame:
+    """(region_id, span, ways, reason): the unordered pairs (h0, h1) of allele lists of each region, in order.
+
+    Pairs grow from variant to variant: a homozygous one goes on both haplotypes, the first
+    heterozygous one is fixed (so that pairs are unordered), each later one goes on either
+    way round.  If ``tested``, a pair ends where a haplotype would have two alleles on the
+    same reference bases or insertion point.  A null allele counts as 0.  A region is given
+    up, with the reason and no ways, if its heterozygous variants span over ``longest``
+    bases or if over ``most`` pairs are alive at once.
     """
-    pair = F.transform("gt", lambda g: F.coalesce(g, F.lit(0)))
-    near = members.join(spans(members).where(F.col("span") <= longest).select("region_id"), "region_id")
-    lists = near.groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("place", pair.alias("g")))).alias("m"))
-    ways = F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), F.size("m")).cast("long") - 1))
-    rows = lists.select("region_id", "m", ways.alias("way"))
-
-    def alleles_of(side: int):
-        """Bit ``place - 1`` of the way says whether a variant's two alleles are swapped."""
-        swapped = F.transform("m", lambda x: (F.floor(F.col("way") / F.pow(F.lit(2), x["place"] - 1)) % 2).cast("int"))
-        return F.transform(F.arrays_zip("m", swapped.alias("s")), lambda x: F.element_at(x["m"]["g"], F.when(x["s"] == side, 1).otherwise(2)))
-
-    rows = rows.select("region_id", F.array_sort(F.array(alleles_of(0), alleles_of(1))).alias("h"))
-    ordered = rows.select("region_id", F.col("h")[0].alias("h0"), F.col("h")[1].alias("h1"))
-    numbered = ordered.distinct().withColumn("combo", F.row_number().over(Window.partitionBy("region_id").orderBy("h0", "h1")))
-    return numbered.select("region_id", "combo", "h0", "h1")
-
-
-def compatible(combos: DataFrame, members: DataFrame) -> DataFrame:
-    """Combinations in which no haplotype has two alleles on the same reference bases or insertion point."""
-    haps = combos.select("region_id", "combo", F.posexplode(F.array("h0", "h1")).alias("hap", "alleles"))
-    used = haps.select("region_id", "combo", "hap", F.posexplode("alleles").alias("i", "allele")).where("allele > 0").withColumn("place", F.col("i") + 1)
-    joined = used.join(members, ["region_id", "place"]).withColumn("alt", F.try_element_at("alts", F.col("allele")))
-    suffix = alleles.common_suffix(F.col("ref"), F.col("alt"))
-    cut = joined.withColumns({"r": alleles.without_suffix(F.col("ref"), suffix), "a": alleles.without_suffix(F.col("alt"), suffix)})
-    t = alleles.prefix_trimmed(F.col("r"), F.col("a"))
-    spans = cut.select("region_id", "combo", "hap", "place", (F.col("start") + t["offset"]).alias("s"), (F.col("start") + t["offset"] + F.length(t["ref"])).alias("e"))
-    x, y = spans.alias("x"), spans.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("region_id", "combo", "hap")]
-    clash = ((F.col("x.s") == F.col("x.e")) & (F.col("y.s") == F.col("y.e")) & (F.col("x.s") == F.col("y.s"))) | (
-        (F.col("x.s") < F.col("x.e")) & (F.col("y.s") < F.col("y.e")) & (F.col("x.s") < F.col("y.e")) & (F.col("y.s") < F.col("x.e"))
+    g = F.transform("gt", lambda a: F.coalesce(a, F.lit(0)))
+
+    def used(side: int):
+        alt = F.try_element_at("alts", F.greatest(g[side], F.lit(1)))
+        return F.when(g[side] > 0, used_bases(F.col("start"), F.col("ref"), alt))
+
+    het, end = heterozygous(F.col("gt")), F.col("start") + F.length("ref")
+    part = F.struct("place", g[0].alias("g0"), g[1].alias("g1"), used(0).alias("x0"), used(1).alias("x1"))
+    lists = members.groupBy("region_id").agg(
+        F.array_sort(F.collect_list(part)).alias("m"), F.count_if(het).alias("hets"), (F.max(F.when(het, end)) - F.min(F.when(het, F.col("start")))).alias("far")
     )
-    bad = x.join(y, [*same, F.col("x.place") < F.col("y.place"), clash]).select("x.region_id", "x.combo").distinct()
-    return combos.join(bad, ["region_id", "combo"], "left_anti")
+    span = F.when(F.col("hets") > 1, F.col("far")).otherwise(0).cast("long")
+    kind = "array<struct<h0:array<int>,h1:array<int>,u0:array<struct<s:bigint,e:bigint>>,u1:array<struct<s:bigint,e:bigint>>>>"
+
+    def free(taken: Column, x: Column) -> Column:
+        return x.isNull() | ~F.exists(taken, lambda u: F.coalesce(clash(u, x), F.lit(False))) if tested else F.lit(True)
+
+    def extended(ways: Column, m: Column, a: str, b: str) -> Column:
+        alive = F.filter(ways, lambda w: free(w["u0"], m[f"x{a}"]) & free(w["u1"], m[f"x{b}"]))
+
+        def longer(w: Column) -> Column:
+            def more(taken: Column, x: Column) -> Column:
+                return F.when(x.isNull(), taken).otherwise(F.concat(taken, F.array(x)))
+
+            return F.struct(
+                F.concat(w["h0"], F.array(m[f"g{a}"])).alias("h0"), F.concat(w["h1"], F.array(m[f"g{b}"])).alias("h1"),
+                more(w["u0"], m[f"x{a}"]).alias("u0"), more(w["u1"], m[f"x{b}"]).alias("u1"),
+            )
+
+        return F.transform(alive, longer)
+
+    def grow(done: Column, m: Column) -> Column:
+        both = (m["g0"] != m["g1"]) & done["branched"]
+        ways = F.concat(extended(done["ways"], m, "0", "1"), F.when(both, extended(done["ways"], m, "1", "0")).otherwise(F.array().cast(kind)))
+        over = done["over"] | (F.size(ways) > most)
+        return F.struct(F.when(over, F.array().cast(kind)).otherwise(ways).alias("ways"), (done["branched"] | (m["g0"] != m["g1"])).alias("branched"), over.alias("over"))
+
+    nothing = F.array().cast("array<int>").alias("h0"), F.array().cast("array<int>").alias("h1"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("u0"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("u1")
+    start = F.struct(F.array(F.struct(*nothing)).cast(kind).alias("ways"), F.lit(False).alias("branched"), F.lit(False).alias("over"))
+    near = F.when(span <= longest, F.col("m")).otherwise(F.slice("m", 1, 0))
+    rows = lists.select("region_id", span.alias("span"), F.aggregate(near, start, grow).alias("grown"))
+    pairs = F.transform("grown.ways", lambda w: F.array_sort(F.array(w["h0"], w["h1"])))
+    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(p[0].alias("h0"), p[1].alias("h1"))))
+    reason = F.when(F.col("span") > longest, f"span over {longest}").when(F.col("grown.over"), f"over {most} ways")
+    return rows.select("region_id", "span", F.when(reason.isNull(), ordered).otherwise(F.slice(ordered, 1, 0)).alias("ways"), reason.alias("reason"))
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """(region_id, combo, h0, h1) of ``phased`` rows, numbered in order."""
+    return rows.select("region_id", F.posexplode("ways").alias("i", "w")).select("region_id", (F.col("i") + 1).alias("combo"), "w.h0", "w.h1")
+
+
+def genotype_combos(members: DataFrame, longest: int = LONGEST_SPAN, most: int = MOST_WAYS) -> DataFrame:
+    """(region_id, combo, h0, h1): one row for each way to phase the variants of a region."""
+    return listed(phased(members, False, longest, most))
+
+
+def possible_genotypes(members: DataFrame, longest: int = LONGEST_SPAN, most: int = MOST_WAYS) -> DataFrame:
+    """The same of the ways in which no haplotype has two alleles on the same reference bases or insertion point."""
+    return listed(phased(members, True, longest, most))
+
+
+def unphased(members: DataFrame, longest: int = LONGEST_SPAN, most: int = MOST_WAYS) -> DataFrame:
+    """(region_id, span, reason) of the regions that ``possible_genotypes`` gives up."""
+    return phased(members, True, longest, most).where("reason is not null").select("region_id", "span", "reason")
 
 
 def spliced(members: DataFrame, regions: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -73,17 +120,13 @@ def spliced(members: DataFrame, regions: DataFrame, chosen: DataFrame) -> DataFr
     Variants go in from left to right, moved by what the ones before have added; a place
     that falls before the region's start counts as its start.
     """
-    def trim(allele: int):
-        alt = F.when(F.lit(allele) == 0, F.col("ref")).otherwise(F.try_element_at("alts", F.lit(max(allele, 1))))
-        return alleles.prefix_trimmed(F.col("ref"), alt)
-
-    parts = F.struct("place", "start", *(trim(k).alias(f"t{k}") for k in range(3)))
+    every = F.concat(F.array("ref"), "alts")  # by allele number
+    parts = F.struct("place", "start", F.transform(every, lambda alt: alleles.prefix_trimmed(F.col("ref"), alt)).alias("trims"))
     lists = members.groupBy("region_id").agg(F.array_sort(F.collect_list(parts)).alias("m"))
     rows = chosen.join(lists, "region_id").join(regions.select("region_id", F.col("start").alias("region_start"), "seq"), "region_id")
 
     def step(state, x):
-        allele = F.element_at("alleles", x["place"])
-        t = F.when(allele == 0, x["t0"]).when(allele == 1, x["t1"]).otherwise(x["t2"])
+        t = F.try_element_at(x["trims"], F.element_at("alleles", x["place"]) + 1)
         at = (x["start"] - F.col("region_start")).cast("int") + state["moved"] + t["offset"]
         before, after = F.greatest(at, F.lit(0)), F.greatest(at + F.length(t["ref"]) + 1, F.lit(1))
         text = F.concat(F.substring(state["seq"], F.lit(1), before), t["alt"], F.substring(state["seq"], after, F.length(state["seq"])))
@@ -96,16 +139,26 @@ def spliced(members: DataFrame, regions: DataFrame, chosen: DataFrame) -> DataFr
 def haplotype_support(haplotypes: DataFrame, spanning: DataFrame) -> DataFrame:
     """Support of each (region_id, combo, hap, seq) by reads (region_id, read_id, bases), normalised within the region.
 
-    A read is worth one, shared by the haplotypes it is nearest to in edit distance.
+    A read is worth one, shared by the haplotypes it is nearest to in edit distance.  It is
+    held against each distinct sequence of its region once, each time only up to the best
+    distance so far; where a region has a single sequence there is nothing to compare.
     """
-    pairs = haplotypes.join(spanning, "region_id").withColumn("distance", F.levenshtein("bases", "seq"))
-    best = F.min("distance").over(Window.partitionBy("region_id", "read_id"))
-    near = pairs.withColumn("best", best).where("distance = best")
-    shared = near.withColumn("share", 1.0 / F.count("*").over(Window.partitionBy("region_id", "read_id")))
-    summed = shared.groupBy("region_id", "combo", "hap").agg(F.sum("share").alias("support"))
-    kept = haplotypes.join(summed, ["region_id", "combo", "hap"], "left").fillna(0.0, ["support"])
+    sequences = haplotypes.where("seq is not null").groupBy("region_id", "seq").agg(F.count("*").alias("users"))
+    lists = sequences.groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("seq", "users"))).alias("known"))  # at most two for each way
+    pairs = spanning.join(lists, "region_id")
+    start = F.struct(F.lit(None).cast("int").alias("best"), F.array().cast("array<struct<seq:string,users:bigint>>").alias("near"))
+
+    def nearer(done: Column, x: Column) -> Column:
+        distance = F.when(done["best"].isNull(), F.levenshtein("bases", x["seq"])).otherwise(F.call_function("levenshtein", F.col("bases"), x["seq"], F.coalesce(done["best"], F.lit(0))))
+        kept = F.when(distance == done["best"], F.concat(done["near"], F.array(x))).otherwise(F.array(x))
+        return F.when((distance < 0) | distance.isNull(), done).otherwise(F.struct(distance.alias("best"), kept.alias("near")))
+
+    near = F.when(F.size("known") == 1, F.col("known")).otherwise(F.aggregate("known", start, nearer, lambda s: s["near"]))
+    shared = pairs.where("bases is not null").select("region_id", near.alias("near")).withColumn("share", 1.0 / F.aggregate("near", F.lit(0).cast("bigint"), lambda n, x: n + x["users"]))
+    summed = shared.select("region_id", F.explode("near").alias("x"), "share").groupBy("region_id", F.col("x.seq").alias("seq")).agg(F.sum("share").alias("support"))
+    kept = haplotypes.join(summed, ["region_id", "seq"], "left").fillna(0.0, ["support"])
     total = F.sum("support").over(Window.partitionBy("region_id"))
-    return kept.withColumn("score", F.try_divide("support", total)).where("score is not null")
+    return kept.withColumn("score", F.try_divide("support", total)).where("score is not null").select(*haplotypes.columns, "support", "score")
 
 
 def best_genotypes(support: DataFrame) -> DataFrame:

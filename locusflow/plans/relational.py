@@ -461,10 +461,10 @@ def genotype_combos(spark, sf):
     return haplotypes.genotype_combos(variant_regions(spark, sf))
 
 
-@query("""SELECT region_id, span, 'span over 100' AS reason FROM (SELECT pos // 240 * 4 + CAST(substr(chrom, 4) AS BIGINT) - 1 AS region_id, max(pos + length(ref)) - min(pos) AS span FROM variants GROUP BY 1) WHERE span > 100""")
+@query("""SELECT region_id, span, 'span over 100' AS reason FROM (SELECT pos // 240 * 4 + CAST(substr(chrom, 4) AS BIGINT) - 1 AS region_id, max(pos + length(ref)) - min(pos) AS span FROM variants WHERE gt[1] IS DISTINCT FROM gt[2] GROUP BY 1 HAVING count(*) > 1) WHERE span > 100""")
 def unphased_regions(spark, sf):
-    """Stretches of 240 positions whose variants lie too far apart to be phased together, with the reason."""
-    return haplotypes.too_wide(variant_regions(spark, sf, 240)).select("region_id", "span", "reason")
+    """Stretches of 240 positions whose heterozygous variants cannot be phased together, with the reason."""
+    return haplotypes.unphased(variant_regions(spark, sf, 240))
 
 
 COMPATIBLE = f"""{COMBOS}, used AS (SELECT region_id, combo, hap, unnest(h) AS allele, unnest(range(1, 1 + len(h))) AS place FROM (SELECT region_id, combo, 0 AS hap, h0 AS h FROM combos UNION ALL SELECT region_id, combo, 1, h1 FROM combos)),
@@ -474,14 +474,13 @@ pf AS (SELECT *, left(ref, length(ref) - s) AS r, left(alt, length(alt) - s) AS
 qf AS (SELECT *, (SELECT coalesce(max(k), 0) FROM range(1, 1 + least(length(r), length(a))) x(k) WHERE left(r, k) = left(a, k)) AS p FROM pf),
 spans AS (SELECT region_id, combo, hap, place, start + p AS s, start + length(r) AS e FROM qf),
 bad AS (SELECT DISTINCT x.region_id, x.combo FROM spans x JOIN spans y ON x.region_id = y.region_id AND x.combo = y.combo AND x.hap = y.hap AND x.place < y.place AND ((x.s = x.e AND y.s = y.e AND x.s = y.s) OR (x.s < x.e AND y.s < y.e AND x.s < y.e AND y.s < x.e))),
-good AS (SELECT * FROM combos ANTI JOIN bad USING (region_id, combo))
+good AS (SELECT region_id, row_number() OVER (PARTITION BY region_id ORDER BY h0, h1) AS combo, h0, h1 FROM combos ANTI JOIN bad USING (region_id, combo))
 """
 
 
-@query(f"WITH {COMPATIBLE} SELECT region_id, combo FROM good")
+@query(f"WITH {COMPATIBLE} SELECT region_id, combo, h0, h1 FROM good")
 def compatible_genotypes(spark, sf):
-    members = variant_regions(spark, sf)
-    return haplotypes.compatible(haplotypes.genotype_combos(members), members).select("region_id", "combo")
+    return haplotypes.possible_genotypes(variant_regions(spark, sf))
 
 
 def stretch_sequences(spark, sf):
@@ -503,7 +502,7 @@ spliced AS (SELECT region_id, combo, hap, seq FROM walk WHERE place = len(allele
 
 def supported(spark, sf):
     members = variant_regions(spark, sf)
-    good = haplotypes.compatible(haplotypes.genotype_combos(members), members)
+    good = haplotypes.possible_genotypes(members)
     listed = good.select("region_id", "combo", F.posexplode(F.array("h0", "h1")).alias("hap", "alleles"))
     sequences = haplotypes.spliced(members, stretch_sequences(spark, sf), listed).select("region_id", "combo", "hap", "seq")
     area = members.groupBy("region_id", "chrom").agg(F.min("start").alias("start"), F.max(F.col("start") + F.length("ref")).alias("end"))
@@ -539,8 +538,7 @@ def best_genotype(spark, sf):
 def chosen_haplotypes(members, good, best):
     """Both haplotypes of each stretch: as given if at most one variant is heterozygous (allele 1 everywhere if none is;
     half calls: 0), else those of the best-supported genotype, or of the first possible one where no read tells."""
-    het = F.size(F.array_distinct(F.transform("gt", lambda g: F.coalesce(g, F.lit(-1))))) > 1
-    rows = members.groupBy("region_id").agg(F.count_if(het).alias("hets"), F.array_sort(F.collect_list(F.struct("place", F.transform("gt", lambda g: F.coalesce(g, F.lit(0))).alias("g")))).alias("m"))
+    rows = members.groupBy("region_id").agg(F.count_if(haplotypes.heterozygous(F.col("gt"))).alias("hets"), F.array_sort(F.collect_list(F.struct("place", F.transform("gt", lambda g: F.coalesce(g, F.lit(0))).alias("g")))).alias("m"))
 
     def side(h: int):
         return F.struct(F.lit(h).alias("hap"), F.transform("m", lambda x: x["g"][h]).alias("alleles"))
@@ -557,7 +555,7 @@ picked AS (SELECT region_id, coalesce(b.combo, min(c.combo)) AS combo FROM sever
 SELECT region_id, hap, seq FROM spliced WHERE combo = 0 UNION ALL SELECT region_id, hap, seq FROM spliced JOIN picked USING (region_id, combo)""")
 def splice_haplotypes(spark, sf):
     members = variant_regions(spark, sf)
-    good = haplotypes.compatible(haplotypes.genotype_combos(members), members)
+    good = haplotypes.possible_genotypes(members)
     chosen = chosen_haplotypes(members, good, haplotypes.best_genotypes(supported(spark, sf)))
     return haplotypes.spliced(members, stretch_sequences(spark, sf), chosen).select("region_id", "hap", "seq")
 

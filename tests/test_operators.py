@@ -188,7 +188,7 @@ def test_genotypes_and_splicing(spark):
     combos = sorted((r["h0"], r["h1"]) for r in haplotypes.genotype_combos(two).collect())
     assert combos == [([0, 0], [1, 1]), ([0, 1], [1, 0])]
     same_base = members(spark, [(3, "A", ["T"], [0, 1]), (3, "A", ["G"], [0, 1])])
-    good = haplotypes.compatible(haplotypes.genotype_combos(same_base), same_base).collect()
+    good = haplotypes.possible_genotypes(same_base).collect()
     assert [(r["h0"], r["h1"]) for r in good] == [([0, 1], [1, 0])]
     region = spark.createDataFrame([(1, 1, "AAAAAAAAA")], "region_id long, start long, seq string")
     het = members(spark, [(4, "A", ["T"], [1, 0])])
@@ -258,9 +258,81 @@ def test_large_groups_are_ranked_in_parts(spark):
 def test_regions_that_span_too_far(spark):
     wide = members(spark, [(3, "A", ["T"], [0, 1]), (104, "AC", ["A"], [0, 1])])
     assert haplotypes.genotype_combos(wide).count() == 0
-    assert [tuple(r) for r in haplotypes.too_wide(wide).collect()] == [(1, 103, "span over 100")]
+    assert haplotypes.possible_genotypes(wide).count() == 0
+    assert [tuple(r) for r in haplotypes.unphased(wide).collect()] == [(1, 103, "span over 100")]
+    homozygous = members(spark, [(3, "A", ["T"], [0, 1]), (104, "AC", ["A"], [1, 1])])
+    assert [(r["h0"], r["h1"]) for r in haplotypes.possible_genotypes(homozygous).collect()] == [([0, 1], [1, 1])]
     eight = members(spark, [(3 + k, "A", ["T"], [0, 1]) for k in range(8)])
-    assert haplotypes.genotype_combos(eight).count() == 2**7 and haplotypes.too_wide(eight).count() == 0
+    assert haplotypes.genotype_combos(eight).count() == 2**7 and haplotypes.unphased(eight).count() == 0
+    assert haplotypes.genotype_combos(eight, most=100).count() == 0
+    assert [tuple(r) for r in haplotypes.unphased(eight, most=100).collect()] == [(1, 8, "over 100 ways")]
+
+
+def pairs_by_product(rows):
+    """Unordered pairs of allele lists by plain enumeration, without those with overlapping alleles."""
+    from itertools import product
+
+    def cut(start, ref, alt):
+        while ref and alt and ref[-1] == alt[-1]:
+            ref, alt = ref[:-1], alt[:-1]
+        while ref and alt and ref[0] == alt[0]:
+            start, ref, alt = start + 1, ref[1:], alt[1:]
+        return start, start + len(ref)
+
+    def fits(h):
+        used = [cut(start, ref, alts[k - 1]) for (start, ref, alts, _), k in zip(rows, h, strict=True) if k]
+        return not any((a == c if a == b and c == d else a < b and c < d and a < d and c < b) for i, (a, b) in enumerate(used) for c, d in used[:i])
+
+    every, possible = set(), set()
+    for ways in product(*(((g[0] or 0, g[1] or 0), (g[1] or 0, g[0] or 0)) for *_, g in rows)):
+        pair = tuple(sorted(zip(*ways, strict=True)))
+        every.add(pair)
+        if all(map(fits, pair)):
+            possible.add(pair)
+    return sorted(every), sorted(possible)
+
+
+def test_genotypes_by_enumeration(spark):
+    import random
+
+    rng = random.Random(3)
+    regions = {}
+    for k in range(30):
+        rows = []
+        for _ in range(rng.randrange(1, 7)):
+            ref = "".join(rng.choice("AC") for _ in range(rng.randrange(1, 4)))
+            alts = [ref[0] + "".join(rng.choice("ACG") for _ in range(rng.randrange(0, 3))) + rng.choice("GT") for _ in range(3)]
+            rows.append((rng.randrange(20), ref, alts, [rng.choice([None, 0, 1, 2, 3]) for _ in range(2)]))
+        regions[k] = sorted(rows, key=lambda r: r[0])
+    frame = spark.createDataFrame([(k, i + 1, *r) for k, rows in regions.items() for i, r in enumerate(rows)], "region_id long, place int, start long, ref string, alts array<string>, gt array<int>")
+    for found, which in ((haplotypes.genotype_combos(frame), 0), (haplotypes.possible_genotypes(frame), 1)):
+        by_region = {}
+        for r in sorted(found.collect(), key=lambda r: (r["region_id"], r["combo"])):
+            by_region.setdefault(r["region_id"], []).append((tuple(r["h0"]), tuple(r["h1"])))
+        assert all(by_region.get(k, []) == pairs_by_product(rows)[which] for k, rows in regions.items())
+
+
+def test_many_variants_in_a_stretch(spark):
+    """Sixty variants, forty of them homozygous; overlapping alternatives leave few of the 2**19 ways."""
+    rows = [(k, "A", ["T"], [1, 1]) for k in range(40)] + [(40 + k // 5, "A", ["C", "G", "T"], [0, 1 + k % 3]) for k in range(20)]
+    assert haplotypes.possible_genotypes(members(spark, rows)).count() == 0  # five alternatives on one base fit on no two haplotypes
+    rows = [(k, "A", ["T"], [1, 1]) for k in range(40)] + [(40 + k // 2, "A", ["C", "G", "T"], [0, 1 + k % 3]) for k in range(20)]
+    out = haplotypes.possible_genotypes(members(spark, rows)).collect()
+    assert len(out) == 2**9 and all(r["h0"][:40] == r["h1"][:40] == [1] * 40 and all((r["h0"][i] > 0) != (r["h0"][i + 1] > 0) for i in range(40, 60, 2)) for r in out)
+    assert haplotypes.genotype_combos(members(spark, rows)).count() == 0  # 2**19 ways where overlaps are let through
+
+
+def test_third_alternatives_and_shared_sequences(spark):
+    region = spark.createDataFrame([(1, 0, "AAAAAAAAA")], "region_id long, start long, seq string")
+    var = members(spark, [(4, "A", ["C", "G", "TT"], [3, 2])])
+    chosen = spark.createDataFrame([(1, 1, 0, [3]), (1, 1, 1, [2])], "region_id long, combo int, hap int, alleles array<int>")
+    made = haplotypes.spliced(var, region, chosen)
+    assert [r["seq"] for r in made.orderBy("hap").collect()] == ["AAAATTAAAA", "AAAAGAAAA"]
+    haps = spark.createDataFrame([(1, 1, 0, "ACGT"), (1, 1, 1, "AAAA"), (1, 2, 0, "ACGT"), (1, 2, 1, "ACCT"), (2, 1, 0, "GG"), (2, 1, 1, "GG"), (3, 1, 0, "A"), (3, 1, 1, "C")], "region_id long, combo int, hap int, seq string")
+    reads = spark.createDataFrame([(1, 1, "ACGT"), (1, 2, "ACAT"), (2, 3, "TTTTTT"), (1, 4, "AAAT")], "region_id long, read_id long, bases string")
+    out = {(r["region_id"], r["combo"], r["hap"]): r["support"] for r in haplotypes.haplotype_support(haps, reads).collect()}
+    # The second read is one step from ACGT (two haplotypes) and ACCT; the fourth one from AAAA alone.
+    assert out == {(1, 1, 0): pytest.approx(0.5 + 1 / 3), (1, 2, 0): pytest.approx(0.5 + 1 / 3), (1, 2, 1): pytest.approx(1 / 3), (1, 1, 1): pytest.approx(1.0), (2, 1, 0): 0.5, (2, 1, 1): 0.5}
 
 
 def test_several_heterozygous_variants_take_the_best_genotype(spark):
