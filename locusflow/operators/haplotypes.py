@@ -23,12 +23,21 @@ def heterozygous(gt: Column) -> Column:
     return F.size(F.array_distinct(F.transform(gt, lambda g: F.coalesce(g, F.lit(-1))))) > 1
 
 
-def used_bases(start: Column, ref: Column, alt: Column) -> Column:
-    """struct(s, e) of the reference bases that an allele takes the place of; s = e is an insertion point."""
-    suffix = alleles.common_suffix(ref, alt)
-    r = alleles.without_suffix(ref, suffix)
-    t = alleles.prefix_trimmed(r, alleles.without_suffix(alt, suffix))
-    return F.struct((start + t["offset"]).alias("s"), (start + t["offset"] + F.length(t["ref"])).alias("e"))
+def with_used_bases(members: DataFrame) -> DataFrame:
+    """``members`` with, for each of the two alleles k, gk (null: 0) and xk, the reference bases (s, e) it takes the place of.
+
+    s = e is an insertion point; the reference allele has none.
+    """
+    rows = members
+    for k in "01":
+        rows = rows.withColumn(f"g{k}", F.coalesce(F.col("gt")[int(k)], F.lit(0)))
+        rows = rows.withColumn(f"a{k}", F.when(F.col(f"g{k}") > 0, F.try_element_at("alts", F.greatest(F.col(f"g{k}"), F.lit(1)))))
+        # Step by step: each result is used several times.
+        rows = rows.withColumn(f"n{k}", alleles.common_suffix(F.col("ref"), F.col(f"a{k}")))
+        rows = rows.withColumns({f"r{k}": alleles.without_suffix(F.col("ref"), F.col(f"n{k}")), f"a{k}": alleles.without_suffix(F.col(f"a{k}"), F.col(f"n{k}"))})
+        rows = rows.withColumn(f"p{k}", alleles.common_prefix(F.col(f"r{k}"), F.col(f"a{k}")).cast("int"))
+        rows = rows.withColumn(f"x{k}", F.when(F.col(f"a{k}").isNotNull(), F.struct((F.col("start") + F.col(f"p{k}")).alias("s"), (F.col("start") + F.length(f"r{k}")).alias("e"))))
+    return rows.select(*members.columns, *(f"{c}{k}" for k in "01" for c in "gx"))
 
 
 def clash(x: Column, y: Column) -> Column:
@@ -47,15 +56,9 @@ def phased(members: DataFrame, tested: bool = True, longest: int = LONGEST_SPAN,
     up, with the reason and no ways, if its heterozygous variants span over ``longest``
     bases or if over ``most`` pairs are alive at once.
     """
-    g = F.transform("gt", lambda a: F.coalesce(a, F.lit(0)))
-
-    def used(side: int):
-        alt = F.try_element_at("alts", F.greatest(g[side], F.lit(1)))
-        return F.when(g[side] > 0, used_bases(F.col("start"), F.col("ref"), alt))
-
     het, end = heterozygous(F.col("gt")), F.col("start") + F.length("ref")
-    part = F.struct("place", g[0].alias("g0"), g[1].alias("g1"), used(0).alias("x0"), used(1).alias("x1"))
-    lists = members.groupBy("region_id").agg(
+    part = F.struct("place", "g0", "g1", "x0", "x1")
+    lists = with_used_bases(members).groupBy("region_id").agg(
         F.array_sort(F.collect_list(part)).alias("m"), F.count_if(het).alias("hets"), (F.max(F.when(het, end)) - F.min(F.when(het, F.col("start")))).alias("far")
     )
     span = F.when(F.col("hets") > 1, F.col("far")).otherwise(0).cast("long")
@@ -142,23 +145,38 @@ def haplotype_support(haplotypes: DataFrame, spanning: DataFrame) -> DataFrame:
     A read is worth one, shared by the haplotypes it is nearest to in edit distance.  It is
     held against each distinct sequence of its region once, each time only up to the best
     distance so far; where a region has a single sequence there is nothing to compare.
+    Regions without a read have no score and no row.
     """
-    sequences = haplotypes.where("seq is not null").groupBy("region_id", "seq").agg(F.count("*").alias("users"))
+    sequences = haplotypes.where("seq is not null").groupBy("region_id", "seq").agg(F.array_sort(F.collect_list(F.struct("combo", "hap"))).alias("users"))
     lists = sequences.groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("seq", "users"))).alias("known"))  # at most two for each way
-    pairs = spanning.join(lists, "region_id")
-    start = F.struct(F.lit(None).cast("int").alias("best"), F.array().cast("array<struct<seq:string,users:bigint>>").alias("near"))
+    pairs = spanning.where("bases is not null").join(lists, "region_id")
+    start = F.struct(F.lit(None).cast("int").alias("best"), F.array().cast("array<string>").alias("near"))
 
     def nearer(done: Column, x: Column) -> Column:
-        distance = F.when(done["best"].isNull(), F.levenshtein("bases", x["seq"])).otherwise(F.call_function("levenshtein", F.col("bases"), x["seq"], F.coalesce(done["best"], F.lit(0))))
-        kept = F.when(distance == done["best"], F.concat(done["near"], F.array(x))).otherwise(F.array(x))
-        return F.when((distance < 0) | distance.isNull(), done).otherwise(F.struct(distance.alias("best"), kept.alias("near")))
-
-    near = F.when(F.size("known") == 1, F.col("known")).otherwise(F.aggregate("known", start, nearer, lambda s: s["near"]))
-    shared = pairs.where("bases is not null").select("region_id", near.alias("near")).withColumn("share", 1.0 / F.aggregate("near", F.lit(0).cast("bigint"), lambda n, x: n + x["users"]))
-    summed = shared.select("region_id", F.explode("near").alias("x"), "share").groupBy("region_id", F.col("x.seq").alias("seq")).agg(F.sum("share").alias("support"))
-    kept = haplotypes.join(summed, ["region_id", "seq"], "left").fillna(0.0, ["support"])
-    total = F.sum("support").over(Window.partitionBy("region_id"))
-    return kept.withColumn("score", F.try_divide("support", total)).where("score is not null").select(*haplotypes.columns, "support", "score")
+        first, bounded = F.levenshtein("bases", x["seq"]), F.call_function("levenshtein", F.col("bases"), x["seq"], F.coalesce(done["best"], F.lit(0)))
+
+        def after(d: Column) -> Column:
+            kept = F.when(d == done["best"], F.concat(done["near"], F.array(x["seq"]))).otherwise(F.array(x["seq"]))
+            return F.when(d < 0, done).otherwise(F.struct(d.alias("best"), kept.alias("near")))
+
+        # One element: the distance is worked out once, and used several times.
+        return F.get(F.transform(F.array(F.when(done["best"].isNull(), first).otherwise(bounded)), after), F.lit(0))
+
+    def shares(near: Column) -> Column:
+        """Every known sequence with its users and what each of them gets of the read."""
+        users = F.aggregate("known", F.lit(0), lambda n, x: n + F.when(F.array_contains(near, x["seq"]), F.size(x["users"])).otherwise(0))
+        part = lambda x: F.when(F.array_contains(near, x["seq"]), 1.0 / users).otherwise(0.0)
+        return F.transform("known", lambda x: F.struct(x["seq"].alias("seq"), x["users"].alias("users"), part(x).alias("share")))
+
+    near = F.when(F.size("known") == 1, shares(F.transform("known", lambda x: x["seq"]))).otherwise(F.aggregate("known", start, nearer, lambda s: shares(s["near"])))
+    # Edit distances are slow and their rows short: a fixed number of tasks, which are not coalesced.
+    tasks = int(spanning.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pairs.select("region_id", "bases", "known", "read_id").repartition(tasks, "region_id", "read_id")
+    shared = spread.select("region_id", F.explode_outer(near).alias("x"))  # outer: else the list is made once more to see whether it is empty
+    summed = shared.groupBy("region_id", F.col("x.seq").alias("seq"), F.col("x.users").alias("users")).agg(F.sum("x.share").alias("support"))
+    total = F.sum(F.col("support") * F.size("users")).over(Window.partitionBy("region_id"))
+    scored = summed.withColumn("score", F.try_divide("support", total)).where("score is not null")
+    return scored.select("region_id", F.explode("users").alias("u"), "seq", "support", "score").select("region_id", "u.combo", "u.hap", "seq", "support", "score")
 
 
 def best_genotypes(support: DataFrame) -> DataFrame:
