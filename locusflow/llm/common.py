@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.text import shared_folder, shared_path
+from ..sources.text import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,8 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder, removed when it is no longer referenced."""
-    shared_folder(df.sparkSession)  # a session without a checkpoint folder gets one
-    return df.checkpoint()
+#: Cuts the lineage of a table that is used several times; the table goes with the session's shared folder.
+checkpointed = stored
 
 
 #: Bytes of texts that a task works on at once; a longer text is a part of its own.

@@ -1,17 +1,23 @@
 """Near-duplicate vectors by NN-descent.
 
-Every distinct vector keeps a short list of its nearest known neighbours.  A round joins
-each vector's neighbours (and those that list it) with each other: a neighbour of a
-neighbour is likely a neighbour.  Lists whose entries all reach the threshold are
-saturated and grow.  Rounds end when few links are new.  Entries that reach the threshold are links, whose
-components are the classes.  Lists stay short, so a list that is all links may lack some:
-classes are also compared with each other over their members with such lists, and those
-that link are one class.  The links of a class are then counted without listing its pairs:
-vectors near its centre all link with each other, the others are compared in blocks.
-
-The answer is audited: the links counted for a sample of vectors against those that brute
-force finds.  If the target is missed, more tables and rounds follow, and if that was not
-enough, all vectors are compared in blocks.
+Every distinct vector keeps a short list of its nearest known neighbours.  The first lists
+come from cells of vectors on the same sides of random planes: as many tables of cells as a
+pair at the threshold needs to meet with near certainty, whatever the number of vectors.
+A round then joins each vector's neighbours (and those that list it) with each other: a
+neighbour of a neighbour is likely a neighbour.  Lists whose entries all reach the threshold
+are saturated and grow.  Rounds end when few list entries are new.  Entries that reach the
+threshold are links, whose components are the classes.  Lists stay short, so a list that is
+all links may lack some: classes are also compared with each other over their members with
+such lists, and those that link are one class.  The links of a class are then counted without
+listing its pairs: vectors near its centre all link with each other, the others are compared
+in blocks.
+
+The answer is audited in two ways.  Brute force finds the links of a sample of vectors.  Tables
+with fresh planes find links independently of the answer; each is weighted by the inverse
+of its chance to be found, so that the share of them that the answer has estimates the
+share of all links, also where links are too rare for a sample to hold any.  If the target is
+missed, the links found and more tables and rounds follow, and if that was not enough, all
+vectors are compared in blocks.
 """
 
 from __future__ import annotations
@@ -28,11 +34,16 @@ from .graph import components
 
 LIST = 8
 LONGEST_LIST = 4 * LIST
-CELL = 64
-TABLES = 6
-PART = 1024
+#: Vectors of a cell, on average, and of a cell or block that meet in one task.
+CELL, PART = 256, 1024
+#: Planes beyond those of the cells, by which a crowded cell is cut again.
+FINER = 12
+#: Chance that a pair at the threshold meets in some table; tables that also make lists of vectors below the threshold.
+CHANCE, GRAPH = 0.995, 4
 PIECE = 256
-AUDITED = 256
+AUDITED, ENOUGH = 512, 200
+#: Share of new list entries below which rounds end.
+SETTLED = 0.05
 ATTEMPTS = 2
 
 
@@ -63,22 +74,47 @@ def pairs_schema(a: np.ndarray, b: np.ndarray, cos: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(cos.astype(np.float64))], names=["node", "near", "cos"])
 
 
-def first_lists(nodes: DataFrame, count: int, attempt: int = 0) -> DataFrame:
-    """(node, near, cos): nearest neighbours within cells of vectors on the same side of random planes."""
-    bits = max(1, int(np.ceil(np.log2(max(count / CELL, 2)))))
+def planes_of(count: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(count / CELL, 2)))))
+
+
+def met(cos: np.ndarray | float, bits: int, tables: int) -> np.ndarray | float:
+    """Chance that two vectors of a cosine share a cell in one of so many tables of so many planes."""
+    same = (1 - np.arccos(np.clip(cos, -1, 1)) / np.pi) ** bits
+    return 1 - (1 - same) ** tables
+
+
+def tables_of(count: int, threshold: float, chance: float = CHANCE) -> int:
+    """Tables after which a pair at the threshold has met with ``chance``."""
+    return max(GRAPH, int(np.ceil(np.log(1 - chance) / np.log1p(-min(met(threshold, planes_of(count), 1), 0.999)))))
+
+
+def cell_lists(nodes: DataFrame, count: int, threshold: float, first: int, tables: int, graph: int = GRAPH) -> DataFrame:
+    """(node, near, cos): nearest neighbours within cells of tables ``first`` and on; after ``graph`` tables only those at the threshold.
+
+    A crowded cell is cut by more planes, and by chance where that does not help: its
+    vectors are then so much alike that lists are full of links in any part.
+    """
+    bits = planes_of(count)
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix_of(batch.column("v"))
-            for t in range(attempt * TABLES, (attempt + 1) * TABLES):
-                planes = np.random.default_rng(100 + t).normal(size=(x.shape[1], bits))
-                cell = ((x @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(np.full(len(x), t, np.int32)), pa.array(cell.astype(np.int64))], names=["id", "v", "t", "cell"])
-
-    cells = nodes.mapInArrow(sides, "id long, v binary, t int, cell long")
-    sizes = cells.groupBy("t", "cell").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / PART)
-    split = cells.join(sizes, ["t", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), parts)).select("t", "cell", "part", "id", "v")
+            for t in range(first, first + tables):
+                planes = np.random.default_rng(100 + t).normal(size=(x.shape[1], bits + FINER))
+                cell = ((x @ planes) > 0) @ (1 << np.arange(bits + FINER, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(np.full(len(x), t, np.int32)), pa.array(cell)], names=["id", "v", "t", "cell"])
+
+    cells = nodes.mapInArrow(sides, "id long, v binary, t int, cell long").withColumn("coarse", F.col("cell").bitwiseAND(F.lit((1 << bits) - 1)))
+    rows = cells.groupBy("t", "cell").agg(F.count("*").alias("n")).withColumn("coarse", F.col("cell").bitwiseAND(F.lit((1 << bits) - 1)))
+    size = rows.groupBy("t", "coarse").agg(F.sum("n").alias("size"))
+    # A cell of over PART vectors has so many more planes, up to FINER; what is still crowded has parts.
+    more = F.least(F.lit(FINER), F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / PART)).cast("int")))
+    fine = F.col("cell").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(bits) + more) - 1)
+    named = rows.join(size, ["t", "coarse"]).withColumn("fine", fine)
+    parts = named.groupBy("t", "coarse", "fine").agg(F.sum("n").alias("held"))
+    sized = named.join(parts, ["t", "coarse", "fine"]).select("t", "cell", "fine", F.ceil(F.col("held") / PART).alias("parts"))
+    split = cells.drop("coarse").join(sized, ["t", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), "parts")).select("t", F.col("fine").alias("cell"), "part", "id", "v")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, ["t", "cell", "part"]):
@@ -87,14 +123,20 @@ def first_lists(nodes: DataFrame, count: int, attempt: int = 0) -> DataFrame:
                 continue
             cos = x @ x.T
             np.fill_diagonal(cos, -2)
+            near = np.ones(len(ids), bool) if group.column("t")[0].as_py() < first + graph else (cos >= threshold).any(axis=1)
+            rows = np.flatnonzero(near)
+            if not len(rows):
+                continue
             k = min(LIST, len(ids) - 1)
-            top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), k)
-            yield pairs_schema(ids[rows], ids[top.ravel()], cos[rows, top.ravel()])
+            top = np.argpartition(-cos[rows], k - 1, axis=1)[:, :k].ravel()
+            rows = np.repeat(rows, k)
+            found = cos[rows, top]
+            if group.column("t")[0].as_py() >= first + graph:
+                rows, top, found = (z[found >= threshold] for z in (rows, top, found))
+            yield pairs_schema(ids[rows], ids[top], found)
 
     key = ["t", "cell", "part"]
-    found = split.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(nearest, "node long, near long, cos double")
-    return best_lists(found.withColumn("new", F.lit(True)), 0.0)
+    return split.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(nearest, "node long, near long, cos double")
 
 
 def best_lists(found: DataFrame, threshold: float) -> DataFrame:
@@ -288,8 +330,8 @@ def class_links(members: DataFrame, threshold: float) -> DataFrame:
     return compared.unionByName(known).groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def audit_recall(answer: DataFrame, nodes: DataFrame, count: int, threshold: float) -> float:
-    """Share of the links of a bounded sample of vectors, found by brute force, that ``answer`` (id, component, n) has.
+def sampled_recall(answer: DataFrame, nodes: DataFrame, count: int, threshold: float) -> tuple[float, int]:
+    """Share of the links of a bounded sample of vectors, found by brute force, that ``answer`` (id, component, n) has, and their number.
 
     ``n`` counts every link inside a class, so it is also the share of linked pairs that are in
     one class.  The lower of the share of all links and the mean share of a vector counts:
@@ -298,7 +340,7 @@ def audit_recall(answer: DataFrame, nodes: DataFrame, count: int, threshold: flo
     share = min(1.0, AUDITED / max(count, 1))
     sample = nodes.where(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * AUDITED).select("id", "v").collect()
     if not sample:
-        return 1.0
+        return 1.0, 0
     ids = np.array([r["id"] for r in sample])
     queries = matrix_of(pa.array([bytes(r["v"]) for r in sample], pa.binary()))
 
@@ -313,7 +355,17 @@ def audit_recall(answer: DataFrame, nodes: DataFrame, count: int, threshold: flo
     have = F.least("n", F.coalesce("have", F.lit(0)))
     found = true.join(answer.select(F.col("id").alias("node"), F.col("n").alias("have")), "node", "left")
     row = found.agg(F.sum("n").alias("n"), F.sum(have).alias("have"), F.avg(have / F.col("n")).alias("mean")).first()
-    return min(row["have"] / row["n"], row["mean"]) if row["n"] else 1.0
+    return (min(row["have"] / row["n"], row["mean"]), row["n"]) if row["n"] else (1.0, 0)
+
+
+def missed_links(answer: DataFrame, found: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(node, near, cos, weight, missed) of independently found links: the inverse of their chance, and whether ``answer`` has them in two classes."""
+    ends = [answer.select(F.col("id").alias(end), F.col("component").alias(f"{end}_class")) for end in ("node", "near")]
+    joined = found.join(ends[0], "node", "left").join(ends[1], "near", "left")
+    same = F.pow(1 - F.acos(F.least("cos", F.lit(1.0))) / np.pi, F.lit(bits))
+    weight = 1 / (1 - F.pow(1 - same, F.lit(tables)))
+    missed = ~F.coalesce(F.col("node_class") == F.col("near_class"), F.lit(False))
+    return joined.select("node", "near", "cos", weight.alias("weight"), missed.alias("missed"))
 
 
 def near_duplicates(vectors: DataFrame, vector: str = "embedding", vec_id: str = "vec_id", threshold: float = 0.9, recall: float = 0.99, rounds: int = 8) -> DataFrame:
@@ -413,17 +465,29 @@ def search(nodes: DataFrame, count: int, threshold: float, recall: float, rounds
     """(id, component, n) of the vectors of one length that link with another."""
     nodes = nodes.select("id", "v", "copies")
     vectors = nodes.select("id", "v")
-    lists = checkpointed(first_lists(vectors, count))
-    for attempt in range(ATTEMPTS):
-        if attempt:
-            known = lists.withColumn("new", F.lit(False))
-            lists = checkpointed(best_lists(known.unionByName(first_lists(vectors, count, attempt)), threshold))
+    tables, bits = tables_of(count, threshold), planes_of(count)
+    fresh = -(-tables // 2)
+    lists = checkpointed(best_lists(cell_lists(vectors, count, threshold, 0, tables).withColumn("new", F.lit(True)), threshold))
+    at = tables
+    for _ in range(ATTEMPTS):
         for _ in range(rounds):
             lists = checkpointed(descend(lists, vectors, threshold))
-            state = lists.where(F.col("cos") >= threshold).agg(F.count("*").alias("links"), F.count_if("new").alias("new")).first()
-            if state["new"] <= 0.01 * state["links"]:
+            state = lists.agg(F.count("*").alias("entries"), F.count_if("new").alias("new")).first()
+            if state["new"] <= SETTLED * state["entries"]:
                 break
         answer = counted_classes(classes_of(lists, nodes, threshold), nodes, threshold)
-        if audit_recall(answer, nodes, count, threshold) >= recall:
-            return answer
+        audit = checkpointed(missed_links(answer, cell_lists(vectors, count, threshold, at, fresh, 0).distinct(), bits, fresh))
+        at += fresh
+        seen = audit.agg(F.count("*").alias("n"), F.sum("weight").alias("all"), F.sum(F.when(F.col("missed"), F.col("weight"))).alias("missed")).first()
+        share = 1 - (seen["missed"] or 0) / seen["all"] if seen["n"] else 1.0
+        sampled, n = sampled_recall(answer, nodes, count, threshold)
+        lacking = bool(seen["missed"])
+        if lacking:  # links that the audit found are links of the answer too
+            found = audit.select("node", "near", "cos").withColumn("new", F.lit(True))
+            lists = checkpointed(best_lists(lists.withColumn("new", F.lit(False)).unionByName(found), threshold))
+        if share >= recall and (n < ENOUGH <= seen["n"] or sampled >= recall):
+            return counted_classes(classes_of(lists, nodes, threshold), nodes, threshold) if lacking else answer
+        more = cell_lists(vectors, count, threshold, at, tables, 0).withColumn("new", F.lit(True))
+        at += tables
+        lists = checkpointed(best_lists(lists.unionByName(more), threshold))
     return counted_classes(components(all_links(nodes, threshold), "node", "near"), nodes, threshold)
