@@ -13,7 +13,7 @@ from locusflow.llm import language_id, simhash, toxicity
 from locusflow.llm.common import stored, table
 from locusflow.llm.packing import pack
 from locusflow.llm.queries import fitted_language_model, fitted_toxicity_model
-from locusflow.llm.suffix_dedup import remove_repeats, whole_characters
+from locusflow.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -46,9 +46,8 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that is cut to nothing stays, with an empty text.
     """
-    cut = remove_repeats(docs, keep=("doc_id", "lang", "source"), length=PASSAGE)  # texts come back as the kept bytes
-    text = whole_characters(F.col("kept"), F.col("spans"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = remove_repeats(docs, keep=("doc_id", "lang", "source"), length=PASSAGE)
+    return cut.withColumn("text", F.col("whole")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
-        suffix_dedup.whole_characters(F.col("kept"), F.col("spans")).alias("kept_text"),
+        F.col("whole").alias("kept_text"),
     )
 
 

@@ -340,13 +340,16 @@ def compare_runs(pieces: DataFrame, length: int, tasks: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), length: int = 400) -> DataFrame:
     """Removes every byte covered by a ``length``-byte string that also starts elsewhere.
 
-    Returns ``keep``, ``spans`` (maximal removed byte ranges, in order) and ``kept`` (the
-    remaining bytes, binary).  Strings are judged on the input; occurrences may overlap
+    Returns ``keep``, ``spans`` (maximal removed byte ranges, in order), ``kept`` (the
+    remaining bytes, binary) and ``whole`` (the same as text, without what is left of
+    characters that a cut goes through); ``keep`` must not hold these three names.  Strings are judged on the input; occurrences may overlap
     and may lie in one document.  A null or empty text has no span and empty ``kept``;
     equal rows repeat each other; a text shorter than ``length`` is kept whole.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
+    if {"spans", "kept", "whole"}.intersection(keep):
+        raise ValueError("spans, kept and whole are columns of the result")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*keep).alias("row"), whole.alias("text"))
     keyed = rows.withColumns({"k1": F.xxhash64("text", "row"), "k2": F.xxhash64(F.lit(1), "row", "text")})
@@ -383,7 +386,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))), F.array(F.octet_length("text")))
     gaps = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda i: F.struct(F.element_at("edges", 2 * i + 1).alias("from"), F.element_at("edges", 2 * i + 2).alias("to")))
     kept = F.array_join(F.transform(gaps, lambda g: F.substring(binary, g["from"] + 1, g["to"] - g["from"]).cast("string")), "").cast("binary")
-    return with_edges.withColumn("edges", edges).select("row.*", "spans", F.when(F.size("spans") == 0, binary).otherwise(kept).alias("kept"))
+
+    def inside(at: Column) -> Column:
+        """Whether the byte at a place goes on with a character that began before it."""
+        return F.hex(F.substring(binary, at + 1, F.lit(1))).between("80", "BF")
+
+    def clean(g: Column) -> Column:
+        """The characters that lie wholly in a range."""
+        first = F.when(~inside(g["from"]), 0).when(~inside(g["from"] + 1), 1).when(~inside(g["from"] + 2), 2).otherwise(3)
+        last = F.when(~inside(g["to"]), 0).when(~inside(g["to"] - 1), 1).when(~inside(g["to"] - 2), 2).otherwise(3)
+        return F.substring(binary, g["from"] + first + 1, F.greatest(g["to"] - last - g["from"] - first, F.lit(0))).cast("string")
+
+    none_cut = F.size("spans") == 0
+    whole_text = F.when(none_cut, F.col("text")).otherwise(F.array_join(F.transform(gaps, clean), ""))
+    return with_edges.withColumn("edges", edges).select("row.*", "spans", F.when(none_cut, binary).otherwise(kept).alias("kept"), whole_text.alias("whole"))
 
 
 def united(byte_spans: DataFrame) -> DataFrame:
@@ -394,10 +410,3 @@ def united(byte_spans: DataFrame) -> DataFrame:
     numbered = opened.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ranges = numbered.groupBy("k1", "k2", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return ranges.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-
-
-def whole_characters(kept: Column, spans: Column) -> Column:
-    """The kept bytes as text, without what is left of characters that a cut goes through."""
-    text = kept.cast("string")
-    mended = F.replace(F.make_valid_utf8(text), F.lit("\N{REPLACEMENT CHARACTER}"), F.lit(""))
-    return F.when(F.size(spans) == 0, text).otherwise(mended)

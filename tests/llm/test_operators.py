@@ -81,9 +81,34 @@ def test_long_texts_are_read_in_parts(spark, monkeypatch):
     assert [(len(r["kept"]), len(r["spans"])) for r in out] == [(n - gone, spans) for n, gone, spans, _ in brute.remove_repeats(texts)]
 
 
-def test_whole_characters(spark):
-    row = spark.createDataFrame([(bytearray(b"\xa9ab\xc3"), [(0, 5)]), (bytearray("é\ufffd".encode()), [])], "kept binary, spans array<struct<start: int, end: int>>")
-    assert [r[0] for r in row.select(suffix_dedup.whole_characters(F.col("kept"), F.col("spans"))).collect()] == ["ab", "é\ufffd"]
+def test_characters_that_a_cut_goes_through(spark):
+    """Cuts through characters of two, three and four bytes; genuine replacement characters stay."""
+    import random
+
+    rng = random.Random(3)
+    texts = []
+    for k in range(12):
+        shared = "".join(rng.choice("aé\u20ac\U0001f600\ufffd") for _ in range(400))
+        # The bytes of a character before and after the shared part agree in part only.
+        for before, after in rng.sample([("\u00e9", "\u00e8"), ("\ufffd", "\ufffd\ufffdx"), ("\U0001f600", "\U0001f601"), ("\u20ac", "\u20ad"), ("b\ufffd", "\ufffe")], 3):
+            texts.append(f"{k}\ufffd start {before}{shared}{after} end \ufffd{k}")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(frame).collect()}
+    cut = 0
+    for i, text in enumerate(texts):
+        raw, kept = text.encode(), []
+        gone = {k for s in out[i]["spans"] for k in range(s["start"], s["end"])}
+        at = 0
+        for c in text:
+            size = len(c.encode())
+            if not gone.intersection(range(at, at + size)):
+                kept.append(c)
+            at += size
+        cut += bool(gone)
+        assert out[i]["whole"] == "".join(kept) and bytes(out[i]["kept"]) == bytes(b for k, b in enumerate(raw) if k not in gone)
+    assert cut == len(texts)
+    with pytest.raises(ValueError, match="columns of the result"):
+        suffix_dedup.remove_repeats(frame.withColumn("kept", F.lit(1)), keep=("doc_id", "kept"))
 
 
 def test_repeated_windows_against_brute_force():
@@ -585,7 +610,40 @@ def test_audit_counts_all_links(spark):
     x = np.eye(1, 16) + np.random.default_rng(7).normal(scale=0.01, size=(60, 16))
     nodes = spark.createDataFrame([(i, 1, r.tobytes()) for i, r in enumerate(x)], "id long, copies long, v binary")
     answer = spark.createDataFrame([(i, 0, 8) for i in range(60)], "id long, component long, n long")
-    assert nn_descent.audit_recall(answer, nodes, 60, 0.9) == pytest.approx(8 / 59)
+    assert nn_descent.sampled_recall(answer, nodes, 60, 0.9) == (pytest.approx(8 / 59), 60 * 59)
+
+
+def test_independent_links_show_what_is_missing(spark):
+    """Links weigh as much as such links are rarely found; those between two classes are missing."""
+    found = spark.createDataFrame([(1, 2, 1.0), (3, 4, 0.9), (5, 6, 0.9), (7, 8, 0.95)], "node long, near long, cos double")
+    answer = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 4, 0), (5, 5, 1), (6, 5, 1)], "id long, component long, n long")
+    out = {r["node"]: r for r in nn_descent.missed_links(answer, found, 8, 3).collect()}
+    assert {i: r["missed"] for i, r in out.items()} == {1: False, 3: True, 5: False, 7: True}
+    assert out[1]["weight"] == pytest.approx(1) and all(out[i]["weight"] == pytest.approx(1 / nn_descent.met(c, 8, 3)) for i, c in ((3, 0.9), (7, 0.95)))
+
+
+@pytest.mark.parametrize(("count", "least"), [(1000, 0.995), (10**5, 0.995), (10**9, 0.995)])
+def test_tables_grow_with_the_vectors(count, least):
+    assert nn_descent.met(0.9, nn_descent.planes_of(count), nn_descent.tables_of(count, 0.9)) >= least
+
+
+def test_rare_links_among_many_cells(spark, monkeypatch):
+    """A hundred planted pairs just over the threshold among 8,000 vectors in 500 cells of each table."""
+    monkeypatch.setattr(nn_descent, "CELL", 16)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = rng.permutation(8000)[:200].reshape(-1, 2)
+    for a, b in pairs:
+        side = rng.normal(size=64)
+        side -= side @ x[a] * x[a]
+        x[b] = 0.902 * x[a] + np.sqrt(1 - 0.902**2) * side / np.linalg.norm(side)
+    linked = exact_links(x)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    out = {r["vec_id"]: r["n_links"] for r in nn_descent.near_duplicates(df).collect()}
+    ends = np.flatnonzero(linked.any(axis=1))
+    assert len(ends) >= 200 and sum(out[i] == linked[i].sum() for i in ends) >= 0.99 * len(ends)
+    assert not any(out[i] for i in set(range(8000)) - set(ends.tolist()))
 
 
 def test_forest_connects_what_the_links_connect():

@@ -8,7 +8,7 @@ import corpus_pipeline
 from locusflow.llm import queries
 from locusflow.llm.common import table
 from tests.llm import brute
-from tests.oracle import SMALL, assert_same
+from tests.oracle import SMALL, TABLES, assert_same
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -18,6 +18,21 @@ def test_matches_sql(spark, name):
     assert_same(spark, queries.queries()[name], queries.oracle_sql()[name])
 
 
+def test_embeddings_with_links_match_sql(spark, tmp_path):
+    """The given vectors and, for every third one, near copies at several distances: the SQL row then has links."""
+    rows = table(spark, SMALL, "embeddings")
+    moved = [rows.where("vec_id % 3 = 0").selectExpr(f"vec_id + {1000 * k} AS vec_id", f"transform(embedding, (x, i) -> cast(x + {0.04 * k} * sin(vec_id + i) AS float)) AS embedding", "label") for k in range(1, 6)]
+    for more in moved:
+        rows = rows.unionByName(more)
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in TABLES:
+        if name != "embeddings":
+            spark.range(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = queries.op8_embedding_near_dedup(spark, str(tmp_path))
+    assert out.where("n_links > 0").count() > 100
+    assert_same(spark, queries.op8_embedding_near_dedup, queries.oracle_sql()["op8_embedding_near_dedup"], str(tmp_path))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()}
@@ -92,8 +107,16 @@ def kept_text(text, length):
             if seen[r[i : i + length]] > 1:
                 marks[i : i + length] = b"\1" * length
         gone.append(marks)
-    whole = lambda r, g: bytes(x for x, cut in zip(r, g, strict=True) if not cut).decode("utf-8", "replace")
-    return [whole(r, g).replace("\N{REPLACEMENT CHARACTER}", "") if any(g) else r.decode() for r, g in zip(raw, gone, strict=True)]
+    out = []
+    for r, g in zip(raw, gone, strict=True):
+        at, kept = 0, []
+        for c in r.decode():
+            size = len(c.encode())
+            if not any(g[at : at + size]):
+                kept.append(c)
+            at += size
+        out.append("".join(kept))
+    return out
 
 
 def test_pipeline_stages(spark, docs):
