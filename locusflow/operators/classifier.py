@@ -16,6 +16,22 @@ FEATURES = (
 )
 
 
+def record_features(records: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``FEATURES`` of merged records, which keep record_id and what else they have.
+
+    ``records`` has qual, ref, alt, quals, window_var_count, window_cis_vars, step_count,
+    call_count, window_offsets, depth and gt; ``evidence`` (record_id, reads, pos_alt,
+    neg_alt, vaf) comes from the reads.  A homozygous record counts each of its window
+    calls once as a step and twice as a call.
+    """
+    support = evidence.select("record_id", "vaf", F.col("reads").alias("vafreads"), (F.col("pos_alt") + F.col("neg_alt")).alias("altreads"))
+    own = {
+        "ref_len": F.length("ref"), "alt_len": F.length("alt"), "min_qual": F.array_min("quals"), "max_qual": F.array_max("quals"), "var_count": F.col("window_var_count"), "cis_count": F.col("window_cis_vars"),
+        "min_win_offset": F.array_min("window_offsets"), "max_win_offset": F.array_max("window_offsets"), "dp": F.col("depth"), "het": F.array_contains(F.split("gt", "/"), "0").cast("int"),
+    }
+    return records.withColumns(own).join(support, "record_id")
+
+
 def balanced(rows: DataFrame, label: str = "label") -> DataFrame:
     """Rows with ``weight``, so that both classes count the same."""
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))

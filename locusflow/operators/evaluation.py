@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alleles
 from .intervals import interval_join
+from .sampling import cumulative
 
 VARIANT = ["chrom", "pos", "ref", "alt"]
 
@@ -18,6 +19,50 @@ def exact_matches(calls: DataFrame, truth: DataFrame) -> DataFrame:
     return a.join(b, ["chrom", "pos", "ref", "_set"]).select(*calls.columns, "truth_id")
 
 
+def labelled(evaluated: DataFrame, tp_records: DataFrame, fp_records: DataFrame) -> DataFrame:
+    """``evaluated`` rows with ``label`` and ``found_id``, the record that an evaluation's row is about.
+
+    ``evaluated`` has chrom, pos, ref, alts, base, call and genotype (allele numbers, null for
+    the open half of a half call).  Rows whose base marks hold CA, and rows without a call, are
+    skipped.  A true positive is looked up by all its alternatives, a false positive by
+    those of its genotype only; what is not found is left out.  The record files have chrom,
+    pos, ref, alts and found_id; of equal records the smallest id counts.
+    """
+    as_set = lambda c: F.array_sort(F.array_distinct(c))
+    used = F.transform(F.filter("genotype", lambda a: a.isNotNull() & (a != 0)), lambda a: F.get("alts", a - 1))
+    rows = evaluated.where(~F.coalesce(F.contains("base", F.lit("CA")), F.lit(False)))
+
+    def found(kind: str, label: int, alts, records: DataFrame) -> DataFrame:
+        known = records.withColumn("_set", as_set("alts")).groupBy("chrom", "pos", "ref", "_set").agg(F.min("found_id").alias("found_id"))
+        return rows.where(F.col("call") == kind).withColumn("_set", as_set(alts)).join(known, ["chrom", "pos", "ref", "_set"]).select(*evaluated.columns, F.lit(label).alias("label"), "found_id")
+
+    return found("TP", 1, F.col("alts"), tp_records).unionByName(found("FP", 0, used, fp_records))
+
+
+def threshold_sweep(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """(cut, tp, fp, fn, ppa, ppv, f1) for each distinct score as a cut: what scores at least that much is taken as true.
+
+    Counts run from the highest score down.  They are added up within ranges of scores, then
+    moved on by the totals of the ranges above, so that no task sees all scores.
+    """
+    hit = F.col(label) == 1
+    counts = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("cut")).agg(F.count_if(hit).alias("p"), F.count_if(~hit).alias("n"))
+    summed = cumulative(counts, [F.desc("cut")], {"p": "tp", "n": "fp"})
+    every = counts.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("all"))
+    rows = summed.join(F.broadcast(every)).withColumn("fn", F.col("all") - F.col("tp"))  # one row
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    return agreement(rows).select("cut", "tp", "fp", "fn", "ppa", "ppv", f1.alias("f1"))
+
+
+def quality_of(scored: DataFrame, threshold: float = 0.1, score: str = "score", label: str = "label") -> DataFrame:
+    """One row: ppa, ppv and f1 of what scores over ``threshold``, and the cut with the best f1 (ties: the lowest)."""
+    over, hit = F.col(score) > threshold, F.col(label) == 1
+    counts = scored.agg(F.count_if(over & hit).alias("tp"), F.count_if(over & ~hit).alias("fp"), F.count_if(~over & hit).alias("fn"))
+    fixed = agreement(counts).withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
+    best = threshold_sweep(scored, score, label).agg(F.max(F.struct(F.round("f1", 12).alias("f1"), (-F.col("cut")).alias("cut"))).alias("b"))
+    return fixed.join(F.broadcast(best)).select("tp", "fp", "fn", "ppa", "ppv", "f1", (-F.col("b.cut")).alias("best_cut"), F.col("b.f1").alias("best_f1"))
+
+
 def normalized(records: DataFrame) -> DataFrame:
     """One row for each alt, with trimmed alleles and the position moved along."""
     rows = records.withColumn("alt", F.explode("alts"))

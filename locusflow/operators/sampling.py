@@ -64,6 +64,27 @@ def rebatched(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     return numbered.join(F.broadcast(starts), "_p").withColumn("batch", F.floor(place / size)).drop("_p", "_i", "_s")
 
 
+def cumulative(df: DataFrame, order: list, columns: dict[str, str]) -> DataFrame:
+    """Rows with running sums in ``order``, {column: name}; rows that tie in ``order`` come in any order.
+
+    Sums are made within the partitions of a sort, which are written down once, and moved on
+    by the sums of the partitions before.
+    """
+    from ..sources.text import shared_path
+
+    path = shared_path(df.sparkSession)
+    spread = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    spread.write.parquet(path)  # a range partitioning that is made twice may differ
+    rows = df.sparkSession.read.schema(spread.schema).parquet(path)
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.withColumns({name: F.sum(c).over(inside) for c, name in columns.items()})
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    totals = rows.groupBy("_p").agg(*(F.sum(c).alias(f"_{name}") for c, name in columns.items()))
+    moved = totals.select("_p", *(F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in columns.values()))
+    joined = sums.join(F.broadcast(moved), "_p")
+    return joined.withColumns({name: F.col(name) + F.col(f"_{name}") for name in columns.values()}).drop("_p", *(f"_{name}" for name in columns.values()))
+
+
 def middle_slice(df: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
     """Of each group's rows in order, those within ``most`` / 2 of the middle."""
     window = Window.partitionBy(*group)

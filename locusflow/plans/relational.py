@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alleles, quality
 from ..operators import calls as C
-from ..operators import differences, evaluation, haplotypes, intervals, pileup as P, sampling
+from ..operators import classifier, differences, evaluation, haplotypes, intervals, pileup as P, sampling
 from . import tables as T
 from .projections import PADDED, TYPE, reference_slices
 from .registry import query
@@ -637,36 +637,57 @@ def capped_training_set(spark, sf):
     return kept.select("record_id", "sample", F.lit(1).alias("label")).unionByName(rows.where("call = 'FP'").select("record_id", "sample", F.lit(0).alias("label")))
 
 
-@query("""SELECT e.record_id, e.sample, CASE WHEN e.call = 'TP' THEN 1 ELSE 0 END AS label FROM evaluated e WHERE (e.call = 'FP' OR EXISTS (SELECT 1 FROM truth t WHERE t.chrom = e.chrom AND t.pos = e.pos AND t.ref = e.ref AND t.alt = e.alt))""")
+@query("""WITH e AS (SELECT * FROM evaluation_records WHERE (base IS NULL OR base NOT LIKE '%CA%') AND call IS NOT NULL),
+tp AS (SELECT chrom, pos, ref, CASE WHEN record_id % 5 = 2 THEN [alt, alt || 'A'] ELSE [alt] END AS alts, record_id AS found_id FROM evaluated WHERE record_id % 13 <> 1),
+fp AS (SELECT chrom, pos, ref, [alt] AS alts, record_id AS found_id FROM evaluated WHERE record_id % 13 <> 2)
+SELECT e.record_id, e.sample, 1 AS label, tp.found_id FROM e JOIN tp ON tp.chrom = e.chrom AND tp.pos = e.pos AND tp.ref = e.ref AND list_sort(tp.alts) = list_sort(e.alts) WHERE e.call = 'TP'
+UNION ALL SELECT e.record_id, e.sample, 0, fp.found_id FROM e JOIN fp ON fp.chrom = e.chrom AND fp.pos = e.pos AND fp.ref = e.ref
+  AND fp.alts = list_sort(list_distinct(list_transform(list_filter(e.genotype, lambda g: g IS NOT NULL AND g <> 0), lambda g: e.alts[g]))) WHERE e.call = 'FP'""")
 def labelled_calls(spark, sf):
-    """Evaluated records with 0 or 1, where the record is found again."""
-    rows = T.evaluated(spark, sf).withColumn("alts", F.array("alt"))
-    known = T.truth(spark, sf).groupBy("chrom", "pos", "ref", F.array("alt").alias("alts")).agg(F.min("site").alias("truth_id"))
-    tp = evaluation.exact_matches(rows.where("call = 'TP'"), known).select("record_id", "sample", F.lit(1).alias("label"))
-    return tp.unionByName(rows.where("call = 'FP'").select("record_id", "sample", F.lit(0).alias("label")))
+    """Evaluated records with 0 or 1, where the record is found again: true positives by all alternatives, false ones by their genotype's."""
+    return evaluation.labelled(T.evaluation_records(spark, sf), *T.record_files(spark, sf)).select("record_id", "sample", "label", "found_id")
+
+
+@query("""WITH s AS (SELECT qual AS cut, count(*) FILTER (call = 'TP') AS p, count(*) FILTER (call = 'FP') AS n FROM evaluated GROUP BY qual),
+c AS (SELECT cut, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp, CAST(sum(p) OVER () AS BIGINT) AS every FROM s WINDOW w AS (ORDER BY cut DESC))
+SELECT cut, tp, fp, every - tp AS fn, CASE WHEN every = 0 THEN 0.0 ELSE tp / every END AS ppa, tp / (tp + fp) AS ppv, 2.0 * tp / (tp + fp + every) AS f1 FROM c""")
+def quality_sweep(spark, sf):
+    """Agreement with the truth at every quality as a cut."""
+    return evaluation.threshold_sweep(evaluated_scores(spark, sf), "qual")
+
+
+@query("""WITH f AS (SELECT count(*) FILTER (call = 'TP' AND qual > 0.1) AS tp, count(*) FILTER (call = 'FP' AND qual > 0.1) AS fp, count(*) FILTER (call = 'TP' AND NOT qual > 0.1) AS fn FROM evaluated),
+s AS (SELECT qual AS cut, (SELECT count(*) FROM evaluated b WHERE b.call = 'TP' AND b.qual >= a.qual) AS tp, (SELECT count(*) FROM evaluated b WHERE b.call = 'FP' AND b.qual >= a.qual) AS fp, (SELECT count(*) FROM evaluated WHERE call = 'TP') AS every FROM (SELECT DISTINCT qual FROM evaluated) a),
+b AS (SELECT cut, round(2.0 * tp / (tp + fp + every), 12) AS f1 FROM s ORDER BY f1 DESC, cut LIMIT 1)
+SELECT tp, fp, fn, tp / (tp + fn) AS ppa, tp / (tp + fp) AS ppv, 2.0 * tp / (2 * tp + fp + fn) AS f1, b.cut AS best_cut, b.f1 AS best_f1 FROM f, b""")
+def quality_metrics(spark, sf):
+    """Agreement of the raw quality with the truth at 0.1, and its best cut."""
+    return evaluation.quality_of(evaluated_scores(spark, sf), score="qual")
+
+
+def evaluated_scores(spark, sf):
+    return T.evaluated(spark, sf).select("qual", (F.col("call") == "TP").cast("int").alias("label"))
+
+
+RECORD_ID = "chrom || ':' || region_no || ':' || pos || ':' || ref || ':' || alt"
 
 
 def scored_features(spark, sf):
-    """The sixteen features of each evaluated call."""
-    rows = T.evaluated(spark, sf)
-    per = T.calls(spark, sf).groupBy("site").agg(F.min("qual").alias("min_qual"), F.max("qual").alias("max_qual"), F.min("var_count").alias("cis_count"), F.max("var_count").alias("var_count"), F.min("window_offset").alias("min_win_offset"), F.max("window_offset").alias("max_win_offset"), (F.countDistinct("hap") < 2).cast("int").alias("het"))
-    evidence = P.read_evidence(rows.select("record_id", "chrom", F.col("pos").alias("start"), "ref", "alt"), T.reads(spark, sf))
-    depth = piled(spark, sf).select("chrom", "pos", F.col("depth").alias("dp"))
-    joined = rows.join(per, rows["record_id"] == per["site"]).drop("site").join(evidence, "record_id").join(depth, ["chrom", "pos"], "left")
-    return joined.select(
-        "record_id", "sample", "call", "qual", F.length("ref").alias("ref_len"), F.length("alt").alias("alt_len"), "min_qual", "max_qual", "var_count", "cis_count", F.col("n").alias("step_count"), F.col("n").alias("call_count"),
-        "min_win_offset", "max_win_offset", F.coalesce("dp", F.lit(0)).alias("dp"), "het", "vaf", F.col("reads").alias("vafreads"), (F.col("pos_alt") + F.col("neg_alt")).alias("altreads"),
-    )
-
-
-@query(f"""WITH v AS (SELECT record_id, chrom, pos AS start, ref AS r0, alt AS a0 FROM evaluated),
-{EVIDENCE}, ev AS ({EVIDENCE_ROWS})
-SELECT e.record_id, e.qual, length(e.ref) AS ref_len, length(e.alt) AS alt_len, c.min_qual, c.max_qual, c.var_count, c.cis_count, e.n AS step_count, e.n AS call_count, c.min_win_offset, c.max_win_offset, coalesce(p.depth, 0) AS dp, c.het,
-  ev.vaf, ev.reads AS vafreads, ev.pos_alt + ev.neg_alt AS altreads FROM evaluated e
-JOIN (SELECT site, min(qual) AS min_qual, max(qual) AS max_qual, max(var_count) AS var_count, min(var_count) AS cis_count, min(window_offset) AS min_win_offset, max(window_offset) AS max_win_offset, CAST(count(DISTINCT hap) < 2 AS INTEGER) AS het FROM calls GROUP BY site) c ON c.site = e.record_id
-JOIN ev ON ev.record_id = e.record_id LEFT JOIN pileup p ON p.chrom = e.chrom AND p.pos = e.pos""")
+    """The sixteen features of each merged record, with TP or FP by the truth."""
+    records = merged_records(spark, sf).withColumn("record_id", F.concat_ws(":", "chrom", "region_no", "pos", "ref", "alt"))
+    evidence = P.read_evidence(records.select("record_id", "chrom", (F.col("pos") - 1).alias("start"), "ref", "alt"), T.reads(spark, sf))
+    known = T.variants(spark, sf).select("chrom", (F.col("pos") + 1).alias("pos"), "ref", F.element_at("alts", 1).alias("alt"), F.lit("TP").alias("hit")).distinct()
+    rows = classifier.record_features(records, evidence).join(known, evaluation.VARIANT, "left").withColumn("call", F.coalesce("hit", F.lit("FP")))
+    return rows.select("record_id", "call", *classifier.FEATURES)
+
+
+@query(MERGED + f""", v AS (SELECT {RECORD_ID} AS record_id, chrom, pos - 1 AS start, ref AS r0, alt AS a0 FROM merged),
+{EVIDENCE}, ev AS ({EVIDENCE_ROWS}), known AS (SELECT DISTINCT chrom, pos + 1 AS pos, ref, alts[1] AS alt FROM variants)
+SELECT r.record_id, CASE WHEN k.pos IS NULL THEN 'FP' ELSE 'TP' END AS call, qual, length(r.ref) AS ref_len, length(r.alt) AS alt_len, list_min(quals) AS min_qual, list_max(quals) AS max_qual, window_var_count AS var_count, window_cis_vars AS cis_count,
+  step_count, call_count, list_min(window_offsets) AS min_win_offset, list_max(window_offsets) AS max_win_offset, depth AS dp, CASE WHEN gt LIKE '%0%' THEN 1 ELSE 0 END AS het, ev.vaf, ev.reads AS vafreads, ev.pos_alt + ev.neg_alt AS altreads
+FROM (SELECT {RECORD_ID} AS record_id, * FROM merged) r JOIN ev ON ev.record_id = r.record_id LEFT JOIN known k ON k.chrom = r.chrom AND k.pos = r.pos AND k.ref = r.ref AND k.alt = r.alt""")
 def call_features(spark, sf):
-    return scored_features(spark, sf).drop("sample", "call")
+    return scored_features(spark, sf)
 
 
 @query(f"""WITH w AS ({WINDOW_READS}), k AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY read_start, read_id) AS place FROM w),

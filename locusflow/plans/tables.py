@@ -143,6 +143,27 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.selectExpr("site AS record_id", "concat('s', site % 2) AS sample", "chrom", "pos", "ref", "alt", "qual", "n", "CASE WHEN hit = 1 THEN 'TP' ELSE 'FP' END AS call")
 
 
+EVALUATION = {
+    "base": "CASE record_id % 11 WHEN 3 THEN 'N;CA' WHEN 5 THEN 'T' END",
+    "alts": "CASE WHEN record_id % 5 = 2 THEN {a}concat(alt, 'A'), alt{z} ELSE {a}alt{z} END",
+    "genotype": "CASE WHEN record_id % 5 = 2 THEN {a}0, 2{z} WHEN record_id % 3 = 0 THEN {a}1, 1{z} ELSE {a}NULL, 1{z} END",
+    "call": "CASE WHEN record_id % 29 <> 0 THEN call END",
+}
+
+
+def evaluation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluated keys as an evaluation writes them: base marks, a second alternative here and there, allele numbers, some without a call."""
+    rows = evaluated(spark, sf_dir)
+    return rows.selectExpr("record_id", "sample", "chrom", "pos", "ref", *(f"{e.format(a='array(', z=')')} AS {n}" for n, e in EVALUATION.items()))
+
+
+def record_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The true and the false positives of ``evaluated`` as record files; some are missing, alternatives come in another order."""
+    rows = evaluated(spark, sf_dir)
+    tp = rows.where("record_id % 13 <> 1").selectExpr("chrom", "pos", "ref", "CASE WHEN record_id % 5 = 2 THEN array(alt, concat(alt, 'A')) ELSE array(alt) END AS alts", "record_id AS found_id")
+    return tp, rows.where("record_id % 13 <> 2").selectExpr("chrom", "pos", "ref", "array(alt) AS alts", "record_id AS found_id")
+
+
 BASE = "substr('ACGT', 1 + (({p}*{p}*31 + {p}*17 + {c}*5) % 97) % 4, 1)"
 _SITE = {n: e.replace(" AS INT)", " AS BIGINT)") for n, e in SITE.items()}
 
@@ -171,6 +192,7 @@ SQL: dict[str, str] = {
     "base_sequences": "SELECT doc_id, substr(s, 1, length(s) // 4 * 4) AS seq FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM documents)",
     "evaluated": """SELECT k.site AS record_id, 's' || (k.site % 2) AS sample, k.chrom, k.pos, k.ref, k.alt, k.qual, k.n, CASE WHEN t.hit IS NULL THEN 'FP' ELSE 'TP' END AS call
         FROM (SELECT site, chrom, pos, ref, alt, avg(qual) AS qual, count(*) AS n FROM calls GROUP BY ALL) k LEFT JOIN (SELECT DISTINCT chrom, pos, ref, alt, 1 AS hit FROM truth) t USING (chrom, pos, ref, alt)""",
+    "evaluation_records": f"SELECT record_id, sample, chrom, pos, ref, {', '.join(f'{e.format(a=chr(91), z=chr(93))} AS {n}' for n, e in EVALUATION.items())} FROM evaluated",
 }
 
 

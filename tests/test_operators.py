@@ -432,3 +432,48 @@ def test_a_cluster_must_name_a_shared_folder():
     session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         text.shared_folder(session)
+
+
+def test_labelling_rules(spark):
+    """Base marks with CA and rows without a call are skipped; alternatives of a false positive go by its genotype."""
+    kind = "record_id long, chrom string, pos long, ref string, alts array<string>, base string, call string, genotype array<int>"
+    rows = [
+        (1, "chr1", 5, "A", ["C", "G"], None, "TP", [1, 2]), (2, "chr1", 6, "A", ["C"], "T;CA", "TP", [0, 1]), (3, "chr1", 7, "A", ["C"], "", None, [0, 1]), (4, "chr1", 8, "A", ["C", "G", "T"], "N", "FP", [0, 3]),
+        (5, "chr1", 9, "A", ["C", "G"], None, "FP", [None, 2]), (6, "chr1", 10, "A", ["C", "G"], None, "FP", [2, 1]), (7, "chr1", 11, "A", ["C"], None, "FP", [0, None]), (8, "chr1", 12, "A", ["C"], None, "UNK", [0, 1]),
+        (9, "chr1", 13, "A", ["C"], None, "FP", [1, 1]), (10, "chr2", 5, "A", ["C", "G"], None, "TP", [1, 2]),
+    ]
+    files = "chrom string, pos long, ref string, alts array<string>, found_id long"
+    tp = spark.createDataFrame([("chr1", 5, "A", ["G", "C"], 70), ("chr1", 5, "A", ["G", "C"], 71), ("chr1", 6, "A", ["C"], 72), ("chr1", 7, "A", ["C"], 73), ("chr2", 5, "A", ["C"], 74)], files)
+    fp = spark.createDataFrame([("chr1", 8, "A", ["T"], 80), ("chr1", 9, "A", ["G"], 81), ("chr1", 10, "A", ["C", "G"], 82), ("chr1", 13, "A", ["C"], 83), ("chr1", 12, "A", ["C"], 84)], files)
+    out = evaluation.labelled(spark.createDataFrame(rows, kind), tp, fp).collect()
+    assert sorted((r["record_id"], r["label"], r["found_id"]) for r in out) == [(1, 1, 70), (4, 0, 80), (5, 0, 81), (6, 0, 82), (9, 0, 83)]
+
+
+def test_cuts_over_ranges_of_scores(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(round(rng.random(), 2), int(rng.random() < 0.4)) for _ in range(500)] + [(None, 1), (0.5, None)]
+    frame = spark.createDataFrame(rows, "score double, label int").repartition(6)
+    kept = [(s, y) for s, y in rows if s is not None and y is not None]
+    every = sum(y for _, y in kept)
+    out = {r["cut"]: r for r in evaluation.threshold_sweep(frame).collect()}
+    assert sorted(out) == sorted({s for s, _ in kept})
+    for cut, r in out.items():
+        tp, fp = sum(y for s, y in kept if s >= cut), sum(1 - y for s, y in kept if s >= cut)
+        assert (r["tp"], r["fp"], r["fn"]) == (tp, fp, every - tp)
+        assert r["f1"] == pytest.approx(2 * tp / (tp + fp + every)) and r["ppa"] == pytest.approx(tp / every) and r["ppv"] == pytest.approx(tp / (tp + fp))
+    best = evaluation.quality_of(frame.where("score is not null and label is not null"), 0.25).first()
+    assert (best["tp"], best["fp"]) == (sum(y for s, y in kept if s > 0.25), sum(1 - y for s, y in kept if s > 0.25))
+    assert best["best_f1"] == pytest.approx(max(r["f1"] for r in out.values()))
+    assert evaluation.threshold_sweep(frame.limit(0)).count() == 0
+
+
+def test_features_of_homozygous_records(spark):
+    from locusflow.operators import classifier
+
+    kind = "record_id string, qual double, ref string, alt string, quals array<double>, window_var_count long, window_cis_vars long, step_count long, call_count long, window_offsets array<long>, depth long, gt string"
+    rows = [("a", 0.5, "AC", "A", [0.4, 0.6], 2, 1, 1, 2, [9], 30, "1/1"), ("b", 0.2, "A", "CGT", [0.2], 1, 3, 1, 1, [7, 3], 0, "0/1"), ("c", 0.2, "A", "C", [0.2], 1, 3, 1, 1, [7], 0, "./1")]
+    evidence = spark.createDataFrame([("a", 10, 2, 3, 0.5), ("b", 0, 0, 0, -1.0), ("c", 1, 0, 0, 0.0)], "record_id string, reads long, pos_alt long, neg_alt long, vaf double")
+    out = {r["record_id"]: [r[f] for f in classifier.FEATURES] for r in classifier.record_features(spark.createDataFrame(rows, kind), evidence).collect()}
+    assert out == {"a": [0.5, 2, 1, 0.4, 0.6, 2, 1, 1, 2, 9, 9, 30, 0, 0.5, 10, 5], "b": [0.2, 1, 3, 0.2, 0.2, 1, 3, 1, 1, 3, 7, 0, 1, -1.0, 0, 0], "c": [0.2, 1, 1, 0.2, 0.2, 1, 3, 1, 1, 7, 7, 0, 0, 0.0, 1, 0]}
