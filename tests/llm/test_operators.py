@@ -313,6 +313,40 @@ def test_names_of_wrappers_condemn_no_page(weights, opening):
     assert html_extraction.main_text(page) == html_extraction.main_text(page, weights) == " ".join(texts)
 
 
+@pytest.mark.parametrize(("opening", "inner"), [
+    ("<article class='post comments-open'>", ""), ("<main id='comment-policy'>", ""), ("<article>", "<div class='reply-to-critics'>"), ("<div class='comments-enabled'>", "<article>"), ("<main class='comments'>", ""),
+    ("<div id=comments><main>", "<div class='post'>"), ("<article class='comment-of-the-week'>", ""), ("<section class='no-comment'>", ""), ("<div class='replies-off'>", "<div class='story'>"),
+])
+def test_no_article_is_lost_by_a_name(weights, opening, inner):
+    rng = random.Random(4)
+    texts = [prose(rng, 70), prose(rng, 60)]
+    page = f"<html><body>{NAVIGATION}{opening}{inner}" + "".join(f"<p>{x}</p>" for x in texts)
+    assert html_extraction.main_text(page) == html_extraction.main_text(page, weights) == " ".join(texts)
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "post-comments", "leave-a-reply", "comments-area", "userComments"])
+def test_comments_go_by_any_of_their_names(weights, name):
+    rng = random.Random(5)
+    text = prose(rng, 80)
+    comments = f"<div class='{name}'><p>{prose(rng, 30)}</p><p>{prose(rng, 20)}</p></div>"
+    for page in (f"<html><body><article><p>{text}</p></article>{comments}", f"<html><body><article><p>{text}</p>{comments}</article>"):
+        assert html_extraction.main_text(page) == html_extraction.main_text(page, weights) == text
+
+
+def test_words_are_evidence(spark):
+    """Notices without a telling name go by their words, where marked pages have taught them."""
+    rng = random.Random(6)
+    notice = "We use cookies to improve your experience and measure visits, by going on you accept all of our cookies."
+    shown = "Sponsored offer of the day, order today and save a lot on your next purchase with this coupon."
+    taught = [f"<html><body><div class=x{k}><p>{rng.choice([notice, shown])}</p></div><main>" + "".join(f"<p>{prose(rng, rng.randrange(10, 40))}</p>" for _ in range(3)) + f"</main><div><p>{rng.choice([notice, shown])}</p></div>" for k in range(60)]
+    weights = html_extraction.fit(spark.createDataFrame([(t,) for t in taught], "html string"))
+    text = prose(rng, 60)
+    page = html_extraction.read_page(f"<html><body><div class='ccpa'><p>{notice}</p></div><div><p>{text}</p></div><div class='adsbygoogle'><p>{shown}</p></div>")
+    scores = html_extraction.content_scores(page, weights)
+    assert scores[0] < scores[1] and scores[2] < scores[1] and scores[1] > 0
+    assert all(a < b for a, b in zip((scores[0], scores[2]), (html_extraction.content_scores(page, html_extraction.PRIOR)[k] for k in (0, 2)), strict=True))
+
+
 @pytest.mark.parametrize("opening", ['<div class="post">', "<article>", '<div id="main" role="main">', '<div class="c1">', "<table><tr><td>"])
 @pytest.mark.parametrize("inside", [False, True])
 def test_layouts(weights, opening, inside):
