@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import alleles, quality
 from ..operators import calls as C
-from ..operators import classifier, differences, evaluation, haplotypes, intervals, pileup as P, sampling
+from ..operators import classifier, differences, evaluation, haplotypes, intervals, pileup as P, sampling, scans
+from ..sources import layout
+from ..sources.text import shared_path
 from . import tables as T
 from .projections import PADDED, TYPE, reference_slices
 from .registry import query
@@ -70,6 +72,24 @@ def reads_spanning(spark, sf):
     return pairs.select("variant_id", "read_id")
 
 
+@query('SELECT region_id, variant_id FROM regions r JOIN variants v ON r.chrom = v.chrom AND v.pos < r."end" AND r.start < v.pos + length(v.ref)')
+def fetch_variants(spark, sf):
+    """The variants of all regions, fetched from a layout by chromosome and bin."""
+    path = shared_path(spark)
+    layout.write_layout(regional_variants(spark, sf), path, width=4096)
+    return layout.fetch(spark, path, "variant_id long, chrom string, start long, end long", T.regions(spark, sf).select("region_id", "chrom", "start", "end")).select("region_id", "variant_id")
+
+
+@query("""SELECT variant_id, read_id FROM variants v JOIN reads r ON v.chrom = r.chrom AND r.start < v.pos + length(v.ref) AND v.pos < r."end" WHERE length(v.ref) > 1""")
+def fetch_reads(spark, sf):
+    """The reads over each variant of more than one reference base, fetched from a layout."""
+    path = shared_path(spark)
+    spans = P.reference_span(T.reads(spark, sf)).select("read_id", "chrom", "start", "end")
+    layout.write_layout(spans, path, width=4096)
+    asked = regional_variants(spark, sf).where("end - start > 1")
+    return layout.fetch(spark, path, "read_id long, chrom string, start long, end long", asked).select("variant_id", "read_id")
+
+
 WINDOWS = "SELECT region_id, chrom, n AS window_no, start - 105 + 25 * n AS window_start, region_id * 1048576 + n AS window_id FROM (SELECT *, unnest(range(0, (\"end\" - 30 - (start - 105)) // 25 + 1)) AS n FROM regions)"
 WINDOW_READS = f"""SELECT window_id, read_id, clip AS read_start FROM (SELECT w.window_id, r.read_id, r.clip, count(*) OVER (PARTITION BY w.window_id) AS n FROM ({WINDOWS}) w
   JOIN (SELECT *, CASE WHEN cigar LIKE '10S%' THEN start - 10 ELSE start END AS clip FROM read_rows) r ON r.chrom = w.chrom AND r.clip >= w.window_start - 100 AND r.clip < w.window_start + 150) WHERE n >= 5"""
@@ -248,6 +268,27 @@ def merge_regions(spark, sf):
     return intervals.merge_regions(anchored_clusters(spark, sf), ["chrom", "window_idx"])
 
 
+CHROMOSOME_CLUSTERS = """WITH RECURSIVE spots AS (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS k FROM pileup WHERE indels > 1 OR mismatches > 2),
+walk AS (SELECT chrom, k, pos, pos AS lo FROM spots WHERE k = 1 UNION ALL SELECT s.chrom, s.k, s.pos, CASE WHEN s.pos - w.lo < 100 THEN w.lo ELSE s.pos END FROM walk w JOIN spots s ON s.chrom = w.chrom AND s.k = w.k + 1),
+clusters AS (SELECT chrom, lo - 8 AS start, max(pos) + 8 AS "end" FROM walk GROUP BY chrom, lo)
+"""
+
+
+@query(CHROMOSOME_CLUSTERS + "SELECT * FROM clusters")
+def chromosome_clusters(spark, sf):
+    """Anchored clusters over whole chromosomes, carried from bin to bin."""
+    found = scans.anchored_scan(P.suspect_spots(piled(spark, sf)), ["chrom"], 100)
+    return found.select("chrom", (F.col("lo") - 8).alias("start"), (F.col("hi") + 8).alias("end"))
+
+
+@query(CHROMOSOME_CLUSTERS + """, m AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM clusters),
+n AS (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY start, "end") AS island FROM m)
+SELECT chrom, min(start) AS start, max("end") AS "end" FROM n GROUP BY chrom, island""")
+def chromosome_regions(spark, sf):
+    """Clusters merged over whole chromosomes."""
+    return scans.merge_ranges(chromosome_clusters(spark, sf), ["chrom"])
+
+
 @query("SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY chrom, region_no, window_no, hap ORDER BY var_index) AS k FROM calls WHERE region_start <= pos AND pos <= region_end) WHERE k <= 5 AND pos < region_end")
 def top5_per_window(spark, sf):
     return C.first_of_window(T.calls(spark, sf)).select("event_id")
@@ -695,8 +736,6 @@ x AS (SELECT window_id, count(*) AS reads, min(read_start) AS first_read FROM k
 SELECT window_id, reads + 1 AS rows_with_reference, first_read, 's' || (window_id % 2) AS sample, (row_number() OVER (PARTITION BY window_id % 2 ORDER BY window_id) - 1) // 32 AS batch FROM x""")
 def training_examples(spark, sf):
     """Windows as training rows: the reference first, then reads up to a depth of 20 in all, in batches of each sample."""
-    from ..sources.text import shared_path
-
     kept = sampling.first_n(window_reads(spark, sf), ["window_id"], 19, ["read_start", "read_id"])
     rows = kept.groupBy("window_id").agg((F.count("*") + 1).alias("rows_with_reference"), F.min("read_start").alias("first_read"))
     batches = [sampling.rebatched(rows.where(F.col("window_id") % 2 == k), 32, ["window_id"]).withColumn("sample", F.lit(f"s{k}")) for k in (0, 1)]

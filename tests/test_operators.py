@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusflow.functions import alleles, quality, sequences
-from locusflow.operators import calls, differences, evaluation, haplotypes, intervals, pileup, sampling
+from locusflow.operators import calls, differences, evaluation, haplotypes, intervals, pileup, sampling, scans
 
 
 def positions(spark, values, chrom="chr1"):
@@ -477,3 +477,59 @@ def test_features_of_homozygous_records(spark):
     evidence = spark.createDataFrame([("a", 10, 2, 3, 0.5), ("b", 0, 0, 0, -1.0), ("c", 1, 0, 0, 0.0)], "record_id string, reads long, pos_alt long, neg_alt long, vaf double")
     out = {r["record_id"]: [r[f] for f in classifier.FEATURES] for r in classifier.record_features(spark.createDataFrame(rows, kind), evidence).collect()}
     assert out == {"a": [0.5, 2, 1, 0.4, 0.6, 2, 1, 1, 2, 9, 9, 30, 0, 0.5, 10, 5], "b": [0.2, 1, 3, 0.2, 0.2, 1, 3, 1, 1, 3, 7, 0, 1, -1.0, 0, 0], "c": [0.2, 1, 1, 0.2, 0.2, 1, 3, 1, 1, 7, 7, 0, 0, 0.0, 1, 0]}
+
+
+@pytest.mark.parametrize(("width", "strict"), [(scans.WIDTH, True), (64, True), (7, False), (100, False)])
+def test_scans_over_bins(spark, width, strict):
+    """Groups of many bins, without gaps, against a pass from left to right."""
+    import random
+
+    rng = random.Random(width)
+    places = {c: sorted(rng.sample(range(-300, 4000), n)) for c, n in (("a", 1), ("b", 2500), ("c", 150), (None, 60))}
+    rows = [(c, p) for c, group in places.items() for p in group] * 2 + [("a", None)]
+    rng.shuffle(rows)
+    out = scans.anchored_scan(spark.createDataFrame(rows, "chrom string, pos long").repartition(5), ["chrom"], 30, strict=strict, width=width)
+    expected = []
+    for c, group in places.items():
+        done = []
+        for p in group:
+            if done and (p - done[-1][0] < 30 or (not strict and p - done[-1][0] == 30)):
+                done[-1][1] = p
+            else:
+                done.append([p, p])
+        expected += [(c, *d) for d in done]
+    assert sorted(map(tuple, out.select("chrom", "lo", "hi").collect()), key=repr) == sorted(expected, key=repr)
+
+    ranges = [(rng.choice(["a", "b", None]), s, s + rng.choice([0, 3, 20, 400])) for s in rng.sample(range(-500, 9000), 400)]
+    merged = scans.merge_ranges(spark.createDataFrame(ranges + ranges[:20], "chrom string, start long, end long").repartition(3), ["chrom"], width)
+    expected = []
+    for c in ("a", "b", None):
+        done = []
+        for _, s, e in sorted(r for r in ranges if r[0] == c) if c else sorted((r for r in ranges if r[0] is None), key=lambda r: r[1:]):
+            if done and s <= done[-1][1]:
+                done[-1][1] = max(done[-1][1], e)
+            else:
+                done.append([s, e])
+        expected += [(c, *d) for d in done]
+    assert sorted(map(tuple, merged.select("chrom", "start", "end").collect()), key=repr) == sorted(expected, key=repr)
+    assert scans.anchored_scan(spark.createDataFrame([], "chrom string, pos long"), ["chrom"], 30).count() == scans.merge_ranges(spark.createDataFrame([], "chrom string, start long, end long"), ["chrom"]).count() == 0
+
+
+def test_a_fetch_reads_the_asked_folders_alone(spark, tmp_path):
+    from locusflow.sources import layout
+
+    rows = [(k, f"chr{k % 3 + 1}", k * 10, k * 10 + (5000 if k == 30 else 25)) for k in range(900)] + [(900, "chr9", 5, 5)]
+    schema = "row_id long, chrom string, start long, end long"
+    frame = spark.createDataFrame(rows, schema)
+    path = f"{tmp_path}/layout"
+    layout.write_layout(frame, path, width=1000, parts=2)
+    regions = spark.createDataFrame([(1, "chr1", 4200, 4300), (2, "1", 8005, 8011), (3, "chr7", 0, 9999), (4, "chr9", 5, 6)], "region_id long, chrom string, start long, end long")
+    found = layout.read_layout(spark, path, schema, regions)
+    folders = {"/".join(f.split("/")[-3:-1]) for f in found.inputFiles()}
+    assert folders == {"_name=1/_bin=0", "_name=1/_bin=4", "_name=1/_bin=8", "_name=9/_bin=0"}  # the long row of the first one reaches the others
+    every = layout.read_layout(spark, path, schema)
+    assert sorted(map(tuple, every.select("row_id", "chrom", "start", "end").collect())) == rows and len(every.inputFiles()) > len(found.inputFiles())
+    expected = sorted(map(tuple, intervals.interval_join(regions, frame).select("region_id", "row_id").collect()))
+    for most in (layout.MOST_FOLDERS, 1):  # one by one, or all
+        assert sorted(map(tuple, layout.fetch(spark, path, schema, regions, most).select("region_id", "row_id").collect())) == expected
+    assert layout.fetch(spark, path, schema, regions.where("region_id = 3")).count() == 0 and (4, 900) in expected and any(r == 30 for _, r in expected)
