@@ -23,17 +23,44 @@ def binned(df: DataFrame, width: int) -> DataFrame:
     return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), last)))
 
 
-def interval_join(left: DataFrame, right: DataFrame, width: int = BIN, condition: Column | None = None) -> DataFrame:
+def placed(left: DataFrame, right: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides in their bins, with bare chromosome names (_name, bin; r_name, r_bin)."""
+    a = binned(left, width).withColumn("_name", bare_name(F.col("chrom")))
+    b = binned(right, width).withColumnsRenamed({c: f"r_{c}" for c in ("chrom", "start", "end", "bin")}).withColumn("r_name", bare_name(F.col("r_chrom")))
+    return a, b
+
+
+def split_bins(a: DataFrame, b: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """``placed`` sides with ``part``: in a bin with over ``most`` rows of a side, the larger side is dealt to parts and the other one goes to each."""
+    loads = a.groupBy("_name", "bin").agg(F.count("*").alias("l")).join(b.groupBy(F.col("r_name").alias("_name"), F.col("r_bin").alias("bin")).agg(F.count("*").alias("r")), ["_name", "bin"])
+    crowded = loads.where(F.greatest("l", "r") > most).select(F.col("_name").alias("_n"), F.col("bin").alias("_b"), F.ceil(F.greatest("l", "r") / most).cast("int").alias("_parts"), (F.col("l") >= F.col("r")).alias("_left"))
+
+    def dealt(side: DataFrame, name: str, number: str, own) -> DataFrame:
+        joined = side.join(crowded, (F.col(name) == F.col("_n")) & (F.col(number) == F.col("_b")), "left")
+        one = F.array(F.pmod(F.xxhash64(*side.columns), F.col("_parts")).cast("int"))
+        parts = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(own, one).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
+        return joined.select(*side.columns, F.explode(parts).alias("part"))
+
+    return dealt(a, "_name", "bin", F.col("_left")), dealt(b, "r_name", "r_bin", ~F.col("_left"))
+
+
+def interval_join(left: DataFrame, right: DataFrame, width: int = BIN, condition: Column | None = None, most: int | None = None) -> DataFrame:
     """Pairs of overlapping half-open intervals (chrom, start, end).
 
     ``right``'s three columns come back as r_chrom, r_start and r_end; its other names must
     differ from ``left``'s.  ``condition`` narrows the pairs.  Points are [p, p + 1).
-    Chromosomes meet with or without a leading ``chr``.
+    Chromosomes meet with or without a leading ``chr``.  With ``most``, the rows of each bin
+    are counted first, and bins with more of them on a side are split, as where reads pile up
+    on a few places; the sides are then read twice.
     """
     other = right.withColumnsRenamed({c: f"r_{c}" for c in ("chrom", "start", "end")})
-    a = binned(left, width).withColumn("_name", bare_name(F.col("chrom")))
-    b = binned(right, width).withColumnsRenamed({c: f"r_{c}" for c in ("chrom", "start", "end", "bin")}).withColumn("r_name", bare_name(F.col("r_chrom")))
+    a, b = placed(left, right, width)
+    if most is not None:
+        a, b = split_bins(a, b, most)
+        b = b.withColumnRenamed("part", "r_part")
     meet = (a["_name"] == b["r_name"]) & (a["bin"] == b["r_bin"]) & (a["start"] < b["r_end"]) & (b["r_start"] < a["end"])
+    if most is not None:
+        meet &= F.col("part") == F.col("r_part")
     pairs = a.join(b, meet).where(F.col("bin") == F.floor(F.greatest("start", "r_start") / width))
     if condition is not None:
         pairs = pairs.where(condition)

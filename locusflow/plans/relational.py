@@ -117,6 +117,17 @@ def point_depth(spark, sf):
     return intervals.with_count(at, ["variant_id"], intervals.interval_join(at, spans), "depth").select("variant_id", "depth")
 
 
+@query("""WITH a AS (SELECT read_id, chrom, CASE WHEN read_id % 3 = 0 THEN 960 + read_id % 64 ELSE start END AS start, "end" - start AS n FROM reads)
+SELECT variant_id, (SELECT count(*) FROM a r WHERE r.chrom = v.chrom AND r.start <= v.pos AND v.pos < r.start + n) AS depth FROM variants v""")
+def amplicon_depth(spark, sf):
+    """Depth at the variants where a third of all reads pile up on one place of each chromosome: crowded bins are split."""
+    at = T.variants(spark, sf).select("variant_id", "chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+    spans = P.reference_span(T.reads(spark, sf)).select("read_id", "chrom", "start", (F.col("end") - F.col("start")).alias("n"))
+    moved = spans.withColumn("start", F.when(F.col("read_id") % 3 == 0, 960 + F.col("read_id") % 64).otherwise(F.col("start")))
+    piled_up = moved.select("read_id", "chrom", "start", (F.col("start") + F.col("n")).alias("end"))
+    return intervals.with_count(at, ["variant_id"], intervals.interval_join(at, piled_up, most=10_000), "depth").select("variant_id", "depth")
+
+
 @query("""WITH c AS (SELECT DISTINCT site, chrom, pos, ref, [alt, alt || 'T'] AS alts FROM calls) SELECT c.site, v.site AS truth_id FROM c JOIN truth v ON c.chrom = v.chrom AND c.pos = v.pos AND c.ref = v.ref AND list_sort(c.alts) = list_sort([v.alt || 'T', v.alt])""")
 def exact_match(spark, sf):
     rows = T.calls(spark, sf).select("site", "chrom", "pos", "ref", F.array("alt", F.concat("alt", F.lit("T"))).alias("alts")).distinct()

@@ -518,7 +518,7 @@ def test_scans_over_bins(spark, width, strict):
 def test_a_fetch_reads_the_asked_folders_alone(spark, tmp_path):
     from locusflow.sources import layout
 
-    rows = [(k, f"chr{k % 3 + 1}", k * 10, k * 10 + (5000 if k == 30 else 25)) for k in range(900)] + [(900, "chr9", 5, 5)]
+    rows = [(k, f"chr{k % 3 + 1}", k * 10, k * 10 + (5000 if k == 30 else 25)) for k in range(900)] + [(900, "chr9", 5, 6)]
     schema = "row_id long, chrom string, start long, end long"
     frame = spark.createDataFrame(rows, schema)
     path = f"{tmp_path}/layout"
@@ -533,3 +533,22 @@ def test_a_fetch_reads_the_asked_folders_alone(spark, tmp_path):
     for most in (layout.MOST_FOLDERS, 1):  # one by one, or all
         assert sorted(map(tuple, layout.fetch(spark, path, schema, regions, most).select("region_id", "row_id").collect())) == expected
     assert layout.fetch(spark, path, schema, regions.where("region_id = 3")).count() == 0 and (4, 900) in expected and any(r == 30 for _, r in expected)
+
+
+def test_crowded_bins_are_split(spark):
+    """A bin with a thousand times the usual load: pairs as without splitting, and no part with more than the bound."""
+    import random
+
+    rng = random.Random(8)
+    usual = [(k, "chr1", k * 40, k * 40 + 30) for k in range(400)]
+    crowd = [(1000 + k, "1", 5000 + rng.randrange(40), 5100 + rng.randrange(40)) for k in range(10_000)]
+    reads = spark.createDataFrame(usual + crowd, "read_id long, chrom string, start long, end long").repartition(4)
+    sites = spark.createDataFrame([(k, "chr1", k * 97, k * 97 + 2) for k in range(160)], "site long, chrom string, start long, end long")
+    expected = sorted(map(tuple, intervals.interval_join(sites, reads, width=128).select("site", "read_id").collect()))
+    for left, right in ((sites, reads), (reads, sites)):
+        out = intervals.interval_join(left, right, width=128, most=500)
+        assert sorted(map(tuple, out.select("site", "read_id").collect())) == expected
+        a, b = intervals.split_bins(*intervals.placed(left, right, 128), 500)
+        for side, name, number in ((a, "_name", "bin"), (b, "r_name", "r_bin")):
+            assert side.groupBy(name, number, "part").count().agg(F.max("count")).first()[0] <= 650
+    assert intervals.interval_join(sites, reads, width=128, most=500, condition=F.col("read_id") < 1000).count() == len([p for p in expected if p[1] < 1000])
