@@ -44,24 +44,33 @@ def aligned_bases(reads: DataFrame) -> DataFrame:
     )
 
 
-def pileup(reads: DataFrame, ref_chunks: DataFrame, size: int = 256) -> DataFrame:
-    """(chrom, pos, depth, mismatches, indels) for every covered position; letter case does not count.
+#: Bases of a piece of the reference.
+CHUNK = 256
 
-    ``ref_chunks`` has (chrom, chunk, seq), pieces of ``size`` bases.  Reads are cut at the
-    chunks' borders and meet the reference there, so that bases are compared and counted
-    where they are: no row of a single base is shuffled.
-    """
-    parts = matched_parts(reads).withColumn("end", F.col("pos") + F.length("letters"))
+
+def chunk_pieces(reads: DataFrame, ref_chunks: DataFrame, *columns: str, size: int = CHUNK) -> DataFrame:
+    """``columns``, chrom, chunk, low, letters, under, indel_next: aligned stretches cut at the borders of reference pieces, with the reference under them."""
+    parts = matched_parts(reads, *columns).withColumn("end", F.col("pos") + F.length("letters"))
     numbered = parts.select("*", F.explode(F.sequence(F.floor(F.col("pos") / size), F.floor((F.col("end") - 1) / size))).alias("chunk"))
     low, high = F.greatest("pos", F.col("chunk") * size), F.least("end", (F.col("chunk") + 1) * size)
     pieces = numbered.select(
-        "chrom", "chunk", low.alias("low"), F.upper(F.substring("letters", (low - F.col("pos") + 1).cast("int"), (high - low).cast("int"))).alias("letters"), (F.col("indel_next") & (high == F.col("end"))).alias("indel_next")
+        *columns, "chrom", "chunk", low.alias("low"), F.upper(F.substring("letters", (low - F.col("pos") + 1).cast("int"), (high - low).cast("int"))).alias("letters"), (F.col("indel_next") & (high == F.col("end"))).alias("indel_next")
     )
     met = pieces.join(ref_chunks.select("chrom", "chunk", "seq"), ["chrom", "chunk"])
-    n = F.length("letters")
-    under = F.upper(F.substring("seq", (F.col("low") - F.col("chunk") * size + 1).cast("int"), n))
-    both = F.arrays_zip(F.split("letters", "").alias("base"), F.split(under, "").alias("ref"))
-    each = met.select("chrom", "chunk", "low", "indel_next", (n - 1).alias("last"), F.posexplode(both).alias("i", "b")).where("i <= last and b.ref is not null and b.ref <> ''")
+    under = F.upper(F.substring("seq", (F.col("low") - F.col("chunk") * size + 1).cast("int"), F.length("letters")))
+    return met.select(*columns, "chrom", "chunk", "low", "letters", under.alias("under"), "indel_next")
+
+
+def pileup(reads: DataFrame, ref_chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(chrom, pos, depth, mismatches, indels) for every covered position; letter case does not count.
+
+    ``ref_chunks`` has (chrom, chunk, seq), pieces of ``size`` bases.  Reads are cut at the
+    chunks' borders and meet the reference there, so that bases are compared and counted
+    where they are: no row of a single base is shuffled.
+    """
+    met = chunk_pieces(reads, ref_chunks, size=size)
+    both = F.arrays_zip(F.split("letters", "").alias("base"), F.split("under", "").alias("ref"))
+    each = met.select("chrom", "chunk", "low", "indel_next", (F.length("letters") - 1).alias("last"), F.posexplode(both).alias("i", "b")).where("i <= last and b.ref is not null and b.ref <> ''")
     rows = each.select("chrom", "chunk", (F.col("low") + F.col("i")).alias("pos"), (F.col("b.base") != F.col("b.ref")).alias("differs"), (F.col("indel_next") & (F.col("i") == F.col("last"))).alias("indel"))
     counted = rows.groupBy("chrom", "chunk", "pos").agg(F.count("*").alias("depth"), F.count_if("differs").alias("mismatches"), F.count_if("indel").alias("indels"))
     return counted.drop("chunk")

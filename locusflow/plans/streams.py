@@ -35,7 +35,7 @@ def with_sentinel(df, **values):
 @query("SELECT chrom, pos FROM pileup WHERE indels > 1 OR mismatches > 2")
 def stream_suspect_sites(spark, sf):
     reads = with_sentinel(T.reads(spark, sf))
-    return sites.run_available(sites.suspect_sites(as_stream(reads, ["chrom", "start"]), T.ref_bases(spark, sf)))
+    return sites.run_available(sites.suspect_sites(as_stream(reads, ["chrom", "start"]), T.ref_chunks(spark, sf)))
 
 
 @query('SELECT chrom, count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS bases FROM regions GROUP BY chrom')

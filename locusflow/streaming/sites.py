@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.quality import chrom_value
-from ..operators.pileup import aligned_bases
+from ..operators.pileup import CHUNK, chunk_pieces
 from ..sources.text import shared_path
 
 SPAN = 10**9
@@ -39,13 +40,38 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode:
     stream.writeStream.outputMode(mode).option("checkpointLocation", state or shared_path(stream.sparkSession)).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
 
 
-def suspect_sites(reads: DataFrame, ref_bases: DataFrame, longest_span: int = 1000) -> DataFrame:
-    """(chrom, pos) of suspect sites, each handed on once no later read can cover it."""
-    rows = aligned_bases(reads).withColumn("t", event_time(F.col("chrom"), F.col("pos"))).withWatermark("t", f"{longest_span} milliseconds")
-    ref = ref_bases.select("chrom", "pos", F.upper("base").alias("ref"))
-    joined = rows.join(ref, ["chrom", "pos"])
-    counted = joined.groupBy(F.window("t", "1 millisecond"), "chrom", "pos").agg(F.count_if(F.upper("base") != F.col("ref")).alias("mismatches"), F.count_if("indel_next").alias("indels"))
-    return counted.where("indels > 1 or mismatches > 2").select("chrom", "pos")
+def suspect_sites(reads: DataFrame, ref_chunks: DataFrame, longest_span: int = 1000, size: int = CHUNK) -> DataFrame:
+    """(chrom, pos) of suspect sites, handed on once no later read can cover their piece of the reference.
+
+    The state is one row for each open piece of ``size`` bases: the counts of mismatches and of
+    indels at its positions.  Reads may come up to ``longest_span`` positions out of order.
+    A piece is closed when the watermark has passed its end.
+    """
+
+    def counted(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        chrom, chunk, number = key
+        counts = np.zeros((2, size), np.int64)
+        if state.exists:
+            counts += np.frombuffer(state.get[0], np.int64).reshape(2, size)
+        if state.hasTimedOut:
+            state.remove()
+            at = np.flatnonzero((counts[1] > 1) | (counts[0] > 2))
+            if len(at):
+                yield pd.DataFrame({"chrom": [chrom] * len(at), "pos": int(chunk) * size + at})
+            return
+        for batch in batches:
+            for low, letters, under, indel in zip(batch["low"], batch["letters"], batch["under"], batch["indel_next"], strict=True):
+                first, n = int(low) - int(chunk) * size, min(len(letters), len(under))
+                own, ref = (np.array(list(x[:n])) for x in (letters, under))
+                counts[0, first : first + n] += own != ref
+                if indel and n == len(letters):
+                    counts[1, first + n - 1] += 1
+        state.update((counts.tobytes(),))
+        state.setTimeoutTimestamp(int(number) * SPAN + (int(chunk) + 1) * size)
+
+    timed = reads.withColumn("t", event_time(F.col("chrom"), F.col("start"))).withWatermark("t", f"{longest_span} milliseconds")
+    pieces = chunk_pieces(timed, ref_chunks, "t", size=size).withColumn("chrom_no", chrom_value(F.col("chrom")))
+    return pieces.groupBy("chrom", "chunk", "chrom_no").applyInPandasWithState(counted, "chrom string, pos long", "counts binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def running_totals(regions: DataFrame) -> DataFrame:

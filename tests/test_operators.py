@@ -397,7 +397,7 @@ def test_late_reads_do_not_count_for_sites_that_were_handed_on(spark, tmp_path):
     from locusflow.streaming import sites
 
     schema, source = "read_id long, chrom string, start long, cigar string, bases string, quals array<int>", str(tmp_path / "in")
-    ref = spark.createDataFrame([("chr1", p, "A") for p in range(100)], "chrom string, pos long, base string")
+    ref = spark.createDataFrame([("chr1", k, "A" * 20) for k in range(5)], "chrom string, chunk long, seq string")
 
     def arrive(*rows):
         spark.createDataFrame([(i, c, s, f"{len(b)}M", b, [30] * len(b)) for i, c, s, b in rows], schema).coalesce(1).write.mode("append").parquet(source)
@@ -410,7 +410,7 @@ def test_late_reads_do_not_count_for_sites_that_were_handed_on(spark, tmp_path):
     arrive((7, "chr1", 50, "C"))  # too late for 50, where two mismatches are not enough
     arrive((8, "chr99", 0, "A"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    found = sites.run_available(sites.suspect_sites(stream, ref, longest_span=5)).collect()
+    found = sites.run_available(sites.suspect_sites(stream, ref, longest_span=5, size=20)).collect()
     assert [tuple(r) for r in found] == [("chr1", 11)]
 
 
@@ -552,3 +552,25 @@ def test_crowded_bins_are_split(spark):
         for side, name, number in ((a, "_name", "bin"), (b, "r_name", "r_bin")):
             assert side.groupBy(name, number, "part").count().agg(F.max("count")).first()[0] <= 650
     assert intervals.interval_join(sites, reads, width=128, most=500, condition=F.col("read_id") < 1000).count() == len([p for p in expected if p[1] < 1000])
+
+
+def test_stream_state_is_one_row_for_each_open_piece(spark, tmp_path):
+    """Four micro-batches: the sites are those of the batch form, and only pieces near the last reads are held."""
+    from locusflow.plans import tables
+    from locusflow.plans.streams import as_stream
+    from locusflow.streaming import sites
+    from tests.oracle import SMALL
+
+    reads, chunks = tables.reads(spark, SMALL), tables.ref_chunks(spark, SMALL)
+    stream = sites.suspect_sites(as_stream(reads, ["chrom", "start"]), chunks)
+    running = stream.writeStream.format("memory").queryName("found_sites").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    held = running.lastProgress["stateOperators"][0]["numRowsTotal"]
+    last = reads.agg(F.max("chrom").alias("chrom")).first()["chrom"]
+    expected = pileup.suspect_spots(pileup.pileup(reads, chunks)).select("chrom", "pos")
+    found = spark.table("found_sites")
+    assert found.count() == found.distinct().count() > 0 and found.join(expected, ["chrom", "pos"], "left_anti").count() == 0
+    missing = expected.join(found, ["chrom", "pos"], "left_anti").groupBy("chrom").agg(F.min("pos").alias("pos")).collect()
+    top = reads.where(F.col("chrom") == last).agg(F.max("start")).first()[0]
+    # No sentinel row: what lies within the watermark's delay of the last read is still open.
+    assert all(r["chrom"] == last and r["pos"] >= top - 1000 - pileup.CHUNK for r in missing) and 0 < held <= (1000 + 200) // pileup.CHUNK + 2
