@@ -15,20 +15,25 @@ ALIGNMENT = ("name", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mat
 RECORD = "chrom string, pos long, id string, ref string, alt string, qual double, filter string, info string"
 
 
+#: Folders of local sessions whose settings name none, by application.
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's own folder inside of ``spark.checkpoint.dir``, which the driver and all executors share.
 
     It is removed when the driver ends.  Where the setting is missing, a local session gets
     a temporary folder; a cluster must name one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder, application = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="locusflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    own = f"{folder}/locusflow-{spark.sparkContext.applicationId}"
+        if application not in _TEMPORARY:
+            _TEMPORARY[application] = tempfile.mkdtemp(prefix="locusflow-")
+        folder = _TEMPORARY[application]
+    own = f"{folder}/locusflow-{application}"
     path = spark._jvm.org.apache.hadoop.fs.Path(own)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(path)

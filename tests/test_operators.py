@@ -424,12 +424,23 @@ def test_shared_folder_is_the_sessions_own(spark):
     assert text.shared_path(spark) != text.shared_path(spark)
 
 
+@pytest.mark.parametrize("master", ["local", "local[3]", "local[*]"])
+def test_a_local_session_gets_one_folder_and_keeps_its_settings(spark, master):
+    from types import SimpleNamespace
+
+    from locusflow.sources import text
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"), _jvm=spark._jvm, _jsc=spark._jsc)
+    first = text.shared_folder(session)
+    assert text.shared_folder(session) == first and session.conf == {}
+
+
 def test_a_cluster_must_name_a_shared_folder():
     from types import SimpleNamespace
 
     from locusflow.sources import text
 
-    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         text.shared_folder(session)
 
