@@ -7,9 +7,10 @@ high one is answered by coordinate pruning (the coordinates of a unit vector nea
 lie near the query's), a low one by length pruning (too short vectors cannot reach t).  What is
 left is verified by its products.
 
-Buckets and blocks of queries are packed into one row each.  Buckets stay where they are and
-each block of the stated query set goes to all of them; a meeting yields at most k rows for
-each query.
+Buckets and blocks of queries are packed into one row each.  A query with k products of at least
+t needs no vector shorter than t / |query|.  Queries that need about the same length share a
+block, so that a block goes only to the buckets that hold long enough vectors; each bucket is
+read once, before all blocks that it meets.  A meeting yields at most k rows for each query.
 """
 
 from __future__ import annotations
@@ -22,12 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BUCKET = 4096
+#: Vectors of the sample that gives starting thresholds.
+SAMPLE = 4096
 QUERIES = 1024
 BUCKETS_PER_TASK = 64
 FOCUS = 3
 #: Local cosine threshold from which coordinates prune better than lengths.
 COORDINATE = 0.3
+#: Room for rounding in all comparisons of lengths and cosines; it only admits more candidates.
+SLACK = 1e-9
 #: Up to this bound all sums are exact in double precision.
 EXACT = 2**52
 
@@ -54,16 +61,54 @@ def pack(rows: DataFrame, group: str) -> DataFrame:
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["norm2", "id", "key"], ascending=[False, True, True], kind="stable")
         matrix = np.array(frame["v"].tolist(), np.int64).reshape(len(frame), -1)
+        width = next(t for t in (np.int16, np.int32, np.int64) if not matrix.size or (matrix.min() >= np.iinfo(t).min and matrix.max() <= np.iinfo(t).max))
         first = frame.iloc[0]
         packed = {c: [frame[n].to_numpy(np.int64).tobytes()] for c, n in (("ids", "id"), ("keys", "key"), ("copies", "copies"))}
-        return pd.DataFrame({"dims": [int(first["dims"])], group: [int(first[group])], **packed, "matrix": [matrix.tobytes()]})
+        return pd.DataFrame({"dims": [int(first["dims"])], group: [int(first[group])], **packed, "matrix": [matrix.astype(width).tobytes()]})
 
     return rows.groupBy("dims", group).applyInPandas(one, f"dims int, {group} long, ids binary, keys binary, copies binary, matrix binary")
 
 
-def unpacked(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(ids: bytes, matrix: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of a packed row; the matrix is as wide as its bytes tell."""
     numbers = np.frombuffer(ids, np.int64)
-    return numbers, np.frombuffer(matrix, np.int64).reshape(len(numbers), -1)
+    width = len(matrix) // max(1, len(numbers) * dims)
+    return numbers, np.frombuffer(matrix, f"i{width or 8}").reshape(len(numbers), dims).astype(np.int64)
+
+
+def dealt(rows: DataFrame, by: str, size: int, name: str) -> tuple[DataFrame, list[tuple]]:
+    """``rows`` dealt to groups of about ``size`` with like values of ``by``, and (dims, quantile, first, parts, low, high).
+
+    Up to 64 quantiles for each number of dimensions, in order; one that holds many rows has
+    several groups, dealt by key.  Groups are numbered from 0 for each number of dimensions.
+    """
+    spark = rows.sparkSession
+    sizes = rows.groupBy("dims").agg(F.count("*").alias("n"), F.percentile_approx(by, [i / 64 for i in range(1, 64)], 10000).alias("cuts"))
+    quantile = F.size(F.filter("cuts", lambda c: c < F.col(by)))
+    merged = F.when(F.col("n") <= 64 * size, F.floor(quantile * F.ceil(F.col("n") / size) / 64)).otherwise(quantile)
+    placed = rows.join(F.broadcast(sizes), "dims").withColumn("quantile", merged.cast("int")).drop("n", "cuts")
+    held = placed.groupBy("dims", "quantile").agg(F.count("*").alias("held"), F.min(by).alias("low"), F.max(by).alias("high")).collect()  # 64 rows for each number of dimensions
+    total: dict[int, int] = {}
+    groups = []
+    for r in sorted(held):
+        parts = -(-r["held"] // size)
+        groups.append((r["dims"], r["quantile"], total.get(r["dims"], 0), parts, r["low"], r["high"]))
+        total[r["dims"]] = total.get(r["dims"], 0) + parts
+    places = spark.createDataFrame([g[:4] for g in groups], "dims int, quantile int, first long, parts long")
+    return placed.join(F.broadcast(places), ["dims", "quantile"]).withColumn(name, F.col("first") + F.pmod("key", F.col("parts"))).drop("first", "parts"), groups
+
+
+def reached(blocks: list[tuple], buckets: list[tuple]) -> list[tuple]:
+    """(dims, quantile, bucket, last) of the quantiles of needed lengths that meet a bucket: all from ``bucket`` to ``last``.
+
+    Buckets are numbered by rising length, so those that hold a vector of a length are the last ones.
+    """
+    out = []
+    for dims, quantile, _, _, needed, _ in blocks:
+        firsts = [first for d, _, first, _, _, norm2 in buckets if d == dims and norm2**0.5 * (1 + SLACK) >= needed]
+        if firsts:
+            out.append((dims, quantile, min(firsts), max(first + parts - 1 for d, _, first, parts, _, _ in buckets if d == dims)))
+    return out
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,10 +146,10 @@ class Bucket:
             everything = threshold is None or threshold <= 0
             return np.arange(len(self.ids)) if everything else np.zeros(0, np.int64)
         longest = float(self.norms[0])
-        local = threshold / (norm * longest) * (1 - 1e-9) if longest else 2.0
+        local = threshold / (norm * longest) * (1 - SLACK) if longest else 2.0
         if local > 1:
             return np.zeros(0, np.int64)
-        reach = int(np.searchsorted(-self.norms, -threshold / norm * (1 - 1e-9), "right"))
+        reach = int(np.searchsorted(-self.norms, -threshold / norm * (1 - SLACK), "right"))
         if local < COORDINATE:
             return np.arange(reach)
         unit, angle = query / norm, np.arccos(local)
@@ -112,7 +157,7 @@ class Bucket:
         focus = np.argsort(-np.abs(unit), kind="stable")[:FOCUS]
         for f in focus:
             at = np.arccos(np.clip(unit[f], -1, 1))
-            low, high = np.cos(min(np.pi, at + angle)) - 1e-9, np.cos(max(0.0, at - angle)) + 1e-9
+            low, high = np.cos(min(np.pi, at + angle)) - SLACK, np.cos(max(0.0, at - angle)) + SLACK
             a, b = np.searchsorted(self.sorted[:, f], low, "left"), np.searchsorted(self.sorted[:, f], high, "right")
             counts[self.order[a:b, f]] += 1
         return np.flatnonzero(counts[:reach] == len(focus))
@@ -129,77 +174,82 @@ def top_k(vectors: DataFrame, is_query, vector: str = "embedding", vec_id: str =
     null or hold null or non-finite components take no part.
     """
     spark = vectors.sparkSession
-    rows = quantized(vectors, vector, vec_id, scale)
+    rows = stored(quantized(vectors, vector, vec_id, scale))
     queries = rows.where(is_query(F.col("id")))
-    counts = {r["dims"]: r["n"] for r in queries.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+    counts = {r["dims"]: (r["n"], r["all"]) for r in rows.groupBy("dims").agg(F.count(F.when(is_query(F.col("id")), 1)).alias("n"), F.count("*").alias("all")).collect() if r["n"]}
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
-    # Buckets: up to 64 quantiles of length, and more buckets of one quantile where that holds many rows.
-    sizes = rows.groupBy("dims").agg(F.count("*").alias("n"), F.percentile_approx("norm2", [i / 64 for i in range(1, 64)], 10000).alias("cuts"))
-    quantile = F.size(F.filter("cuts", lambda c: c < F.col("norm2")))
-    merged = F.when(F.col("n") <= 64 * BUCKET, F.floor(quantile * F.ceil(F.col("n") / BUCKET) / 64)).otherwise(quantile)
-    placed = rows.join(F.broadcast(sizes), "dims").withColumn("quantile", merged.cast("int"))
-    held = placed.groupBy("dims", "quantile").agg(F.count("*").alias("held"), F.max("n").alias("n")).collect()  # 64 rows for each number of dimensions
-    total, first_of = {}, []
-    for r in sorted(held):
-        parts = -(-r["held"] // BUCKET)
-        first_of.append((r["dims"], r["quantile"], total.get(r["dims"], 0), parts))
-        total[r["dims"]] = total.get(r["dims"], 0) + parts
-    offsets = spark.createDataFrame(first_of, "dims int, quantile int, first long, parts long")
-    dealt = placed.join(F.broadcast(offsets), ["dims", "quantile"]).withColumn("bucket", F.col("first") + F.pmod("key", F.col("parts")))
-    buckets = pack(dealt, "bucket")
-
-    def of_dims(numbers: dict[int, int]):
+    def of_dims(numbers: dict):
         return F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair))[F.col("dims")]
 
-    block = F.pmod(F.xxhash64(F.lit(3), "key"), of_dims({dims: -(-n // QUERIES) for dims, n in counts.items()}))
-    packed = pack(queries.withColumn("block", block), "block")
-    q = packed.select("dims", "block", F.col("ids").alias("query_ids"), F.col("keys").alias("query_keys"), F.col("matrix").alias("query_matrix"))
-
-    # Starting thresholds come from a bounded sample; they only prune, so that any sample gives exact results.
-    share = F.when(F.col("n") > BUCKET, BUCKET / F.col("n")).otherwise(1.0)
-    sample = placed.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 20)) < share * (1 << 20)).withColumn("bucket", F.lit(0).cast("long"))
-
-    def meet(packed_rows: DataFrame, blocks: DataFrame, number: dict[int, int]) -> DataFrame:
-        """The best of each bucket for each query.  The query blocks, which are the small side, go to every bucket."""
-
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cached: tuple[tuple, Bucket, np.ndarray] | None = None
-            for batch in batches:
-                for at in range(batch.num_rows):  # a row holds a whole bucket
-                    row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
-                    if cached is None or cached[0] != (row["dims"], row["bucket"]):
-                        cached = (row["dims"], row["bucket"]), Bucket(*unpacked(row["ids"], row["matrix"])), np.frombuffer(row["copies"], np.int64)
-                    _, bucket, copies = cached
-                    keys, matrix = unpacked(row["query_keys"], row["query_matrix"])
-                    numbers = np.frombuffer(row["query_ids"], np.int64)
-                    known = dict(zip(row["known"] or [], row["threshold"] or [], strict=True))
-                    out: list[list[int]] = [[], [], [], [], []]
-                    for key, own, query in zip(keys.tolist(), numbers.tolist(), matrix, strict=True):
-                        places = bucket.candidates(query, known.get(key))
-                        places = places[bucket.ids[places] != own]
-                        if not len(places):
-                            continue
-                        scores = products(query[None], bucket.matrix if len(places) == len(bucket.ids) else bucket.matrix[places])[0]
-                        chosen = best(scores, bucket.ids[places], k)
-                        for column, values in zip(out, ([key] * len(chosen), [own] * len(chosen), bucket.ids[places[chosen]].tolist(), scores[chosen].tolist(), copies[places[chosen]].tolist()), strict=True):
-                            column += values
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["key", "query_id", "vec_id", "score", "copies"])
-
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(number.values()) // BUCKETS_PER_TASK))
-        asked = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), of_dims(number).cast("long") - 1)).alias("bucket"))
-        pairs = packed_rows.repartition(tasks, "dims", "bucket").join(asked.repartition(tasks, "dims", "bucket"), ["dims", "bucket"])
-        columns = ["dims", "bucket", "ids", "copies", "matrix", "query_ids", "query_keys", "query_matrix", "known", "threshold"]
-        found = pairs.sortWithinPartitions("dims", "bucket").select(*columns).mapInArrow(task, "key long, query_id long, vec_id long, score long, copies long")
-        one_by_one = found.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))))
-        order = Window.partitionBy("key", "query_id").orderBy(F.desc("score"), "vec_id")
-        return one_by_one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("key", "query_id", "rank", "vec_id", "score")
-
-    none = {"known": F.lit(None).cast("array<long>"), "threshold": F.lit(None).cast("array<long>")}
-    ranked = meet(pack(sample, "bucket"), q.withColumns(none), dict.fromkeys(total, 1))
-    thresholds = ranked.groupBy("key").agg(F.min("score").alias("threshold"), F.count("*").alias("found")).where(F.col("found") == k)
+    # Starting thresholds come from a bounded sample, copied to each block of queries; they only prune, so that any sample gives exact results.
+    numbers = {dims: -(-n // QUERIES) for dims, (n, _) in counts.items()}
+    block = F.pmod(F.xxhash64(F.lit(3), "key"), of_dims(numbers))
+    first_blocks = pack(queries.withColumn("bucket", block), "bucket").withColumns({"known": F.lit(None).cast("array<long>"), "threshold": F.lit(None).cast("array<long>")})
+    share = of_dims({dims: min(1.0, SAMPLE / n) for dims, (_, n) in counts.items()})
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 20)) < share * (1 << 20)).withColumn("sample", F.lit(0).cast("long"))
+    copied = pack(sample, "sample").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), of_dims(numbers).cast("long") - 1)))
+    ranked = meet(copied, first_blocks, sum(numbers.values()), k)
+    thresholds = ranked.groupBy("key").agg(F.min("score").alias("threshold"), F.count("*").alias("found")).where(F.col("found") == k).drop("found")
+    needed = F.when(F.col("threshold") > 0, F.least(F.lit(1e300), F.coalesce(F.try_divide(F.col("threshold").cast("double"), F.sqrt("norm2")), F.lit(1e300)) * (1 - SLACK))).otherwise(0.0)
+    asking = stored(queries.join(thresholds, "key", "left").withColumn("needed", needed))
+
+    placed, buckets = dealt(rows, "norm2", BUCKET, "bucket")
+    in_blocks, blocks = dealt(asking, "needed", QUERIES, "block")
+    meetings = reached(blocks, buckets)
+    if not meetings:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     lists = F.array_sort(F.collect_list(F.struct("key", "threshold")))
-    by_block = queries.select("key", "dims", block.alias("block")).join(thresholds, "key").groupBy("dims", "block").agg(lists.alias("t"))
-    by_block = by_block.select("dims", "block", F.col("t.key").alias("known"), F.col("t.threshold").alias("threshold"))
-    return meet(buckets, q.join(by_block, ["dims", "block"], "left"), total).select("query_id", "rank", "vec_id", "score")
+    known = in_blocks.groupBy("dims", "block").agg(F.max("quantile").alias("quantile"), F.filter(lists, lambda t: t["threshold"].isNotNull()).alias("t"))
+    known = known.select("dims", "block", "quantile", F.col("t.key").alias("known"), F.col("t.threshold").alias("threshold"))
+    reach = spark.createDataFrame(meetings, "dims int, quantile int, bucket long, last long")  # 64 rows for each number of dimensions
+    sent = pack(in_blocks, "block").join(known, ["dims", "block"]).join(F.broadcast(reach), ["dims", "quantile"])
+    sent = sent.withColumn("bucket", F.explode(F.sequence("bucket", "last")))
+    return meet(pack(placed, "bucket"), sent, sum(parts for _, _, _, parts, _, _ in buckets), k).select("query_id", "rank", "vec_id", "score")
+
+
+def meet(buckets: DataFrame, blocks: DataFrame, number: int, k: int) -> DataFrame:
+    """(key, query_id, rank, vec_id, score): the k best of each query among the buckets that its block is sent to.
+
+    Each of the ``number`` buckets is read once; the blocks for it follow in the same task.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[tuple, bytes, bytes, bytes] | None = None
+        bucket: Bucket | None = None
+        for batch in batches:
+            for at in range(batch.num_rows):  # a row holds a whole bucket or block
+                row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                group = row["dims"], row["bucket"]
+                if not row["asks"]:
+                    held, bucket = (group, row["ids"], row["matrix"], row["copies"]), None
+                    continue
+                if held is None or held[0] != group:
+                    continue  # a part that no row was dealt to
+                if bucket is None:
+                    bucket, copies = Bucket(*unpacked(held[1], held[2], row["dims"])), np.frombuffer(held[3], np.int64)
+                numbers, matrix = unpacked(row["ids"], row["matrix"], row["dims"])
+                keys = np.frombuffer(row["keys"], np.int64)
+                known = dict(zip(row["known"] or [], row["threshold"] or [], strict=True))
+                out: list[list[int]] = [[], [], [], [], []]
+                for key, own, query in zip(keys.tolist(), numbers.tolist(), matrix, strict=True):
+                    places = bucket.candidates(query, known.get(key))
+                    places = places[bucket.ids[places] != own]
+                    if not len(places):
+                        continue
+                    scores = products(query[None], bucket.matrix if len(places) == len(bucket.ids) else bucket.matrix[places])[0]
+                    chosen = best(scores, bucket.ids[places], k)
+                    for column, values in zip(out, ([key] * len(chosen), [own] * len(chosen), bucket.ids[places[chosen]].tolist(), scores[chosen].tolist(), copies[places[chosen]].tolist()), strict=True):
+                        column += values
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["key", "query_id", "vec_id", "score", "copies"])
+
+    tasks = max(int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-number // BUCKETS_PER_TASK))
+    columns = ["dims", "bucket", "ids", "keys", "copies", "matrix"]
+    none = F.lit(None).cast("array<long>")
+    rows = buckets.select(*columns, none.alias("known"), none.alias("threshold"), F.lit(False).alias("asks"))
+    rows = rows.unionByName(blocks.select(*columns, "known", "threshold", F.lit(True).alias("asks")))
+    found = rows.repartition(tasks, "dims", "bucket").sortWithinPartitions("dims", "bucket", "asks").mapInArrow(task, "key long, query_id long, vec_id long, score long, copies long")
+    one_by_one = found.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))))
+    order = Window.partitionBy("key", "query_id").orderBy(F.desc("score"), "vec_id")
+    return one_by_one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("key", "query_id", "rank", "vec_id", "score")

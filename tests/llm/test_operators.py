@@ -543,6 +543,35 @@ def test_top_k_of_repeated_rows(spark):
     assert out == sorted(expected)
 
 
+def test_blocks_are_sent_to_long_buckets_alone(spark, monkeypatch):
+    """Where lengths differ widely, most pairs of a block and a bucket are ruled out before anything is sent."""
+    monkeypatch.setattr(topk, "BUCKET", 20)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "SAMPLE", 200)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(800, 5)) * 10 ** rng.uniform(-1, 2, (800, 1))
+    df = spark.createDataFrame([(i, [float(c) for c in r], 0) for i, r in enumerate(x)], VECTORS)
+    pairs, meet = [], topk.meet
+    monkeypatch.setattr(topk, "meet", lambda buckets, blocks, number, k: pairs.append((buckets.count(), blocks.count(), blocks.select("dims", "block" if "block" in blocks.columns else "bucket").distinct().count())) or meet(buckets, blocks, number, k))
+    out = topk.top_k(df, lambda c: c % 20 == 0)
+    v = np.floor(256 * x.astype(np.float32).astype(float)).astype(np.int64)
+    expected = []
+    for i in range(0, 800, 20):
+        expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted((-int(v[i] @ v[j]), j) for j in range(800) if j != i)[:5])]
+    assert sorted(map(tuple, out.collect())) == sorted(expected)
+    buckets, sent, blocks = pairs[1]
+    assert buckets >= 40 and blocks >= 10 and sent * 3 < buckets * blocks, pairs
+
+
+def test_packed_rows_are_as_wide_as_they_must_be(spark):
+    for top, width in ((2.0, 2), (1e4, 4), (1e9, 8)):
+        rows = topk.quantized(spark.createDataFrame([(1, [top, -1.0, 0.5], 0), (2, [0.0, 0.25, -top], 0)], VECTORS), "embedding", "vec_id", 256)
+        (row,) = topk.pack(rows.withColumn("bucket", F.lit(0).cast("long")), "bucket").collect()
+        assert len(row["matrix"]) == 6 * width
+        ids, matrix = topk.unpacked(row["ids"], row["matrix"], 3)
+        assert dict(zip(ids.tolist(), matrix.tolist(), strict=True)) == {r["id"]: list(r["v"]) for r in rows.collect()}
+
+
 def test_many_buckets_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "BUCKET", 50)
     monkeypatch.setattr(topk, "QUERIES", 8)
