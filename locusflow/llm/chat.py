@@ -4,10 +4,12 @@ A conversation that is logged after every turn appears many times, each log a pr
 the next.  Rolling hashes of turn prefixes find the logs that prefix a longer one; an
 anti-join keeps the others, which are then rendered.  DataFrame functions only.
 
-The rolling hash of a prefix is the xor of one 64-bit hash for each (position, role, text),
-taken twice with different seeds.  It can be computed over parts of a conversation, so a
-very long conversation is not held by one task: positions and prefix hashes are
-first made within slices of turns and then moved on by the totals of the slices before.
+Texts move twice: once to put turns in order, and once, those of the kept conversations
+alone, to be rendered.  All between works on the SHA-256 digest of each turn.  The rolling hash of a
+prefix is the xor of a 64-bit hash of each (position, digest), taken twice with different
+seeds.  It can be computed over parts of a conversation, so a very long one is not held by
+one task.  Hashes are not believed: all prefixes of one length and hash must have one last
+turn, which, from turn to turn, makes them equal as a whole.
 """
 
 from __future__ import annotations
@@ -15,54 +17,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers that share a slice of a conversation.
+from .common import stored
+
+#: Turn numbers that share a slice of a conversation while turns are put in order.
 SLICE = 64
-#: Turns that are rendered into one row.
+#: Leading characters of a text by which turns without a number are dealt to slices.
+HEAD = 16
+#: Turns that are rendered into one row, and whose prefix hashes are made together.
 PART = 256
 START, END = "<|im_start|>", "<|im_end|>"
 
 
 def numbered_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, slice, position, role, text, h1, h2): turns in order, with prefix hashes up to each."""
-    rows = turns.select(
-        "conv_id",
-        F.col("turn").cast("long").alias("turn"),
-        F.col("role").cast("string").alias("role"),
-        F.col("text").cast("string").alias("text"),
-    ).withColumn("slice", F.floor(F.col("turn") / SLICE))
-    inside = Window.partitionBy("conv_id", "slice").orderBy("turn", "role", "text")
-    rows = rows.withColumn("place", F.row_number().over(inside))
-    sizes = rows.groupBy("conv_id", "slice").agg(F.count("*").alias("turns"))
-    before = Window.partitionBy("conv_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("conv_id", "slice", F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("start"))
-    same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("a.slice").eqNullSafe(F.col("b.slice"))
-    rows = rows.alias("a").join(starts.alias("b"), same).select("a.*", (F.col("start") + F.col("place")).alias("position"))
-    for name, seed in (("t1", 1), ("t2", 2)):
-        # A null and an empty string differ, so that only equal turns have equal hashes.
-        parts = [F.lit(seed), "position", F.col("role").isNull(), "role", F.col("text").isNull(), "text"]
-        rows = rows.withColumn(name, F.xxhash64(*parts))
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"x1": F.bit_xor("t1").over(so_far), "x2": F.bit_xor("t2").over(so_far)})
-    totals = rows.groupBy("conv_id", "slice").agg(F.bit_xor("t1").alias("s1"), F.bit_xor("t2").alias("s2"))
-    zero = F.lit(0).cast("long")
-    moved = totals.select("conv_id", "slice", F.coalesce(F.bit_xor("s1").over(before), zero).alias("m1"), F.coalesce(F.bit_xor("s2").over(before), zero).alias("m2"))
-    joined = rows.alias("a").join(moved.alias("b"), same)
-    return joined.select("a.conv_id", "a.slice", "position", "role", "text", F.col("x1").bitwiseXOR(F.col("m1")).alias("h1"), F.col("x2").bitwiseXOR(F.col("m2")).alias("h2"))
-
-
-def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns) of the conversations that no longer one starts with; of equal ones the smallest id stays."""
-    last = turns.groupBy("conv_id").agg(F.max(F.struct("position", "h1", "h2")).alias("end")).select("conv_id", F.col("end.position").alias("turns"), "end.h1", "end.h2")
-    one = last.groupBy("turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
-    ends = last.select(F.col("conv_id").alias("c"), F.col("turns").alias("length"))
-    # Prefixes that go on: every turn but a conversation's last.
-    inner = turns.join(ends, turns["conv_id"].eqNullSafe(ends["c"]) & (F.col("position") < F.col("length")), "left_semi")
-    inner = inner.select(F.col("position").alias("turns"), "h1", "h2").distinct()
-    return one.join(inner, ["turns", "h1", "h2"], "left_anti").select("conv_id", "turns")
-
-
-def render(turns: DataFrame, part: int = PART) -> DataFrame:
-    """(conv_id, part, n_turns, rendered): turns in chat markup, up to ``part`` of them in a row.
+    """(conv, part, position, role, text, digest): turns in order, numbered from 1 in each conversation.
+
+    ``conv`` holds the id inside of a structure, so that null ids are equal in plain joins.
+    Slices follow each other in the order of turns; those without a number, which may be
+    many, are dealt by role and the head of the text, which is the order among them.
+    """
+    number, role, text = F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")
+    unnumbered = number.isNull()
+    piece = F.struct(F.floor(number / SLICE).alias("turns"), F.when(unnumbered, role).alias("role"), F.when(unnumbered, F.substring(text, 1, HEAD)).alias("head"))
+    rows = turns.select(F.struct("conv_id").alias("conv"), piece.alias("slice"), number.alias("turn"), role.alias("role"), text.alias("text"))
+    sizes = rows.groupBy("conv", "slice").agg(F.count("*").alias("turns"))
+    before = Window.partitionBy("conv").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("conv", "slice", F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("conv", "slice").orderBy("turn", "role", "text"))
+    placed = rows.withColumn("place", place).join(starts, ["conv", "slice"]).withColumn("position", F.col("start") + F.col("place"))
+    # A null and an empty string differ, and no role runs into a text, so that only equal turns have equal digests.
+    named = F.when(F.col("role").isNull(), "-").otherwise(F.concat(F.length("role").cast("string"), F.lit(":"), "role"))
+    said = F.when(F.col("text").isNull(), "-").otherwise(F.concat(F.lit("+"), "text"))
+    digest = F.unhex(F.sha2(F.concat(named, said), 256))
+    return placed.select("conv", F.floor((F.col("position") - 1) / PART).cast("int").alias("part"), "position", "role", "text", digest.alias("digest"))
+
+
+def prefix_hashes(turns: DataFrame, seed: int) -> DataFrame:
+    """(conv, position, digest, h1, h2, is_last) of each prefix, from (conv, part, position, digest)."""
+    rows = turns.select("conv", "part", "position", "digest").withColumns({f"t{k}": F.xxhash64(F.lit(2 * seed + k), "position", "digest") for k in (1, 2)})
+    totals = rows.groupBy("conv", "part").agg(F.count("*").alias("n"), F.bit_xor("t1").alias("s1"), F.bit_xor("t2").alias("s2"))
+    order = Window.partitionBy("conv").orderBy("part")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    moved = {f"m{k}": F.coalesce(F.bit_xor(f"s{k}").over(before), F.lit(0).cast("long")) for k in (1, 2)}
+    end = F.when(F.lead("part").over(order).isNull(), F.col("part") * PART + F.col("n"))
+    carried = totals.withColumns({**moved, "end": end}).select("conv", "part", "m1", "m2", "end")
+    so_far = Window.partitionBy("conv", "part").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumns({f"x{k}": F.bit_xor(f"t{k}").over(so_far) for k in (1, 2)})
+    hashes = (F.col(f"x{k}").bitwiseXOR(F.col(f"m{k}")).alias(f"h{k}") for k in (1, 2))
+    return inside.join(carried, ["conv", "part"]).select("conv", "position", "digest", *hashes, F.col("position").eqNullSafe(F.col("end")).alias("is_last"))
+
+
+def maximal_conversations(turns: DataFrame, seed: int = 0) -> DataFrame:
+    """(conv, turns) of the conversations that no longer one starts with; of equal ones the smallest id stays.
+
+    Two different prefixes of one hash end the job with an error; another ``seed`` tells them apart.
+    """
+    prefixes = prefix_hashes(turns, seed)
+    found = prefixes.groupBy("position", "h1", "h2").agg(
+        F.min("digest").alias("least"), F.max("digest").alias("most"),
+        F.max(~F.col("is_last")).alias("goes_on"), F.min(F.when(F.col("is_last"), F.col("conv"))).alias("conv"),
+    )
+    sure = F.when(F.col("least") == F.col("most"), F.col("position")).otherwise(F.raise_error(F.lit("different prefixes have one hash: choose another seed")))
+    found = found.select(sure.alias("turns"), "h1", "h2", "goes_on", "conv")
+    inner = found.where("goes_on").select("turns", "h1", "h2")
+    return found.where("conv is not null").join(inner, ["turns", "h1", "h2"], "left_anti").select("conv", "turns")
+
+
+def render(turns: DataFrame) -> DataFrame:
+    """(conv_id, part, n_turns, rendered): turns (conv, part, position, role, text) in chat markup, those of a part in a row.
 
     The parts of a conversation in order, end to end, are its whole rendering.  The markup's
     own marks in a text are broken by a space; a null role is ``unknown``, a null text empty.
@@ -73,20 +94,21 @@ def render(turns: DataFrame, part: int = PART) -> DataFrame:
         return F.replace(F.replace(value, F.lit(START), F.lit("< |im_start|>")), F.lit(END), F.lit("< |im_end|>"))
 
     line = F.concat(F.lit(START), plain("role", "unknown"), F.lit("\n"), plain("text", ""), F.lit(END + "\n"))
-    lines = turns.select("conv_id", F.floor((F.col("position") - 1) / part).cast("int").alias("part"), F.struct("position", line.alias("line")).alias("line"))
+    lines = turns.select("conv", "part", F.struct("position", line.alias("line")).alias("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["line"]), "")
-    return lines.groupBy("conv_id", "part").agg(F.count("*").alias("n_turns"), joined.alias("rendered"))
+    return lines.groupBy("conv", "part").agg(F.count("*").alias("n_turns"), joined.alias("rendered")).select("conv.conv_id", "part", "n_turns", "rendered")
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
+def format_conversations(conversations: DataFrame, seed: int = 0) -> DataFrame:
     """Renders the maximal conversations among rows of (conv_id, turn, role, text).
 
     Turns are ordered by turn (null first), then role and text; repeated rows are turns of
     their own.  Rows with a null ``conv_id`` are one conversation.  Other columns are ignored.
     """
-    turns = numbered_turns(conversations)
-    chosen = maximal_conversations(turns).select(F.col("conv_id").alias("c"))
-    return render(turns.join(chosen, turns["conv_id"].eqNullSafe(chosen["c"]), "left_semi"))
+    turns = stored(numbered_turns(conversations))
+    chosen = maximal_conversations(turns, seed)
+    parts = chosen.select("conv", F.explode(F.sequence(F.lit(0), F.floor((F.col("turns") - 1) / PART).cast("int"))).alias("part"))
+    return render(turns.join(parts, ["conv", "part"]))
 
 
 #: The same in SQL: conversations as lists of turns, compared as whole lists.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -746,5 +747,72 @@ def test_long_conversation_in_parts(spark):
     assert "".join(r["rendered"] for r in out) == "".join(f"<|im_start|>user\n{k}<|im_end|>\n" for k in range(700))
 
 
+def plain_conversations(rows):
+    """Conversation ids and their turns in order, for those that no longer one starts with; of equal ones the smallest id."""
+    logs = {}
+    for c, turn, role, text, _ in rows:
+        logs.setdefault(c, []).append((turn, role, text))
+    null_first = lambda v: (v is not None, v if v is not None else 0)
+    logs = {c: [t[1:] for t in sorted(log, key=lambda t: tuple(map(null_first, t)))] for c, log in logs.items()}
+    order = sorted(logs, key=null_first)
+    keep = [c for c in order if not any((len(logs[d]) > len(logs[c]) or (len(logs[d]) == len(logs[c]) and null_first(d) < null_first(c))) and logs[d][: len(logs[c])] == logs[c] for d in order)]
+    return {c: "".join(f"<|im_start|>{'unknown' if r is None else r}\n{x or ''}<|im_end|>\n" for r, x in logs[c]) for c in keep}
+
+
+def test_conversations_against_plain_loops(spark, monkeypatch):
+    """Turns without a number, ties, repeats, equal and nested conversations; small parts and slices."""
+    monkeypatch.setattr(chat, "PART", 4)
+    monkeypatch.setattr(chat, "SLICE", 3)
+    monkeypatch.setattr(chat, "HEAD", 1)
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in [None, *range(60)]:
+        pool = [(None if rng.random() < 0.3 else int(rng.integers(0, 9)), [None, "user", "u"][rng.integers(0, 3)], [None, "", "a", "ab", "b", "ä"][rng.integers(0, 6)]) for _ in range(rng.integers(1, 20))]
+        rows += [(c, *p, "x") for p in pool]
+    for c in range(60, 120):  # logs that stop early, and whole copies
+        of = int(rng.integers(0, 60))
+        log = sorted([r for r in rows if r[0] == of], key=lambda r: tuple((v is not None, v if v is not None else 0) for v in r[1:4]))
+        rows += [(c, *r[1:]) for r in log[: int(rng.integers(1, len(log) + 1))]]
+    rng.shuffle(rows)
+    rows = [tuple(None if v is None else int(v) if k < 2 else str(v) for k, v in enumerate(r)) for r in rows]
+    out = chat.format_conversations(spark.createDataFrame(rows, TURNS)).orderBy("conv_id", "part").collect()
+    texts = {}
+    for r in out:
+        texts[r["conv_id"]] = texts.get(r["conv_id"], "") + r["rendered"]
+    assert texts == plain_conversations(rows)
+
+
+def test_texts_of_conversations_move_twice(spark, monkeypatch, tmp_path):
+    plans = []
+
+    def moved(df):
+        text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return [b for b in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", text) if "text#" in b or "line#" in b]
+
+    stored = chat.stored
+    monkeypatch.setattr(chat, "stored", lambda df: plans.append(moved(df)) or stored(df))
+    monkeypatch.setattr(chat, "PART", 2)
+    path = str(tmp_path / "turns")
+    spark.createDataFrame([(c, k, "user", f"{c % 3} {k}", "x") for c in range(20) for k in range(5)], TURNS).write.parquet(path)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables beyond the limit
+    try:
+        out = chat.format_conversations(spark.read.parquet(path))
+        plans.append(moved(out))
+        assert [len(p) for p in plans] == [1, 1], plans
+        assert "Python" not in out._jdf.queryExecution().toString() and out.count() == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_prefixes_of_one_hash_are_told_apart(spark):
+    """Equal sums of hashes with different turns are an error, not a lost conversation."""
+    rows = spark.createDataFrame([((1,), 1, b"a", 5, 6, True), ((2,), 1, b"b", 5, 6, True)], "conv struct<conv_id: long>, position long, digest binary, h1 long, h2 long, is_last boolean")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(chat, "prefix_hashes", lambda turns, seed: rows)
+        with pytest.raises(Exception, match="another seed"):
+            chat.maximal_conversations(rows).collect()
+
+
 def test_crc_of_ids_is_little_endian():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\1\0\0\0\2\0\0\0")
