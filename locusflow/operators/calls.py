@@ -42,6 +42,35 @@ def zygosity_votes(calls: DataFrame) -> DataFrame:
     return per_window.groupBy(*REGION, *KEY).agg(F.count_if((F.col("a") + F.col("b")) == 2).alias("homs"), F.count_if((F.col("a") + F.col("b")) == 1).alias("hets"))
 
 
+def gathered(calls: DataFrame) -> DataFrame:
+    """(region, key, calls, on0, on1, mean_qual, cis, n): the calls of each key, and its windows by haplotype.
+
+    A key is called in the few windows that cover its position, so its lists are short.
+    """
+    entry = F.struct("hap", "window_no", "var_index", "qual", "window_offset")
+    rows = calls.groupBy(*REGION, *KEY).agg(F.array_sort(F.collect_list(entry)).alias("calls"), F.avg("qual").alias("mean_qual"), F.min("var_count").alias("cis"), F.count("*").alias("n"))
+
+    def windows(hap: int):
+        return F.array_distinct(F.transform(F.filter("calls", lambda c: c["hap"] == hap), lambda c: c["window_no"]))
+
+    return rows.withColumns({"on0": windows(0), "on1": windows(1)})
+
+
+def placed_keys(keys: DataFrame) -> DataFrame:
+    """``keys`` of :func:`gathered` with ordinal, hom and side, in one pass over each region in order."""
+    first = F.element_at("calls", 1)
+    order = Window.partitionBy(*REGION).orderBy("pos", first["hap"], first["window_no"], first["var_index"])
+    homs = F.size(F.array_intersect("on0", "on1"))
+    hets = F.size(F.array_union("on0", "on1")) - homs
+    former = F.last(F.when(~F.col("hom"), F.struct("on0", "on1")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = keys.withColumn("hom", homs > hets).withColumns({"ordinal": F.row_number().over(order), "former": former})
+    cis = F.array_union(F.array_intersect("on0", "former.on0"), F.array_intersect("on1", "former.on1"))
+    shared = F.array_intersect(F.array_union("on0", "on1"), F.array_union("former.on0", "former.on1"))
+    changes = ~F.col("hom") & F.col("former").isNotNull() & (F.size(shared) >= 2 * F.size(cis))  # apart at least as often as together
+    side = F.sum(F.when(changes, 1).otherwise(0)).over(order) % 2
+    return rows.withColumn("side", F.when(F.col("hom"), 0).otherwise(side).cast("int")).drop("former")
+
+
 def place_haplotypes(calls: DataFrame) -> DataFrame:
     """(region, key, ordinal, hom, side): a heterozygous key lies on ``side``, a homozygous one on both.
 
@@ -49,23 +78,7 @@ def place_haplotypes(calls: DataFrame) -> DataFrame:
     show it more often on one haplotype with the previous one than apart from it.  So the
     side is the parity of the changes so far.
     """
-    keys = first_occurrences(calls).select(*REGION, *KEY, "ordinal").join(zygosity_votes(calls), [*REGION, *KEY])
-    keys = keys.withColumn("hom", F.col("homs") > F.col("hets"))
-    order = Window.partitionBy(*REGION).orderBy("ordinal")
-    hets = keys.where("not hom")
-    for name in KEY:
-        hets = hets.withColumn(f"p_{name}", F.lag(name).over(order))
-    hets = hets.withColumn("first", F.col("p_pos").isNull())
-    seen = calls.groupBy(*REGION, "window_no", *KEY).agg(F.max((F.col("hap") == 0).cast("int")).alias("a"), F.max((F.col("hap") == 1).cast("int")).alias("b"))
-    before = seen.withColumnsRenamed({"pos": "p_pos", "ref": "p_ref", "alt": "p_alt", "a": "pa", "b": "pb"})
-    pairs = hets.where("not first").select(*REGION, *KEY, "p_pos", "p_ref", "p_alt")
-    both = pairs.join(seen, [*REGION, *KEY]).join(before, [*REGION, "window_no", "p_pos", "p_ref", "p_alt"])
-    cis = ((F.col("a") == 1) & (F.col("pa") == 1)) | ((F.col("b") == 1) & (F.col("pb") == 1))
-    votes = both.groupBy(*REGION, *KEY).agg(F.count_if(cis).alias("cis"), F.count_if(~cis).alias("trans"))
-    joined = hets.join(votes, [*REGION, *KEY], "left").fillna(0, ["cis", "trans"])
-    change = F.when(~F.col("first") & (F.col("trans") >= F.col("cis")), 1).otherwise(0)
-    sided = joined.withColumn("side", (F.sum(change).over(order) % 2).cast("int"))
-    return sided.select(*REGION, *KEY, "ordinal", "hom", "side").unionByName(keys.where("hom").select(*REGION, *KEY, "ordinal", "hom", F.lit(0).alias("side")))
+    return placed_keys(gathered(calls)).select(*REGION, *KEY, "ordinal", "hom", "side")
 
 
 def phase_groups(keys: DataFrame, distance: int = 100) -> DataFrame:
@@ -81,17 +94,14 @@ def merge_calls(calls: DataFrame, depths: DataFrame, anchors: DataFrame, min_dep
     ``depths`` has (chrom, pos, depth), ``anchors`` (chrom, pos, base) of the reference.
     Positions come out 1-based; PS stays 0-based, and is null for a group of one key.
     """
-    placed = phase_groups(place_haplotypes(calls))
+    placed = phase_groups(placed_keys(gathered(calls)).drop("on0", "on1"))
     group = [*REGION, "group_start"]
-    own = with_ordinal(calls).join(placed.drop("ordinal"), [*REGION, *KEY])
-    offsets = F.array_sort(F.collect_list(F.struct("ordinal", "qual", "window_offset", "var_index")))
     # Each placed key has its calls from both haplotypes; a homozygous one has them on both sides.
-    merged = own.groupBy(*group, *KEY, "hom", "side").agg(offsets.alias("calls"), F.avg("qual").alias("mean_qual"), F.min("var_count").alias("cis"), F.count("*").alias("n"))
-    sides = placed.groupBy(*group).agg(
-        F.count("*").alias("keys"), F.count_if(~F.col("hom")).alias("hets"), F.min("pos").alias("ps"),
-        F.count_if(F.col("hom") | (F.col("side") == 0)).alias("on0"), F.count_if(F.col("hom") | (F.col("side") == 1)).alias("on1"),
-    )
-    rows = merged.join(sides, group)
+    inside = Window.partitionBy(*group)
+    rows = placed.withColumns({
+        "keys": F.count("*").over(inside), "hets": F.count_if(~F.col("hom")).over(inside), "ps": F.min("pos").over(inside),
+        "on0": F.count_if(F.col("hom") | (F.col("side") == 0)).over(inside), "on1": F.count_if(F.col("hom") | (F.col("side") == 1)).over(inside),
+    })
     rows = rows.join(depths.select("chrom", "pos", "depth"), ["chrom", "pos"], "left").fillna(0, ["depth"])
     anchor = anchors.select("chrom", (F.col("pos") + 1).alias("pos"), F.col("base").alias("anchor"))
     rows = rows.join(anchor, ["chrom", "pos"], "left")
