@@ -10,8 +10,9 @@ from .intervals import interval_join, with_count
 
 
 def walked(reads: DataFrame) -> DataFrame:
-    """Reads with their CIGAR operations and offsets; no CIGAR means that all bases match."""
-    ops = F.coalesce(sequences.cigar_ops(F.col("cigar")), F.array(F.struct(F.lit("M").alias("op"), F.length("bases").alias("len"))))
+    """Reads with their CIGAR operations and offsets; no CIGAR means that all bases (``size``, if there is such a column) match."""
+    size = F.col("size").cast("int") if "size" in reads.columns else F.length("bases")
+    ops = F.coalesce(sequences.cigar_ops(F.col("cigar")), F.array(F.struct(F.lit("M").alias("op"), size.alias("len"))))
     return reads.withColumn("ops", ops).withColumn("walk", sequences.cigar_walk(F.col("ops")))
 
 
@@ -76,6 +77,29 @@ def pileup(reads: DataFrame, ref_chunks: DataFrame, size: int = CHUNK) -> DataFr
     return counted.drop("chunk")
 
 
+def bases_at(sites: DataFrame, ref_chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(chrom, pos, base) of the sites (chrom, pos; distinct) that lie on the reference."""
+    placed = sites.select("chrom", "pos", F.floor(F.col("pos") / size).alias("chunk"))
+    base = F.substring("seq", (F.col("pos") - F.col("chunk") * size + 1).cast("int"), F.lit(1))
+    return placed.join(ref_chunks.select("chrom", "chunk", "seq"), ["chrom", "chunk"]).select("chrom", "pos", base.alias("base")).where("base <> ''")
+
+
+def depths_at(sites: DataFrame, reads: DataFrame, ref_chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(chrom, pos, depth) of the covered ones of the sites (chrom, pos; distinct): the depth of :func:`pileup` there.
+
+    Aligned stretches are cut at the borders of chunks and equal ones counted before they
+    are shuffled, so a chunk has at most size * size / 2 of them, however deep it is; no bases are read.
+    """
+    walks = walked(reads).select("chrom", "start", F.explode("walk").alias("x")).where(F.col("x.op").isin("M", "=", "X") & (F.col("x.len") > 0))
+    parts = walks.select("chrom", (F.col("start") + F.col("x.t")).alias("low"), (F.col("start") + F.col("x.t") + F.col("x.len")).alias("high"))
+    numbered = parts.select("*", F.explode(F.sequence(F.floor(F.col("low") / size), F.floor((F.col("high") - 1) / size))).alias("chunk"))
+    pieces = numbered.select("chrom", "chunk", F.greatest("low", F.col("chunk") * size).alias("low"), F.least("high", (F.col("chunk") + 1) * size).alias("high"))
+    counted = pieces.groupBy("chrom", "chunk", "low", "high").agg(F.count("*").alias("n"))
+    placed = bases_at(sites, ref_chunks, size).select("chrom", "pos", F.floor(F.col("pos") / size).alias("chunk"))
+    met = placed.join(counted, ["chrom", "chunk"]).where("low <= pos and pos < high")
+    return met.groupBy("chrom", "pos").agg(F.sum("n").alias("depth"))
+
+
 def suspect_spots(piled: DataFrame) -> DataFrame:
     """Positions with two reads before an indel, or three mismatches."""
     return piled.where("indels > 1 or mismatches > 2")

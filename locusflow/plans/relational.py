@@ -365,7 +365,10 @@ merged AS (SELECT chrom, region_no, group_start, CASE WHEN blank THEN pos ELSE p
 
 
 def merged_records(spark, sf):
-    return C.merge_calls(T.calls(spark, sf), piled(spark, sf), T.ref_bases(spark, sf))
+    """Depths and reference bases are looked up where calls are, not made for whole chromosomes."""
+    calls, ref = T.calls(spark, sf), T.ref_chunks(spark, sf)
+    sites = calls.select("chrom", "pos").distinct()
+    return C.merge_calls(calls, P.depths_at(sites, T.reads(spark, sf), ref), P.bases_at(sites.withColumn("pos", F.col("pos") - 1), ref))
 
 
 @query(MERGED + "SELECT * FROM merged")

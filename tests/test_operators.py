@@ -585,3 +585,52 @@ def test_stream_state_is_one_row_for_each_open_piece(spark, tmp_path):
     top = reads.where(F.col("chrom") == last).agg(F.max("start")).first()[0]
     # No sentinel row: what lies within the watermark's delay of the last read is still open.
     assert all(r["chrom"] == last and r["pos"] >= top - 1000 - pileup.CHUNK for r in missing) and 0 < held <= (1000 + 200) // pileup.CHUNK + 2
+
+
+def test_depths_at_sites_equal_the_pileup(spark):
+    """Deletions, insertions, clips, chunk borders, reads beyond the reference, and one chunk of great depth."""
+    letters = "ACGT" * 160  # 640 bases: two and a half chunks
+    ref = spark.createDataFrame([("chr1", k, letters[256 * k : 256 * k + 256]) for k in range(3)], "chrom string, chunk long, seq string")
+    cigars = ["20M", "5S10M2D5M", "8M4I8M", None, "3M300N17M"]
+    reads = spark.createDataFrame([(k, "chr1", (k * 37) % 660, cigars[k % 5], "A" * 20) for k in range(120)] + [(200 + k, "chr1", 250, "20M", "C" * 20) for k in range(500)], "read_id long, chrom string, start long, cigar string, bases string")
+    sites = spark.createDataFrame([("chr1", p) for p in range(-3, 700, 3)] + [("chr2", 5), (None, 5), ("chr1", None)], "chrom string, pos long")
+    expected = {r["pos"]: r["depth"] for r in pileup.pileup(reads, ref).collect()}
+    found = {r["pos"]: r["depth"] for r in pileup.depths_at(sites, reads, ref).collect()}
+    assert found == {p: d for p, d in expected.items() if p % 3 == 0} and max(found.values()) > 500
+    assert {r["pos"]: r["base"] for r in pileup.bases_at(sites, ref).collect()} == {p: letters[p] for p in range(0, 640, 3)}
+
+
+def test_placed_keys_against_plain_loops(spark):
+    """Sides of random keys, each held against the heterozygous key before it; without a join in the plan."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for region in range(12):
+        for window in range(6):
+            for hap in (0, 1):
+                for place, pos in enumerate(sorted(rng.sample(range(30), rng.randint(0, 8)))):
+                    rows.append(("chr1", region, 0, 1000, window, hap, pos, "A", rng.choice("CG"), 0.9, pos, place, 8))
+    df = spark.createDataFrame(rows, CALLS)
+    expected = {}
+    for region in range(12):
+        keys = {}
+        for r in rows:
+            if r[1] == region:
+                keys.setdefault(r[6:9], []).append((r[5], r[4], r[11]))
+        former, side = None, 0
+        for key in sorted(keys, key=lambda k: (k[0], min(keys[k]))):
+            on = [{w for h, w, _ in keys[key] if h == hap} for hap in (0, 1)]
+            both = len(on[0] & on[1])
+            if both > len(on[0] | on[1]) - both:
+                expected[(region, *key)] = (True, 0)
+                continue
+            if former:
+                shared = (on[0] | on[1]) & (former[0] | former[1])
+                cis = sum(any(w in on[h] and w in former[h] for h in (0, 1)) for w in shared)
+                side ^= len(shared) - cis >= cis
+            expected[(region, *key)] = (False, int(side))
+            former = on
+    placed = calls.place_haplotypes(df)
+    assert {(r["region_no"], r["pos"], r["ref"], r["alt"]): (r["hom"], r["side"]) for r in placed.collect()} == expected
+    assert "Join" not in placed._jdf.queryExecution().toString()
