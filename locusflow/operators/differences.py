@@ -27,6 +27,18 @@ def mismatch_runs(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def gapless_pairs(alignments: DataFrame, key: str) -> DataFrame:
+    """(key, query, target, offset, probs) of the alignments without an insertion, deletion or skip, for ``mismatch_runs``; clips are cut off."""
+    walk = sequences.cigar_walk(sequences.cigar_ops(F.col("cigar")), F.col("query_begin"), F.col("target_begin"))
+    rows = alignments.withColumn("x", walk).where(~F.exists("x", lambda x: x["op"].isin("I", "D", "N")))
+    rows = rows.withColumn("m", F.filter("x", lambda x: x["op"].isin("M", "=", "X"))).where(F.size("m") > 0)
+    rows = rows.withColumns({"q": F.col("m")[0]["q"], "t": F.col("m")[0]["t"], "len": F.aggregate("m", F.lit(0), lambda n, x: n + x["len"])})
+    return rows.select(
+        key, F.expr("substring(refseq, t + 1, len)").alias("query"), F.expr("substring(altseq, q + 1, len)").alias("target"),
+        (F.col("offset") + F.col("t")).alias("offset"), F.expr("slice(probs, q + 1, len)").alias("probs"),
+    )
+
+
 def cigar_variants(alignments: DataFrame, key: str) -> DataFrame:
     """Variants of (key, refseq, altseq, probs, cigar, query_begin, target_begin, offset), in order, with var_index and var_count.
 

@@ -90,14 +90,14 @@ def fetch_reads(spark, sf):
     return layout.fetch(spark, path, "read_id long, chrom string, start long, end long", asked).select("variant_id", "read_id")
 
 
-WINDOWS = "SELECT region_id, chrom, n AS window_no, start - 105 + 25 * n AS window_start, region_id * 1048576 + n AS window_id FROM (SELECT *, unnest(range(0, (\"end\" - 30 - (start - 105)) // 25 + 1)) AS n FROM regions)"
+WINDOWS = "SELECT region_id, chrom, n AS window_no, start - 105 + 25 * n AS window_start, region_id * 4294967296 + n AS window_id FROM (SELECT *, unnest(range(0, (\"end\" - 30 - (start - 105)) // 25 + 1)) AS n FROM regions)"
 WINDOW_READS = f"""SELECT window_id, read_id, clip AS read_start FROM (SELECT w.window_id, r.read_id, r.clip, count(*) OVER (PARTITION BY w.window_id) AS n FROM ({WINDOWS}) w
   JOIN (SELECT *, CASE WHEN cigar LIKE '10S%' THEN start - 10 ELSE start END AS clip FROM read_rows) r ON r.chrom = w.chrom AND r.clip >= w.window_start - 100 AND r.clip < w.window_start + 150) WHERE n >= 5"""
 
 
 def windows(spark, sf):
     rows = intervals.sliding_windows(tested_regions(spark, sf))
-    return rows.withColumn("window_id", F.shiftleft("region_id", 20) + F.col("window_no"))
+    return rows.withColumn("window_id", F.shiftleft(F.col("region_id").cast("long"), 32) + F.col("window_no"))
 
 
 @query(WINDOWS)
@@ -470,12 +470,14 @@ ALIGNED = """SELECT read_id, i, CASE WHEN cigar = '50M3I47M' AND i >= 53 THEN i
   FROM read_bases"""
 
 
-@query("""WITH x AS (SELECT read_id, i, base, 1 - 1.0 / (qual + 1) AS pr, start, c, substr('ACGT', 1 + (((start+i)*(start+i)*31 + (start+i)*17 + c*5) % 97) % 4, 1) AS r FROM read_bases WHERE cigar = '100M'),
+@query("""WITH x AS (SELECT read_id, i - k AS i, base, 1 - 1.0 / (qual + 1) AS pr, start, substr('ACGT', 1 + (((start+i-k)*(start+i-k)*31 + (start+i-k)*17 + c*5) % 97) % 4, 1) AS r
+  FROM (SELECT *, CASE WHEN cigar = '10S90M' THEN 10 ELSE 0 END AS k FROM read_bases WHERE cigar NOT LIKE '%I%' AND cigar NOT LIKE '%D%') WHERE i >= k),
 m AS (SELECT *, i - row_number() OVER (PARTITION BY read_id ORDER BY i) AS run FROM x WHERE base <> r)
 SELECT read_id, start + min(i) AS pos, string_agg(r, '' ORDER BY i) AS ref, string_agg(base, '' ORDER BY i) AS alt, exp(avg(ln(pr))) AS qual, min(i) AS window_offset FROM m GROUP BY read_id, start, run""")
 def mismatch_runs(spark, sf):
-    rows = T.alignments(spark, sf).where("cigar = '100M'").select("read_id", F.substring("refseq", 1, 100).alias("query"), F.col("altseq").alias("target"), "offset", "probs")
-    return differences.mismatch_runs(rows, ["read_id"]).withColumn("window_offset", F.col("window_offset").cast("long"))
+    """Every read without an insertion or deletion against the reference under it; bases that are clipped off have none."""
+    pairs = differences.gapless_pairs(T.alignments(spark, sf), "read_id")
+    return differences.mismatch_runs(pairs, ["read_id"]).withColumn("window_offset", F.col("window_offset").cast("long"))
 
 
 @query(f"""WITH x AS ({ALIGNED}), y AS (SELECT *, substr('ACGT', 1 + (((start+t)*(start+t)*31 + (start+t)*17 + c*5) % 97) % 4, 1) AS r,

@@ -113,6 +113,13 @@ def test_mismatch_runs(spark):
     assert found == [(17, "A", "T", 1.0), (20, "AA", "CG", 0.5), (24, "A", "C", 1.0)]
 
 
+def test_gapless_pairs_are_cut_at_clips(spark):
+    kinds = "k int, refseq string, altseq string, probs array<double>, cigar string, query_begin int, target_begin int, offset int"
+    rows = [(1, "ACGTAC", "TTACCT", [0.5] * 6, "2S1=1M1X1M1H", 0, 1, 10), (2, "ACGT", "ACGT", [0.5] * 4, "2M1D2M", 0, 0, 0), (3, "AC", "AC", [0.5] * 2, "2S", 0, 0, 0), (4, "AC", "AC", [0.5] * 2, None, 0, 0, 0)]
+    found = differences.gapless_pairs(spark.createDataFrame(rows, kinds), "k").collect()
+    assert [(r["k"], r["query"], r["target"], r["offset"], r["probs"]) for r in found] == [(1, "CGTA", "ACCT", 11, [0.5] * 4)]
+
+
 def test_cigar_variants_with_insertion_and_deletion(spark):
     df = spark.createDataFrame([(1, "AACTTT", "AAGGCT", [0.5] * 6, "2M2I1M2D1M", 0, 0, 100)], "k int, refseq string, altseq string, probs array<double>, cigar string, query_begin int, target_begin int, offset int")
     rows = [(r["pos"], r["ref"], r["alt"], r["var_index"], r["var_count"]) for r in differences.cigar_variants(df, "k").orderBy("var_index").collect()]
