@@ -168,16 +168,20 @@ def read_evidence(records: DataFrame, reads: DataFrame) -> DataFrame:
     return out.withColumn("vaf", F.when(F.col("reads") > 0, (F.col("pos_alt") + F.col("neg_alt")) / F.col("reads")).otherwise(-1.0))
 
 
-def window_reads(windows: DataFrame, reads: DataFrame, margin: int = 150, least: int = 5) -> DataFrame:
+def window_reads(windows: DataFrame, reads: DataFrame, margin: int = 150, least: int = 5, most: int | None = None) -> DataFrame:
     """Reads of each (window_id, chrom, window_start, window_end), of windows with at least ``least``.
 
     A read belongs if its clip-adjusted start is at most ``margin`` before the window and
-    its bases reach the window's start.  A column ``size`` spares reading the bases.
+    its bases reach the window's start.  A column ``size`` spares reading the bases.  Reads
+    are counted before they are shuffled by window, so a deep window is no task of its own;
+    with ``most``, crowded bins are split too.
     """
     size = F.col("size") if "size" in reads.columns else F.length("bases")
     placed = walked(reads).select("read_id", "chrom", sequences.clip_start(F.col("start"), F.col("ops")).alias("start"), size.alias("size"))
     placed = placed.withColumn("end", F.col("start") + 1)
     asked = windows.select("window_id", "chrom", (F.col("window_start") - margin).alias("start"), F.col("window_end").alias("end"), "window_start")
-    pairs = interval_join(asked, placed).where("r_start + size >= window_start")
-    counted = pairs.withColumn("n", F.count("*").over(Window.partitionBy("window_id")))
-    return counted.where(F.col("n") >= least).select("window_id", "read_id", F.col("r_start").alias("read_start"))
+    pairs = interval_join(asked, placed, most=most).where("r_start + size >= window_start").select("window_id", "read_id", F.col("r_start").alias("read_start"))
+    if least <= 1:
+        return pairs
+    deep = pairs.groupBy("window_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return pairs.join(deep.select("window_id"), "window_id")
