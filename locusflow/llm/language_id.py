@@ -225,7 +225,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", ke
     """``keep``, lang_pred and score (0 to 1) for every row.
 
     A null text or one without a letter is ``und`` with score 0, and so is every text if
-    there is no model.
+    there is no model.  ``keep`` must not hold the names of the two new columns; other
+    columns of ``docs`` may have any name.
     """
     rows, names, schema = kept_and_text(docs, keep, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each language

@@ -299,6 +299,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple
 
     ``key`` tells documents apart (null is a key like others); equal rows get equal ids.
     A null or empty text has no ids.  With ``dropout`` 0 the segmentation is the model's own.
+    ``keep`` must not hold a column named ids; other columns of ``docs`` may have any name.
     """
     path = model or public_model()
     rows, names, schema, own = keyed(docs, text, key, keep)
@@ -318,6 +319,7 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: t
     """``keep``, n_pieces, ids_crc32 (unsigned, of little-endian 32-bit ids) and lossless: ``encode`` and ``decode`` in one pass.
 
     Ids stay in the task that made them, so that neither they nor the texts come back.
+    ``keep`` must not hold the names of the three new columns.
     """
     path = model or public_model()
     rows, names, schema, own = keyed(docs, text, key, keep)
@@ -337,16 +339,17 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: t
 
 
 def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
-    """``keep`` and decoded: the text of each list of piece ids (null: null)."""
+    """``keep`` (without a column of that name) and decoded: the text of each list of piece ids (null: null)."""
     path = model or public_model()
-    rows = encoded.select(*keep, F.col(ids).alias("_ids"))
-    kept = [f for f in rows.schema if f.name != "_ids"]
+    own = "_" * (1 + max([0, *map(len, keep)])) + "ids"  # longer than any name kept
+    rows = encoded.select(*keep, F.col(ids).alias(own))
+    kept = rows.schema[:-1]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "decoded string"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
         for batch in batches:
-            texts = [decode_ids(pieces, x.values.to_numpy()) if x.is_valid else None for x in batch.column("_ids")]
+            texts = [decode_ids(pieces, x.values.to_numpy()) if x.is_valid else None for x in batch.column(own)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string())], names=[*(f.name for f in kept), "decoded"])
 
     return rows.mapInArrow(task, schema)

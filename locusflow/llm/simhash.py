@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``component_id`` is the smallest id reachable over links, the row's own included.
     Texts without words have fingerprint zero and link like others; a null text is such
     a text.  A row with a null id gets the component of its fingerprint, whose name is
-    null only if no row of it has an id.
+    null only if no row of it has an id.  ``keep`` must not hold ``doc_id``, bits or
+    component_id; other columns of ``docs`` may have any name.
     """
     prints = checkpointed(with_fingerprints(docs, text, (doc_id, *keep), words))  # used several times
     distinct = prints.groupBy("bits").agg(F.min(doc_id).alias("least"))

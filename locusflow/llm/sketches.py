@@ -82,7 +82,7 @@ def contained(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = WORDS, scale: int = SCALE) -> DataFrame:
-    """``keep`` and the ``fingerprint`` of every text (null: that of an empty one)."""
+    """``keep`` (without a column of that name) and the ``fingerprint`` of every text (null: that of an empty one)."""
     rows, names, schema = kept_and_text(docs, keep, text)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -265,7 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame, language: language_id.LanguageModel
 def score(docs: DataFrame, model: ToxicityModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, score (0 to 1) and predicted (1 if score >= 0.5) for every row.
 
-    A null text is scored as an empty one.  Without a model every score is 0.
+    A null text is scored as an empty one.  Without a model every score is 0.  ``keep``
+    must not hold the names of the two new columns; other columns of ``docs`` may have any name.
     """
     rows, names, schema = kept_and_text(docs, keep, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the parameters above

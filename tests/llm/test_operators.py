@@ -444,6 +444,8 @@ def test_pieces_round_trip_and_match_the_library(spark, texts):
     assert first != {r["doc_id"]: r["ids"] for r in other.collect()}
     back = pieces.decode(one, keep=("doc_id", "text")).collect()
     assert all((r["text"] or "") == r["decoded"] for r in back)
+    odd = one.withColumnsRenamed({"doc_id": "_ids", "text": "ids_"})
+    assert pieces.decode(odd, keep=("_ids", "ids_", "ids")).columns == ["_ids", "ids_", "ids", "decoded"]
     assert pieces.encode(docs.limit(0)).count() == 0
 
 
