@@ -68,7 +68,7 @@ FEATURES = ("bias", "length", "short", "links", "paragraph", "heading", "item",
 #: Weights (log-odds of content) where the pages do not say otherwise, and those of what marks the pages that teach.
 PRIOR = np.array([-1.0, 2.0, -0.5, -4.0, 1.0, 0.5, 0.2, 0.5, -1.5, 1.5, -5.5, -9.0])
 #: Places that the words of a block are hashed to; what each says is learnt from the pages alone, so their prior weights are 0.
-WORD_PLACES, WORDS_READ = 256, 64
+WORD_PLACES = 256
 PRIOR = np.concatenate([PRIOR, np.zeros(WORD_PLACES)])
 #: What is left of a comment's name inside a marked main part.
 INSIDE_MAIN = 0.8
@@ -293,7 +293,7 @@ def read_page(page: str) -> Page:
 
 
 def features(page: Page) -> np.ndarray:
-    """A row for each block: ``FEATURES``, then its first words at the places they are hashed to."""
+    """A row for each block: ``FEATURES``, then all its words at the places they are hashed to, as square roots of their shares."""
     total = sum(b.words for b in page.blocks)
     for x in reversed(page.named):
         if x.outer >= 0:
@@ -319,9 +319,9 @@ def features(page: Page) -> np.ndarray:
             here = INSIDE_MAIN if x.kind == "comment" and block.part == "main" else 1.0
             row[column[x.kind]] = max(row[column[x.kind]], here * FADE ** min(block.depth - x.depth, 5))
             named = x.outer
-        places = {crc32(w.encode("utf-8", "surrogatepass")) % WORD_PLACES for w in block.text[:1024].lower().split()[:WORDS_READ]}
-        if places:
-            row[[len(FEATURES) + k for k in places]] = len(places) ** -0.5
+        places = [crc32(w) % WORD_PLACES for w in block.text.lower().encode("utf-8", "surrogatepass").split()]
+        row[len(FEATURES) :] = np.bincount(places, minlength=WORD_PLACES) / len(places)
+    np.sqrt(out[:, len(FEATURES) :], out=out[:, len(FEATURES) :])
     return out
 
 
@@ -438,16 +438,22 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn to ``PRIOR`` as if by ``PRIOR_BLOCKS`` blocks; both classes weigh the same."""
+    """Logistic regression by Newton steps, drawn to ``PRIOR`` as if by ``PRIOR_BLOCKS`` blocks; both classes weigh the same.  Steps that go too far are halved."""
     w = PRIOR.copy()
     if len(set(y.tolist())) < 2:
         return w
     balance = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * PRIOR_BLOCKS
+
+    def loss(w: np.ndarray) -> float:
+        return balance @ np.logaddexp(0, (1 - 2 * y) * (x @ w)) + (w - PRIOR) @ (w - PRIOR) / 2
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         pull = x.T @ (balance * (y - p)) - (w - PRIOR)
         bend = (x * (balance * p * (1 - p))[:, None]).T @ x + np.eye(len(w))
         step = np.linalg.solve(bend, pull)
+        while np.abs(step).max() >= 1e-6 and loss(w + step) > loss(w):
+            step = step / 2
         w = w + step
         if np.abs(step).max() < 1e-6:
             break

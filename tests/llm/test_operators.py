@@ -348,6 +348,23 @@ def test_words_are_evidence(spark):
     assert all(a < b for a, b in zip((scores[0], scores[2]), (html_extraction.content_scores(page, html_extraction.PRIOR)[k] for k in (0, 2)), strict=True))
 
 
+@pytest.mark.parametrize("start", [prose(random.Random(7), 70), "x" * 1100, prose(random.Random(7), 3000)])
+def test_words_are_evidence_wherever_they_stand(spark, start):
+    """Blocks that begin alike, with many words or a long one, are told apart by what comes later."""
+    rng = random.Random(8)
+
+    def notice():
+        return "We use cookies to improve your experience and measure visits, by going on you accept all of our cookies. " * (1 + len(start.split()) // 50)
+
+    def text():
+        return " ".join(prose(rng, 19) for _ in range(1 + len(start.split()) // 50))
+
+    taught = [f"<html><body><div><p>{start} {notice()}</p></div><main><p>{start} {text()}</p></main>" for _ in range(60)]
+    weights = html_extraction.fit(spark.createDataFrame([(t,) for t in taught], "html string"))
+    page = html_extraction.read_page(f"<html><body><div><p>{start} {notice()}</p></div><div><p>{start} {text()}</p></div>")
+    assert html_extraction.labels(page, weights) == [False, True]
+
+
 @pytest.mark.parametrize("opening", ['<div class="post">', "<article>", '<div id="main" role="main">', '<div class="c1">', "<table><tr><td>"])
 @pytest.mark.parametrize("inside", [False, True])
 def test_layouts(weights, opening, inside):
