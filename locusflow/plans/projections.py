@@ -40,9 +40,9 @@ def vcf_sink(spark, sf):
     rows = T.variants(spark, sf).selectExpr("chrom", "pos + 1 AS pos", "ref", "alts[0] AS alt", "12.34D AS qual", "'PASS' AS filter", "30L AS depth", "3L AS call_count", "'0/1' AS gt", "cast(null AS long) AS phase_set")
     path = text.shared_path(spark)
     text.write_records(rows, path, T.ref_bases(spark, sf).groupBy("chrom").agg((F.max("pos") + 1).alias("length")))
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("at"))
     kept = lines.where("not startswith(line, '#') or startswith(line, '##contig')")
-    return sampling.rebatched(kept, 1, ["file", "at"]).select(F.col("batch").alias("n"), "line")
+    return sampling.rebatched(kept, 1, ["file", "block", "at"]).select(F.col("batch").alias("n"), "line")
 
 
 @query("SELECT chrom, start, \"end\", label FROM regions")

@@ -213,6 +213,19 @@ def test_sampling(spark):
     assert sum(r["held_out"] for r in sampling.holdout(df, 0.25, ["id"]).collect()) == 3
 
 
+def test_numbers_of_many_rows_have_no_gap(spark):
+    df = spark.range(0, 300_000, 1, 7).select(F.xxhash64("id").alias("key"), F.col("id").alias("kept"))
+    found = sampling.rebatched(df, 1, ["key"]).orderBy("batch")
+    row = found.withColumn("next", F.lead("key").over(sampling.Window.orderBy("batch"))).agg(F.min("batch"), F.max("batch"), F.countDistinct("batch"), F.count("*"), F.count_if(F.col("next") <= F.col("key")), F.sum("kept")).first()
+    assert tuple(row) == (0, 299_999, 300_000, 300_000, 0, 299_999 * 150_000)
+
+
+def test_numbers_begin_anew_in_each_group(spark):
+    df = spark.range(10).select("id", F.when(F.col("id") != 4, F.col("id") % 3).alias("g"))
+    found = {r["id"]: (r["g"], r["batch"]) for r in sampling.rebatched(df.repartition(5), 2, ["id"], "g").collect()}
+    assert found == {0: (0, 0), 3: (0, 0), 6: (0, 1), 9: (0, 1), 1: (1, 0), 7: (1, 0), 2: (2, 0), 5: (2, 0), 8: (2, 1), 4: (None, 0)}
+
+
 def test_confusion_without_truth(spark):
     kind = "chrom string, pos long, ref string, alt string"
     found = evaluation.agreement(evaluation.confusion(spark.createDataFrame([("chr1", 1, "A", "C")], kind), spark.createDataFrame([], kind))).collect()
