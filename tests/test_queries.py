@@ -27,6 +27,13 @@ def test_runs(spark, name):
     assert plans.queries()[name](spark, SMALL).count() > 0
 
 
+def test_tied_regions_are_taken_by_id(spark, tmp_path):
+    ids = [(3 + 6 * 104729 * k, 1) for k in range(9, -1, -1)]
+    spark.createDataFrame(ids, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = plans.queries()["resample_classes"](spark, str(tmp_path)).collect()
+    assert sorted(r["region_id"] for r in found) == sorted(i for i, _ in ids)[:3]
+
+
 def test_entry(spark):
     import __spark_entry__
 
