@@ -11,6 +11,12 @@ def geometric_mean(value: Column) -> Column:
     return F.exp(F.avg(F.log(value)))
 
 
+def ordered_mean(value: Column, order: Column) -> Column:
+    """Aggregate for short groups: the mean of the values that are not null, added up by ``order``."""
+    values = F.filter(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("order"), value.alias("value")))), lambda x: x["value"]), lambda x: x.isNotNull())
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), F.size(values))
+
+
 def phred(p: Column, highest: int = 1000) -> Column:
     """Probability as a phred quality: NaN and null give 0, 1 gives ``highest``; halves round to even."""
     value = F.least(F.lit(float(highest)), -10 * F.log10(F.lit(1.0) - p))

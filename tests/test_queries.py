@@ -27,6 +27,17 @@ def test_runs(spark, name):
     assert plans.queries()[name](spark, SMALL).count() > 0
 
 
+def test_mean_qualities_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    from locusflow.plans import tables
+
+    whole = "/root/testdata/sf0.01"
+    events = spark.read.parquet(f"{whole}/events.parquet")
+    events.orderBy(events.event_id.desc()).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    order = ["record_id", "pos", "ref", "alt"]
+    found, expected = (tables.evaluated(spark, d).select(*order, "qual").orderBy(*order).collect() for d in (str(tmp_path), whole))
+    assert found == expected
+
+
 def test_tied_regions_are_taken_by_id(spark, tmp_path):
     ids = [(3 + 6 * 104729 * k, 1) for k in range(9, -1, -1)]
     spark.createDataFrame(ids, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
