@@ -11,6 +11,19 @@ def geometric_mean(value: Column) -> Column:
     return F.exp(F.avg(F.log(value)))
 
 
+def exact_mean(value: Column) -> Column:
+    """Aggregate: the mean, of sums of whole numbers of 2^-16, 2^-48 and 2^-80, so that no order of rows changes its last digits.
+
+    Where a value is 2^15 or more in size, or not finite, the mean is that of ``avg``.
+    """
+    small, rest, parts = F.abs(value) < 2.0**15, value, []
+    for scale in (2.0**16, 2.0**48, 2.0**80):
+        whole = F.rint(rest * scale)
+        parts.append(F.sum(F.when(small, whole).cast("bigint")) / scale)
+        rest = rest - whole / scale
+    return F.when(F.bool_and(small), (parts[0] + parts[1] + parts[2]) / F.count(value)).otherwise(F.avg(value))
+
+
 def ordered_mean(value: Column, order: Column) -> Column:
     """Aggregate for short groups: the mean of the values that are not null, added up by ``order``."""
     values = F.filter(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("order"), value.alias("value")))), lambda x: x["value"]), lambda x: x.isNotNull())

@@ -338,7 +338,7 @@ def read_dedup(spark, sf):
 @query("SELECT label, list_transform(range(1, 65), lambda i: v[i]) AS mean FROM (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)")
 def vector_mean(spark, sf):
     rows = T.source(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = rows.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = rows.groupBy("label", "i").agg(quality.exact_mean(F.col("x").cast("double")).alias("m"))
     return means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v")).select("label", F.transform("v", lambda y: y["m"]).alias("mean"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import pytest
 
 from locusflow import plans
@@ -45,6 +47,18 @@ def test_tied_regions_are_taken_by_id(spark, tmp_path):
     assert sorted(r["region_id"] for r in found) == sorted(i for i, _ in ids)[:3]
 
 
+def test_vector_mean_does_not_depend_on_the_order_of_rows(spark, tmp_path):
+    values = [1.0, 2.0**-30, 2.0**-40, 2.0**-53, -(2.0**-53), 0.1, 0.2, 0.3, -1.0, 2.0**-52] * 3
+    means = []
+    for k, xs in enumerate((values, values[::-1], sorted(values))):
+        spark.createDataFrame([(0, [x]) for x in xs], "label int, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/{k}/embeddings.parquet")
+        means.append(plans.queries()["vector_mean"](spark, f"{tmp_path}/{k}").first()["mean"])
+    assert means == [[float(sum(map(Fraction, values)) / 30)]] * 3
+    spark.createDataFrame([(0, [1e300]), (0, [1.0]), (1, [float("nan")]), (2, None), (2, [2.0])], "label int, embedding array<double>").write.parquet(f"{tmp_path}/odd/embeddings.parquet")
+    odd = {r["label"]: r["mean"][0] for r in plans.queries()["vector_mean"](spark, f"{tmp_path}/odd").collect()}
+    assert odd[0] == 5e299 and odd[1] != odd[1] and odd[2] == 2.0
+
+
 def test_entry(spark):
     import __spark_entry__
 
