@@ -5,26 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import quality, sequences
+from ..functions import sequences
+
+
+#: Letters that are compared at once.
+BLOCK = 16
 
 
 def mismatch_runs(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of unequal letters of (query, target, offset, probs): ``keys``, pos, ref, alt, qual, window_offset.
 
     ``query`` is the reference side.  The quality is the geometric mean of the probabilities.
+    Runs are found inside of a pair's row: equal blocks are passed over, and nothing is shuffled.
     """
-    places = F.sequence(F.lit(1), F.least(F.length("query"), F.length("target")))
-    rows = pairs.where((F.length("query") > 0) & (F.length("target") > 0)).select(*keys, "query", "target", "offset", "probs", F.explode(places).alias("i"))
-    rows = rows.select(*keys, "offset", "i", F.substring("query", F.col("i"), F.lit(1)).alias("a"), F.substring("target", F.col("i"), F.lit(1)).alias("b"), F.element_at("probs", F.col("i")).alias("p"))
-    order = Window.partitionBy(*keys).orderBy("i")
-    runs = rows.where("a != b").withColumn("run", F.col("i") - F.row_number().over(order))
-    letters = F.array_sort(F.collect_list(F.struct("i", "a", "b")))
-    made = runs.groupBy(*keys, "offset", "run").agg(F.min("i").alias("i"), letters.alias("x"), quality.geometric_mean(F.col("p")).alias("qual"))
-    return made.select(
-        *keys, (F.col("i") - 1 + F.col("offset")).alias("pos"),
-        F.array_join(F.transform("x", lambda y: y["a"]), "").alias("ref"), F.array_join(F.transform("x", lambda y: y["b"]), "").alias("alt"),
-        "qual", (F.col("i") - 1).alias("window_offset"),
-    )
+    size = F.least(F.length("query"), F.length("target"))
+
+    def part(name, at, n):
+        return F.substring(name, at, n)
+
+    def unequal(block):
+        first = block * BLOCK + 1
+        return F.filter(F.sequence(first, F.least(first + BLOCK - 1, F.col("size"))), lambda i: part("query", i, F.lit(1)) != part("target", i, F.lit(1)))
+
+    def differs(block):
+        first = block * BLOCK + 1
+        n = F.least(F.lit(BLOCK), F.col("size") - first + 1)
+        return part("query", first, n) != part("target", first, n)
+
+    rows = pairs.select(*keys, "query", "target", "offset", "probs", size.alias("size")).where("size > 0")
+    blocks = F.filter(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int")), differs)
+    rows = rows.withColumn("places", F.flatten(F.transform(blocks, unequal)))
+    firsts = F.filter("places", lambda i, k: (k == 0) | (F.get("places", k - 1) != i - 1))
+    lasts = F.filter("places", lambda i, k: F.coalesce(F.get("places", k + 1) != i + 1, F.lit(True)))
+
+    def run(x):
+        n = x["hi"] - x["lo"] + 1
+        known = F.filter(F.slice("probs", x["lo"], n), lambda p: p > 0)
+        logs = F.aggregate(known, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, p: F.struct((a["s"] + F.log(p)).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.when(a["n"] > 0, F.exp(a["s"] / a["n"])))
+        return F.struct((x["lo"] - 1 + F.col("offset")).alias("pos"), part("query", x["lo"], n).alias("ref"), part("target", x["lo"], n).alias("alt"), logs.alias("qual"), (x["lo"] - 1).alias("window_offset"))
+
+    return rows.select(*keys, F.inline(F.transform(F.arrays_zip(firsts.alias("lo"), lasts.alias("hi")), run)))
 
 
 def gapless_pairs(alignments: DataFrame, key: str) -> DataFrame:

@@ -113,6 +113,14 @@ def test_mismatch_runs(spark):
     assert found == [(17, "A", "T", 1.0), (20, "AA", "CG", 0.5), (24, "A", "C", 1.0)]
 
 
+def test_mismatch_runs_are_found_inside_of_a_row(spark):
+    rows = [(1, "A" * 40, "A" * 15 + "CC" + "A" * 20 + "CGT", 0, [0.5] * 15 + [0.25, 1.0] + [0.5] * 21 + [None, 0.0]), (1, "AC", "GC", 5, [0.1, 0.1]), (2, "ACGTA", "ACGT", 0, [1.0] * 5), (3, None, "A", 0, [1.0])]
+    df = spark.createDataFrame(rows, "k int, query string, target string, offset int, probs array<double>")
+    found = differences.mismatch_runs(df, ["k"])
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 5, "A", "G", pytest.approx(0.1), 0), (1, 15, "AA", "CC", 0.5, 15), (1, 37, "AAA", "CGT", 0.5, 37)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_gapless_pairs_are_cut_at_clips(spark):
     kinds = "k int, refseq string, altseq string, probs array<double>, cigar string, query_begin int, target_begin int, offset int"
     rows = [(1, "ACGTAC", "TTACCT", [0.5] * 6, "2S1=1M1X1M1H", 0, 1, 10), (2, "ACGT", "ACGT", [0.5] * 4, "2M1D2M", 0, 0, 0), (3, "AC", "AC", [0.5] * 2, "2S", 0, 0, 0), (4, "AC", "AC", [0.5] * 2, None, 0, 0, 0)]
