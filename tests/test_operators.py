@@ -194,6 +194,29 @@ def test_windows_with_few_reads_are_left_out(spark):
     assert pileup.window_reads(asked, reads, least=4).count() == 4
 
 
+@pytest.mark.parametrize("sizes", [(40,), (40, 7, 300)])
+def test_window_lists_equal_plain_loops(spark, sizes):
+    reads = [(i, "chr1" if i % 5 else "2", i * 37 % 1500, None if i % 3 else "4S6M", sizes[i % len(sizes)]) for i in range(400)]
+    asked = [(1000 + k, "1" if k % 4 else "chr2", k * 23 - 200, k * 23 - 200 + 50 + k % 3) for k in range(80)]
+    rows = spark.createDataFrame(reads, "read_id long, chrom string, start long, cigar string, size int")
+    windows = spark.createDataFrame(asked, "window_id long, chrom string, window_start long, window_end long")
+    orders = [[F.col("read_id") * 7 % 31, F.col("read_id")], [F.col("size"), -F.col("read_id")]]
+    keys = [lambda r: (r[0] * 7 % 31, r[0]), lambda r: (r[4], -r[0])]
+    expected, firsts = {}, {}
+    for w, chrom, lo, hi in asked:
+        own = [(r[2] if r[3] is None else r[2] - 4, r) for r in reads if r[1].removeprefix("chr") == chrom.removeprefix("chr")]
+        own = sorted((at, r[0], r) for at, r in own if lo - 30 <= at < hi and at + r[4] >= lo)
+        if len(own) >= 3:
+            expected[w] = (len(own), [(at, i) for at, i, _ in own])
+            firsts[w] = [[x[0] for x in sorted((r for *_, r in own), key=key)[:4]] for key in keys]
+    found = pileup.window_lists(windows, rows, margin=30, least=3).collect()
+    assert {r["window_id"]: (r["n"], [(x["read_start"], x["read_id"]) for x in r["reads"]]) for r in found} == expected and len(found) == len(expected) > 40
+    found = pileup.window_lists(windows, rows, orders, 4, margin=30, least=3).collect()
+    assert {r["window_id"]: [[x["read_id"] for x in r[f"first_{k}"]] for k in (0, 1)] for r in found} == firsts
+    assert all(r["n"] == expected[r["window_id"]][0] for r in found)
+    assert pileup.window_lists(windows.limit(0), rows).count() == pileup.window_lists(windows, rows.limit(0)).count() == 0
+
+
 def members(spark, rows):
     return spark.createDataFrame([(1, i + 1, *r) for i, r in enumerate(rows)], "region_id long, place int, start long, ref string, alts array<string>, gt array<int>")
 
