@@ -59,7 +59,7 @@ def test_vector_mean_does_not_depend_on_the_order_of_rows(spark, tmp_path):
     assert odd[0] == 5e299 and odd[1] != odd[1] and odd[2] == 2.0
 
 
-@pytest.mark.parametrize("name", ["window_reads", "resample_windows", "downsample_reads"])
+@pytest.mark.parametrize("name", ["window_reads", "resample_windows", "downsample_reads", "middle_slice"])
 def test_reads_are_not_shuffled_by_window(spark, name):
     plan = plans.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(window_id" not in plan and "Broadcast" not in plan
