@@ -65,6 +65,14 @@ def test_reads_are_not_shuffled_by_window(spark, name):
     assert "hashpartitioning(window_id" not in plan and "Broadcast" not in plan
 
 
+def test_training_windows_are_found_once(spark, monkeypatch):
+    from locusflow.plans import relational
+
+    found, lists = [], relational.window_lists
+    monkeypatch.setattr(relational, "window_lists", lambda *a: found.append(a) or lists(*a))
+    assert relational.training_examples(spark, SMALL).count() > 0 and len(found) == 1
+
+
 def test_entry(spark):
     import __spark_entry__
 
