@@ -287,6 +287,21 @@ def test_classifier_saves_and_loads(spark, tmp_path):
     assert [r["qual"] for r in classifier.score(again, rows).collect()] == [r["qual"] for r in classifier.score(model, rows).collect()]
 
 
+def test_forest_is_the_same_however_its_trees_are_cut(spark):
+    from locusflow.operators import forest
+
+    rows = spark.range(600).selectExpr("cast(id as string) AS record_id", "id % 37 AS a", "if(id % 50 = 7, NULL, id % 11 / 2.0D) AS b", "id % 3 AS c", "0.5D AS d", "id % 5 = 0 AS held", "cast((id % 37 > 20 AND id % 11 < 8) OR id % 29 = 0 AS int) AS label")
+    whole, cut = (sorted(map(str, forest.forest(rows.repartition(k), list("abcd"), trees=6, depth=8, largest=n).collect())) for k, n in ((1, 10**6), (5, 40)))
+    found = forest.forest(rows, list("abcd"), trees=6, depth=8)
+    scored = {r["record_id"]: r["chance"] for r in forest.scores(found).collect()}
+    truth = {r["record_id"]: r["label"] for r in rows.where("held and b is not null").collect()}
+    assert [x for x in whole if "feature=-1" in x] == [x for x in cut if "feature=-1" in x]
+    assert scored.keys() == truth.keys() and sum((scored[i] > 0.5) == bool(truth[i]) for i in truth) > 0.9 * len(truth)
+    shares = {r["feature"]: r["importance"] for r in forest.importances(found).collect()}
+    assert 3 not in shares and sum(shares.values()) == pytest.approx(1) and max(shares, key=shares.get) == 0
+    assert forest.forest(rows.where("held"), list("abcd"), trees=2).where("value = 0.5").count() == 2 * len(truth)
+
+
 def test_joins_meet_with_and_without_chr(spark):
     a = spark.createDataFrame([(1, "1", 0, 10), (2, "chrX", 0, 10)], "a long, chrom string, start long, end long")
     b = spark.createDataFrame([(1, "chr1", 5, 6), (2, "X", 9, 12)], "b long, chrom string, start long, end long")
