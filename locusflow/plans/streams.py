@@ -11,17 +11,34 @@ from . import tables as T
 from .registry import query
 
 
-#: Files that a table is streamed from, one in each micro-batch.
+#: Bases of a piece of the reference with a state of its own.
+PIECE = 1024
+#: Micro-batches that a table is streamed in.
+BATCHES = 4
 FILES = 4
 
 
-def as_stream(df, order: list[str], files: int = FILES):
-    """``df`` read as a stream of micro-batches, each a file of the rows that follow in ``order``."""
-    spark, whole, path = df.sparkSession, shared_path(df.sparkSession), shared_path(df.sparkSession)
-    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(whole)
-    for name in sorted(spark.read.parquet(whole).inputFiles()):  # files arrive one after the other
-        spark.read.schema(df.schema).parquet(name).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def as_stream(df, order: list[str], batches: int = BATCHES):
+    """``df`` read as a stream of ``batches`` micro-batches that follow each other in ``order``.
+
+    All cores write files of rows that follow each other; they are then dated in their order,
+    in which a stream takes them.  Where files can't be dated, they are copied one after the other.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
+    each = spark.sparkContext.defaultParallelism
+    df.repartitionByRange(batches * each, *order).sortWithinPartitions(*order).write.parquet(path)
+    names = sorted(spark.read.parquet(path).inputFiles())
+    places = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name)) for name in names]
+    files = places[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    last = max(files.getFileStatus(place).getModificationTime() for place in places)
+    dates = [last - 1000 * (len(names) - 1 - k) for k in range(len(names))]
+    for place, date in zip(places, dates, strict=True):
+        files.setTimes(place, date, -1)
+    if [files.getFileStatus(place).getModificationTime() for place in places] != dates:
+        whole, path = path, shared_path(spark)
+        for name in names:
+            spark.read.schema(df.schema).parquet(name).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-len(names) // batches)).parquet(path)
 
 
 def with_sentinel(df, **values):
@@ -34,8 +51,8 @@ def with_sentinel(df, **values):
 
 @query("SELECT chrom, pos FROM pileup WHERE indels > 1 OR mismatches > 2")
 def stream_suspect_sites(spark, sf):
-    reads = with_sentinel(T.reads(spark, sf))
-    return sites.run_available(sites.suspect_sites(as_stream(reads, ["chrom", "start"]), T.ref_chunks(spark, sf)))
+    reads = with_sentinel(T.reads(spark, sf).select("chrom", "start", "cigar", "bases"))
+    return sites.run_available(sites.suspect_sites(as_stream(reads, ["chrom", "start"]), T.ref_chunks(spark, sf, PIECE), size=PIECE))
 
 
 @query('SELECT chrom, count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS bases FROM regions GROUP BY chrom')

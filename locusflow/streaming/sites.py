@@ -60,12 +60,13 @@ def suspect_sites(reads: DataFrame, ref_chunks: DataFrame, longest_span: int = 1
                 yield pd.DataFrame({"chrom": [chrom] * len(at), "pos": int(chunk) * size + at})
             return
         for batch in batches:
-            for low, letters, under, indel in zip(batch["low"], batch["letters"], batch["under"], batch["indel_next"], strict=True):
-                first, n = int(low) - int(chunk) * size, min(len(letters), len(under))
-                own, ref = (np.array(list(x[:n])) for x in (letters, under))
-                counts[0, first : first + n] += own != ref
-                if indel and n == len(letters):
-                    counts[1, first + n - 1] += 1
+            letters, under = batch["letters"].tolist(), batch["under"].tolist()
+            long, n = np.array([len(x) for x in letters]), np.array([min(len(x), len(y)) for x, y in zip(letters, under, strict=True)])
+            own, ref = (np.frombuffer("".join(x[:k] for x, k in zip(texts, n, strict=True)).encode("utf-32-le"), np.uint32) for texts in (letters, under))
+            first = batch["low"].to_numpy(np.int64) - int(chunk) * size
+            at = np.arange(len(own)) + np.repeat(first - np.cumsum(n) + n, n)
+            counts[0] += np.bincount(at[own != ref], minlength=size)
+            counts[1] += np.bincount((first + n - 1)[batch["indel_next"].to_numpy(bool) & (n == long) & (n > 0)], minlength=size)
         state.update((counts.tobytes(),))
         state.setTimeoutTimestamp(int(number) * SPAN + (int(chunk) + 1) * size)
 

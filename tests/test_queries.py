@@ -73,6 +73,20 @@ def test_training_windows_are_found_once(spark, monkeypatch):
     assert relational.training_examples(spark, SMALL).count() > 0 and len(found) == 1
 
 
+def test_files_of_a_stream_are_written_by_all_cores_and_dated_in_order(spark, monkeypatch):
+    import os
+    from pathlib import Path
+
+    from locusflow.plans import streams
+
+    paths, shared = [], streams.shared_path
+    monkeypatch.setattr(streams, "shared_path", lambda s: paths.append(shared(s)) or paths[-1])
+    streams.as_stream(spark.range(1000).selectExpr("id * 7919 % 1000 AS pos"), ["pos"])
+    files = sorted(Path(paths[-1]).glob("*.parquet"), key=os.path.getmtime)
+    rows = [[r["pos"] for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert len(files) > streams.BATCHES and sum(rows, []) == list(range(1000))
+
+
 def test_entry(spark):
     import __spark_entry__
 
